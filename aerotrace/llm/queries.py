@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe
 from .common import load
 from .exact_dedup import exact_dedup
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
@@ -41,6 +42,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), vocab())
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), vocab(), with_ids=False)
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
