@@ -4,13 +4,12 @@ Of every residue pair modulo 13 some shift below 13 moves both into the cover
 {0, 1, 3, 9}, so two equal stretches of 20 words, wherever they start, share an
 8-word anchor that starts at a cover position in both.  Only anchors are hashed
 and compared at first (4 of 13 positions); around anchors that occur more than
-once all 20-word windows are then extended and compared by 80-bit fingerprints
-plus the partition number, and every window but the first of its word sequence
+once all 20-word windows are then extended and compared by 80-bit fingerprints, and every window but the first of its word sequence
 marks its words for removal.
 
-Hot passages: each chunk of documents sends one entry per distinct anchor or
+Hot passages: each block of documents sends one entry per distinct anchor or
 window, whatever number of documents holds it, so a passage found in a third of
-all documents costs as many entries as there are chunks.
+all documents costs as many entries as there are blocks.
 """
 
 from __future__ import annotations
@@ -27,8 +26,10 @@ from .common import id_of, key_of, shuffle_partitions
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 U = np.uint64
-ENTRY = "pid int, kind int, docs binary, counts binary, pos binary, hash binary, more binary"
-MARKS = "k long, fp long, pos binary"
+#: What a row holds of its entries: numbers as 16-bit planes, so that those that are mostly 0 compress away.
+PLANES = {"k": 4, "fp": 2, "counts": 2, "pos": 2, "hash": 5}
+ENTRY = "pid int, kind int, " + ", ".join(f"{name}{i} binary" for name, n in PLANES.items() for i in range(n))
+MARKS = "k long, fp int, marks binary"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -36,26 +37,47 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def _entries(kind: int, k, fp, pos, h, more, parts: int):
-    """A batch with one row per receiving partition; entries lie sorted by document in it."""
+def _planes(values: np.ndarray, n: int, cuts: np.ndarray) -> list[pa.Array]:
+    values = values.astype(U)
+    return [tv.binaries((values >> U(16 * i)).astype(np.uint16), cuts) for i in range(n)]
+
+
+def _entries(kind: int, pid, k, fp, pos, hashes, parts: int):
+    """A batch with one row per receiving partition; its entries lie sorted by document.
+
+    kind 0: entries with hashes, to be compared; kind 1: marks on their way to their documents.
+    """
     if not len(pos):
         return
-    pid = (tv.mix(k.astype(U), 7) if kind else h >> U(1)) % U(parts)
     order = np.lexsort((pos, fp, k, pid))
-    pid, k, fp, pos, h, more = (x[order] for x in (pid, k, fp, pos, h, more))
+    pid, k, fp, pos = pid[order], k[order], fp[order], pos[order]
     row = tv.group_starts(pid)
     new = np.zeros(len(pid), bool)
     new[row] = True
     new[1:] |= (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])
     doc = np.flatnonzero(new)
-    counts = np.diff(np.append(doc, len(pid))).astype(np.uint32)
-    docs = np.stack((k[doc], fp[doc]), 1).ravel()
     at = np.append(np.searchsorted(doc, row), len(doc))
     cuts = np.append(row, len(pid))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(pid[row].astype(np.int32)), pa.array(np.full(len(row), kind, np.int32)), tv.binaries(docs, at * 2), tv.binaries(counts, at), tv.binaries(pos.astype(np.uint32), cuts), tv.binaries(h if kind == 0 else h[:0], cuts if kind == 0 else cuts * 0), tv.binaries(more if kind == 0 else more[:0], cuts if kind == 0 else cuts * 0)],
-        schema=_schema(ENTRY),
-    )
+    step = np.diff(k[doc], prepend=0)
+    step[at[:-1]] = k[doc][at[:-1]]
+    columns = _planes(step.view(U), 4, at) + _planes(fp[doc].astype(np.uint32), 2, at) + _planes(np.diff(np.append(doc, len(pid))), 2, at) + _planes(pos, 2, cuts)
+    if kind == 0:
+        h, more = hashes[0][order], hashes[1][order]
+        columns += _planes(h, 4, cuts) + _planes(more, 1, cuts)
+    else:
+        columns += [pa.array([b""] * len(row), pa.binary())] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(pid[row].astype(np.int32)), pa.array(np.full(len(row), kind, np.int32)), *columns], schema=_schema(ENTRY))
+
+
+def _read(batch: pa.RecordBatch):
+    """(kind, k, fp, pos, hash, more) of each row."""
+    columns = batch.columns
+    for i in range(batch.num_rows):
+        planes = iter(np.frombuffer(x[i].as_buffer(), np.uint16).astype(U) for x in columns[2:])
+        got = {name: sum((next(planes) << U(16 * j) for j in range(n - (name == "hash"))), np.zeros((), U)) for name, n in PLANES.items()}
+        n = got["counts"].astype(np.int64)
+        k = np.repeat(np.cumsum(got["k"].view(np.int64)), n)
+        yield columns[1][i].as_py(), k, np.repeat(got["fp"].astype(np.uint32).view(np.int32), n), got["pos"].astype(np.int64), got["hash"], next(planes)
 
 
 def _first_only(k, fp, pos, h, more):
@@ -72,13 +94,31 @@ def _ids(batch: pa.RecordBatch):
     return (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k", "fp"))
 
 
+def _home(k: np.ndarray, parts: int) -> np.ndarray:
+    """Where the marks of a document are gathered."""
+    return tv.mix(k.astype(U), 7) % U(parts)
+
+
+def _gathered(found, send, parts: int):
+    """Sends what ``found`` yields in blocks: large enough for full rows, however many partitions receive them."""
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[0])
+        if n >= max(400_000, 64 * parts):
+            yield from send(*(np.concatenate(y) for y in zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield from send(*(np.concatenate(y) for y in zip(*held, strict=True)))
+
+
 def _anchors(window: int, parts: int):
-    """Map side: one entry per distinct anchor of a chunk; what repeats inside the chunk is marked at once."""
+    """Map side: one entry per distinct anchor of a block; what repeats inside the block is marked at once."""
     size = window - PERIOD + 1
     in_cover = np.zeros(PERIOD, bool)
     in_cover[list(COVER)] = True
 
-    def run(batches):
+    def found(batches):
         for batch in batches:
             ks, fps = _ids(batch)
             for c in tv.chunks(batch.column(batch.schema.get_field_index("text"))):
@@ -86,25 +126,25 @@ def _anchors(window: int, parts: int):
                 at, h = c.windows(c.word_hashes(), size)
                 local = at - c.w_from[c.w_doc[at]]
                 use = in_cover[local % PERIOD] & (c.w_count[c.w_doc[at]] >= window)
-                at, h, local = at[use], h[use], local[use]
-                doc = c.first + c.w_doc[at]
-                k, fp, none = ks[doc], fps[doc], np.zeros(len(h), np.uint16)
-                first, counts, rest = _first_only(k, fp, local, h, none)
-                often = counts > 1
-                # the lowest bit says that the chunk itself has it twice: it is marked here
-                sent = (first[3] & ~U(1)) | often.astype(U)
-                yield from _entries(0, *first[:3], sent, first[4], parts)
-                marked = [np.concatenate((a[often], b)) for a, b in zip(first[:3], rest, strict=True)]
-                yield from _entries(1, *marked, marked[2].astype(U), marked[2].astype(np.uint16), parts)
+                doc = c.first + c.w_doc[at[use]]
+                yield ks[doc], fps[doc], local[use], h[use]
 
-    return run
+    def send(k, fp, pos, h):
+        first, counts, rest = _first_only(k, fp, pos, h >> U(1), np.zeros(len(h), np.uint16))
+        often = counts > 1
+        # the 16 bits say that the block itself has it twice: it is marked here
+        yield from _entries(0, first[3] % U(parts), *first[:3], (first[3], often.astype(np.uint16)), parts)
+        marked = [np.concatenate((a[often], b)) for a, b in zip(first[:3], rest, strict=True)]
+        yield from _entries(1, _home(marked[0], parts), *marked, None, parts)
+
+    return lambda batches: _gathered(found(batches), send, parts)
 
 
 def _windows(window: int, parts: int):
-    """Map side of the extension: all windows around marked anchors, one entry per distinct window of a chunk."""
+    """Map side of the extension: all windows around marked anchors, one entry per distinct window of a block."""
     size = window - PERIOD + 1
 
-    def run(batches):
+    def found(batches):
         for batch in batches:
             ks, fps = _ids(batch)
             marks = batch.column(batch.schema.get_field_index("marks"))
@@ -115,70 +155,70 @@ def _windows(window: int, parts: int):
                 _, more = c.windows(tv.mix(wh, 0x1234567), window, 0x9FB21C651E98DF25)
                 hit = np.zeros(len(wh) + 1, np.int64)
                 for i in range(c.n):
-                    for x in marks[c.first + i].as_py() or ():
-                        p = np.frombuffer(x, np.uint32).astype(np.int64)
-                        p = p[p + size <= c.w_count[i]] + c.w_from[i]
-                        hit[p] = 1
+                    p = np.frombuffer(marks[c.first + i].as_buffer(), np.uint32).astype(np.int64)
+                    hit[p[p + size <= c.w_count[i]] + c.w_from[i]] = 1
                 reach = np.concatenate(([0], np.cumsum(hit)))
                 use = reach[at + PERIOD] > reach[at]  # an anchor that starts at one of the first 13 words lies inside
                 at, h, more = at[use], h[use], (more[use] & U(0xFFFF)).astype(np.uint16)
                 doc = c.first + c.w_doc[at]
-                local = at - c.w_from[c.w_doc[at]]
-                first, counts, rest = _first_only(ks[doc], fps[doc], local, h, more)
-                yield from _entries(0, *first, parts)
-                yield from _entries(1, *rest, rest[2].astype(U), rest[2].astype(np.uint16), parts)
+                yield ks[doc], fps[doc], at - c.w_from[c.w_doc[at]], h, more
 
-    return run
+    def send(k, fp, pos, h, more):
+        first, _, rest = _first_only(k, fp, pos, h, more)
+        yield from _entries(0, (first[3] >> U(1)) % U(parts), *first[:3], first[3:], parts)
+        yield from _entries(1, _home(rest[0], parts), *rest, None, parts)
 
+    return lambda batches: _gathered(found(batches), send, parts)
 
-def _marks(k, fp, pos):
-    """One row per document with the marked positions."""
-    if not len(k):
-        return
-    order = np.lexsort((pos, fp, k))
-    k, fp, pos = k[order], fp[order], pos[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])
-    at = np.flatnonzero(new)
-    yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(fp[at]), tv.binaries(pos.astype(np.uint32), np.append(at, len(k)))], schema=_schema(MARKS))
 
+def _meet(anchors: bool, parts: int):
+    """Reduce side: which entries of a partition are marked; marks go on to their documents' partitions."""
 
-def _meet(anchors: bool):
-    """Reduce side: which entries of a partition are marked."""
+    def send(k, fp, pos):
+        yield from _entries(1, _home(k, parts), k, fp, pos, None, parts)
 
     def run(batches):
-        held = []
+        held, passed = [], []
         for batch in batches:
-            pid, kind, docs, counts, pos, h, more = batch.columns
-            for i in range(batch.num_rows):
-                n = np.frombuffer(counts[i].as_buffer(), np.uint32)
-                ids = np.frombuffer(docs[i].as_buffer(), np.int64)
-                k, fp = np.repeat(ids[::2], n), np.repeat(ids[1::2], n)
-                p = np.frombuffer(pos[i].as_buffer(), np.uint32)
-                if kind[i].as_py() == 1:
-                    yield from _marks(k, fp, p)
-                else:
-                    held.append((k, fp, p, np.frombuffer(h[i].as_buffer(), U), np.frombuffer(more[i].as_buffer(), np.uint16)))
+            for kind, k, fp, p, h, more in _read(batch):
+                (held if kind == 0 else passed).append((k, fp, p, h, more) if kind == 0 else (k, fp, p))
+        if passed:
+            yield from _gathered(passed, send, parts)
         if not held:
             return
         k, fp, p, h, more = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
+        del held, passed
         if anchors:
-            often, h = (h & U(1)) == 1, h & ~U(1)
             order = np.argsort(h, kind="stable")
             start = tv.group_starts(h[order])
             size = np.diff(np.append(start, len(h)))
             many = np.empty(len(h), bool)
             many[order] = np.repeat(size > 1, size)
-            use = many & ~often
-            yield from _marks(k[use], fp[use], p[use])
+            use = many & (more == 0)
+            yield from send(k[use], fp[use], p[use])
         else:
             _, _, rest = _first_only(k, fp, p, h, more)
-            yield from _marks(*rest)
+            yield from send(*rest)
 
     return run
 
 
+def _marks(batches):
+    """One row per document with its marked positions."""
+    held = [x[1:4] for batch in batches for x in _read(batch)]
+    if not held:
+        return
+    k, fp, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((pos, fp, k))
+    k, fp, pos = k[order], fp[order], pos[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])
+    at = np.flatnonzero(new)
+    for i in range(0, len(at), 10_000):
+        cut = np.append(at, len(k))[i : i + 10_001]
+        yield pa.RecordBatch.from_arrays([pa.array(k[cut[:-1]]), pa.array(fp[cut[:-1]]), tv.binaries(pos[cut[0] : cut[-1]].astype(np.uint32), cut - cut[0])], schema=_schema(MARKS))
+
+
 def _removed(window: int):
     """Which words go, what stays and its digest."""
     sha = hashlib.sha256
@@ -191,7 +231,8 @@ def _removed(window: int):
                 c.words()
                 step = np.zeros(len(c.w_start) + 1, np.int64)
                 for i in range(c.n):
-                    for x in marks[c.first + i].as_py() or ():
+                    x = marks[c.first + i].as_buffer()
+                    if x is not None:
                         p = np.frombuffer(x, np.uint32).astype(np.int64) + c.w_from[i]
                         np.add.at(step, p, 1)
                         np.add.at(step, p + window, -1)
@@ -229,11 +270,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < PERIOD + 7:
         raise ValueError(f"window must be {PERIOD + 7} words at least")
     parts = shuffle_partitions(docs.sparkSession)
-    base = docs.select(key_of(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
+    base = docs.select(key_of(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fp", F.hash("text"))
 
     def marked(entries: DataFrame, anchors: bool) -> DataFrame:
-        found = entries.repartitionById(parts, F.col("pid")).mapInArrow(_meet(anchors), MARKS)
-        return base.join(found.groupBy("k", "fp").agg(F.collect_list("pos").alias("marks")), ["k", "fp"], "left").select("k", "fp", "text", "marks")
+        met = entries.repartitionById(parts, F.col("pid")).mapInArrow(_meet(anchors, parts), ENTRY)
+        found = met.repartitionById(parts, F.col("pid")).mapInArrow(_marks, MARKS)
+        return base.join(found, ["k", "fp"], "left").select("k", "fp", "text", "marks")
 
     around = marked(base.mapInArrow(_anchors(window, parts), ENTRY), True)
     again = marked(around.filter("marks IS NOT NULL").mapInArrow(_windows(window, parts), ENTRY), False)
