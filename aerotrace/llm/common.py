@@ -36,11 +36,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder of spark.checkpoint.dir, its lineage cut there."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for what is written between steps: the session's spark.checkpoint.dir, one of our own where that is unset."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, its lineage cut there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -11,6 +11,7 @@ from . import bpe
 from .chat_format import chat_windows, digests
 from .common import load
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
@@ -56,6 +57,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(chat_windows(rows.unionByName(more)))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
     "op7_chat_format": op7_chat_format,
+    "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
