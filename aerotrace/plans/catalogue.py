@@ -1,4 +1,186 @@
 """Registered queries and their DuckDB equivalents."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aerotrace.operators import features, rules, series, windows
+from aerotrace.plans import adapters
+from aerotrace.plans import oracles as o
+from aerotrace.schema import ATTRIBUTES, FEATURES, LABELS, RULE_LABELS
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+BY = ["object_id"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL that says the same."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def shown(df: DataFrame, keys: list[str], numbers: list[str], digits: int = 4) -> DataFrame:
+    """keys as they are, numbers rounded; -0 becomes 0."""
+    return df.select(*keys, *((F.round(n, digits) + F.lit(0.0)).alias(n) for n in numbers))
+
+
+def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.preprocess(adapters.telemetry(spark, sf_dir), BY)
+
+
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.window_features(processed(spark, sf_dir), BY)
+
+
+def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.label(featured(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.label_distribution(labeled(spark, sf_dir))
+
+
+@query(o.said("SELECT object_id, count(DISTINCT name) AS n_names, arg_min(name, event_id) AS name, min(round(time, 4)) AS first_seen FROM tele WHERE lower(trim(obj_type)) = 'air+fixedwing' GROUP BY object_id"))
+def q_target_objects(spark, sf_dir):
+    x = adapters.carriers_left_out(adapters.telemetry(spark, sf_dir))
+    return x.groupBy("object_id").agg(F.count_distinct("name").alias("n_names"), F.min_by("name", "event_id").alias("name"), F.min(F.round("time", 4)).alias("first_seen"))
+
+
+@query(o.said("SELECT obj_type, count(*) AS n, count(DISTINCT object_id) AS objects FROM tele WHERE contains(lower(obj_type), 'air+fixedwing') OR contains(lower(obj_type), 'aircraft') OR contains(lower(obj_type), 'fixedwing') GROUP BY obj_type"))
+def q_is_aircraft_filter(spark, sf_dir):
+    t = F.lower("obj_type")
+    x = adapters.telemetry(spark, sf_dir).filter(t.contains("air+fixedwing") | t.contains("aircraft") | t.contains("fixedwing"))
+    return x.groupBy("obj_type").agg(F.count("*").alias("n"), F.count_distinct("object_id").alias("objects"))
+
+
+@query(o.said("SELECT object_id, round(time, 6) AS time, round(yaw, 4) + 0e0 AS yaw, round(roll, 4) + 0e0 AS roll FROM unwrapped"))
+def q_unwrap(spark, sf_dir):
+    x = series.unwrap(series.source_rows(adapters.telemetry(spark, sf_dir), BY), BY)
+    return shown(x.withColumn("time", F.round("time", 6)), ["object_id", "time"], ["yaw", "roll"])
+
+
+RESAMPLED = ["world_x", "world_y", "world_z", "yaw", "pitch", "roll"]
+
+
+@query(o.said(f"SELECT object_id, round(time, 6) AS time, {o.rounded(RESAMPLED)} FROM resampled"))
+def q_resample_interp(spark, sf_dir):
+    x = series.resample(series.unwrap(series.source_rows(adapters.telemetry(spark, sf_dir), BY), BY), BY)
+    return shown(x.withColumn("time", F.round("time", 6)), ["object_id", "time"], RESAMPLED)
+
+
+@query(o.said("SELECT object_id, CAST(sum(long_gap_flag) AS BIGINT) AS in_gaps, count(*) AS n FROM resampled GROUP BY object_id"))
+def q_long_gap(spark, sf_dir):
+    x = series.resample(series.source_rows(adapters.telemetry(spark, sf_dir), BY), BY)
+    return x.groupBy("object_id").agg(F.sum("long_gap_flag").cast("long").alias("in_gaps"), F.count("*").alias("n"))
+
+
+@query(o.said(f"SELECT object_id, round(time, 6) AS time, {o.rounded(RESAMPLED)} FROM smooth"))
+def q_rolling_mean(spark, sf_dir):
+    x = series.resample(series.unwrap(series.source_rows(adapters.telemetry(spark, sf_dir), BY), BY), BY)
+    return shown(series.smoothed(x, BY, series.smoothing_width(0.6, 5.0)).withColumn("time", F.round("time", 6)), ["object_id", "time"], RESAMPLED)
+
+
+@query(o.said(f"SELECT object_id, round(time, 6) AS time, {o.rounded(['yaw_rate', 'roll_rate', 'pitch_rate', 'vertical_speed'], 3)} FROM processed"))
+def q_gradient(spark, sf_dir):
+    return shown(processed(spark, sf_dir).withColumn("time", F.round("time", 6)), ["object_id", "time"], ["yaw_rate", "roll_rate", "pitch_rate", "vertical_speed"], 3)
+
+
+@query(o.said(f"SELECT object_id, round(time, 6) AS time, {o.rounded(['speed', 'turn_rate', 'g_load'], 3)} FROM processed"))
+def q_turn_rate_load(spark, sf_dir):
+    return shown(processed(spark, sf_dir).withColumn("time", F.round("time", 6)), ["object_id", "time"], ["speed", "turn_rate", "g_load"], 3)
+
+
+@query(o.said("SELECT object_id, win AS \"window\", round(any_value(window_start), 4) AS window_start, count(*) AS n, round(avg(altitude), 3) AS alt_mean FROM windowed GROUP BY object_id, win"))
+def q_sliding_windows(spark, sf_dir):
+    x = windows.sliding_windows(processed(spark, sf_dir), BY)
+    return x.groupBy("object_id", "window", F.round("window_start", 4).alias("window_start")).agg(F.count("*").alias("n"), F.round(F.avg("altitude"), 3).alias("alt_mean"))
+
+
+def _features(name: str, columns: list[str], whole: list[str] = [], digits: int = 3) -> None:  # noqa: B006
+    """A query of some features."""
+    sql = o.said(f"SELECT object_id, round(window_start, 4) AS window_start, {', '.join([*whole, o.rounded(columns, digits)] if columns else whole)} FROM features")
+
+    def run(spark, sf_dir):
+        return shown(featured(spark, sf_dir).withColumn("window_start", F.round("window_start", 4)), ["object_id", "window_start", *whole], columns, digits)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_features("q_window_slope", ["speed_slope", "alt_slope", "alt_residual_std"])
+_features("q_sign_changes", ["short_turn_sign_changes_max", "short_roll_sign_changes_max", "short_pitch_sign_changes_max"], ["turn_sign_changes", "roll_sign_changes", "pitch_sign_changes"])
+_features("q_half_window", [f for f in FEATURES if "half" in f])
+_features("q_short_window", [f for f in FEATURES if f.startswith("short") and f != "short_window_count"], ["short_window_count"])
+_features("q_quality_flags", ["missing_ratio", "long_gap_ratio"], ["sensor_conflict", "feature_out_of_range"])
+_features("q_window_features", o.NUMBERS, ["sample_count", *(f for f in FEATURES if f not in o.NUMBERS)])
+
+KEYS = "object_id, round(window_start, 4) AS window_start"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("window_start", F.round("window_start", 4))
+
+
+FLAG_COLUMNS = [f"flag_{k.lower()}" for k in RULE_LABELS]
+SCORE_COLUMNS = [f"score_{k.lower()}" for k in RULE_LABELS]
+ATTR_COLUMNS = [f"attr_{k.lower()}" for k in ATTRIBUTES]
+
+
+@query(o.said(f"SELECT {KEYS}, {', '.join(FLAG_COLUMNS)} FROM flagged"))
+def q_rule_flags(spark, sf_dir):
+    return keyed(labeled(spark, sf_dir)).select("object_id", "window_start", *FLAG_COLUMNS)
+
+
+@query(o.said(f"SELECT {KEYS}, {o.rounded(SCORE_COLUMNS, 3)} FROM scored"))
+def q_rule_scores(spark, sf_dir):
+    return shown(keyed(labeled(spark, sf_dir)), ["object_id", "window_start"], SCORE_COLUMNS, 3)
+
+
+@query(o.said(f"SELECT {KEYS}, {', '.join(ATTR_COLUMNS)}, attributes FROM labeled"))
+def q_attributes(spark, sf_dir):
+    return keyed(labeled(spark, sf_dir)).select("object_id", "window_start", *ATTR_COLUMNS, "attributes")
+
+
+@query(o.said(f"SELECT {KEYS}, uncertain_reason, transition_reason FROM labeled"))
+def q_transition_reason(spark, sf_dir):
+    return keyed(labeled(spark, sf_dir)).select("object_id", "window_start", "uncertain_reason", "transition_reason")
+
+
+@query(o.said(f"SELECT {KEYS}, main_label, CAST({o.LABEL_ID} AS INT) AS label FROM labeled"))
+def q_main_label(spark, sf_dir):
+    return keyed(labeled(spark, sf_dir)).select("object_id", "window_start", "main_label", "label")
+
+
+_NAMES = ", ".join(f"({i}, '{k}')" for i, k in enumerate(LABELS))
+
+
+@query(o.said(f"SELECT CAST(v.i AS INT) AS label, v.n AS label_name, count(l.main_label) AS n, count(l.main_label) / (SELECT count(*) FROM labeled)::DOUBLE AS share FROM (VALUES {_NAMES}) v(i, n) LEFT JOIN labeled l ON l.main_label = v.n GROUP BY v.i, v.n"))
+def q_label_distribution(spark, sf_dir):
+    return rules.label_distribution(labeled(spark, sf_dir))
+
+
+@query(o.said("SELECT main_label, count(*) AS n FROM labeled GROUP BY main_label HAVING count(*) >= 2"))
+def q_valid_classes(spark, sf_dir):
+    return rules.trainable(labeled(spark, sf_dir)).groupBy("main_label").agg(F.count("*").alias("n"))
+
+
+_STRUCTS = ", ".join(f"{{'s': -round(score_{k.lower()}, 6), 'i': {i}, 'k': '{k.lower()}'}}" for i, k in enumerate(RULE_LABELS))
+
+
+@query(o.said(f"SELECT {KEYS}, r[1].k AS top_label, round(-r[1].s, 3) + 0e0 AS top_score, r[2].k AS second_label, round(-r[2].s, 3) + 0e0 AS second_score FROM (SELECT *, list_sort([{_STRUCTS}]) AS r FROM scored)"))
+def q_topk_scores(spark, sf_dir):
+    x = keyed(labeled(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in SCORE_COLUMNS})
+    x = x.withColumn("top", rules.top_scores(x))
+    one, two = F.element_at("top", 1), F.element_at("top", 2)
+    return x.select("object_id", "window_start", one["label"].alias("top_label"), (F.round(one["score"], 3) + 0.0).alias("top_score"), two["label"].alias("second_label"), (F.round(two["score"], 3) + 0.0).alias("second_score"))
