@@ -53,3 +53,25 @@ def _split(text: str) -> list[str]:
 
 def carriers_left_out(tele: DataFrame) -> DataFrame:
     return tele.filter(F.lower(F.trim("obj_type")) == "air+fixedwing")
+
+
+#: Columns of a frame from kind, t and user_id, for both engines: twenty users share an arena, offset from each other.
+ARENA = f"""
+    arena AS source, frame_idx, t AS time, CAST(user_id AS STRING) AS object_id, user_id AS ord, name, coalition, obj_type,
+    world_x + (user_id % 7) * 9e2 AS world_x, world_y, world_z + (user_id % 5) * 7e2 AS world_z, world_y AS altitude, yaw, pitch, roll,
+    sqrt(({V}) * ({V}) + ({CLIMB}) * ({CLIMB})) + frame_idx AS speed, 0e0 AS mach, 0e0 AS aoa, 1 + kind / 5e0 AS g_load"""
+FRAMES = 11
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of every user at eleven common times, in arenas of twenty users."""
+    users = events(spark, sf_dir).select("user_id").distinct()
+    x = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame_idx"))
+    x = x.selectExpr("user_id", "frame_idx", "frame_idx * 1e0 AS t", "CAST(user_id % 10 AS INT) AS kind", "concat('arena', CAST(user_id DIV 20 AS STRING)) AS arena", "concat('P', CAST(user_id AS STRING)) AS name", "CASE user_id % 3 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Red' ELSE '' END AS coalition", "CASE WHEN user_id % 11 = 0 THEN 'Sea+Watercraft+AircraftCarrier' ELSE 'Air+FixedWing' END AS obj_type")
+    return x.selectExpr("*", *[p.strip() for p in _split(PATH)]).selectExpr(*[p.strip() for p in _split(ARENA)])
+
+
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One loss per user with an error whose id is divisible by four, at the frame of its first one: source, frame_idx, victim_id."""
+    x = events(spark, sf_dir).filter("event_type = 'error' AND user_id % 4 = 0").groupBy("user_id").agg(F.min("event_id").alias("e"))
+    return x.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", f"CAST(e % {FRAMES} AS INT) AS frame_idx", "CAST(user_id AS STRING) AS victim_id")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerotrace.operators import features, rules, series, windows
+from aerotrace.functions import geometry
+from aerotrace.operators import engagement, features, rules, series, windows
 from aerotrace.plans import adapters
 from aerotrace.plans import oracles as o
-from aerotrace.schema import ATTRIBUTES, FEATURES, LABELS, RULE_LABELS
+from aerotrace.schema import ATTRIBUTES, FEATURES, LABELS, PAIR_FEATURES, RULE_LABELS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,3 +185,73 @@ def q_topk_scores(spark, sf_dir):
     x = x.withColumn("top", rules.top_scores(x))
     one, two = F.element_at("top", 1), F.element_at("top", 2)
     return x.select("object_id", "window_start", one["label"].alias("top_label"), (F.round(one["score"], 3) + 0.0).alias("top_score"), two["label"].alias("second_label"), (F.round(two["score"], 3) + 0.0).alias("second_score"))
+
+
+PAIR_KEYS = ["source", "time", "self_object_id", "enemy_object_id"]
+_PAIR = "source, time, sid AS self_object_id, eid AS enemy_object_id"
+
+
+def state_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engagement.pairs(adapters.frames(spark, sf_dir))
+
+
+def kill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = adapters.frames(spark, sf_dir)
+    lost = adapters.losses(spark, sf_dir)
+    victims = state.select("source", "frame_idx", F.col("object_id").alias("victim_id"), F.col("name").alias("victim_name"), F.col("coalition").alias("victim_coalition"), F.col("world_x").alias("vx"), F.col("world_y").alias("vy"), F.col("world_z").alias("vz"), "time")
+    there = state.select("source", "frame_idx", "ord", "object_id", "name", "coalition", "obj_type", F.col("world_x").alias("x"), F.col("world_y").alias("y"), F.col("world_z").alias("z"), "yaw")
+    return engagement.attributed(lost.join(victims, ["source", "frame_idx", "victim_id"]), there, ["source", "frame_idx"])
+
+
+@query(o.said(f"SELECT {_PAIR}, round(distance, 4) AS distance_raw FROM paired"))
+def q_pairs(spark, sf_dir):
+    return shown(state_pairs(spark, sf_dir), PAIR_KEYS, ["distance_raw"])
+
+
+@query(o.said("""SELECT a.source, a.frame_idx, a.object_id, arg_min(b.object_id, {'d': sqrt(pow(b.world_x - a.world_x, 2) + pow(b.world_y - a.world_y, 2) + pow(b.world_z - a.world_z, 2)), 'o': b.ord}) AS enemy_id,
+    round(min(sqrt(pow(b.world_x - a.world_x, 2) + pow(b.world_y - a.world_y, 2) + pow(b.world_z - a.world_z, 2))), 3) AS distance
+    FROM sided a JOIN sided b ON a.source = b.source AND a.frame_idx = b.frame_idx AND a.object_id <> b.object_id AND NOT (a.coalition <> '' AND b.coalition <> '' AND a.coalition = b.coalition)
+    WHERE b.altitude >= 100 AND b.speed >= 20 GROUP BY a.source, a.frame_idx, a.object_id"""))
+def q_nearest_enemy(spark, sf_dir):
+    return shown(engagement.nearest_opponent(adapters.frames(spark, sf_dir)), ["source", "frame_idx", "object_id", "enemy_id"], ["distance"], 3)
+
+
+@query(o.said(f"SELECT {_PAIR}, {o.rounded(PAIR_FEATURES, 3)} FROM pair_features"))
+def q_pair_features(spark, sf_dir):
+    return shown(engagement.pair_features(state_pairs(spark, sf_dir)), PAIR_KEYS, PAIR_FEATURES, 3)
+
+
+_SELF = ["self_specific_energy", "self_speed", "self_turn_rate", "self_speed_rate", "self_ps_estimate"]
+
+
+@query(o.said(f"""SELECT source, object_id, time, {o.rounded(_SELF, 3)} FROM (SELECT *, coalesce(speed - lag(speed) OVER o, 0e0) AS self_speed_rate, coalesce(self_specific_energy - lag(self_specific_energy) OVER o, 0e0) AS self_ps_estimate, speed AS self_speed,
+    CASE WHEN g_load <= 1 THEN 0e0 ELSE degrees(980665e-5 * sqrt(g_load * g_load - 1) / speed) END AS self_turn_rate FROM (SELECT *, altitude + speed * speed / (2 * 980665e-5) AS self_specific_energy FROM frames) WINDOW o AS (PARTITION BY source, object_id ORDER BY time))"""))
+def q_self_features(spark, sf_dir):
+    return shown(engagement.self_features(adapters.frames(spark, sf_dir), ["source", "object_id"]), ["source", "object_id", "time"], _SELF, 3)
+
+
+@query(o.said("SELECT source, time, victim_id, victim_name, k.id AS killer_id, k.name AS killer_name FROM kills"))
+def q_kill_attribution(spark, sf_dir):
+    return kill_events(spark, sf_dir).select("source", "time", "victim_id", "victim_name", "killer_id", "killer_name")
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engagement.outcome_score(state_pairs(spark, sf_dir), kill_events(spark, sf_dir))
+
+
+@query(o.said(f"SELECT {_PAIR}, round(score, 6) + 0e0 AS score FROM outcome"))
+def q_outcome_score(spark, sf_dir):
+    return shown(scored_pairs(spark, sf_dir), PAIR_KEYS, ["score"], 6)
+
+
+@query(o.said("SELECT count(*) AS n, count_if(score > 1e-1) AS n_advantage, count_if(score < -1e-1) AS n_disadvantage, round(avg(score) FILTER (abs(score) > 1e-1), 6) AS mean_labeled, round(stddev_pop(score) FILTER (abs(score) > 1e-1), 6) AS std_labeled FROM outcome"))
+def q_score_stats(spark, sf_dir):
+    return engagement.score_stats(scored_pairs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("mean_labeled", "std_labeled")})
+
+
+_CAT = "CASE WHEN score > 5e-1 THEN 'ADVANTAGE' WHEN score > 2e-1 THEN 'SLIGHT_ADV' WHEN score > -2e-1 THEN 'NEUTRAL' WHEN score > -5e-1 THEN 'SLIGHT_DIS' ELSE 'DISADVANTAGE' END"
+
+
+@query(o.said(f"SELECT {_CAT} AS category, count(*) AS n FROM outcome GROUP BY 1"))
+def q_category(spark, sf_dir):
+    return scored_pairs(spark, sf_dir).groupBy(geometry.category(F.col("score")).alias("category")).agg(F.count("*").alias("n"))

@@ -168,3 +168,51 @@ def rounded(columns: list[str], digits: int = 4) -> str:
 
 NUMBERS = [f for f in FEATURES if f not in ("turn_sign_changes", "roll_sign_changes", "pitch_sign_changes", "short_window_count", "sensor_conflict", "feature_out_of_range")]
 assert TH["turn_large"] == 10 and TH["vs_up"] == 10  # the SQL above holds the defaults
+
+from aerotrace.plans.adapters import ARENA, FRAMES  # noqa: E402
+
+STEPS["frames"] = f"""
+    SELECT {ARENA} FROM (SELECT *, {PATH} FROM (
+        SELECT user_id, CAST(frame_idx AS INT) AS frame_idx, frame_idx * 1e0 AS t, CAST(user_id % 10 AS INT) AS kind, concat('arena', CAST(user_id // 20 AS STRING)) AS arena, concat('P', CAST(user_id AS STRING)) AS name,
+            CASE user_id % 3 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Red' ELSE '' END AS coalition, CASE WHEN user_id % 11 = 0 THEN 'Sea+Watercraft+AircraftCarrier' ELSE 'Air+FixedWing' END AS obj_type
+        FROM (SELECT DISTINCT user_id FROM events), range({FRAMES}) r(frame_idx)))"""
+STEPS["sided"] = "SELECT *, speed / 34e1 AS m, radians(yaw) AS h FROM frames WHERE contains(lower(obj_type), 'aircraft') OR contains(lower(obj_type), 'fixedwing')"
+_OPPOSE = "NOT (a.coalition <> '' AND b.coalition <> '' AND a.coalition = b.coalition)"
+STEPS["paired"] = f"""
+    SELECT * FROM (SELECT a.source, a.frame_idx, a.time, a.object_id AS sid, b.object_id AS eid, a.name AS sname, b.name AS ename, a.ord AS so, b.ord AS eo,
+        b.world_x - a.world_x AS dx, b.world_y - a.world_y AS dy, b.world_z - a.world_z AS dz, a.h AS sh, b.h AS eh, a.altitude AS sa, b.altitude AS ea, a.speed AS ss, b.speed AS es, b.m AS em, a.g_load AS sg,
+        sqrt((b.world_x - a.world_x) * (b.world_x - a.world_x) + (b.world_y - a.world_y) * (b.world_y - a.world_y) + (b.world_z - a.world_z) * (b.world_z - a.world_z)) AS distance
+    FROM sided a JOIN sided b ON a.source = b.source AND a.frame_idx = b.frame_idx AND a.ord < b.ord AND {_OPPOSE}
+    WHERE a.altitude >= 100 AND b.altitude >= 100 AND a.speed >= 50 AND b.speed >= 50) WHERE distance <= 10000"""
+
+
+def fold(x: str) -> str:
+    return f"CASE WHEN abs(degrees({x})) > 180 THEN 360 - abs(degrees({x})) ELSE abs(degrees({x})) END"
+
+
+STEPS["geometry"] = f"""
+    SELECT *, {fold('atan2(-dz, -dx) - eh')} AS aspect_angle, {fold('atan2(dz, dx) - sh')} AS antenna_train_angle, {fold('sh - eh')} AS heading_crossing_angle, sa - ea AS altitude_diff,
+        (degrees(atan2(dz, dx)) % 36e1 + 36e1) % 36e1 AS bearing, sa + ss * ss / (2 * 980665e-5) AS self_specific_energy, ea + es * es / (2 * 980665e-5) AS enemy_specific_energy,
+        ss AS self_speed, es AS enemy_speed, ss / es AS speed_ratio, CASE WHEN sg <= 1 OR ss < 30 THEN 0e0 ELSE degrees(980665e-5 * sqrt(sg * sg - 1) / ss) END AS self_turn_rate, sg AS self_g_load FROM paired"""
+_DT = "(time - lag(time) OVER o)"
+STEPS["pair_features"] = f"""
+    SELECT *, self_turn_rate - enemy_turn_rate AS relative_turn_rate, self_specific_energy - enemy_specific_energy AS delta_specific_energy FROM (
+    SELECT *, coalesce(abs(degrees((dh - 2 * pi() * ceil((dh - pi()) / (2 * pi()))) / dt)), 0e0) AS enemy_turn_rate FROM (
+    SELECT *, eh - lag(eh) OVER o AS dh, {_DT} AS dt, coalesce((ss - lag(ss) OVER o) / {_DT}, 0e0) AS self_speed_rate, coalesce((distance - lag(distance) OVER o) / {_DT}, 0e0) AS distance_rate,
+        coalesce((antenna_train_angle - lag(antenna_train_angle) OVER o) / {_DT}, 0e0) AS ata_rate, coalesce((self_specific_energy - lag(self_specific_energy) OVER o) / {_DT}, 0e0) AS self_ps_estimate
+    FROM geometry WINDOW o AS (PARTITION BY source, sid, eid ORDER BY time)))"""
+STEPS["losses"] = f"SELECT concat('arena', CAST(user_id // 20 AS STRING)) AS source, CAST(min(event_id) % {FRAMES} AS INT) AS frame_idx, CAST(user_id AS STRING) AS victim_id FROM events WHERE event_type = 'error' AND user_id % 4 = 0 GROUP BY user_id"
+_OFF = "(abs(degrees(atan2(v.world_x - a.world_x, v.world_z - a.world_z)) - a.yaw) % 36e1)"
+STEPS["kills"] = f"""
+    SELECT l.source, l.frame_idx, any_value(v.time) AS time, l.victim_id, any_value(v.name) AS victim_name,
+        arg_min({{'id': a.object_id, 'name': a.name}}, {{'s': CASE WHEN {_OFF} > 180 THEN 360 - {_OFF} ELSE {_OFF} END + sqrt(pow(a.world_x - v.world_x, 2) + pow(a.world_y - v.world_y, 2) + pow(a.world_z - v.world_z, 2)) / 100, 'o': a.ord}}) AS k
+    FROM losses l JOIN frames v ON v.source = l.source AND v.frame_idx = l.frame_idx AND v.object_id = l.victim_id
+    JOIN sided a ON a.source = l.source AND a.frame_idx = l.frame_idx AND a.object_id <> l.victim_id AND NOT (a.coalition <> '' AND v.coalition <> '' AND a.coalition = v.coalition)
+    GROUP BY l.source, l.frame_idx, l.victim_id"""
+STEPS["outcome"] = """
+    SELECT p.source, p.time, p.sid, p.eid, any_value(p.distance) AS distance, list_reduce(list_prepend({'at': 0e0, 'v': '', 'd': 0e0, 'k': '', 'l': '', 's': '', 'e': ''}, list_sort(list({'at': k.time, 'v': k.victim_id, 'd': exp(-(k.time - p.time) / 5), 'k': k.k.name, 'l': k.victim_name, 's': p.sname, 'e': p.ename}) FILTER (k.time IS NOT NULL))) ,
+        lambda a, x: {'at': x.at, 'v': x.v, 'd': CASE
+            WHEN contains(x.l, x.s) THEN least(CASE WHEN contains(x.k, x.s) THEN greatest(a.d, x.d) WHEN contains(x.k, x.e) THEN least(a.d, -x.d) ELSE a.d END, -x.d)
+            WHEN contains(x.l, x.e) THEN greatest(CASE WHEN contains(x.k, x.s) THEN greatest(a.d, x.d) WHEN contains(x.k, x.e) THEN least(a.d, -x.d) ELSE a.d END, x.d)
+            ELSE CASE WHEN contains(x.k, x.s) THEN greatest(a.d, x.d) WHEN contains(x.k, x.e) THEN least(a.d, -x.d) ELSE a.d END END, 'k': x.k, 'l': x.l, 's': x.s, 'e': x.e}).d AS score
+    FROM paired p LEFT JOIN kills k ON k.source = p.source AND k.time >= p.time AND k.time - p.time <= 15 GROUP BY p.source, p.time, p.sid, p.eid, p.sname, p.ename"""
