@@ -12,7 +12,7 @@ CRC_POLYNOMIAL = 0x42F0E1EBA9EA3693
 
 def properties(text: Column) -> Column:
     """The key=value parts of a property list, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def property_value(parts: Column, key: str) -> Column:
@@ -63,20 +63,22 @@ def _crc_table() -> list[int]:
     return table
 
 
-def crc64_hash(password: Column) -> Column:
+_CRC = _crc_table()
+
+
+def crc64_digest(text: str) -> str:
     """The handshake's digest of a password: CRC-64 of its UTF-16 text, as 0x and 16 hexadecimal digits."""
-    table = _crc_table()
+    crc = (1 << 64) - 1
+    for byte in text.encode("utf-16-le"):
+        crc = _CRC[(crc ^ byte) & 255] ^ (crc >> 8)
+    return f"0x{crc ^ ((1 << 64) - 1):016x}"
+
+
+def crc64_hash(password: Column) -> Column:
+    """crc64_digest of a column."""
 
     @F.pandas_udf("string")
     def digest(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            crc = (1 << 64) - 1
-            for byte in text.encode("utf-16-le"):
-                crc = table[(crc ^ byte) & 255] ^ (crc >> 8)
-            return f"0x{crc ^ ((1 << 64) - 1):016x}"
-
-        return texts.map(one, na_action=None)
+        return texts.map(lambda t: None if t is None else crc64_digest(t))
 
     return digest(password)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerotrace.schema import LABELS
+
 V = "CASE WHEN kind IN (3, 4, 5) THEN 150e0 WHEN kind = 8 THEN 80e0 ELSE 220e0 END"
 TURN = "CASE WHEN kind IN (3, 4, 5) THEN 14e0 WHEN kind = 8 THEN 30e0 ELSE 0e0 END"
 CLIMB = "CASE WHEN kind IN (1, 4) THEN 20e0 WHEN kind IN (2, 5) THEN -20e0 WHEN kind = 6 THEN -60e0 WHEN kind = 7 THEN 60e0 ELSE 0e0 END"
@@ -75,3 +77,31 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One loss per user with an error whose id is divisible by four, at the frame of its first one: source, frame_idx, victim_id."""
     x = events(spark, sf_dir).filter("event_type = 'error' AND user_id % 4 = 0").groupBy("user_id").agg(F.min("event_id").alias("e"))
     return x.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", f"CAST(e % {FRAMES} AS INT) AS frame_idx", "CAST(user_id AS STRING) AS victim_id")
+
+
+def named_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frames with the transform of a log line; every fourth object is removed in its seventh frame and stays away."""
+    x = frames(spark, sf_dir).filter("ord % 4 <> 0 OR frame_idx <= 7")
+    return x.selectExpr("source", "frame_idx", "time", "ord", "concat('A', object_id) AS object_id", "name", "obj_type", "coalition", f"CASE WHEN ord % 4 = 0 AND frame_idx = 7 THEN NULL ELSE {TRANSFORM} END AS transform")
+
+
+LON = "concat('44.', lpad(CAST(frame_idx * 7 + ord % 50 AS STRING), 4, '0'))"
+LAT = "concat('41.', lpad(CAST(frame_idx * 5 + ord % 40 AS STRING), 4, '0'))"
+ALT = "CAST(5000 + frame_idx * 3 + ord % 9 AS STRING)"
+TRANSFORM = f"concat({LON}, '|', {LAT}, '|', {ALT}, '|', CASE WHEN frame_idx % 2 = 0 THEN CAST(ord % 30 AS STRING) ELSE '' END, '|2|', CAST(ord % 360 AS STRING))"
+
+
+def synthetic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four windows per user with labels by rule of thumb: source, aircraft_id, window_start, window_end, label, label_name, row."""
+    users = events(spark, sf_dir).select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    names = ", ".join(f"'{n}'" for n in LABELS)
+    return users.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", "CAST(user_id AS STRING) AS aircraft_id", "k * 25e-1 AS window_start", "k * 25e-1 + 5 AS window_end", "CAST((user_id + k) % 12 AS INT) AS label", f"element_at(array({names}), CAST((user_id + k) % 12 AS INT) + 1) AS label_name", "user_id * 4 + k AS row")
+
+
+def human_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """purchase sets a label, signup clears one; every thirteenth name is unknown and some objects and times are wrong."""
+    names = ", ".join(f"'{n}'" for n in [*LABELS, "Bogus"])
+    return events(spark, sf_dir).filter("event_type IN ('purchase', 'signup')").selectExpr(
+        "event_id AS edit_index", "CASE event_type WHEN 'purchase' THEN 'set' ELSE 'clear' END AS edit_action", "CAST(CASE WHEN event_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS STRING) AS aircraft_id",
+        "CASE WHEN event_id % 19 = 0 THEN NULL ELSE (event_id % 31) * 5e-1 END AS sample_time", f"element_at(array({names}), CAST(event_id % 13 AS INT) + 1) AS manual_label_name",
+    )

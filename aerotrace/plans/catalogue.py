@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerotrace.functions import geometry
-from aerotrace.operators import engagement, features, rules, series, windows
+from aerotrace.functions.text import crc64_hash
+from aerotrace.operators import annotation, edits, engagement, features, learning, rules, series, windows
 from aerotrace.plans import adapters
 from aerotrace.plans import oracles as o
 from aerotrace.schema import ATTRIBUTES, FEATURES, LABELS, PAIR_FEATURES, RULE_LABELS
+from aerotrace.session import visible
+from aerotrace.sources import telemetry_log
+from aerotrace.streaming import packets, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +27,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its name, with the SQL that says the same."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            visible(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
@@ -49,6 +57,7 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visible(spark)
     return rules.label_distribution(labeled(spark, sf_dir))
 
 
@@ -255,3 +264,182 @@ _CAT = "CASE WHEN score > 5e-1 THEN 'ADVANTAGE' WHEN score > 2e-1 THEN 'SLIGHT_A
 @query(o.said(f"SELECT {_CAT} AS category, count(*) AS n FROM outcome GROUP BY 1"))
 def q_category(spark, sf_dir):
     return scored_pairs(spark, sf_dir).groupBy(geometry.category(F.col("score")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k, coalesce(CAST(json_extract(props, '$.missing') AS DOUBLE), 0e0) AS props_missing FROM events")
+def q_props_flatten(spark, sf_dir):
+    x = adapters.events(spark, sf_dir).select("event_id", F.from_json("props", "k long, missing double").alias("props"))
+    return packets.flattened(x).withColumn("props_missing", F.coalesce("props_missing", F.lit(0.0)))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry_log.as_lines(adapters.named_frames(spark, sf_dir))
+
+
+@query(o.said("SELECT source, frame_idx, time, object_id, name, obj_type, coalition, lon AS longitude, lat AS latitude, alt AS altitude, pitch, roll, yaw, round(lx, 3) AS world_x, round(lz, 3) AS world_z FROM logged"))
+def q_log_roundtrip(spark, sf_dir):
+    x = telemetry_log.frame_state(telemetry_log.classified(log_lines(spark, sf_dir)))
+    return shown(x, ["source", "frame_idx", "time", "object_id", "name", "obj_type", "coalition", "longitude", "latitude", "altitude", "pitch", "roll", "yaw"], ["world_x", "world_z"], 3)
+
+
+@query(o.said("SELECT source, frame_idx, count(*) AS live, sum(ord) AS ids FROM logged GROUP BY source, frame_idx"))
+def q_frame_densify(spark, sf_dir):
+    x = telemetry_log.frame_state(telemetry_log.classified(log_lines(spark, sf_dir)))
+    return x.groupBy("source", "frame_idx").agg(F.count("*").alias("live"), F.sum(F.substring("object_id", 2, 20).cast("long")).alias("ids"))
+
+
+@query(o.said("SELECT source, frame_idx, object_id, round(coalesce(speed, 0e0), 2) + 0e0 AS speed, round(coalesce(sqrt((vx - ux) * (vx - ux) + (vy - uy + 980665e-5) * (vy - uy + 980665e-5) + (vz - uz) * (vz - uz)) / 980665e-5, 1e0), 3) AS g_load FROM velocity"))
+def q_fd_speed_g(spark, sf_dir):
+    x = telemetry_log.frame_state(telemetry_log.classified(log_lines(spark, sf_dir)))
+    return x.select("source", "frame_idx", "object_id", (F.round("speed", 2) + 0.0).alias("speed"), F.round("g_load", 3).alias("g_load"))
+
+
+@query(o.said("SELECT DISTINCT source, source AS title FROM frames"))
+def q_log_globals(spark, sf_dir):
+    return telemetry_log.global_properties(telemetry_log.classified(log_lines(spark, sf_dir))).select("source", F.col("Title").alias("title"))
+
+
+@query()
+def q_log_kills(spark, sf_dir):
+    return telemetry_log.kill_events(telemetry_log.classified(log_lines(spark, sf_dir)))
+
+
+def scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = telemetry_log.classified(log_lines(spark, sf_dir))
+    return annotation.schedule(adapters.synthetic_windows(spark, sf_dir).drop("row"), telemetry_log.frames_of(x))
+
+
+@query(o.said("SELECT source, aircraft_id, window_start, nearest + 1 AS frame_idx FROM anchored"))
+def q_nearest_frame(spark, sf_dir):
+    frames = telemetry_log.frames_of(telemetry_log.classified(log_lines(spark, sf_dir)))
+    x = adapters.synthetic_windows(spark, sf_dir).select("source", "aircraft_id", "window_start", ((F.col("window_start") + F.col("window_end")) / 2).alias("t"))
+    return windows.asof_join(x, frames.withColumnRenamed("time", "t"), ["source"], "t", ["frame_idx"], "nearest").select("source", "aircraft_id", "window_start", "frame_idx")
+
+
+@query(o.said('SELECT source, frame_text, row_number() OVER (PARTITION BY source, frame_text ORDER BY aircraft_id) AS rank, "update" FROM lined'))
+def q_annotation_lines(spark, sf_dir):
+    return scheduled(spark, sf_dir)
+
+
+@query(o.said("SELECT source, kind, count(*) AS n FROM (SELECT source, 'added' AS kind FROM lined UNION ALL SELECT source, 'kept' FROM frames WHERE NOT (ord % 4 = 0 AND frame_idx > 7) UNION ALL SELECT DISTINCT source, 'mark' || frame_idx FROM frames UNION ALL SELECT source, 'head' FROM (SELECT DISTINCT source FROM frames), range(3)) GROUP BY source, kind").replace("'mark' || frame_idx", "'mark' || CAST(frame_idx AS STRING)"))
+def q_annotated_text(spark, sf_dir):
+    x = telemetry_log.written(log_lines(spark, sf_dir), scheduled(spark, sf_dir))
+    raw = F.col("raw")
+    kind = F.when(F.col("rank") > 0, "added").when(raw.startswith("#"), F.concat(F.lit("mark"), F.regexp_extract(raw, r"#(\d+)\.", 1))).when(raw.startswith("File") | raw.startswith("0,"), "head").otherwise("kept")
+    return x.groupBy("source", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(o.said("SELECT row, label, label_name, manual_edit_index, training_label_name FROM applied"))
+def q_manual_edits(spark, sf_dir):
+    out, _, _ = edits.apply_edits(adapters.synthetic_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))
+    return out.select("row", "label", "label_name", "manual_edit_index", "training_label_name")
+
+
+@query(o.said("SELECT edit_index, reason AS unmatched_reason FROM met WHERE reason IS NOT NULL"))
+def q_edit_unmatched(spark, sf_dir):
+    return edits.apply_edits(adapters.synthetic_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))[1].select("edit_index", "unmatched_reason")
+
+
+@query(o.said("SELECT count(*) AS edits, count_if(hit) AS matched, count(reason) AS unmatched FROM met"))
+def q_edit_report(spark, sf_dir):
+    return edits.apply_edits(adapters.synthetic_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))[2]
+
+
+@query()
+def q_crc64(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", crc64_hash(F.col("n_name")).alias("digest"))
+
+
+@query("SELECT label, count(*) AS n, round((SELECT count(*) FROM embeddings) / (SELECT count(DISTINCT label) FROM embeddings) / count(*), 6) AS weight FROM embeddings GROUP BY label")
+def q_class_weights(spark, sf_dir):
+    return learning.class_weights(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("weight", F.round("weight", 6))
+
+
+GUESS = "SELECT label, CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 4 ELSE label END AS predicted FROM embeddings"
+
+
+def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("label", "CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 4 ELSE label END AS predicted")
+
+
+@query(f"SELECT label, predicted, count(*) AS n FROM ({GUESS}) GROUP BY label, predicted")
+def q_confusion(spark, sf_dir):
+    return learning.confusion(guessed(spark, sf_dir))
+
+
+_REPORT = f"""SELECT label, support, precision, recall, CASE WHEN precision + recall = 0 THEN 0e0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (
+    SELECT label, sum(s) AS support, CASE WHEN sum(p) = 0 THEN 0e0 ELSE sum(r) / sum(p) END AS precision, CASE WHEN sum(s) = 0 THEN 0e0 ELSE sum(r) / sum(s) END AS recall FROM (
+        SELECT label, 1 AS s, 0 AS p, CAST(label = predicted AS INT) AS r FROM ({GUESS}) UNION ALL SELECT predicted, 0, 1, 0 FROM ({GUESS})) GROUP BY label)"""
+
+
+@query(f"SELECT label, CAST(support AS BIGINT) AS support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({_REPORT})")
+def q_class_report(spark, sf_dir):
+    return shown(learning.class_report(guessed(spark, sf_dir)), ["label", "support"], ["precision", "recall", "f1"], 6)
+
+
+@query(f"SELECT round(sum(recall * support) / sum(support), 6) AS accuracy, round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1 FROM ({_REPORT})")
+def q_metrics(spark, sf_dir):
+    return shown(learning.class_metrics(guessed(spark, sf_dir)), [], ["accuracy", "precision", "recall", "f1"], 6)
+
+
+@query("""SELECT round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2,
+    round(avg(CASE WHEN CASE WHEN y > 3e-1 THEN 1 WHEN y < -3e-1 THEN -1 ELSE 0 END = CASE WHEN p > 3e-1 THEN 1 WHEN p < -3e-1 THEN -1 ELSE 0 END THEN 1e0 ELSE 0e0 END), 6) AS category_accuracy
+    FROM (SELECT l_discount * 2e1 - 1 AS y, l_tax * 25e0 - 1 AS p FROM (SELECT CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem))""")
+def q_regression_metrics(spark, sf_dir):
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("CAST(l_discount AS DOUBLE) * 2e1 - 1 AS score", "CAST(l_tax AS DOUBLE) * 25e0 - 1 AS predicted")
+    return shown(learning.regression_metrics(x), [], ["mae", "rmse", "r2", "category_accuracy"], 6)
+
+
+EMBEDDED = [f"e{i}" for i in range(64)]
+
+
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(EMBEDDED)))
+
+
+@query()
+def q_rf_classify(spark, sf_dir):
+    x = learning.split(embedded(spark, sf_dir), ["vec_id"], by="label")
+    model = learning.train_classifier(x.filter("NOT is_test"), EMBEDDED, trees=20, depth=8)
+    return learning.class_metrics(learning.predict(x.filter("is_test"), model, EMBEDDED), "label", "predicted_label")
+
+
+@query()
+def q_ridge(spark, sf_dir):
+    x = learning.split(embedded(spark, sf_dir), ["vec_id"]).withColumn("score", F.col("e0") - F.col("e1"))
+    model = learning.train_regressor(x.filter("NOT is_test"), EMBEDDED[2:])
+    return learning.score(x.filter("is_test"), model, EMBEDDED[2:]).select("vec_id", "advantage", "category", "category_ja")
+
+
+@query("SELECT source, count(DISTINCT object_id) AS aircraft_count, count(DISTINCT frame_idx) AS frame_count, count(*) AS state_count FROM ({}) GROUP BY source".format(o.said("SELECT * FROM frames")))
+def q_file_summary(spark, sf_dir):
+    return adapters.frames(spark, sf_dir).groupBy("source").agg(F.count_distinct("object_id").alias("aircraft_count"), F.count_distinct("frame_idx").alias("frame_count"), F.count("*").alias("state_count"))
+
+
+@query("SELECT DISTINCT label FROM (SELECT CAST(quality AS INT) AS label FROM labels UNION ALL SELECT label FROM embeddings) WHERE label NOT IN (SELECT toxic FROM labels)")
+def q_label_sets(spark, sf_dir):
+    one = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    both = one.select(F.col("quality").cast("int").alias("label")).union(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("int")))
+    return both.distinct().exceptAll(one.select(F.col("toxic").cast("int").alias("label")).distinct())
+
+
+_BEFORE = "lag({}) OVER (PARTITION BY user_id ORDER BY event_id)"
+_DTS = f"(event_id - {_BEFORE.format('event_id')})"
+
+
+@query(f"""SELECT session, time, has_enemy, round(distance, 4) AS distance, round(e, 4) AS self_specific_energy, CAST(coalesce((value - b) / dt, 0e0) + 0e0 AS FLOAT) AS self_speed_rate, CAST(coalesce((e - eb) / dt, 0e0) + 0e0 AS FLOAT) AS self_ps_estimate FROM (
+    SELECT CAST(user_id AS STRING) AS session, CAST(event_id AS DOUBLE) AS time, event_id % 3 <> 0 AS has_enemy, CASE WHEN event_id % 3 <> 0 THEN 5000e0 ELSE 0e0 END AS distance, value, e, {_BEFORE.format('value')} AS b, {_BEFORE.format('e')} AS eb, {_DTS} AS dt
+    FROM (SELECT *, 5000 + value + (200 + value) * (200 + value) / (2 * 980665e-5) AS e FROM events))""")
+def q_stream_features(spark, sf_dir):
+    return replay.table_of(spark, sf_dir, lambda events: packets.rates(packets.parsed(replay.packets(events)))).select("session", "time", "has_enemy", F.round("distance", 4).alias("distance"), F.round("self_specific_energy", 4).alias("self_specific_energy"), (F.col("self_speed_rate") + 0.0).cast("float").alias("self_speed_rate"), (F.col("self_ps_estimate") + 0.0).cast("float").alias("self_ps_estimate"))
+
+
+@query()
+def q_stream_throttle(spark, sf_dir):
+    return replay.table_of(spark, sf_dir, lambda events: packets.throttled(events.selectExpr("CAST(user_id AS STRING) AS session", "event_id / 1e4 AS time"), 30.0))
+
+
+@query("SELECT CAST(user_id AS STRING) AS session, max(CAST(event_id AS DOUBLE)) AS time FROM events GROUP BY user_id")
+def q_latest_per_session(spark, sf_dir):
+    x = adapters.events(spark, sf_dir).selectExpr("CAST(user_id AS STRING) AS session", "CAST(event_id AS DOUBLE) AS time")
+    return packets.latest(x)

@@ -216,3 +216,37 @@ STEPS["outcome"] = """
             WHEN contains(x.l, x.e) THEN greatest(CASE WHEN contains(x.k, x.s) THEN greatest(a.d, x.d) WHEN contains(x.k, x.e) THEN least(a.d, -x.d) ELSE a.d END, x.d)
             ELSE CASE WHEN contains(x.k, x.s) THEN greatest(a.d, x.d) WHEN contains(x.k, x.e) THEN least(a.d, -x.d) ELSE a.d END END, 'k': x.k, 'l': x.l, 's': x.s, 'e': x.e}).d AS score
     FROM paired p LEFT JOIN kills k ON k.source = p.source AND k.time >= p.time AND k.time - p.time <= 15 GROUP BY p.source, p.time, p.sid, p.eid, p.sname, p.ename"""
+
+from aerotrace.plans.adapters import ALT, LAT, LON  # noqa: E402
+
+STEPS["logged"] = f"""
+    SELECT *, 6378137e0 * radians(lon) * cos(radians(lat)) AS lx, 6378137e0 * radians(lat) AS lz FROM (
+        SELECT source, frame_idx + 1 AS frame_idx, time, concat('A', object_id) AS object_id, ord, name, obj_type, coalition, CAST({LON} AS DOUBLE) AS lon, CAST({LAT} AS DOUBLE) AS lat, CAST({ALT} AS DOUBLE) AS alt,
+            CAST((ord % 30) AS DOUBLE) AS roll, 2e0 AS pitch, CAST(ord % 360 AS DOUBLE) AS yaw
+        FROM frames WHERE NOT (ord % 4 = 0 AND frame_idx >= 7))"""
+STEPS["velocity"] = """
+    SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS speed, lag(vx) OVER o AS ux, lag(vy) OVER o AS uy, lag(vz) OVER o AS uz FROM (
+        SELECT *, lx - lag(lx) OVER o AS vx, alt - lag(alt) OVER o AS vy, lz - lag(lz) OVER o AS vz FROM logged WINDOW o AS (PARTITION BY source, object_id ORDER BY frame_idx))
+    WINDOW o AS (PARTITION BY source, object_id ORDER BY frame_idx)"""
+_LIST = "[" + ", ".join(f"'{n}'" for n in [*LABELS, "Bogus"]) + "]"
+STEPS["synthetic"] = f"""
+    SELECT concat('arena', CAST(user_id // 20 AS STRING)) AS source, CAST(user_id AS STRING) AS aircraft_id, k * 25e-1 AS window_start, k * 25e-1 + 5 AS window_end, CAST((user_id + k) % 12 AS INT) AS label, {_LIST}[CAST((user_id + k) % 12 AS INT) + 1] AS label_name, user_id * 4 + k AS row
+    FROM (SELECT DISTINCT user_id FROM events), range(4) r(k)"""
+STEPS["edited"] = f"""
+    SELECT event_id AS edit_index, CASE event_type WHEN 'purchase' THEN 'set' ELSE 'clear' END AS edit_action, CAST(CASE WHEN event_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS STRING) AS aircraft_id,
+        CASE WHEN event_id % 19 = 0 THEN NULL ELSE (event_id % 31) * 5e-1 END AS sample_time, {_LIST}[CAST(event_id % 13 AS INT) + 1] AS name FROM events WHERE event_type IN ('purchase', 'signup')"""
+STEPS["met"] = """
+    SELECT e.*, s.row, CASE WHEN sample_time IS NULL THEN 'invalid_sample_time' WHEN s.row IS NULL THEN 'aircraft_not_found' WHEN away > 25e-1 THEN 'no_window_within_tolerance' WHEN edit_action = 'set' AND name = 'Bogus' THEN 'unknown_manual_label' END AS reason,
+        sample_time IS NOT NULL AND s.row IS NOT NULL AND away <= 25e-1 AS hit
+    FROM edited e LEFT JOIN (SELECT e.edit_index, s.row, abs((window_start + window_end) / 2 - e.sample_time) AS away,
+        row_number() OVER (PARTITION BY e.edit_index ORDER BY abs((window_start + window_end) / 2 - e.sample_time), s.row) AS n FROM edited e JOIN synthetic s USING (aircraft_id)) s ON s.edit_index = e.edit_index AND s.n = 1"""
+STEPS["applied"] = """
+    SELECT s.row, s.label, s.label_name, m.i AS manual_edit_index, CASE WHEN t.a = 'set' THEN t.n ELSE s.label_name END AS training_label_name
+    FROM synthetic s LEFT JOIN (SELECT row, max(edit_index) AS i FROM met WHERE hit GROUP BY row) m USING (row)
+    LEFT JOIN (SELECT row, arg_max(edit_action, edit_index) AS a, arg_max(name, edit_index) AS n FROM met WHERE hit AND reason IS NULL GROUP BY row) t USING (row)"""
+_NUM = lambda x: f"regexp_replace(printf('%.6f', {x}), '\\.?0+$', '')"
+STEPS["anchored"] = """
+    SELECT *, (window_start + window_end) / 2 AS sample_time, CAST(ceil((window_start + window_end) / 2 - 5e-1) AS INT) AS nearest FROM synthetic"""
+STEPS["lined"] = f"""
+    SELECT source, printf('%.2f', nearest * 1e0) AS frame_text, aircraft_id, concat(aircraft_id, ',Maneuver010PredLabel=', label_name, ',Maneuver011PredLabelId=', label, ',Maneuver070WindowStart=', {_NUM('window_start')}, ',Maneuver071WindowEnd=', {_NUM('window_end')}, ',Maneuver072SampleTime=', {_NUM('sample_time')},
+        ',Maneuver020RuleLabel=', label_name, ',Maneuver021RuleLabelId=', label, ',Maneuver030MainLabel=', label_name, ',Maneuver031MainLabelId=', label, ',Maneuver052ComputedGSource=trajectory_curvature_estimate') AS "update" FROM anchored"""
