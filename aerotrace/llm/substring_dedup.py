@@ -81,13 +81,17 @@ def _read(batch: pa.RecordBatch):
 
 
 def _first_only(k, fp, pos, h, more):
-    """Splits entries into the first of each fingerprint by (id, position), with its count, and the others."""
+    """Splits entries into the first of each fingerprint by (id, position), with its count, and the others elsewhere."""
     order = np.lexsort((pos, fp, k, more, h))
     h, more, k, fp, pos = (x[order] for x in (h, more, k, fp, pos))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
-    counts = np.diff(np.append(np.flatnonzero(new), len(h)))
-    return (k[new], fp[new], pos[new], h[new], more[new]), counts, (k[~new], fp[~new], pos[~new])
+    at = np.flatnonzero(new)
+    counts = np.diff(np.append(at, len(h)))
+    # a row that repeats both id and text has its entries at the same places: they are no others
+    lead = np.repeat(at, counts)
+    rest = (k != k[lead]) | (fp != fp[lead]) | (pos != pos[lead])
+    return (k[new], fp[new], pos[new], h[new], more[new]), counts, (k[rest], fp[rest], pos[rest])
 
 
 def _ids(batch: pa.RecordBatch):
