@@ -13,11 +13,22 @@ SAMPLE = ["time", "yaw", "pitch", "turn_rate", "vertical_speed", "g_load", "yaw_
 DEADBANDS = {"turn": ("yaw_rate", 0.2), "roll": ("roll_rate", 1.0), "pitch": ("pitch_rate", 0.5)}
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that later steps share: a generator keeps the optimizer from copying them into every use."""
+    return df.withColumn("__once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))).select(*df.columns, "__once.*")
+
+
 def sign_changes(rows: Column, field: str, deadband: float) -> Column:
     """Changes of sign between neighbouring values outside the dead band."""
     signs = F.transform(F.filter(rows, lambda x: F.abs(x[field]) > deadband), lambda x: F.signum(x[field]))
-    changed = F.zip_with(F.slice(signs, 2, F.greatest(F.size(signs) - 1, F.lit(0))), F.slice(signs, 1, F.greatest(F.size(signs) - 1, F.lit(0))), lambda a, b: (a != b).cast("int"))
-    return F.when(F.size(signs) < 2, 0).otherwise(F.aggregate(changed, F.lit(0), lambda a, x: a + x))
+    # the fold carries the sign before and the changes so far
+    start = F.struct(F.lit(0.0).alias("sign"), F.lit(0).alias("n"))
+    return F.aggregate(signs, start, lambda a, x: F.struct(x.alias("sign"), (a["n"] + ((a["sign"] != 0) & (a["sign"] != x)).cast("int")).alias("n")), lambda a: a["n"])
 
 
 def mean_of(rows: Column, value) -> Column:
@@ -26,7 +37,7 @@ def mean_of(rows: Column, value) -> Column:
 
 def std_of(rows: Column, field: str) -> Column:
     """Population deviation in two passes."""
-    return F.aggregate(F.array(mean_of(rows, lambda x: x[field])), F.lit(0.0), lambda a, m: F.sqrt(mean_of(rows, lambda x: (x[field] - m) * (x[field] - m))))
+    return let(mean_of(rows, lambda x: x[field]), lambda m: F.sqrt(mean_of(rows, lambda x: (x[field] - m) * (x[field] - m))))
 
 
 def slope(y: Column, t: Column) -> Column:
@@ -81,20 +92,20 @@ def window_features(df: DataFrame, by: list[str], size: float = 5.0, step: float
         F.abs(delta("yaw")).alias("heading_delta"), residual_std(c["altitude"], t).alias("alt_residual_std"),
         F.avg("raw_missing_any").alias("missing_ratio"), F.avg("long_gap_flag").alias("long_gap_ratio"),
         any_of(conflict).alias("sensor_conflict"), any_of(wrong).alias("feature_out_of_range"),
-        F.array_sort(F.collect_list(F.struct(*SAMPLE))).alias("samples"),
+        F.sort_array(F.collect_list(F.struct(*SAMPLE))).alias("samples"),
     ).filter("sample_count >= 2")
     s = F.col("samples")
     g = g.withColumns({"window_start_time": F.col("window_start"), "window_end_time": F.col("window_end"), "window_duration": F.lit(size)})
     g = g.withColumns({f"{n}_sign_changes": sign_changes(s, field, band) for n, (field, band) in DEADBANDS.items()})
     a, b = halves(s)
-    g = g.withColumns({"first_half": a, "second_half": b})
+    g = once(g, {"first_half": a, "second_half": b, "short": short_segments(s)})
     for half in ("first_half", "second_half"):
         h = F.col(half)
         g = g.withColumns({
             f"{half}_turn_rate_mean": mean_of(h, lambda x: F.abs(x["turn_rate"])), f"{half}_vertical_speed_mean": mean_of(h, lambda x: x["vertical_speed"]), f"{half}_pitch_mean": mean_of(h, lambda x: x["pitch"]),
             f"{half}_heading_delta": F.abs(F.element_at(h, -1)["yaw"] - F.element_at(h, 1)["yaw"]),
         })
-    g = short_windows(g.withColumn("short", short_segments(s)))
+    g = short_windows(g)
     tr, vs, p = F.col("turn_rate_mean"), F.col("vertical_speed_mean"), F.col("pitch_mean")
     zero = F.lit(0.0)
     g = g.withColumns({"dive_score_raw": F.greatest(zero, -p) + F.greatest(zero, -vs), "zoom_score_raw": F.greatest(zero, p) + F.greatest(zero, vs), "straightness_score": 1 / (1 + tr), "turn_dominance": tr / (F.abs(vs) + 1e-3)})
@@ -104,15 +115,17 @@ def window_features(df: DataFrame, by: list[str], size: float = 5.0, step: float
 def short_segments(samples: Column) -> Column:
     """The sub-windows of a window's samples: one from each sample spacing on, with two samples at least."""
     n = F.size(samples)
-    gaps = F.array_sort(F.zip_with(F.slice(samples, 2, n - 1), F.slice(samples, 1, n - 1), lambda a, b: a["time"] - b["time"]))
-    k = F.size(gaps)
-    dt = (F.element_at(gaps, F.floor((k + 1) / 2).cast("int")) + F.element_at(gaps, F.floor((k + 2) / 2).cast("int"))) / 2
-    dt = F.when(dt > 0, dt).otherwise(SHORT)
+    gaps = F.sort_array(F.zip_with(F.slice(samples, 2, n - 1), F.slice(samples, 1, n - 1), lambda a, b: a["time"] - b["time"]))
     first, last = F.element_at(samples, 1)["time"], F.element_at(samples, -1)["time"]
-    count = F.greatest(F.ceil((last - SHORT + EPS - first) / dt).cast("int"), F.lit(1))
-    starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: first + i * dt)
-    cut = F.transform(starts, lambda s: F.filter(samples, lambda x: (x["time"] >= s - EPS) & (x["time"] <= s + SHORT + EPS)))
-    return F.when(last - first <= SHORT + EPS, F.array(samples)).otherwise(F.filter(cut, lambda seg: F.size(seg) >= 2))
+    median = let(gaps, lambda x: (F.element_at(x, F.floor((F.size(x) + 1) / 2).cast("int")) + F.element_at(x, F.floor((F.size(x) + 2) / 2).cast("int"))) / 2)
+
+    def cut(dt: Column) -> Column:
+        count = F.greatest(F.ceil((last - SHORT + EPS - first) / dt).cast("int"), F.lit(1))
+        starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: first + i * dt)
+        return F.transform(starts, lambda s: F.filter(samples, lambda x: (x["time"] >= s - EPS) & (x["time"] <= s + SHORT + EPS)))
+
+    segments = let(let(median, lambda d: F.when(d > 0, d).otherwise(SHORT)), cut)
+    return F.when(last - first <= SHORT + EPS, F.array(samples)).otherwise(F.filter(segments, lambda seg: F.size(seg) >= 2))
 
 
 def short_windows(g: DataFrame) -> DataFrame:

@@ -51,7 +51,8 @@ def test_thresholds_and_attributes(spark):
 
 
 def test_distribution_and_trainable(spark):
-    x = rules.label(rows(spark, CASES | {"again": {}}))
+    x = rules.label(rows(spark, CASES | {"again": {}})).select("label", "label_name")
+    x = spark.createDataFrame(x.collect(), x.schema)
     d = {r.label_name: (r.n, r.share) for r in rules.label_distribution(x).collect()}
     assert len(d) == 12 and d["Straight_Level"] == (2, 2 / 13)
     assert rules.trainable(x).count() == 0  # one label only has two rows
