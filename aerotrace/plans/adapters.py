@@ -60,7 +60,7 @@ def carriers_left_out(tele: DataFrame) -> DataFrame:
 #: Columns of a frame from kind, t and user_id, for both engines: twenty users share an arena, offset from each other.
 ARENA = f"""
     arena AS source, frame_idx, t AS time, CAST(user_id AS STRING) AS object_id, user_id AS ord, name, coalition, obj_type,
-    world_x + (user_id % 7) * 9e2 AS world_x, world_y, world_z + (user_id % 5) * 7e2 AS world_z, world_y AS altitude, yaw, pitch, roll,
+    world_x + (user_id % 7) * 9e2 AS world_x, world_y, world_z + (user_id % 5) * 7e2 + user_id * 1e-1 AS world_z, world_y AS altitude, yaw, pitch, roll,
     sqrt(({V}) * ({V}) + ({CLIMB}) * ({CLIMB})) + frame_idx AS speed, 0e0 AS mach, 0e0 AS aoa, 1 + kind / 5e0 AS g_load"""
 FRAMES = 11
 
