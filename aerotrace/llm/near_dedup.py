@@ -15,8 +15,10 @@ Work on groups is kept linear:
   a range partitioning that cuts even a key of very many members, and of each
   document's stars the best estimate is verified first;
 * then only keys whose members lie in different components are looked at again:
-  there all pairs across components are estimated, so no link is lost, and those
-  that pass are verified.
+  there all pairs across components are estimated, members with such a pair bring
+  their full sets, and these are compared until the components are united or
+  no pair is left.  So no link is lost, and what is passed on are members and
+  uniting links, never pairs; keys of very many members are compared by blocks.
 """
 
 from __future__ import annotations
@@ -169,33 +171,82 @@ def _estimated(percent: int):
     return run
 
 
+#: Members of a key that are compared in one go; larger keys are compared block by block.
+BLOCK = 4096
+
+
+def _groups(batches):
+    """Runs of rows with equal (bkey, i, j), as lists of columns' values behind these three."""
+    held, key = [], None
+    for batch in batches:
+        for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if row[:3] != key:
+                if held:
+                    yield key, list(zip(*held, strict=True))
+                held, key = [], row[:3]
+            held.append(row[3:])
+    if held:
+        yield key, list(zip(*held, strict=True))
+
+
 def _across(percent: int):
-    """Sorted rows of keys with members in different components: all pairs across these whose estimate passes."""
+    """Members of keys with an estimated pair in another component."""
 
-    def pairs(rows):
-        c, f, comp, n = (np.array(x) for x in list(zip(*((r[1], r[2], r[3], r[4]) for r in rows), strict=True)))
-        regs = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(-1, KEPT)
+    def run(batches):
         low = lowest_estimate(percent)
-        order = np.argsort(comp, kind="stable")
-        c, f, comp, n, regs = c[order], f[order], comp[order], n[order], regs[order]
-        after = np.searchsorted(comp, comp, "right")
-        for i in range(len(c)):
-            for j in range(after[i], len(c), 4096):  # only members of later components
-                k = slice(j, j + 4096)
-                hit = np.flatnonzero(estimate(regs[i], regs[k], n[i], n[k]) >= low) + j
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), c[i])), pa.array(np.full(len(hit), f[i])), pa.array(c[hit]), pa.array(f[hit])], names=["c", "f", "c0", "f0"])
+        for key, (c, f, comp, n, regs) in _groups(batches):
+            comp, n = np.array(comp), np.array(n)
+            order = np.argsort(comp, kind="stable")
+            comp, n = comp[order], n[order]
+            regs = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, KEPT)[order]
+            after = np.searchsorted(comp, comp, "right")
+            hit = np.zeros(len(comp), bool)
+            for i in range(len(comp)):
+                if after[i] < len(comp):
+                    found = estimate(regs[i], regs[after[i] :], n[i], n[after[i] :]) >= low
+                    hit[after[i] :] |= found
+                    hit[i] |= found.any()
+            at = order[hit]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(at), pa.int64()) for x in key), pa.array(np.array(c, np.int64)[at]), pa.array(np.array(f, np.int64)[at]), pa.array(comp[hit])], names=["bkey", "i", "j", "c", "f", "m"])
+
+    return run
 
+
+def _sets(words: int):
     def run(batches):
-        held: list = []
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from pairs(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from pairs(held)
+            cs, fs = (batch.column(batch.schema.get_field_index(x)) for x in ("c", "f"))
+            for c in tv.chunks(batch.column(batch.schema.get_field_index("text"))):
+                doc, h = shingle_sets(c, words)
+                yield pa.RecordBatch.from_arrays([cs.slice(c.first, c.n), fs.slice(c.first, c.n), tv.binaries(h, np.searchsorted(doc, np.arange(c.n + 1)))], names=["c", "f", "h"])
+
+    return run
+
+
+def _joined(percent: int):
+    """Links that unite the components in a key, on full sets: a row's intersections with all others at once."""
+
+    def run(batches):
+        for _, (c, _, comp, sets) in _groups(batches):
+            sets = [np.frombuffer(x, U) for x in sets]
+            sizes = np.array([len(x) for x in sets])
+            starts = np.cumsum(sizes) - sizes
+            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            flag = np.zeros(int(codes.max()) + 1, bool)
+            root = np.unique(comp, return_inverse=True)[1]
+            links = []
+            for i in range(len(c)):
+                own = codes[starts[i] : starts[i] + sizes[i]]
+                flag[own] = True
+                both = np.add.reduceat(flag[codes], starts, dtype=np.int64)
+                flag[own] = False
+                for j in np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (root != root[i])):
+                    if root[j] != root[i]:
+                        links.append((c[i], c[j]))
+                        root[root == root[j]] = root[i]
+                if (root == root[0]).all():
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
@@ -223,6 +274,55 @@ def _verified(words: int, percent: int):
     return run
 
 
+#: Bits of the filter that keeps texts nobody asks for out of the joins, and of one of its segments: a fixed size, 4 MB.
+FILTER_BITS, SEGMENT_BITS = 25, 19
+
+
+def _segments(batches):
+    for batch in batches:
+        at = np.unique((batch.column(0).to_numpy().view(U) & U((1 << FILTER_BITS) - 1)).astype(np.int64))
+        for segment in np.unique(at >> SEGMENT_BITS):
+            bits = np.zeros(1 << SEGMENT_BITS, np.uint8)
+            bits[at[at >> SEGMENT_BITS == segment] & ((1 << SEGMENT_BITS) - 1)] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([int(segment)], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+
+
+def _united(batches):
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for segment, bits in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            new = np.frombuffer(bits, np.uint8)
+            held[segment] = held[segment] | new if segment in held else new
+    for segment, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+
+
+def asked_for(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of texts (c, f, text) whose c, f stand in keys.
+
+    A filter of a fixed number of bits, made on the executors, drops nearly all
+    other texts before the exact join; it can only keep too many.
+    """
+    spark = texts.sparkSession
+    parts = 1 << (FILTER_BITS - SEGMENT_BITS)
+    rows = keys.select(F.xxhash64("c", "f").alias("h")).mapInArrow(_segments, "segment int, bits binary").repartitionById(parts, F.col("segment")).mapInArrow(_united, "segment int, bits binary").collect()
+    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for segment, bits in rows:
+        width = 1 << (SEGMENT_BITS - 3)
+        table[segment * width : (segment + 1) * width] = np.frombuffer(bits, np.uint8)
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(U) & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+            use = (bits[at >> 3] >> (7 - (at & 7))) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=["c", "f", "text"]).filter(pa.array(use == 1))
+
+    kept = texts.select(F.xxhash64("c", "f").alias("h"), "c", "f", "text").mapInArrow(run, "c long, f long, text string")
+    return kept.join(keys, ["c", "f"], "left_semi")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
@@ -244,6 +344,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     met = classes.select(F.explode("bands").alias("bkey"), "c", "f").repartitionByRange(parts, "bkey", "c", "f").sortWithinPartitions("bkey", "c", "f").mapInArrow(_stars, STAR)
     # a key that spans ranges has a first member in each: the smallest of them links them
+    met = saved(met)
     own, ends = met.filter("c <> c0 OR f <> f0"), met.filter("c = c0 AND f = f0").distinct()
     least = ends.groupBy("bkey").agg(F.min(F.struct("c0", "f0")).alias("m"), F.count("*").alias("n")).filter("n > 1")
     bridged = ends.join(least, "bkey").select("bkey", "c", "f", F.col("m.c0").alias("c0"), F.col("m.f0").alias("f0")).filter("c <> c0 OR f <> f0")
@@ -258,7 +359,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     def verified(some: DataFrame) -> DataFrame:
         some = saved(some.select("c", "f", "c0", "f0").distinct())
         needed = some.select("c", "f").union(some.select("c0", "f0")).distinct()
-        found = texts.join(needed, ["c", "f"], "left_semi")
+        found = asked_for(texts, needed)
         with_one = some.join(found.withColumnRenamed("text", "t1"), ["c", "f"])
         with_two = with_one.join(found.select(F.col("c").alias("c0"), F.col("f").alias("f0"), F.col("text").alias("t2")), ["c0", "f0"])
         return saved(with_two.mapInArrow(_verified(words, percent), "u long, v long"))
@@ -267,18 +368,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = verified(best)
     found = saved(components(links))
 
-    def labelled(some: DataFrame, column: str, name: str) -> DataFrame:
-        return some.join(found.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-
-    apart = labelled(labelled(likely, "c", "m1"), "c0", "m2").filter("m1 <> m2")
-    unequal = labelled(labelled(stars, "c", "m1"), "c0", "m2")
-    mixed = unequal.filter("m1 <> m2").select("bkey").distinct()
-    again = unequal.join(mixed, "bkey", "left_semi")
-    members = again.select("bkey", "c", "f", F.col("m1").alias("m")).union(again.select("bkey", F.col("c0").alias("c"), F.col("f0").alias("f"), F.col("m2").alias("m"))).distinct()
-    members = members.join(members.groupBy("bkey").count().filter("count > 2").select("bkey"), "bkey", "left_semi")
-    crossed = members.join(tiny, ["c", "f"]).select("bkey", "c", "f", "m", "n", "regs").repartition(parts, "bkey").sortWithinPartitions("bkey").mapInArrow(_across(percent), "c long, f long, c0 long, f0 long")
-    rest = apart.select("c", "f", "c0", "f0").union(crossed).filter("c <> c0").join(best, ["c", "f", "c0", "f0"], "left_anti")
-    found = components(links.union(verified(rest)))
+    grouped = lambda x: x.repartition(parts, "bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
+
+    def across(some: DataFrame) -> DataFrame:
+        """Links between members of a key that lie in different components so far: all pairs across these are compared."""
+
+        def labelled(x: DataFrame, column: str, name: str) -> DataFrame:
+            return x.join(found.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+
+        unequal = labelled(labelled(some, "c", "m1"), "c0", "m2")
+        again = unequal.join(unequal.filter("m1 <> m2").select("bkey").distinct(), "bkey", "left_semi")
+        members = again.select("bkey", "c", "f", F.col("m1").alias("m")).union(again.select("bkey", F.col("c0").alias("c"), F.col("f0").alias("f"), F.col("m2").alias("m"))).distinct()
+        blocks = members.groupBy("bkey").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        members = members.join(blocks, "bkey").withColumn("b", F.pmod(F.xxhash64("c", "f"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        members = members.select("bkey", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c", "f", "m")
+        near = saved(grouped(members.join(tiny, ["c", "f"]).select("bkey", "i", "j", "c", "f", "m", "n", "regs")).mapInArrow(_across(percent), "bkey long, i long, j long, c long, f long, m long"))
+        sets = asked_for(texts, near.select("c", "f").distinct()).dropDuplicates(["c", "f"]).mapInArrow(_sets(words), "c long, f long, h binary")
+        return saved(grouped(near.join(sets, ["c", "f"]).select("bkey", "i", "j", "c", "f", "m", "h")).mapInArrow(_joined(percent), "u long, v long"))
+
+    # a tenth of the keys first: it unites most of a large group, whose members then needn't bring their sets to all their keys
+    for some in (stars.filter("pmod(bkey, 10) = 0"), stars):
+        found = saved(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(across(some))))
 
     told = signed.select("k", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "c"), ["s1", "s2", "n"], "left").withColumn("c", F.coalesce("c", "k"))
     told = told.join(found.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
