@@ -31,7 +31,7 @@ from .common import id_of, key_of
 LETTER, NUMBER, SPACE, OTHER = range(4)
 NEVER = 1 << 60
 #: Words kept per Python worker between chunks.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 @functools.cache
