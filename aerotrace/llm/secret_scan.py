@@ -2,17 +2,22 @@
 
 Three kinds follow fixed patterns.  The method's own kind, ``random``, tests long
 runs of encoding characters for randomness.  For each an encoding is inferred
-(hexadecimal: 16 symbols, base 32, base 64) and three statistics are compared with
-what an ordinary word of the same length gives:
+(hexadecimal, base 32, base 36, base 64, or letters alone; upper and lower case)
+and three statistics are compared with what an ordinary word of the same length
+and alphabet gives:
 
 * chi-squared of the symbol counts against uniformity: it grows with the length
   for words and stays near the alphabet's size for random strings;
-* runs of character classes: random strings change class at most steps;
+* runs of character classes: random strings change class at a rate that the
+  alphabet gives, words at a quarter of it;
 * serial correlation of neighbouring classes: near 0 for random strings, high for words.
 
-The three deviations are combined (Stouffer) into an upper bound of the normal
-tail; none of them may be small by itself, so a camel-case name with its
-word-like symbol counts is no find.  A short string can't deviate far, so length counts by itself.  The bounds
+A capital and the small letters after it are one run, and what joins words
+(``+/_=-``) has no class, so names of several words change class as seldom as
+one.  Letters of one case have one class and are judged by chi-squared alone.
+The three deviations are combined (Stouffer, with the correlation of the last
+two) into an upper bound of the normal tail, which alone decides.
+A short string can't deviate far, so length counts by itself.  The bounds
 of one document's runs are judged together by Benjamini-Hochberg at a rate
 that bounds the false discoveries among its reported spans.
 
@@ -55,22 +60,35 @@ def _matches(text: str, pattern: str, kind: int, length: str, keep: str, mark: s
             acc -> acc.spans) END""")
 
 
+#: Inferred alphabets: pattern, symbols, and how often a random string of them changes class (once for a capital and what follows it).
+ALPHABETS = (
+    ("^([a-z]+|[A-Z]+)$", 26, 0.0),
+    ("^([0-9a-f]+|[0-9A-F]+)$", 16, 0.4688),
+    ("^([A-Z2-7]+|[a-z2-7]+)=*$", 32, 0.3047),
+    ("^([a-z0-9]+|[A-Z0-9]+)$", 36, 0.4012),
+    ("^[A-Za-z]+$", 52, 0.375),
+    ("", 64, 0.5202),
+)
+#: A word changes class at this share of the random rate; the serial correlation of its classes.
+WORD_STEPS, WORD_SERIAL = 0.25, 0.7
+
+
 def _tail_bound() -> str:
     """The bound of the tail of one run, as SQL over x.m."""
     n = "length(x.m)"
-    digits = "length(regexp_replace(x.m, '[^0-9]', ''))"
-    alphabet = "CASE WHEN x.m rlike '^[0-9a-fA-F]+$' THEN 16D WHEN x.m rlike '^[A-Z2-7]+=*$' THEN 32D ELSE 64D END"
+    alphabet = f"CASE {' '.join(f"WHEN x.m rlike '{p}' THEN named_struct('k', {k}D, 'r', {r}D)" for p, k, r in ALPHABETS)} END"
     squares = f"aggregate(array_distinct(split(x.m, '')), 0D, (a, ch) -> a + pow({n} - length(replace(x.m, ch, '')), 2))"
-    # classes of neighbouring characters, as one letter each
-    classes = "translate(regexp_replace(regexp_replace(regexp_replace(x.m, '[a-z]', 'l'), '[A-Z]', 'u'), '[0-9]', 'd'), '+/_=-', 'sssss')"
-    steps = f"length(regexp_replace({classes}, 'l+|u+|d+|s+', 'x')) - 1"
-    return f"""aggregate(array(named_struct('n', cast({n} as double), 'k', {alphabet}, 'sq', {squares}, 'steps', cast({steps} as double), 'digits', {digits})), 1D, (a, t) ->
+    # classes of neighbouring characters, as one letter each; what joins words doesn't count
+    classes = "translate(regexp_replace(regexp_replace(regexp_replace(x.m, '[a-z]', 'l'), '[A-Z]', 'u'), '[0-9]', 'd'), '+/_=-', '')"
+    return f"""aggregate(array(named_struct('n', cast({n} as double), 'a', {alphabet}, 'sq', {squares}, 'c', {classes})), 1D, (a, w) ->
+        aggregate(array(named_struct('n', w.n, 'k', w.a.k, 'r', w.a.r, 'sq', w.sq, 'next', cast(greatest(length(w.c) - 1, 1) as double), 'steps', cast(length(regexp_replace(w.c, 'u?l+|u+|d+', 'x')) - 1 as double))), 1D, (b, t) ->
         aggregate(array(named_struct(
             -- a word's symbols repeat with probability 0.066 or so; in hexadecimal words have at least twice the uniform repeats
             'chi', (((t.k - 1) + (t.n - 1) * (t.k * IF(t.k = 16D, 0.125D, 0.066D) - 1)) - (t.k / t.n * t.sq - t.n)) / (2 * sqrt(t.n * t.k * 0.066D) + sqrt(2 * (t.k - 1))),
-            'runs', (t.steps - 0.2D * (t.n - 1)) / sqrt(0.16D * (t.n - 1)),
-            'serial', (0.55D - (1 - t.steps / (t.n - 1) - 0.355D) / 0.645D) * sqrt(t.n))), 1D, (b, z) ->
-            aggregate(array((z.chi + z.runs + z.serial) / sqrt(3D)), 1D, (c, s) -> IF(t.digits = 0 OR t.digits = t.n OR least(z.chi, z.runs, z.serial) <= 1D, 1D, exp(-s * s / 2) / (s * 2.5066D)))))"""
+            'runs', IF(t.r = 0D, 0D, (t.steps - {WORD_STEPS}D * t.r * t.next) / sqrt({WORD_STEPS}D * t.r * (1 - {WORD_STEPS}D * t.r) * t.next)),
+            'serial', IF(t.r = 0D, 0D, ({WORD_SERIAL}D - (1 - t.steps / t.next / t.r)) * sqrt(t.next)))), 1D, (c, z) ->
+            -- runs and serial correlation go together, so their sum has a variance of up to 4
+            aggregate(array((z.chi + z.runs + z.serial) / IF(t.r = 0D, 1D, sqrt(5D))), 1D, (d, s) -> IF(s <= 1D, 1D, exp(-s * s / 2) / (s * 2.5066D))))))"""
 
 
 def scanned(df: DataFrame, text: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -133,3 +134,29 @@ def test_automata_accept_exactly_the_mandatory_words():
     assert all(Automaton(t) for ts in TEMPLATES.values() for t in ts)
     with pytest.raises(ValueError):
         Automaton("<<beginOptional>>a<<endOptional>>")
+
+
+ENCODINGS = {
+    # symbols, and the least share found at 20, 32, 64 and 128 characters
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (0.85, 0.95, 0.98, 0.98)),
+    "base62": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", (0.82, 0.95, 0.98, 0.98)),
+    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", (0.3, 0.75, 0.97, 0.98)),
+    "BASE32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (0.45, 0.68, 0.9, 0.98)),
+    "base32": ("abcdefghijklmnopqrstuvwxyz234567", (0.45, 0.68, 0.9, 0.98)),
+    "BASE36": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", (0.55, 0.83, 0.97, 0.98)),
+    "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", (0.55, 0.83, 0.97, 0.98)),
+    "HEX": ("0123456789ABCDEF", (0.7, 0.9, 0.98, 0.98)),
+}
+
+
+def test_random_runs_are_found_in_each_encoding_and_words_are_not(spark):
+    rng = random.Random(11)
+    cases = [(e, n, "".join(rng.choice(a) for _ in range(n))) for e, (a, _) in ENCODINGS.items() for n in (20, 32, 64, 128) for _ in range(200)]
+    got = {r.doc_id: r.n_random for r in secret_scan(documents(spark, [(i, f"- {t} -") for i, (_, _, t) in enumerate(cases)])).collect()}
+    found = collections.Counter((e, n) for i, (e, n, _) in enumerate(cases) if got[i])
+    share = {e: tuple(found[e, n] / 200 for n in (20, 32, 64, 128)) for e in ENCODINGS}
+    assert all(x >= y for e, (_, least) in ENCODINGS.items() for x, y in zip(share[e], least, strict=True)), share
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600)) for _ in range(20)]
+    words = ["someLongCamelCaseNameForTheTestOfNames1", "usr/local/lib/python3/site-packages/pip", "SOME_LONG_NAME_OF_A_CONSTANT_2", "donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION2OF3", "a-name-in-kebab-case-with-2-digits", "HTTPServerRequestHandlerFactory2", "-" * 40, "=" * 30]
+    got = {r.doc_id: r.n_random for r in secret_scan(documents(spark, [(i, t) for i, t in enumerate([*letters, *words])])).collect()}
+    assert sum(got[i] for i in range(20)) >= 18 and not any(got[20 + i] for i in range(len(words))), got
