@@ -10,7 +10,8 @@ an estimate of similarity.  Pairs whose estimate lies within four deviations of
 the threshold or above it are verified on their full sets, from whole texts.
 
 Work on groups is kept linear:
-* documents with the same set form a class with one representative;
+* documents with the same set form a class, which is the node of all links: its
+  number has nothing to do with ids, so rows that share an id stay apart;
 * the members of a band's key are linked to the first of them only (a star), by
   a range partitioning that cuts even a key of very many members, and of each
   document's stars the best estimate is verified first;
@@ -109,33 +110,30 @@ def _signatures(words: int):
     return run
 
 
-STAR = "bkey long, c long, f long, c0 long, f0 long"
+STAR = "bkey long, c long, c0 long"
 
 
 def _stars(batches):
     """Sorted rows of a range: each member of a key with the key's first member; the ends of the range with themselves."""
     first = None
-    last_row = None
     opened = False
     for batch in batches:
-        b, c, f = (batch.column(i).to_numpy() for i in range(3))
+        b, c = (batch.column(i).to_numpy() for i in range(2))
         if not len(b):
             continue
         if not opened:  # the range may start inside a key
             opened = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in (b[0], c[0], f[0], c[0], f[0])], names=["bkey", "c", "f", "c0", "f0"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in (b[0], c[0], c[0])], names=["bkey", "c", "c0"])
         at = tv.group_starts(b)
         size = np.diff(np.append(at, len(b)))
-        c0, f0 = np.repeat(c[at], size), np.repeat(f[at], size)
+        c0 = np.repeat(c[at], size)
         if first is not None and first[0] == b[0]:
-            c0[: size[0]], f0[: size[0]] = first[1], first[2]
-        use = (c0 != c) | (f0 != f)
-        first = (b[-1], c0[-1], f0[-1])
-        last_row = first
-        yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (b, c, f, c0, f0)], names=["bkey", "c", "f", "c0", "f0"])
-    if last_row is not None:
-        x = last_row
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in (x[0], x[1], x[2], x[1], x[2])], names=["bkey", "c", "f", "c0", "f0"])
+            c0[: size[0]] = first[1]
+        use = c0 != c
+        first = (b[-1], c0[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (b, c, c0)], names=["bkey", "c", "c0"])
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in (first[0], first[1], first[1])], names=["bkey", "c", "c0"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -166,7 +164,7 @@ def _estimated(percent: int):
             regs = [np.frombuffer(b"".join(x[r].to_pylist()), np.uint16).reshape(-1, KEPT) for r in ("r1", "r2")]
             est = estimate(*regs, *(x[r].to_numpy() for r in ("n1", "n2")))
             use = est >= low
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[r].to_numpy()[use]) for r in ("c", "f", "c0", "f0")), pa.array(est[use])], names=["c", "f", "c0", "f0", "est"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[r].to_numpy()[use]) for r in ("c", "c0")), pa.array(est[use])], names=["c", "c0", "est"])
 
     return run
 
@@ -194,7 +192,7 @@ def _across(percent: int):
 
     def run(batches):
         low = lowest_estimate(percent)
-        for key, (c, f, comp, n, regs) in _groups(batches):
+        for key, (c, comp, n, regs) in _groups(batches):
             comp, n = np.array(comp), np.array(n)
             order = np.argsort(comp, kind="stable")
             comp, n = comp[order], n[order]
@@ -207,7 +205,7 @@ def _across(percent: int):
                     hit[after[i] :] |= found
                     hit[i] |= found.any()
             at = order[hit]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(at), pa.int64()) for x in key), pa.array(np.array(c, np.int64)[at]), pa.array(np.array(f, np.int64)[at]), pa.array(comp[hit])], names=["bkey", "i", "j", "c", "f", "m"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(at), pa.int64()) for x in key), pa.array(np.array(c, np.int64)[at]), pa.array(comp[hit])], names=["bkey", "i", "j", "c", "m"])
 
     return run
 
@@ -215,10 +213,10 @@ def _across(percent: int):
 def _sets(words: int):
     def run(batches):
         for batch in batches:
-            cs, fs = (batch.column(batch.schema.get_field_index(x)) for x in ("c", "f"))
+            cs = batch.column(batch.schema.get_field_index("c"))
             for c in tv.chunks(batch.column(batch.schema.get_field_index("text"))):
                 doc, h = shingle_sets(c, words)
-                yield pa.RecordBatch.from_arrays([cs.slice(c.first, c.n), fs.slice(c.first, c.n), tv.binaries(h, np.searchsorted(doc, np.arange(c.n + 1)))], names=["c", "f", "h"])
+                yield pa.RecordBatch.from_arrays([cs.slice(c.first, c.n), tv.binaries(h, np.searchsorted(doc, np.arange(c.n + 1)))], names=["c", "h"])
 
     return run
 
@@ -227,7 +225,7 @@ def _joined(percent: int):
     """Links that unite the components in a key, on full sets: a row's intersections with all others at once."""
 
     def run(batches):
-        for _, (c, _, comp, sets) in _groups(batches):
+        for _, (c, comp, sets) in _groups(batches):
             sets = [np.frombuffer(x, U) for x in sets]
             sizes = np.array([len(x) for x in sets])
             starts = np.cumsum(sizes) - sizes
@@ -298,14 +296,14 @@ def _united(batches):
 
 
 def asked_for(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of texts (c, f, text) whose c, f stand in keys.
+    """c and text of the rows of texts (k, f, text) whose k, f stand in keys (c, k, f).
 
     A filter of a fixed number of bits, made on the executors, drops nearly all
     other texts before the exact join; it can only keep too many.
     """
     spark = texts.sparkSession
     parts = 1 << (FILTER_BITS - SEGMENT_BITS)
-    rows = keys.select(F.xxhash64("c", "f").alias("h")).mapInArrow(_segments, "segment int, bits binary").repartitionById(parts, F.col("segment")).mapInArrow(_united, "segment int, bits binary").collect()
+    rows = keys.select(F.xxhash64("k", "f").alias("h")).mapInArrow(_segments, "segment int, bits binary").repartitionById(parts, F.col("segment")).mapInArrow(_united, "segment int, bits binary").collect()
     table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for segment, bits in rows:
         width = 1 << (SEGMENT_BITS - 3)
@@ -317,22 +315,24 @@ def asked_for(texts: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             at = (batch.column(0).to_numpy().view(U) & U((1 << FILTER_BITS) - 1)).astype(np.int64)
             use = (bits[at >> 3] >> (7 - (at & 7))) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=["c", "f", "text"]).filter(pa.array(use == 1))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=["k", "f", "text"]).filter(pa.array(use == 1))
 
-    kept = texts.select(F.xxhash64("c", "f").alias("h"), "c", "f", "text").mapInArrow(run, "c long, f long, text string")
-    return kept.join(keys, ["c", "f"], "left_semi")
+    kept = texts.select(F.xxhash64("k", "f").alias("h"), "k", "f", "text").mapInArrow(run, "k long, f long, text string")
+    return kept.join(keys, ["k", "f"]).select("c", "text")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, kept and, if asked for, text_hash (xxhash64, a null text as empty).
 
     Words are lower-cased (A-Z) and parted by white space; a set is the distinct
     shingles of ``words`` words, of a shorter text its whole word sequence.
     Documents are linked when 100 * intersection >= percent * union, judged on
     full sets; component_id is the smallest id reachable.  A text without words,
-    or null, has an empty set and no links.  Rows that share an id are judged by
-    their own texts; a null id counts as one id, larger
-    than all others.  Other columns are ignored; no rows in, no rows out.
+    or null, has an empty set and no links, and is kept.  Rows that share an id are
+    judged by their own texts; a null id is larger than all others.  Of each
+    component one row is kept: one with the smallest id, of several such rows
+    the one whose text has the smallest hash.  Other columns are ignored; no
+    rows in, no rows out.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -340,31 +340,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     signed = saved(base.mapInArrow(_signatures(words), "k long, f long, n long, s1 long, s2 long, regs binary, bands array<long>"))
     full = signed.filter("n > 0")
     lead = F.min(F.struct("k", "f"))
-    classes = saved(full.groupBy("s1", "s2", "n").agg(lead.alias("lead"), F.first("regs").alias("regs"), F.first("bands").alias("bands")).select("s1", "s2", "n", F.col("lead.k").alias("c"), F.col("lead.f").alias("f"), "regs", "bands"))
+    classes = full.groupBy("s1", "s2", "n").agg(lead.alias("lead"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    # c numbers the classes, in no order; k and f are those of the class's first document
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n", F.col("lead.k").alias("k"), F.col("lead.f").alias("f"), "regs", "bands"))
 
-    met = classes.select(F.explode("bands").alias("bkey"), "c", "f").repartitionByRange(parts, "bkey", "c", "f").sortWithinPartitions("bkey", "c", "f").mapInArrow(_stars, STAR)
+    met = classes.select(F.explode("bands").alias("bkey"), "c").repartitionByRange(parts, "bkey", "c").sortWithinPartitions("bkey", "c").mapInArrow(_stars, STAR)
     # a key that spans ranges has a first member in each: the smallest of them links them
     met = saved(met)
-    own, ends = met.filter("c <> c0 OR f <> f0"), met.filter("c = c0 AND f = f0").distinct()
-    least = ends.groupBy("bkey").agg(F.min(F.struct("c0", "f0")).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    bridged = ends.join(least, "bkey").select("bkey", "c", "f", F.col("m.c0").alias("c0"), F.col("m.f0").alias("f0")).filter("c <> c0 OR f <> f0")
+    own, ends = met.filter("c <> c0"), met.filter("c = c0").distinct()
+    least = ends.groupBy("bkey").agg(F.min("c0").alias("m"), F.count("*").alias("n")).filter("n > 1")
+    bridged = ends.join(least, "bkey").select("bkey", "c", F.col("m").alias("c0")).filter("c <> c0")
     stars = saved(own.union(bridged))
 
-    tiny = classes.select("c", "f", "n", "regs")
-    one, two = (tiny.select(F.col("c").alias(c), F.col("f").alias(f), F.col("n").alias(n), F.col("regs").alias(r)) for c, f, n, r in (("c", "f", "n1", "r1"), ("c0", "f0", "n2", "r2")))
-    pairs = stars.select("c", "f", "c0", "f0").distinct().join(one, ["c", "f"]).join(two, ["c0", "f0"])
-    likely = saved(pairs.mapInArrow(_estimated(percent), "c long, f long, c0 long, f0 long, est double"))
-    texts = base.select(F.col("k").alias("c"), "f", "text")
+    tiny = classes.select("c", "n", "regs")
+    one, two = (tiny.select(F.col("c").alias(c), F.col("n").alias(n), F.col("regs").alias(r)) for c, n, r in (("c", "n1", "r1"), ("c0", "n2", "r2")))
+    pairs = stars.select("c", "c0").distinct().join(one, "c").join(two, "c0")
+    likely = saved(pairs.mapInArrow(_estimated(percent), "c long, c0 long, est double"))
+    texts = base.select("k", "f", "text")
+    leads = classes.select("c", "k", "f")
 
     def verified(some: DataFrame) -> DataFrame:
-        some = saved(some.select("c", "f", "c0", "f0").distinct())
-        needed = some.select("c", "f").union(some.select("c0", "f0")).distinct()
+        some = saved(some.select("c", "c0").distinct())
+        needed = some.select("c").union(some.select("c0")).distinct().join(leads, "c")
         found = asked_for(texts, needed)
-        with_one = some.join(found.withColumnRenamed("text", "t1"), ["c", "f"])
-        with_two = with_one.join(found.select(F.col("c").alias("c0"), F.col("f").alias("f0"), F.col("text").alias("t2")), ["c0", "f0"])
+        with_one = some.join(found.withColumnRenamed("text", "t1"), "c")
+        with_two = with_one.join(found.select(F.col("c").alias("c0"), F.col("text").alias("t2")), "c0")
         return saved(with_two.mapInArrow(_verified(words, percent), "u long, v long"))
 
-    best = likely.groupBy("c", "f").agg(F.max_by(F.struct("c0", "f0"), F.struct("est", -F.col("c0"), "f0")).alias("b")).select("c", "f", F.col("b.c0").alias("c0"), F.col("b.f0").alias("f0"))
+    best = likely.groupBy("c").agg(F.max_by("c0", F.struct("est", -F.col("c0"))).alias("c0"))
     links = verified(best)
     found = saved(components(links))
 
@@ -378,18 +381,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
         unequal = labelled(labelled(some, "c", "m1"), "c0", "m2")
         again = unequal.join(unequal.filter("m1 <> m2").select("bkey").distinct(), "bkey", "left_semi")
-        members = again.select("bkey", "c", "f", F.col("m1").alias("m")).union(again.select("bkey", F.col("c0").alias("c"), F.col("f0").alias("f"), F.col("m2").alias("m"))).distinct()
+        members = again.select("bkey", "c", F.col("m1").alias("m")).union(again.select("bkey", F.col("c0").alias("c"), F.col("m2").alias("m"))).distinct()
         blocks = members.groupBy("bkey").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        members = members.join(blocks, "bkey").withColumn("b", F.pmod(F.xxhash64("c", "f"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        members = members.select("bkey", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c", "f", "m")
-        near = saved(grouped(members.join(tiny, ["c", "f"]).select("bkey", "i", "j", "c", "f", "m", "n", "regs")).mapInArrow(_across(percent), "bkey long, i long, j long, c long, f long, m long"))
-        sets = asked_for(texts, near.select("c", "f").distinct()).dropDuplicates(["c", "f"]).mapInArrow(_sets(words), "c long, f long, h binary")
-        return saved(grouped(near.join(sets, ["c", "f"]).select("bkey", "i", "j", "c", "f", "m", "h")).mapInArrow(_joined(percent), "u long, v long"))
+        members = members.join(blocks, "bkey").withColumn("b", F.pmod(F.xxhash64("c"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        members = members.select("bkey", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c", "m")
+        near = saved(grouped(members.join(tiny, "c").select("bkey", "i", "j", "c", "m", "n", "regs")).mapInArrow(_across(percent), "bkey long, i long, j long, c long, m long"))
+        sets = asked_for(texts, near.select("c").distinct().join(leads, "c")).dropDuplicates(["c"]).mapInArrow(_sets(words), "c long, h binary")
+        return saved(grouped(near.join(sets, "c").select("bkey", "i", "j", "c", "m", "h")).mapInArrow(_joined(percent), "u long, v long"))
 
     # a tenth of the keys first: it unites most of a large group, whose members then needn't bring their sets to all their keys
     for some in (stars.filter("pmod(bkey, 10) = 0"), stars):
         found = saved(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(across(some))))
 
-    told = signed.select("k", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "c"), ["s1", "s2", "n"], "left").withColumn("c", F.coalesce("c", "k"))
-    told = told.join(found.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    return told.select(id_of("k").alias(id_col), F.col("n").alias("n_shingles"), id_of("component").alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
+    first = found.join(leads.withColumnRenamed("c", "node"), "node").groupBy("component").agg(lead.alias("first"))
+    placed = found.join(first, "component").select(F.col("node").alias("c"), "first")
+    told = classes.select("c", "s1", "s2", "n", F.struct("k", "f").alias("lead")).join(placed, "c", "left").select("s1", "s2", "n", F.coalesce("first", "lead").alias("first"))
+    # rows that repeat both id and text are interchangeable: one of them is kept
+    rows = signed.groupBy("k", "f", "n", "s1", "s2").agg(F.count("*").alias("rows")).join(told, ["s1", "s2", "n"], "left")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    kept = (F.col("n") == 0) | ((F.col("k") == F.col("first.k")) & (F.col("f") == F.col("first.f")) & (F.col("copy") == 1))
+    columns = [F.col("n").alias("n_shingles"), id_of("component").alias("component_id"), kept.alias("kept"), *[F.col("f").alias("text_hash")] * with_hash]
+    return rows.withColumn("component", F.coalesce("first.k", "k")).select(id_of("k").alias(id_col), *columns)

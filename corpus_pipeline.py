@@ -33,9 +33,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
-    kept = near_duplicates(docs, words=5, percent=80).filter("kept").select(key_of("doc_id").alias("__k")).distinct()
-    return docs.withColumn("__k", key_of("doc_id")).join(kept, "__k", "left_semi").drop("__k").select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Rows are told apart by id and text; rows equal in both, of which the stage before leaves one, stay together.
+    """
+    kept = near_duplicates(docs, words=5, percent=80, with_hash=True).filter("kept").select(key_of("doc_id").alias("__k"), F.col("text_hash").alias("__f")).distinct()
+    named = docs.withColumns({"__k": key_of("doc_id"), "__f": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return named.join(kept, ["__k", "__f"], "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,6 +119,25 @@ def test_near_duplicates_of_nothing_and_kept(spark):
     assert got == [(1, True), (2, False), (3, True), (4, True)]
 
 
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(5, text("a")), (None, text("a") + " z"), (None, text("clean")), (7, text("b")), (7, text("b") + " z"), (7, text("c")), (None, text("d")), (None, text("d") + " z"), (None, text("d") + " z"), (None, ""), (8, text("e")), (8, text("e"))]
+    docs = documents(spark, rows)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    a, z = 56, 57
+    verdicts = collections.Counter({(5, a, 5, True): 1, (None, z, 5, False): 1, (None, a, None, True): 1, (7, a, 7, True): 1, (None, 0, None, True): 1, (8, a, 8, True): 1, (8, a, 8, False): 1})
+    rest = got - verdicts
+    # clean b or its copy, and c; one of the three of d
+    assert not verdicts - got and sum(rest.values()) == 12 - sum(verdicts.values())
+    assert sum(n for (i, *_, kept), n in got.items() if i == 7 and kept) == 2
+    assert sum(n for (i, w, c, kept), n in got.items() if i is None and c is None and kept) == 3
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs.filter("doc_id IS NULL OR doc_id <> 8"), "").collect()]
+    assert (None, text("clean")) in out and (7, text("c")) in out and (None, text("a") + " z") not in out
+    assert sum(t.startswith("b0 ") for _, t in out) == 1 and len({t for _, t in out if t.startswith("d0 ")}) == 1
+
+
 def test_register_estimate_is_near_the_similarity():
     import numpy as np
 
