@@ -1,11 +1,12 @@
 import collections
 import hashlib
+import math
 import re
 
 import pytest
 
 from aerotrace.llm.exact_dedup import QuotientFilter, drop_copies, exact_dedup
-from aerotrace.llm.near_dedup import estimate, near_duplicates, registers
+from aerotrace.llm.near_dedup import BANDS, KEPT, ROWS, estimate, lowest_estimate, near_duplicates, registers
 from aerotrace.llm.substring_dedup import COVER, PERIOD, substring_dedup
 
 from .cases import documents, texts
@@ -146,3 +147,12 @@ def test_register_estimate_is_near_the_similarity():
     a, b = pool[:1000], pool[200:]
     r = registers(np.concatenate((a, b)), np.array([0, 1000]))
     assert abs(estimate(r[0], r[1], np.array(1000), np.array(1000)) - 800 / 1200) < 0.12
+
+
+def test_estimate_loses_far_fewer_pairs_than_the_bands():
+    for percent in (50, 80, 90):
+        t, chance = percent / 100, 0.7213 * 2.0**-10 / 4
+        agreeing = math.ceil((lowest_estimate(percent) * (1 - chance) + chance) * KEPT)
+        lost = sum(math.comb(KEPT, x) * t**x * (1 - t) ** (KEPT - x) for x in range(agreeing))
+        assert lost < 1e-6, percent
+    assert (1 - 0.8**ROWS) ** BANDS < 6e-6
