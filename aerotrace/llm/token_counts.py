@@ -67,3 +67,20 @@ def limits_table(histogram: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, vocab: str, text_col: str = "text") -> DataFrame:
     """limits_table of the documents' encoded lengths; other columns are ignored."""
     return limits_table(length_histogram(docs, vocab, text_col))
+
+
+def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
+    """What given context limits give, whether or not a document has that length.
+
+    table: limits_table.  limit, docs_at_least, tokens_at_least, docs_before,
+    truncated_total, total_docs, total_tokens: one row per distinct limit, from
+    the sums of the next longer length.  No rows in, no rows out.
+    """
+    asked = table.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "limit long")
+    longer = F.when(F.col("n_tokens") >= F.col("limit"), F.struct("n_tokens", "docs_at_least", "tokens_at_least"))
+    x = table.crossJoin(F.broadcast(asked)).groupBy("limit").agg(F.min(longer).alias("next"), F.first("total_docs").alias("total_docs"), F.first("total_tokens").alias("total_tokens"))
+    x = x.withColumns({c: F.coalesce(F.col(f"next.{c}"), F.lit(0).cast("long")) for c in ("docs_at_least", "tokens_at_least")})
+    return x.select(
+        "limit", "docs_at_least", "tokens_at_least", (F.col("total_docs") - F.col("docs_at_least")).alias("docs_before"),
+        (F.col("total_tokens") - F.col("tokens_at_least") + F.col("limit") * F.col("docs_at_least")).alias("truncated_total"), "total_docs", "total_tokens",
+    )

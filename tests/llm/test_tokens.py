@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from aerotrace.llm import bpe
 from aerotrace.llm import textvec as tv
 from aerotrace.llm.packing import pack, plan, price
-from aerotrace.llm.token_counts import token_counts
+from aerotrace.llm.token_counts import at_limits, token_counts
 
 from .cases import documents, texts
 
@@ -88,3 +88,14 @@ def test_token_counts_answer_every_limit(spark, truth):
         assert (r.tokens_at_least, r.truncated_total, r.total_tokens) == (sum(x for x in lengths if x >= n), sum(min(x, n) for x in lengths), sum(lengths))
         assert r.quantile == pytest.approx(sum(x <= n for x in lengths) / len(lengths))
     assert token_counts(documents(spark, []), PATH).collect() == []
+
+
+def test_limits_between_and_beyond_the_lengths(spark, truth):
+    lengths = [len(x) for x in truth([t for _, t in texts()])]
+    limits = [0, 1, *(x + 1 for x in sorted(set(lengths))), 1024, 2048, 4096, max(lengths) + 1000]
+    got = {r.limit: r for r in at_limits(token_counts(documents(spark), PATH), limits).collect()}
+    assert set(got) == set(limits)
+    for n, r in got.items():
+        assert (r.docs_at_least, r.docs_before, r.total_docs) == (sum(x >= n for x in lengths), sum(x < n for x in lengths), len(lengths))
+        assert (r.tokens_at_least, r.truncated_total, r.total_tokens) == (sum(x for x in lengths if x >= n), sum(min(x, n) for x in lengths), sum(lengths))
+    assert at_limits(token_counts(documents(spark, []), PATH), [5]).collect() == []
