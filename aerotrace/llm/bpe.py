@@ -275,8 +275,7 @@ def chunk_ids(c: tv.Chunk, v: Vocabulary, fast: bool = False) -> tuple[np.ndarra
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(c.n + 1, np.int64)
     ends = np.append(starts[1:], len(c.buf))
-    h = tv.span_hashes(tv._BYTE[c.buf], starts, ends) + (ends - starts).astype(np.uint64)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    first, inverse = tv.numbered(c.buf, starts, ends)
     data = c.buf.tobytes()
     lists = v.ids_of([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], fast)
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))

@@ -122,8 +122,8 @@ class Matcher:
         self.phrases = [(p.split(), label) for p, label in phrases.items()]
         self.automata = [(Automaton(t), label) for label, ts in templates.items() for t in ts]
         self.vocabulary = sorted({w for p, _ in self.phrases for w in p} | {w for a, _ in self.automata for w in a.words})
-        buf, offs = tv.flat(pa.array(self.vocabulary))
-        self.hashes = tv.Chunk(buf, offs, 0).words(SEPARATOR).word_hashes()
+        self.known = tv.Chunk(*tv.flat(pa.array(self.vocabulary)), 0).words(SEPARATOR)
+        self.hashes = self.known.word_hashes()
         self.order = np.argsort(self.hashes)
         number = {w: i for i, w in enumerate(self.vocabulary)}
         self.coded = [([number[w] for w in p], label) for p, label in self.phrases]
@@ -137,7 +137,12 @@ class Matcher:
         buf = LOWER[c.buf]
         h = c.words(SEPARATOR, buf).word_hashes(buf)
         at = np.minimum(np.searchsorted(self.hashes[self.order], h), len(self.order) - 1)
-        return np.where(self.hashes[self.order][at] == h, self.order[at], -1)
+        number = np.where(self.hashes[self.order][at] == h, self.order[at], -1)
+        hit = np.flatnonzero(number >= 0)
+        mine = number[hit]
+        same = tv.same_spans(buf, c.w_start[hit], c.w_end[hit], self.known.buf, self.known.w_start[mine], self.known.w_end[mine])
+        number[hit[~same]] = -1
+        return number
 
     def chunk(self, c: tv.Chunk) -> list[tuple]:
         """(n_words, n_base, first, last, base_labels, labels, score, spans) of each document."""

@@ -73,18 +73,21 @@ def _base(c: tv.Chunk) -> list[np.ndarray]:
     lead = (c.buf & 0xC0) != 0x80
     chars = np.concatenate(([0], np.cumsum(lead & ~tv.SPACE[c.buf])))
     symbols = np.concatenate(([0], np.cumsum(SYMBOL[c.buf])))
-    wh = c.word_hashes()
-    # 3-word windows found twice or more in their document
-    at, h = c.windows(wh, 3)
-    h = tv.mix(h + (c.w_doc[at].astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
-    order = np.argsort(h)
-    start = tv.group_starts(h[order])
-    size = np.diff(np.append(start, len(h)))
+    # 3-word windows found twice or more in their document, as exact numbers of words, pairs and triples
+    n = len(c.w_start)
+    word = tv.numbered(c.buf, c.w_start, c.w_end)[1]
+    at = np.flatnonzero(c.w_doc[: max(n - 2, 0)] == c.w_doc[2:])
+    pair = np.unique(word[at] * n + word[at + 1], return_inverse=True)[1]
+    triple = np.unique(pair * n + word[at + 2], return_inverse=True)[1]
+    key = triple * c.n + c.w_doc[at]
+    order = np.argsort(key)
+    start = tv.group_starts(key[order])
+    size = np.diff(np.append(start, len(key)))
     twice = at[order[np.repeat(size > 1, size)]]
-    step = np.zeros(len(wh) + 4, np.int64)
+    step = np.zeros(n + 4, np.int64)
     np.add.at(step, twice, 1)
     np.add.at(step, twice + 3, -1)
-    repeated = np.bincount(c.w_doc[np.cumsum(step)[: len(wh)] > 0], minlength=c.n)
+    repeated = np.bincount(c.w_doc[np.cumsum(step)[:n] > 0], minlength=c.n)
     # lines with a word, equal to an earlier line of their document
     newline = np.flatnonzero(c.buf == 10)
     ends = np.union1d(newline, c.offs[1:])
@@ -95,9 +98,8 @@ def _base(c: tv.Chunk) -> list[np.ndarray]:
     has = np.searchsorted(c.w_start, starts) < np.searchsorted(c.w_start, ends)
     starts, ends = starts[has], ends[has]
     doc = np.searchsorted(c.offs, starts, "right") - 1
-    lh = tv.mix(tv.span_hashes(tv._BYTE[c.buf], starts, ends) + (doc.astype(U) + U(1)) * U(0x9E3779B97F4A7C15) + ((ends - starts).astype(U) << U(40)))
-    _, first = np.unique(lh, return_index=True)
-    dup = np.ones(len(lh), bool)
+    _, first = np.unique(tv.numbered(c.buf, starts, ends)[1] * c.n + doc, return_index=True)
+    dup = np.ones(len(doc), bool)
     dup[first] = False
     return [c.w_count, np.diff(chars[c.offs]), np.diff(symbols[c.offs]), np.bincount(doc[dup], minlength=c.n), repeated]
 

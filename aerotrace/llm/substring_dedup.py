@@ -4,8 +4,9 @@ Of every residue pair modulo 13 some shift below 13 moves both into the cover
 {0, 1, 3, 9}, so two equal stretches of 20 words, wherever they start, share an
 8-word anchor that starts at a cover position in both.  Only anchors are hashed
 and compared at first (4 of 13 positions); around anchors that occur more than
-once all 20-word windows are then extended and compared by 80-bit fingerprints, and every window but the first of its word sequence
-marks its words for removal.
+once all 20-word windows are then extended and compared by 128-bit fingerprints,
+made of two hashes with nothing in common down to the bytes of the words, and
+every window but the first of its word sequence marks its words for removal.
 
 Hot passages: each block of documents sends one entry per distinct anchor or
 window, whatever number of documents holds it, so a passage found in a third of
@@ -26,10 +27,12 @@ from .common import id_of, key_of, shuffle_partitions
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 U = np.uint64
+#: Seed of the second hash of words and windows.
+SECOND = 0x9FB21C651E98DF25
 #: What a row holds of its entries: numbers as 16-bit planes, so that those that are mostly 0 compress away.
-PLANES = {"k": 4, "fp": 2, "counts": 2, "pos": 2, "hash": 5}
+PLANES = {"k": 4, "fp": 4, "counts": 2, "pos": 2, "hash": 4, "more": 4}
 ENTRY = "pid int, kind int, " + ", ".join(f"{name}{i} binary" for name, n in PLANES.items() for i in range(n))
-MARKS = "k long, fp int, marks binary"
+MARKS = "k long, fp long, marks binary"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -60,12 +63,12 @@ def _entries(kind: int, pid, k, fp, pos, hashes, parts: int):
     cuts = np.append(row, len(pid))
     step = np.diff(k[doc], prepend=0)
     step[at[:-1]] = k[doc][at[:-1]]
-    columns = _planes(step.view(U), 4, at) + _planes(fp[doc].astype(np.uint32), 2, at) + _planes(np.diff(np.append(doc, len(pid))), 2, at) + _planes(pos, 2, cuts)
+    columns = _planes(step.view(U), 4, at) + _planes(fp[doc].view(U), 4, at) + _planes(np.diff(np.append(doc, len(pid))), 2, at) + _planes(pos, 2, cuts)
     if kind == 0:
         h, more = hashes[0][order], hashes[1][order]
-        columns += _planes(h, 4, cuts) + _planes(more, 1, cuts)
+        columns += _planes(h, 4, cuts) + _planes(more, 4, cuts)
     else:
-        columns += [pa.array([b""] * len(row), pa.binary())] * 5
+        columns += [pa.array([b""] * len(row), pa.binary())] * 8
     yield pa.RecordBatch.from_arrays([pa.array(pid[row].astype(np.int32)), pa.array(np.full(len(row), kind, np.int32)), *columns], schema=_schema(ENTRY))
 
 
@@ -74,10 +77,10 @@ def _read(batch: pa.RecordBatch):
     columns = batch.columns
     for i in range(batch.num_rows):
         planes = iter(np.frombuffer(x[i].as_buffer(), np.uint16).astype(U) for x in columns[2:])
-        got = {name: sum((next(planes) << U(16 * j) for j in range(n - (name == "hash"))), np.zeros((), U)) for name, n in PLANES.items()}
+        got = {name: sum((next(planes) << U(16 * j) for j in range(n)), np.zeros((), U)) for name, n in PLANES.items()}
         n = got["counts"].astype(np.int64)
         k = np.repeat(np.cumsum(got["k"].view(np.int64)), n)
-        yield columns[1][i].as_py(), k, np.repeat(got["fp"].astype(np.uint32).view(np.int32), n), got["pos"].astype(np.int64), got["hash"], next(planes)
+        yield columns[1][i].as_py(), k, np.repeat(got["fp"].view(np.int64), n), got["pos"].astype(np.int64), got["hash"], got["more"]
 
 
 def _first_only(k, fp, pos, h, more):
@@ -134,10 +137,10 @@ def _anchors(window: int, parts: int):
                 yield ks[doc], fps[doc], local[use], h[use]
 
     def send(k, fp, pos, h):
-        first, counts, rest = _first_only(k, fp, pos, h >> U(1), np.zeros(len(h), np.uint16))
+        first, counts, rest = _first_only(k, fp, pos, h, np.zeros(len(h), U))
         often = counts > 1
-        # the 16 bits say that the block itself has it twice: it is marked here
-        yield from _entries(0, first[3] % U(parts), *first[:3], (first[3], often.astype(np.uint16)), parts)
+        # the second number says that the block itself has it twice: it is marked here
+        yield from _entries(0, first[3] % U(parts), *first[:3], (first[3], often.astype(U)), parts)
         marked = [np.concatenate((a[often], b)) for a, b in zip(first[:3], rest, strict=True)]
         yield from _entries(1, _home(marked[0], parts), *marked, None, parts)
 
@@ -154,22 +157,21 @@ def _windows(window: int, parts: int):
             marks = batch.column(batch.schema.get_field_index("marks"))
             for c in tv.chunks(batch.column(batch.schema.get_field_index("text"))):
                 c.words()
-                wh = c.word_hashes()
-                at, h = c.windows(wh, window)
-                _, more = c.windows(tv.mix(wh, 0x1234567), window, 0x9FB21C651E98DF25)
-                hit = np.zeros(len(wh) + 1, np.int64)
+                at, h = c.windows(c.word_hashes(), window)
+                _, more = c.windows(c.word_hashes(seed=SECOND), window, SECOND)
+                hit = np.zeros(len(c.w_start) + 1, np.int64)
                 for i in range(c.n):
                     p = np.frombuffer(marks[c.first + i].as_buffer(), np.uint32).astype(np.int64)
                     hit[p[p + size <= c.w_count[i]] + c.w_from[i]] = 1
                 reach = np.concatenate(([0], np.cumsum(hit)))
                 use = reach[at + PERIOD] > reach[at]  # an anchor that starts at one of the first 13 words lies inside
-                at, h, more = at[use], h[use], (more[use] & U(0xFFFF)).astype(np.uint16)
+                at, h, more = at[use], h[use], more[use]
                 doc = c.first + c.w_doc[at]
                 yield ks[doc], fps[doc], at - c.w_from[c.w_doc[at]], h, more
 
     def send(k, fp, pos, h, more):
         first, _, rest = _first_only(k, fp, pos, h, more)
-        yield from _entries(0, (first[3] >> U(1)) % U(parts), *first[:3], first[3:], parts)
+        yield from _entries(0, first[3] % U(parts), *first[:3], first[3:], parts)
         yield from _entries(1, _home(rest[0], parts), *rest, None, parts)
 
     return lambda batches: _gathered(found(batches), send, parts)
@@ -268,13 +270,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one with a smaller id, or an earlier start in the same document.  A null
     text is empty; a null id counts as larger than all others; texts with fewer
     words than a window stay whole; rows that repeat both id and text are one
-    document and all stay.  Other columns are ignored.  Kept words are joined by
-    one space.
+    document and all stay; rows that share an id are told apart by a 64-bit hash of
+    their texts.  Other columns are ignored; no rows in, no rows out.  Kept words
+    are joined by one space.
     """
     if window < PERIOD + 7:
         raise ValueError(f"window must be {PERIOD + 7} words at least")
     parts = shuffle_partitions(docs.sparkSession)
-    base = docs.select(key_of(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fp", F.hash("text"))
+    base = docs.select(key_of(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
 
     def marked(entries: DataFrame, anchors: bool) -> DataFrame:
         met = entries.repartitionById(parts, F.col("pid")).mapInArrow(_meet(anchors, parts), ENTRY)

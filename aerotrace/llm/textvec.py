@@ -1,12 +1,14 @@
 """Whole texts of an Arrow batch as flat byte arrays: words, hashes and windows in NumPy.
 
 A batch of documents is one byte array plus document offsets.  Words, word
-hashes and window hashes come from prefix sums over that array, so the cost per
+hashes and window hashes are computed for all its texts at once, so the cost per
 byte doesn't depend on how long a single text is and no text is ever cut.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,9 +19,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 64
+#: The bits of a load of 8 bytes that belong to a span with so many bytes left.
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -33,30 +36,83 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k mod 2**64 for k < n at least; base is odd."""
-    base |= 1
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.full(size, b, U)
-            p[0] = 1
-            out.append(np.cumprod(p))
-        if size > 4 * CHUNK_BYTES:  # not kept: a rare very long text
-            return out[0], out[1]
-        _POWERS[base] = (out[0], out[1])
-    return _POWERS[base]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for each pair, by polynomial prefix sums."""
-    n = len(values)
-    up, down = powers(n + 1, base)
-    prefix = np.zeros(n + 1, U)
-    np.cumsum(values * up[:n], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts], 0x5851F42D4C957F2D)
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what has hash a followed by what has hash b."""
+    return mix(a * U(0x9E3779B97F4A7C15) + b)
+
+
+def _loads(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as a number."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: mixed 8 bytes at a time, a long span by BLAKE2b.
+
+    Spans of one length of at most 8 bytes never collide; others do as random numbers would.
+    """
+    loads, size = _loads(buf), ends - starts
+    out = mix(size.astype(U), 0x5851F42D4C957F2D ^ seed)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    for done in range(0, LONG_SPAN, 8):
+        live = live[size[live] > done]
+        if not len(live):
+            break
+        rest = np.minimum(size[live] - done, 8)
+        out[live] = join(out[live], loads[starts[live] + done] & _MASKS[rest])
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=salt).digest(), "little")
+    return out
+
+
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Whether each span of buf holds the same bytes as its partner in other."""
+    size = ends - starts
+    same = size == ends2 - starts2
+    one, two = _loads(buf), _loads(other)
+    live = np.flatnonzero(same & (size <= LONG_SPAN))
+    for done in range(0, LONG_SPAN, 8):
+        live = live[size[live] > done]
+        if not len(live):
+            break
+        differ = ((one[starts[live] + done] ^ two[starts2[live] + done]) & _MASKS[np.minimum(size[live] - done, 8)]) != 0
+        same[live[differ]] = False
+        live = live[~differ]
+    for i in np.flatnonzero(same & (size > LONG_SPAN)).tolist():
+        same[i] = buf is other and starts[i] == starts2[i] or bool((buf[starts[i] : ends[i]] == other[starts2[i] : ends2[i]]).all())
+    return same
+
+
+def numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each distinct content, and each span's number among these.
+
+    Spans have one number exactly when their bytes are equal: hashes group them, bytes confirm it.
+    """
+    _, first, number = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    if not same_spans(buf, starts, ends, buf, starts[first][number], ends[first][number]).all():  # a collision
+        known: dict[bytes, int] = {}
+        spans = (buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+        number = np.fromiter((known.setdefault(x, len(known)) for x in spans), np.int64, len(starts))
+        first = np.unique(number, return_index=True)[1]
+    return first, number
+
+
+def window_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """A hash of hashes[i : i + size] for each i, from those of windows of 1, 2, 4, ... entries."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    out, level, span, at = np.full(n, mix(np.array([size], U), seed)[0], U), hashes, 1, 0
+    while True:
+        if size & span:
+            out = join(out, level[at : at + n])
+            at += span
+        if 2 * span > size:
+            return out
+        level = join(level[:-span], level[span:])
+        span *= 2
 
 
 class Chunk:
@@ -87,17 +143,16 @@ class Chunk:
         self.w_doc = np.repeat(np.arange(self.n), self.w_count)
         return self
 
-    def word_hashes(self, buf: np.ndarray | None = None) -> np.ndarray:
-        buf = self.buf if buf is None else buf
-        return span_hashes(_BYTE[buf], self.w_start, self.w_end)
+    def word_hashes(self, buf: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+        return span_hashes(self.buf if buf is None else buf, self.w_start, self.w_end, seed)
 
-    def windows(self, hashes: np.ndarray, size: int, base: int = 0xC2B2AE3D27D4EB4F) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows of ``size`` words inside one document, and their hashes."""
         n = len(hashes) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U)
         at = np.flatnonzero(self.w_doc[:n] == self.w_doc[size - 1 :])
-        return at, span_hashes(hashes, at, at + size, base)
+        return at, window_hashes(hashes, size, seed)[at]
 
     def text(self, i: int) -> bytes:
         return self.buf[self.offs[i] : self.offs[i + 1]].tobytes()
