@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import id_of, key_of, saved, shuffle_partitions
-from .components import components
+from .components import compact, components
 
 U = np.uint64
 BANDS, ROWS = 40, 6
@@ -56,7 +56,10 @@ def shingle_sets(c: tv.Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
     doc = c.w_doc[at]
     short = np.flatnonzero((c.w_count > 0) & (c.w_count < words))
     if len(short):
-        whole = tv.span_hashes(wh, c.w_from[short], c.w_from[short + 1], 0xA0761D6478BD642F)
+        whole = tv.mix(c.w_count[short].astype(U), 0xA0761D6478BD642F)
+        for j in range(words - 1):
+            more = np.flatnonzero(c.w_count[short] > j)
+            whole[more] = tv.join(whole[more], wh[c.w_from[short[more]] + j])
         doc, h = np.concatenate((doc, short)), np.concatenate((h, whole))
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
@@ -112,30 +115,49 @@ def _signatures(words: int):
     return run
 
 
-STAR = "bkey long, c long, c0 long"
+STAR = "bkey long, c long, n long, c0 long, edge boolean"
 
 
 def _stars(batches):
-    """Sorted rows of a range: each member of a key with the key's first member; the ends of the range with themselves."""
-    first = None
-    opened = False
+    """Sorted rows of a range: the members of each key that has two or more, with the key's first member.
+
+    The range may start and end inside a key: its first and its last key are
+    given whatever their members, and once more as edges.
+    """
+
+    def rows(b, c, n, c0, edge):
+        return pa.RecordBatch.from_arrays([*(pa.array(np.atleast_1d(x)) for x in (b, c, n, c0)), pa.array(np.full(np.size(b), edge))], names=["bkey", "c", "n", "c0", "edge"])
+
+    lead = None  # the key at work: key, first member, its set's size
+    given = True  # whether that member has its own row already
     for batch in batches:
-        b, c = (batch.column(i).to_numpy() for i in range(2))
+        b, c, n = (batch.column(i).to_numpy() for i in range(3))
         if not len(b):
             continue
-        if not opened:  # the range may start inside a key
-            opened = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in (b[0], c[0], c[0])], names=["bkey", "c", "c0"])
+        if lead is None:
+            lead = (b[0], c[0], n[0])
+            yield rows(b[0], c[0], n[0], c[0], True)
+            yield rows(b[0], c[0], n[0], c[0], False)
+            given, b, c, n = True, b[1:], c[1:], n[1:]
+            if not len(b):
+                continue
         at = tv.group_starts(b)
         size = np.diff(np.append(at, len(b)))
         c0 = np.repeat(c[at], size)
-        if first is not None and first[0] == b[0]:
-            c0[: size[0]] = first[1]
-        use = c0 != c
-        first = (b[-1], c0[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (b, c, c0)], names=["bkey", "c", "c0"])
-    if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in (first[0], first[1], first[1])], names=["bkey", "c", "c0"])
+        alone = np.repeat(size == 1, size)
+        if b[0] == lead[0]:
+            c0[: size[0]] = lead[1]
+            alone[: size[0]] = False
+            if not given:
+                yield rows(lead[0], lead[1], lead[2], lead[1], False)
+                given = True
+        if len(at) > 1 or b[0] != lead[0]:
+            lead, given = (b[-1], c[at[-1]], n[at[-1]]), size[-1] > 1
+        yield rows(b[~alone], c[~alone], n[~alone], c0[~alone], False)
+    if lead is not None:
+        if not given:
+            yield rows(lead[0], lead[1], lead[2], lead[1], False)
+        yield rows(lead[0], lead[1], lead[2], lead[1], True)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -171,43 +193,50 @@ def _estimated(percent: int):
     return run
 
 
-#: Members of a key that are compared in one go; larger keys are compared block by block.
-BLOCK = 4096
+#: Members of a key, and shingles in their sets, that stand on one side of a comparison in memory.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 4096, 1 << 20
+#: Parts into which the members of a key are dealt where a key's own row must meet them.
+SALTS = 16
 
 
 def _groups(batches):
-    """Runs of rows with equal (bkey, i, j), as lists of columns' values behind these three."""
+    """Runs of rows with equal (bkey, i, j): that key, then the run as a table."""
     held, key = [], None
     for batch in batches:
-        for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if row[:3] != key:
-                if held:
-                    yield key, list(zip(*held, strict=True))
-                held, key = [], row[:3]
-            held.append(row[3:])
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(3)]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+        at = np.append(np.flatnonzero(new), batch.num_rows).tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            this = tuple(int(x[a]) for x in columns)
+            if held and this != key:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = this
+            held.append(batch.slice(a, b - a))
     if held:
-        yield key, list(zip(*held, strict=True))
+        yield key, pa.Table.from_batches(held).combine_chunks()
 
 
 def _across(percent: int):
-    """Members of keys with an estimated pair in another component."""
+    """Members of a block with an estimated pair in another component: each right one is compared with all left ones."""
 
     def run(batches):
         low = lowest_estimate(percent)
-        for key, (c, comp, n, regs) in _groups(batches):
-            comp, n = np.array(comp), np.array(n)
-            order = np.argsort(comp, kind="stable")
-            comp, n = comp[order], n[order]
-            regs = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, KEPT)[order]
-            after = np.searchsorted(comp, comp, "right")
-            hit = np.zeros(len(comp), bool)
-            for i in range(len(comp)):
-                if after[i] < len(comp):
-                    found = estimate(regs[i], regs[after[i] :], n[i], n[after[i] :]) >= low
-                    hit[after[i] :] |= found
-                    hit[i] |= found.any()
-            at = order[hit]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(at), pa.int64()) for x in key), pa.array(np.array(c, np.int64)[at]), pa.array(comp[hit])], names=["bkey", "i", "j", "c", "m"])
+        for key, x in _groups(batches):
+            right, c, m, n = (x.column(name).to_numpy() for name in ("right", "c", "m", "n"))
+            regs = np.frombuffer(b"".join(x.column("regs").to_pylist()), np.uint16).reshape(-1, KEPT)
+            left = np.flatnonzero(~right)
+            hit = np.zeros(len(c), bool)
+            for r in np.flatnonzero(right):
+                other = left[m[left] != m[r]]
+                found = other[estimate(regs[r], regs[other], n[r], n[other]) >= low]
+                hit[found] = True
+                hit[r] |= len(found) > 0
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(int(hit.sum()), v)) for v in key), *(pa.array(v[hit]) for v in (right, c, m))], names=["bkey", "i", "j", "right", "c", "m"])
 
     return run
 
@@ -224,67 +253,74 @@ def _sets(words: int):
 
 
 def _joined(percent: int):
-    """Links that unite the components in a key, on full sets: a row's intersections with all others at once."""
+    """Links that unite components of a block, on full sets: a right one's intersections with all left ones at once."""
 
     def run(batches):
-        for _, (c, comp, sets) in _groups(batches):
-            sets = [np.frombuffer(x, U) for x in sets]
-            sizes = np.array([len(x) for x in sets])
+        for _, x in _groups(batches):
+            right, m = x.column("right").to_numpy(), x.column("m").to_numpy()
+            sets = [np.frombuffer(h, U) for h in x.column("h").to_pylist()]
+            left = np.flatnonzero(~right)
+            if not len(left) or len(left) == len(m):
+                continue
+            sizes = np.array([len(sets[i]) for i in left])
             starts = np.cumsum(sizes) - sizes
-            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            flag = np.zeros(int(codes.max()) + 1, bool)
-            root = np.unique(comp, return_inverse=True)[1]
+            known, codes = np.unique(np.concatenate([sets[i] for i in left]), return_inverse=True)
+            flag = np.zeros(len(known), bool)
+            roots, root = np.unique(m, return_inverse=True)
             links = []
-            for i in range(len(c)):
-                own = codes[starts[i] : starts[i] + sizes[i]]
+            for r in np.flatnonzero(right):
+                if (root[left] == root[r]).all():
+                    continue
+                at = np.minimum(np.searchsorted(known, sets[r]), len(known) - 1)
+                own = at[known[at] == sets[r]]
                 flag[own] = True
                 both = np.add.reduceat(flag[codes], starts, dtype=np.int64)
                 flag[own] = False
-                for j in np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (root != root[i])):
-                    if root[j] != root[i]:
-                        links.append((c[i], c[j]))
-                        root[root == root[j]] = root[i]
-                if (root == root[0]).all():
-                    break
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+                for i in left[(100 * both >= percent * (sizes + len(sets[r]) - both)) & (root[left] != root[r])]:
+                    if root[i] != root[r]:
+                        links.append((roots[root[r]], roots[root[i]]))
+                        root[root == root[i]] = root[r]
+            yield pa.RecordBatch.from_arrays([pa.array([y[k] for y in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def _verified(words: int, percent: int):
-    """Pairs with both texts: those whose full sets are similar enough."""
+def _verified(percent: int):
+    """Pairs with both full sets: those that are similar enough."""
 
     def run(batches):
         for batch in batches:
             x = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            (b1, o1), (b2, o2) = tv.flat(x["t1"]), tv.flat(x["t2"])
-            total, i, n = o1 + o2, 0, batch.num_rows
+            sets = [[np.frombuffer(h, U) for h in x[y].to_pylist()] for y in ("h1", "h2")]
+            total, i, n = np.cumsum([0, *(len(a) + len(b) for a, b in zip(*sets, strict=True))]), 0, batch.num_rows
             while i < n:
-                j = max(i + 1, int(np.searchsorted(total, total[i] + tv.CHUNK_BYTES, "right")) - 1)
-                sets = [shingle_sets(tv.Chunk(b[o[i] : o[j]], o[i : j + 1] - o[i], i), words) for b, o in ((b1, o1), (b2, o2))]
-                sizes = sum(np.bincount(d, minlength=j - i) for d, _ in sets)
-                d, h = (np.concatenate(y) for y in zip(*sets, strict=True))
+                j = max(i + 1, int(np.searchsorted(total, total[i] + (tv.CHUNK_BYTES >> 3), "right")) - 1)
+                d = np.concatenate([np.repeat(np.arange(j - i), [len(h) for h in y[i:j]]) for y in sets])
+                h = np.concatenate([h for y in sets for h in y[i:j]])
                 order = np.lexsort((h, d))
                 d, h = d[order], h[order]
                 both = np.bincount(d[1:][(d[1:] == d[:-1]) & (h[1:] == h[:-1])], minlength=j - i) if len(d) else np.zeros(j - i, np.int64)
-                use = (both > 0) & (100 * both >= percent * (sizes - both))
+                use = (both > 0) & (100 * both >= percent * (np.diff(total[i : j + 1]) - both))
                 yield pa.RecordBatch.from_arrays([pa.array(x[y].to_numpy()[i:j][use]) for y in ("c", "c0")], names=["u", "v"])
                 i = j
 
     return run
 
 
-#: Bits of the filter that keeps texts nobody asks for out of the joins, and of one of its segments: a fixed size, 4 MB.
-FILTER_BITS, SEGMENT_BITS = 25, 19
+#: Bits of the filter for each text asked for, and its size at least and at most, as powers of two; it is sent in segments.
+FILTER_EACH, FILTER_LEAST, FILTER_MOST, SEGMENT_BITS = 16, 20, 28, 19
 
 
-def _segments(batches):
-    for batch in batches:
-        at = np.unique((batch.column(0).to_numpy().view(U) & U((1 << FILTER_BITS) - 1)).astype(np.int64))
-        for segment in np.unique(at >> SEGMENT_BITS):
-            bits = np.zeros(1 << SEGMENT_BITS, np.uint8)
-            bits[at[at >> SEGMENT_BITS == segment] & ((1 << SEGMENT_BITS) - 1)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([int(segment)], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+def _segments(width: int):
+    def run(batches):
+        for batch in batches:
+            at = np.unique((batch.column(0).to_numpy().view(U) & U((1 << width) - 1)).astype(np.int64))
+            for segment in np.unique(at >> SEGMENT_BITS):
+                bits = np.zeros(1 << SEGMENT_BITS, np.uint8)
+                bits[at[at >> SEGMENT_BITS == segment] & ((1 << SEGMENT_BITS) - 1)] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([int(segment)], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+
+    return run
 
 
 def _united(batches):
@@ -297,30 +333,40 @@ def _united(batches):
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
 
 
-def asked_for(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """c and text of the rows of texts (k, f, text) whose k, f stand in keys (c, k, f).
+def asked_sets(texts: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """c and the full set h of the rows of texts (k, f, text) whose k, f stand in keys (c, k, f), computed once.
 
-    A filter of a fixed number of bits, made on the executors, drops nearly all
-    other texts before the exact join; it can only keep too many.
+    A filter made on the executors drops nearly all other texts before the exact
+    join; it can only keep too many.  It has 16 bits for each key up to 32 MB in
+    all; with more keys than that it lets more texts through to the join.  Rows that repeat
+    id and text pass once per task.
     """
     spark = texts.sparkSession
-    parts = 1 << (FILTER_BITS - SEGMENT_BITS)
-    rows = keys.select(F.xxhash64("k", "f").alias("h")).mapInArrow(_segments, "segment int, bits binary").repartitionById(parts, F.col("segment")).mapInArrow(_united, "segment int, bits binary").collect()
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    n = keys.count()
+    width = min(max((FILTER_EACH * n).bit_length(), FILTER_LEAST), FILTER_MOST)
+    hashed = compact(keys.select(F.xxhash64("k", "f").alias("h")), n)
+    rows = hashed.mapInArrow(_segments(width), "segment int, bits binary").repartitionById(1 << (width - SEGMENT_BITS), F.col("segment")).mapInArrow(_united, "segment int, bits binary").collect()
+    table = np.zeros(1 << (width - 3), np.uint8)
+    size = 1 << (SEGMENT_BITS - 3)
     for segment, bits in rows:
-        width = 1 << (SEGMENT_BITS - 3)
-        table[segment * width : (segment + 1) * width] = np.frombuffer(bits, np.uint8)
+        table[segment * size : (segment + 1) * size] = np.frombuffer(bits, np.uint8)
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches):
-        bits = shared.value
+        bits, seen = shared.value, set()
         for batch in batches:
-            at = (batch.column(0).to_numpy().view(U) & U((1 << FILTER_BITS) - 1)).astype(np.int64)
-            use = (bits[at >> 3] >> (7 - (at & 7))) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=["k", "f", "text"]).filter(pa.array(use == 1))
+            h = batch.column(0).to_numpy()
+            at = (h.view(U) & U((1 << width) - 1)).astype(np.int64)
+            use = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7))) & 1)
+            # the filter's own hash stands for id and text here only as far as both are equal
+            rows = list(zip(*(batch.column(i).to_numpy()[use].tolist() for i in (1, 2)), strict=True))
+            new = [i for i, row in zip(use.tolist(), rows, strict=True) if not (row in seen or seen.add(row))]
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=["k", "f", "text"]).take(pa.array(new, pa.int64()))
 
     kept = texts.select(F.xxhash64("k", "f").alias("h"), "k", "f", "text").mapInArrow(run, "k long, f long, text string")
-    return kept.join(keys, ["k", "f"]).select("c", "text")
+    sets = saved(kept.join(keys, ["k", "f"]).select("c", "text").mapInArrow(_sets(words), "c long, h binary").dropDuplicates(["c"]))
+    shared.destroy()
+    return sets
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
@@ -345,55 +391,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = full.groupBy("s1", "s2", "n").agg(lead.alias("lead"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     # c numbers the classes, in no order; k and f are those of the class's first document
     classes = saved(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n", F.col("lead.k").alias("k"), F.col("lead.f").alias("f"), "regs", "bands"))
+    leads = classes.select("c", "k", "f")
 
-    met = classes.select(F.explode("bands").alias("bkey"), "c").repartitionByRange(parts, "bkey", "c").sortWithinPartitions("bkey", "c").mapInArrow(_stars, STAR)
-    # a key that spans ranges has a first member in each: the smallest of them links them
-    met = saved(met)
-    own, ends = met.filter("c <> c0"), met.filter("c = c0").distinct()
-    least = ends.groupBy("bkey").agg(F.min("c0").alias("m"), F.count("*").alias("n")).filter("n > 1")
-    bridged = ends.join(least, "bkey").select("bkey", "c", F.col("m").alias("c0")).filter("c <> c0")
-    stars = saved(own.union(bridged))
+    met = saved(classes.select(F.explode("bands").alias("bkey"), "c", "n").repartitionByRange(parts, "bkey", "c").sortWithinPartitions("bkey", "c").mapInArrow(_stars, STAR))
+    keys = met.filter("NOT edge").drop("edge")
+    # a key that spans ranges has a first member in each, two rows of a range at most: the smallest of them links them
+    least: dict[int, set[int]] = {}
+    for key, c0 in met.filter("edge").select("bkey", "c0").collect():
+        least.setdefault(key, set()).add(c0)
+    bridged = spark.createDataFrame([(c, min(x)) for x in least.values() for c in x if c != min(x)], "c long, c0 long")
 
     tiny = classes.select("c", "n", "regs")
     one, two = (tiny.select(F.col("c").alias(c), F.col("n").alias(n), F.col("regs").alias(r)) for c, n, r in (("c", "n1", "r1"), ("c0", "n2", "r2")))
-    pairs = stars.select("c", "c0").distinct().join(one, "c").join(two, "c0")
-    likely = saved(pairs.mapInArrow(_estimated(percent), "c long, c0 long, est double"))
-    texts = base.select("k", "f", "text")
-    leads = classes.select("c", "k", "f")
-
-    def verified(some: DataFrame) -> DataFrame:
-        some = saved(some.select("c", "c0").distinct())
-        needed = some.select("c").union(some.select("c0")).distinct().join(leads, "c")
-        found = asked_for(texts, needed)
-        with_one = some.join(found.withColumnRenamed("text", "t1"), "c")
-        with_two = with_one.join(found.select(F.col("c").alias("c0"), F.col("text").alias("t2")), "c0")
-        return saved(with_two.mapInArrow(_verified(words, percent), "u long, v long"))
-
-    best = likely.groupBy("c").agg(F.max_by("c0", F.struct("est", -F.col("c0"))).alias("c0"))
-    links = verified(best)
-    found = saved(components(links))
+    pairs = keys.select("c", "c0").filter("c <> c0").union(bridged).distinct().join(one, "c").join(two, "c0")
+    likely = pairs.mapInArrow(_estimated(percent), "c long, c0 long, est double")
+    best = saved(likely.groupBy("c").agg(F.max_by("c0", F.struct("est", -F.col("c0"))).alias("c0")))
+    needed = saved(leads.join(keys.select("c").distinct(), "c"))
+    sets = asked_sets(base.select("k", "f", "text"), needed, words)
+    verified = best.join(sets.withColumnRenamed("h", "h1"), "c").join(sets.select(F.col("c").alias("c0"), F.col("h").alias("h2")), "c0")
+    found = components(saved(verified.mapInArrow(_verified(percent), "u long, v long")))
 
     grouped = lambda x: x.repartition(parts, "bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
 
-    def across(some: DataFrame) -> DataFrame:
-        """Links between members of a key that lie in different components so far: all pairs across these are compared."""
-
-        def labelled(x: DataFrame, column: str, name: str) -> DataFrame:
-            return x.join(found.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-
-        unequal = labelled(labelled(some, "c", "m1"), "c0", "m2")
-        again = unequal.join(unequal.filter("m1 <> m2").select("bkey").distinct(), "bkey", "left_semi")
-        members = again.select("bkey", "c", F.col("m1").alias("m")).union(again.select("bkey", F.col("c0").alias("c"), F.col("m2").alias("m"))).distinct()
-        blocks = members.groupBy("bkey").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        members = members.join(blocks, "bkey").withColumn("b", F.pmod(F.xxhash64("c"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        members = members.select("bkey", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c", "m")
-        near = saved(grouped(members.join(tiny, "c").select("bkey", "i", "j", "c", "m", "n", "regs")).mapInArrow(_across(percent), "bkey long, i long, j long, c long, m long"))
-        sets = asked_for(texts, near.select("c").distinct().join(leads, "c")).dropDuplicates(["c"]).mapInArrow(_sets(words), "c long, h binary")
-        return saved(grouped(near.join(sets, "c").select("bkey", "i", "j", "c", "m", "h")).mapInArrow(_joined(percent), "u long, v long"))
+    def across(some: DataFrame, found: DataFrame) -> DataFrame:
+        """Links between components that share a key; members outside a key's largest component are compared with all its members."""
+        x = some.join(found.select(F.col("node").alias("c"), F.col("component").alias("m")), "c", "left").select("bkey", "c", "n", F.coalesce("m", "c").alias("m"))
+        counts = x.groupBy("bkey", "m").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+        per = counts.groupBy("bkey").agg(F.max_by(F.struct("m", "members", "weight"), F.struct("members", "m")).alias("main"), F.count("*").alias("of"), F.sum("members").alias("members"), F.sum("weight").alias("weight")).filter("of > 1")
+        sides = lambda members, weight: F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(weight / BLOCK_SHINGLES))
+        per = per.select("bkey", F.col("main.m").alias("main"), sides(F.col("members"), F.col("weight")).alias("lefts"), sides(F.col("members") - F.col("main.members"), F.col("weight") - F.col("main.weight")).alias("rights"))
+        salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        x = x.withColumn("salt", F.pmod(F.hash("c"), F.lit(SALTS)).cast("int")).join(salted, ["bkey", "salt"])
+        places = F.expr("""concat(
+            transform(sequence(0L, rights - 1), j -> struct(pmod(xxhash64(c, 1), lefts) AS i, j AS j, false AS right)),
+            IF(m = main, cast(array() AS array<struct<i: bigint, j: bigint, right: boolean>>), transform(sequence(0L, lefts - 1), i -> struct(i AS i, pmod(xxhash64(c, 2), rights) AS j, true AS right))))""")
+        x = x.join(tiny.select("c", "regs"), "c").select("bkey", F.explode(places).alias("at"), "c", "m", "n", "regs").select("bkey", "at.i", "at.j", "at.right", "c", "m", "n", "regs")
+        near = saved(grouped(x).mapInArrow(_across(percent), "bkey long, i long, j long, right boolean, c long, m long"))
+        return saved(grouped(near.join(sets, "c").select("bkey", "i", "j", "right", "c", "m", "h")).mapInArrow(_joined(percent), "u long, v long"))
 
     # a tenth of the keys first: it unites most of a large group, whose members then needn't bring their sets to all their keys
-    for some in (stars.filter("pmod(bkey, 10) = 0"), stars):
-        found = saved(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(across(some))))
+    for some in (keys.filter("pmod(bkey, 10) = 0"), keys):
+        more = components(across(some, found))
+        # links join components: their nodes are components so far
+        nodes = found.union(more.select("node", F.col("node").alias("component"))).distinct()
+        found = saved(nodes.join(more.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component")))
 
     first = found.join(leads.withColumnRenamed("c", "node"), "node").groupBy("component").agg(lead.alias("first"))
     placed = found.join(first, "component").select(F.col("node").alias("c"), "first")
