@@ -4,12 +4,12 @@ Turns are marked by a template; control strings inside texts and roles are
 escaped so that they can be read back exactly.  Running sums of the turns' tokens
 cut a conversation into spans that start and end with turns.  Each span
 becomes one window: the leading system turn first, then at most ``history`` turns
-before the span (repeated, within a budget of their own), then the span itself.
+before the span, as far as the budget has room, then the span itself.
 Only assistant texts of the span itself are under the loss mask, so a target that a
 later window repeats is masked there and counts once.
 
-The windows are bounded by the budget and are grouped by conversation and span, so
-a conversation of very many turns is spread over many groups.
+A conversation is worked on in blocks of turn numbers, so a very long one is
+spread over many tasks; only one small row per block knows its system turn.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # The template's control strings.
 OPEN, SHUT, END, START = "[INST]", "[/INST]", "</s>", "<s>"
 TARGET, SYSTEM = "assistant", "system"
+#: A block of a conversation holds 2**10 turn numbers.
+BLOCK_BITS = 10
 
 
 def escape(text: Column) -> Column:
@@ -41,55 +43,77 @@ def turn_tokens(text: Column) -> Column:
 
 
 def chat_windows(conversations: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame:
-    """Windows of conversations: conv_id, window, n_context, formatted, mask, tokens.
+    """Windows of conversations: conv_id, block, window, n_context, formatted, mask, tokens.
 
     Rows of conversations: conv_id, turn, role, text; turns are taken by turn
     number, ties by role and text, and a null number first.  A null text or role
-    is empty; a null conv_id is a conversation of its own.  A span starts in each
-    budget / 2 of the running sum, so its last turn may reach past it; one turn is
-    never cut.  n_context is the number of turns that are repeated, mask the
-    (start, length) of targets in formatted, in code points.  Other columns
-    are ignored; no rows in, no rows out.
+    is empty; a null conv_id is a conversation of its own.  With half of what
+    the system turn leaves of the budget as the step, a span is the turns that
+    start in one step of the running sum; a turn longer than a step is a
+    span by itself, and a turn is never cut.  So tokens exceed the budget only where a single
+    turn and the system turn do by themselves.  Spans end with their block of 1024
+    turn numbers, whose first window repeats the system turn alone; windows
+    are ordered by block and window.  n_context is the number of turns that
+    are repeated, mask the (start, length) of targets in formatted, in code
+    points.  Other columns are ignored; no rows in, no rows out.
     """
-    by_turn = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    x = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", turn_tokens(F.col("text")))
-    x = x.withColumns({"at": F.row_number().over(by_turn), "before": F.coalesce(F.sum("n").over(by_turn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
-    x = x.withColumn("span", F.floor(F.col("before") / (budget // 2)))
-    # spans numbered without gaps
-    x = x.withColumn("new", (F.col("span") != F.coalesce(F.lag("span").over(W.partitionBy("conv_id").orderBy("at")), F.lit(-1))).cast("long"))
-    x = x.withColumn("window", F.sum("new").over(W.partitionBy("conv_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)) - 1)
-    inside = W.partitionBy("conv_id", "window").orderBy(F.col("at").desc())
-    x = x.withColumns({"from_end": F.row_number().over(inside), "to_end": F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, 0)), "last": F.max("window").over(W.partitionBy("conv_id"))})
-    leading = (F.col("at") == 1) & (F.col("role") == SYSTEM)
-    repeats = F.when(leading & (F.col("last") > 0), F.sequence(F.col("window") + 1, F.greatest("last", F.col("window") + 1))).when(~leading & (F.col("window") < F.col("last")) & (F.col("from_end") <= history) & (F.col("to_end") <= budget // 4), F.array(F.col("window") + 1)).otherwise(F.array().cast("array<bigint>"))
-    x = x.withColumn("shown", F.concat(F.array("window"), repeats)).withColumn("shown", F.explode("shown"))
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SHUT))
-    piece = F.struct("at", (F.col("shown") != F.col("window")).alias("again"), ((F.col("shown") == F.col("window")) & (F.col("role") == TARGET)).alias("target"), head.alias("head"), escape(F.col("text")).alias("body"), "n")
-    grouped = x.groupBy("conv_id", F.col("shown").alias("window")).agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    by_turn = W.partitionBy("key", "block").orderBy("turn", "role", "text")
+    upto = by_turn.rowsBetween(W.unboundedPreceding, 0)
+    # a struct, which is equal to itself where conv_id is null
+    x = conversations.select(F.struct("conv_id").alias("key"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    x = x.withColumns({"n": turn_tokens(F.col("text")), "block": F.coalesce(F.shiftright("turn", BLOCK_BITS), F.lit(-(1 << 62)))})
+    x = x.withColumns({"at": F.row_number().over(by_turn), "before": F.sum("n").over(upto) - F.col("n")})
+
+    opening = x.filter("at = 1")
+    system = opening.groupBy("key").agg(F.min("block").alias("first"), F.min_by(F.struct("role", "text", "n"), "block").alias("system")).filter(F.col("system.role") == SYSTEM)
+    blocks = opening.select("key", "block").join(system, "key").select("key", "block", "system", (F.col("block") == F.col("first")).alias("leads"))
+    x = x.join(blocks, ["key", "block"], "left")
+    own = F.coalesce("system.n", F.lit(0))
+    x = x.withColumns({"leads": F.coalesce("leads", F.lit(False)), "room": budget - own, "step": F.floor((budget - own) / 2)})
+    pre = F.col("before") - F.when(F.col("leads"), own).otherwise(0)
+    x = x.withColumns({"alone": F.col("n") > F.col("step"), "part": F.when(F.col("step") > 0, F.floor(pre / F.col("step"))).otherwise(0)})
+    cut = F.col("alone") | F.lag("alone").over(by_turn) | (F.col("part") != F.lag("part").over(by_turn))
+    # the leading system turn stands in the window of the turn after it
+    x = x.withColumn("starts", (F.col("at") == 1) | (cut & ~(F.col("leads") & (F.col("at") == 2))))
+    x = x.withColumns({"window": F.sum(F.col("starts").cast("long")).over(upto), "is_system": F.col("leads") & (F.col("at") == 1)})
+    x = x.withColumn("room", F.col("room") - F.sum(F.when(F.col("is_system"), 0).otherwise(F.col("n"))).over(W.partitionBy("key", "block", "window")))
+    # a turn is repeated before the spans that start within ``history`` turns and have room for all turns from it on
+    later = [(F.lead("starts", j).over(by_turn), F.lead("before", j).over(by_turn), F.lead("room", j).over(by_turn), F.lead("window", j).over(by_turn)) for j in range(1, history + 1)]
+    again = [F.when(starts & ~F.col("is_system") & (before - F.col("before") <= room), window) for starts, before, room, window in later]
+    x = x.withColumn("shown", F.array_compact(F.array("window", *again))).withColumn("shown", F.explode("shown"))
+    head = lambda role: F.concat(F.lit(OPEN), escape(role), F.lit(SHUT))
+    repeated = F.col("shown") != F.col("window")
+    piece = F.struct("at", repeated.alias("again"), (~repeated & (F.col("role") == TARGET)).alias("target"), head(F.col("role")).alias("head"), escape(F.col("text")).alias("body"), "n")
+    grouped = x.groupBy("key", "block", F.col("shown").alias("window")).agg(F.array_sort(F.collect_list(piece)).alias("p"), F.first("system").alias("system"), F.max("leads").alias("leads"))
+    lead = F.struct(F.lit(0).alias("at"), F.lit(True).alias("again"), F.lit(False).alias("target"), head(F.col("system.role")).alias("head"), escape(F.col("system.text")).alias("body"), F.col("system.n").alias("n"))
+    apart = F.col("system").isNotNull() & ~(F.col("leads") & (F.col("window") == 1))
+    grouped = grouped.withColumn("p", F.when(apart, F.concat(F.array(lead), "p")).otherwise(F.col("p")))
     masks = F.expr(f"""
         aggregate(p, named_struct('at', 0, 'mask', cast(array() as array<struct<start:int,length:int>>)),
             (a, x) -> named_struct('at', a.at + length(x.head) + length(x.body) + {len(END)},
                 'mask', IF(x.target, concat(a.mask, array(named_struct('start', a.at + length(x.head), 'length', length(x.body)))), a.mask)),
             a -> a.mask)""")
-    return grouped.select("conv_id", "window", F.size(F.filter("p", lambda t: t["again"])).alias("n_context"), F.concat_ws("", F.transform("p", lambda t: F.concat(t["head"], t["body"], F.lit(END)))).alias("formatted"), masks.alias("mask"), F.aggregate("p", F.lit(0).cast("long"), lambda a, t: a + t["n"]).alias("tokens"))
+    return grouped.select(F.col("key.conv_id").alias("conv_id"), "block", "window", F.size(F.filter("p", lambda t: t["again"])).alias("n_context"), F.concat_ws("", F.transform("p", lambda t: F.concat(t["head"], t["body"], F.lit(END)))).alias("formatted"), masks.alias("mask"), F.aggregate("p", F.lit(0).cast("long"), lambda a, t: a + t["n"]).alias("tokens"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """What the formatted windows say: conv_id, window, turns (array of role, text), targets (texts under the mask)."""
+    """What the formatted windows say: conv_id, block, window, turns (array of role, text), targets (texts under the mask)."""
     pieces = F.split("formatted", END, -1)
     own = F.slice(pieces, F.col("n_context") + 1, F.greatest(F.size(pieces) - 1 - F.col("n_context"), F.lit(0)))
     turns = F.transform(own, lambda p: F.struct(unescape(F.regexp_replace(p, r"^(?s:\[INST\](.*?)\[/INST\].*)$", "$1")).alias("role"), unescape(F.regexp_replace(p, r"^(?s:\[INST\].*?\[/INST\])", "")).alias("text")))
     targets = F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"])))
-    return windows.select("conv_id", "window", "formatted", turns.alias("turns"), targets.alias("targets"))
+    return windows.select("conv_id", "block", "window", "formatted", turns.alias("turns"), targets.alias("targets"))
 
 
 def digests(windows: DataFrame) -> DataFrame:
     """Per conversation, from read_back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     A digest of a whole conversation needs its text in one row, so this check
-    gathers each conversation once more; the windows themselves don't.
+    gathers each conversation once more; the windows themselves don't.  A null
+    conv_id is a conversation of its own; repeated rows are turns of their own;
+    no windows, no rows.
     """
-    x = read_back(windows).select("conv_id", F.struct("window", F.size("turns").alias("n"), F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))).alias("said"), F.concat_ws("", "targets").alias("loss"), F.length("formatted").alias("chars")).alias("w"))
+    x = read_back(windows).select("conv_id", F.struct("block", "window", F.size("turns").alias("n"), F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))).alias("said"), F.concat_ws("", "targets").alias("loss"), F.length("formatted").alias("chars")).alias("w"))
     x = x.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
     loss = F.concat_ws("", F.transform("w", lambda w: w["loss"]))
     total = lambda field: F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + w[field])
