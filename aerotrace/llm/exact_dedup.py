@@ -1,15 +1,15 @@
 """Exact deduplication by counting quotient filters with byte verification.
 
-Every chunk of documents builds a counting quotient filter over 64-bit
-fingerprints: the quotient selects a run, runs keep sorted remainders with
-counts.  Filters are cut by quotient range, and the ranges of all chunks merge
-losslessly, since runs are sorted.  A fingerprint counted once belongs to a
-unique document, which needs no further work; the others route their documents
-to a comparison of whole normalised texts.
-
-Hot texts: a text that a third of all rows hold is one counter per chunk in the
-filters and one row per chunk in the comparison; only ids and digests travel per
-document, in a join that adaptive execution can split.
+Every partition builds a counting quotient filter over the 64-bit fingerprints
+of its documents: the quotient selects a run, runs keep sorted remainders of 48
+bits with counts.  Filters are cut by quotient range, and the ranges of all
+partitions merge losslessly, remainder by remainder, since runs are sorted.  A
+fingerprint counted once belongs to a unique document, whose text stays where it
+is; the others route their documents to a comparison of whole normalised texts.
+
+Hot texts: a text that a third of all rows hold is one counter per partition in
+the filters and one row per chunk in the comparison; only ids and digests travel
+per document, in a join that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import keyfilter
 from . import textvec as tv
 from .common import id_of, key_of, saved, shuffle_partitions
 
@@ -31,6 +32,7 @@ class QuotientFilter:
     """Counts of 64-bit fingerprints between two quotients: run lengths, sorted remainders, counts."""
 
     QUOTIENT_BITS = 16
+    REMAINDER_BYTES = 6
 
     def __init__(self, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray, first: int = 0):
         self.runs, self.remainders, self.counts, self.first = runs, remainders, counts, first
@@ -59,8 +61,27 @@ class QuotientFilter:
                 yield i, QuotientFilter(self.runs[edges[i] : edges[i + 1]], self.remainders[at[i] : at[i + 1]], self.counts[at[i] : at[i + 1]], int(edges[i]))
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        """The filter of both inputs; no fingerprint or count is lost."""
-        return QuotientFilter.build(np.concatenate((self.fingerprints(), other.fingerprints())), np.concatenate((self.counts, other.counts)), self.first, len(self.runs))
+        """The filter of both inputs; no fingerprint or count is lost.  Sorted remainders are merged run by run, nothing is sorted again."""
+        a, b = self.fingerprints(), other.fingerprints()
+        at_a, at_b = np.arange(len(a)) + np.searchsorted(b, a, "left"), np.arange(len(b)) + np.searchsorted(a, b, "right")
+        remainders, counts, both = np.empty(len(a) + len(b), U), np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), U)
+        for at, x, fingerprints in ((at_a, self, a), (at_b, other, b)):
+            remainders[at], counts[at], both[at] = x.remainders, x.counts, fingerprints
+        new = tv.group_starts(both)
+        doubled = np.searchsorted(a, b, "right") > np.searchsorted(a, b, "left")
+        quotients = np.repeat(np.arange(len(self.runs)), other.runs)
+        runs = self.runs + other.runs - np.bincount(quotients[doubled], minlength=len(self.runs)).astype(np.uint32)
+        return QuotientFilter(runs, remainders[new], np.add.reduceat(counts, new) if len(new) else counts, self.first)
+
+    def packed(self) -> tuple[int, bytes, bytes, bytes]:
+        """First quotient, run lengths, remainders of 6 bytes each, counts."""
+        return self.first, self.runs.tobytes(), self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.REMAINDER_BYTES].tobytes(), self.counts.tobytes()
+
+    @classmethod
+    def unpacked(cls, first: int, runs: bytes, remainders: bytes, counts: bytes) -> QuotientFilter:
+        wide = np.zeros((len(remainders) // cls.REMAINDER_BYTES, 8), np.uint8)
+        wide[:, : cls.REMAINDER_BYTES] = np.frombuffer(remainders, np.uint8).reshape(-1, cls.REMAINDER_BYTES)
+        return cls(np.frombuffer(runs, np.uint32), wide.view("<u8").ravel(), np.frombuffer(counts, np.int64), first)
 
 
 def normalised(c: tv.Chunk) -> list[bytes]:
@@ -89,12 +110,16 @@ def _digests(batches):
 
 
 def _filters(parts: int):
+    """The filter of a partition, cut into ranges."""
+
     def run(batches):
-        for batch in batches:
-            q = QuotientFilter.build(_column(batch, "fp").to_numpy().view(U), _column(batch, "n").to_numpy())
-            rows = [(i, x.first, x.runs.tobytes(), x.remainders.tobytes(), x.counts.tobytes()) for i, x in q.ranges(parts)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["pid", "first", "runs", "remainders", "counts"])
+        held = [(_column(batch, "fp").to_numpy().view(U), _column(batch, "n").to_numpy()) for batch in batches]
+        if not held:
+            return
+        q = QuotientFilter.build(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        rows = [(i, *x.packed()) for i, x in q.ranges(parts)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["pid", "first", "runs", "remainders", "counts"])
 
     return run
 
@@ -103,8 +128,8 @@ def _merged(batches):
     """Merges the filters of one range pairwise, like equal powers of two; yields what is counted twice or more."""
     stack: list[tuple[int, QuotientFilter]] = []
     for batch in batches:
-        for _, first, runs, remainders, counts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            new = (1, QuotientFilter(np.frombuffer(runs, np.uint32), np.frombuffer(remainders, U), np.frombuffer(counts, np.int64), first))
+        for _, *packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            new = (1, QuotientFilter.unpacked(*packed))
             while stack and stack[-1][0] <= new[0]:
                 n, q = stack.pop()
                 new = (n + new[0], q.merge(new[1]))
@@ -116,24 +141,31 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([pa.array(q.fingerprints()[q.counts > 1].view(np.int64))], names=["fp"])
 
 
-def _texts(batches):
-    """Per chunk one row for each distinct normalised text, with its smallest id and count."""
-    for batch in batches:
-        ks = _column(batch, "k").to_numpy()
-        for c in tv.chunks(_column(batch, "text")):
-            held: dict[bytes, list[int]] = {}
-            for i, t in enumerate(normalised(c)):
-                k = int(ks[c.first + i])
-                if t in held:
-                    x = held[t]
-                    x[0], x[1] = min(x[0], k), x[1] + 1
-                else:
-                    held[t] = [k, 1]
-            digests = [hashlib.sha256(t).digest() for t in held]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(d[:8] for d in digests), ">i8").astype(np.int64)), pa.array([d.hex() for d in digests]), pa.array(list(held), pa.binary()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64())],
-                names=["fp", "sha", "norm", "k", "n"],
-            )
+def _texts(often):
+    """Per chunk one row for each distinct normalised text that the filter of repeated fingerprints may hold, with its smallest id and count."""
+
+    def run(batches):
+        for batch in batches:
+            ks = _column(batch, "k").to_numpy()
+            for c in tv.chunks(_column(batch, "text")):
+                held: dict[bytes, list[int]] = {}
+                for i, t in enumerate(normalised(c)):
+                    k = int(ks[c.first + i])
+                    if t in held:
+                        x = held[t]
+                        x[0], x[1] = min(x[0], k), x[1] + 1
+                    else:
+                        held[t] = [k, 1]
+                digests = [hashlib.sha256(t).digest() for t in held]
+                fp = np.frombuffer(b"".join(d[:8] for d in digests), ">i8").astype(np.int64)
+                use = keyfilter.passes(often.value, fp)
+                of = lambda values, kind: pa.array([x for x, u in zip(values, use, strict=True) if u], kind)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fp[use]), of([d.hex() for d in digests], pa.string()), of(held, pa.binary()), of([x[0] for x in held.values()], pa.int64()), of([x[1] for x in held.values()], pa.int64())],
+                    names=["fp", "sha", "norm", "k", "n"],
+                )
+
+    return run
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,15 +180,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(key_of(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
     rows = saved(base.mapInArrow(_digests, "k long, fp long, sha string").groupBy("k", "fp", "sha").agg(F.count("*").alias("n")))
     often = rows.select("fp", "n").mapInArrow(_filters(parts), "pid int, first int, runs binary, remainders binary, counts binary").repartitionById(parts, F.col("pid")).mapInArrow(_merged, "fp long")
-    groups = base.mapInArrow(_texts, "fp long, sha string, norm binary, k long, n long").join(often, "fp", "left_semi").groupBy("fp", "norm").agg(F.first("sha").alias("sha"), F.min("k").alias("keep"), F.sum("n").alias("size")).select("sha", "keep", "size")
+    often = saved(often)
+    groups = base.mapInArrow(_texts(keyfilter.build(often, often.count())), "fp long, sha string, norm binary, k long, n long").join(often, "fp", "left_semi").groupBy("fp", "norm").agg(F.first("sha").alias("sha"), F.min("k").alias("keep"), F.sum("n").alias("size")).select("sha", "keep", "size")
     told = rows.join(groups, "sha", "left").select("k", "sha", F.coalesce("keep", "k").alias("keep"), F.coalesce("size", "n").alias("group_size"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     return told.select(id_of("k").alias(id_col), id_of("keep").alias("keep_id"), "group_size", ((F.col("k") == F.col("keep")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col(id_col), key_of(id_col)).alias("__k"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    named = docs.withColumns({"__k": key_of(id_col), "__sha": sha}).join(kept, ["__k", "__sha"], "left_semi")
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
+
+    A null text is empty; of rows that repeat both id and text one stays; no rows
+    in, no rows out.
+    """
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(key_of(id_col).alias("k"), F.col("text_sha256").alias("sha"))
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    named = docs.select(key_of(id_col).alias("k"), sha.alias("sha"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(kept, ["k", "sha"], "left_semi")
     # rows that repeat both id and text are interchangeable: one of them stays
-    return named.dropDuplicates(["__k", "__sha"]).drop("__k", "__sha")
+    return named.dropDuplicates(["k", "sha"]).select("row.*")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import keyfilter
 from . import textvec as tv
 from .common import id_of, key_of, saved, shuffle_partitions
 from .components import compact, components
@@ -307,58 +308,19 @@ def _verified(percent: int):
     return run
 
 
-#: Bits of the filter for each text asked for, and its size at least and at most, as powers of two; it is sent in segments.
-FILTER_EACH, FILTER_LEAST, FILTER_MOST, SEGMENT_BITS = 16, 20, 28, 19
-
-
-def _segments(width: int):
-    def run(batches):
-        for batch in batches:
-            at = np.unique((batch.column(0).to_numpy().view(U) & U((1 << width) - 1)).astype(np.int64))
-            for segment in np.unique(at >> SEGMENT_BITS):
-                bits = np.zeros(1 << SEGMENT_BITS, np.uint8)
-                bits[at[at >> SEGMENT_BITS == segment] & ((1 << SEGMENT_BITS) - 1)] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([int(segment)], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
-
-    return run
-
-
-def _united(batches):
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for segment, bits in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            new = np.frombuffer(bits, np.uint8)
-            held[segment] = held[segment] | new if segment in held else new
-    for segment, bits in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
-
-
 def asked_sets(texts: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     """c and the full set h of the rows of texts (k, f, text) whose k, f stand in keys (c, k, f), computed once.
 
-    A filter made on the executors drops nearly all other texts before the exact
-    join; it can only keep too many.  It has 16 bits for each key up to 32 MB in
-    all; with more keys than that it lets more texts through to the join.  Rows that repeat
+    A filter keeps nearly all other texts out of the exact join.  Rows that repeat
     id and text pass once per task.
     """
-    spark = texts.sparkSession
     n = keys.count()
-    width = min(max((FILTER_EACH * n).bit_length(), FILTER_LEAST), FILTER_MOST)
-    hashed = compact(keys.select(F.xxhash64("k", "f").alias("h")), n)
-    rows = hashed.mapInArrow(_segments(width), "segment int, bits binary").repartitionById(1 << (width - SEGMENT_BITS), F.col("segment")).mapInArrow(_united, "segment int, bits binary").collect()
-    table = np.zeros(1 << (width - 3), np.uint8)
-    size = 1 << (SEGMENT_BITS - 3)
-    for segment, bits in rows:
-        table[segment * size : (segment + 1) * size] = np.frombuffer(bits, np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    shared = keyfilter.build(compact(keys.select(F.xxhash64("k", "f").alias("h")), n), n)
 
     def run(batches):
-        bits, seen = shared.value, set()
+        seen = set()
         for batch in batches:
-            h = batch.column(0).to_numpy()
-            at = (h.view(U) & U((1 << width) - 1)).astype(np.int64)
-            use = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7))) & 1)
-            # the filter's own hash stands for id and text here only as far as both are equal
+            use = np.flatnonzero(keyfilter.passes(shared.value, batch.column(0).to_numpy()))
             rows = list(zip(*(batch.column(i).to_numpy()[use].tolist() for i in (1, 2)), strict=True))
             new = [i for i, row in zip(use.tolist(), rows, strict=True) if not (row in seen or seen.add(row))]
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=["k", "f", "text"]).take(pa.array(new, pa.int64()))
