@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .bpe import chunk_ids, vocabulary
+from .common import saved
 
 #: Lengths per range of the two-level sums.
 RANGE = 1024
@@ -36,8 +37,9 @@ def _lengths(path: str):
 
 def length_histogram(docs: DataFrame, vocab: str, text_col: str = "text") -> DataFrame:
     """n_tokens, n_docs: one row per encoded length; a null or empty text has length 0."""
+    # kept: the sums look at the histogram more than once
     pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_lengths(vocab), "n_tokens long, n_docs long")
-    return pairs.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return saved(pairs.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def limits_table(histogram: DataFrame) -> DataFrame:
