@@ -132,13 +132,16 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None
     A null text stays null; ``chars_col``, if given, holds the new length of the
     texts that changed.  All rows and columns stay.
     """
-    columns = docs.columns
-    x = scanned(docs.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__t")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # whatever the columns are called
+    x = scanned(docs.select(row, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")), "t")
     new = F.expr(f"""
-        aggregate(__all, named_struct('at', 0, 'out', ''),
+        aggregate(__all, named_struct('at', 0, 'out', cast(array() AS array<string>)),
             (acc, s) -> named_struct('at', greatest(acc.at, s.stop),
-                'out', concat(acc.out, IF(s.start >= acc.at, concat(substring(__t, acc.at + 1, s.start - acc.at), '{mask}'), ''))),
-            acc -> concat(acc.out, substring(__t, acc.at + 1, length(__t))))""")
-    x = x.withColumn("__new", F.when(F.size("__all") > 0, new).otherwise(F.col(text_col)))
-    kept = [F.col("__new").alias(c) if c == text_col else F.when(F.size("__all") > 0, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars_col else F.col(c) for c in columns]
-    return x.select(*kept)
+                'out', IF(s.start >= acc.at, concat(acc.out, array(substring(t, acc.at + 1, s.start - acc.at), '{mask}')), acc.out)),
+            acc -> concat(array_join(acc.out, ''), substring(t, acc.at + 1, length(t))))""")
+    changed = F.size("__all") > 0
+    x = x.withColumn("new", F.when(changed, new))
+    named = {text_col: F.when(changed, F.col("new")).otherwise(F.col(f"row.`{text_col}`"))}
+    if chars_col is not None:
+        named[chars_col] = F.when(changed, F.length("new").cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"row.`{chars_col}`"))
+    return x.select(*(named.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from aerotrace.llm.chat_format import chat_windows, digests, read_back
+from aerotrace.llm.exact_dedup import drop_copies
 from aerotrace.llm.license_scan import TEMPLATES, Automaton, license_scan
 from aerotrace.llm.quality_rules import keep_good, quality_rules
 from aerotrace.llm.secret_scan import redact, secret_scan
@@ -110,6 +111,78 @@ def test_chat_windows_read_back(spark):
     assert not re.search("Python|Pandas|Arrow", digests(w)._jdf.queryExecution().toString())
 
 
+def spans_truth(tokens, budget, history, system):
+    """Windows of one block: (turns repeated, own turns) as positions, with the system turn at 0 where there is one."""
+    own = tokens[0] if system else 0
+    step = (budget - own) // 2
+    spans, before, last = [], 0, None
+    for i in range(system, len(tokens)):
+        n = tokens[i]
+        alone = n > step
+        part = before // step if step > 0 else 0
+        if not spans or alone or last[0] or part != last[1]:
+            spans.append([])
+        spans[-1].append(i)
+        before, last = before + n, (alone, part)
+    out = []
+    for j, span in enumerate(spans):
+        room, again = budget - own - sum(tokens[i] for i in span), []
+        for i in range(span[0] - 1, max(system, span[0] - history) - 1, -1):
+            room -= tokens[i]
+            if room < 0:
+                break
+            again.insert(0, i)
+        out.append(([0] * (system and j > 0) + again, [0] * (system and j == 0) + span))
+    return out
+
+
+def test_chat_windows_keep_their_budget(spark):
+    rng = random.Random(11)
+    said = {}
+    for c in range(60):
+        sizes = [rng.choice([1, 5, 20, 60, 120, 400]) for _ in range(rng.randint(1, 40))]
+        roles = ["system" if c % 3 == 0 else "user", *rng.choices(["user", "assistant"], k=len(sizes) - 1)]
+        if c % 6 == 0:
+            sizes[0] = rng.choice([50, 200, 256, 900])
+        said[c] = [(c, i, role, " ".join(["w"] * n)) for i, (role, n) in enumerate(zip(roles, sizes))]
+    df = spark.createDataFrame([x for y in said.values() for x in y], "conv_id long, turn long, role string, text string")
+    got = collections.defaultdict(list)
+    for x in chat_windows(df, budget=256, history=3).orderBy("conv_id", "block", "window").collect():
+        turns = [re.match(r"\[INST\](.*?)\[/INST\](.*)$", p, re.S).groups() for p in x.formatted.split("</s>")[:-1]]
+        got[x.conv_id].append((turns[: x.n_context], turns[x.n_context :], x.tokens))
+    over = 0
+    for c, rows in said.items():
+        tokens, system = [len(t.split()) + 4 for *_, t in rows], int(rows[0][2] == "system")
+        want = [([(rows[i][2], rows[i][3]) for i in a], [(rows[i][2], rows[i][3]) for i in b], sum(tokens[i] for i in a + b)) for a, b in spans_truth(tokens, 256, 3, system)] or [([], [rows[0][2:]], tokens[0])]
+        assert got[c] == want
+        for again, own, n in got[c]:
+            regular = own[system:] if own and own[0][0] == "system" else own
+            over += n > 256
+            assert n <= 256 or len(regular) <= 1
+            assert n <= 256 or len([x for x in again if x[0] != "system"]) == 0
+    assert over
+
+
+def test_a_long_conversation_is_spread_over_blocks(spark):
+    rows = [(1, i, "system" if i == 0 else "assistant" if i % 2 else "user", f"turn {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    w = chat_windows(df, budget=64).collect()
+    assert {x.block for x in w} == {0, 1, 2} and all(x.tokens <= 64 and x.formatted.startswith("[INST]system[/INST]") for x in w)
+    got = digests(chat_windows(df, budget=64)).collect()[0]
+    assert got.n_turns == 3000 and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in rows if r == "assistant").encode()).hexdigest()
+
+
+def test_columns_with_any_names(spark):
+    names = ["m0", "m1", "s0", "s2", "r3", "__t", "__base", "__all", "__limit", "__new", "t", "new", "row", "k", "sha", "__k", "__sha", "f"]
+    docs = spark.createDataFrame([(1, "token = abcdefghijkl123", 24), (2, "token = abcdefghijkl123", 24), (3, None, None)], "doc_id long, text string, n_chars long").selectExpr("*", *(f"'{x}' AS `{x}`" for x in names))
+    for out, rows in ((redact(docs, chars_col="n_chars"), 3), (drop_copies(docs), 2)):
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) == rows
+        assert all(r[x] == x for r in got for x in names)
+    assert {r.text for r in redact(docs).collect()} == {"[SECRET]", None}
+
+
 def test_license_base_places(spark):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
