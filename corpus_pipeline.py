@@ -37,9 +37,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by id and text; rows equal in both, of which the stage before leaves one, stay together.
     """
-    kept = near_duplicates(docs, words=5, percent=80, with_hash=True).filter("kept").select(key_of("doc_id").alias("__k"), F.col("text_hash").alias("__f")).distinct()
-    named = docs.withColumns({"__k": key_of("doc_id"), "__f": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    return named.join(kept, ["__k", "__f"], "left_semi").select(*docs.columns)
+    kept = near_duplicates(docs, words=5, percent=80, with_hash=True).filter("kept").select(key_of("doc_id").alias("k"), F.col("text_hash").alias("f")).distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # whatever the columns are called
+    named = docs.select(key_of("doc_id").alias("k"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("f"), row)
+    return named.join(kept, ["k", "f"], "left_semi").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
