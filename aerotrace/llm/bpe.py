@@ -179,16 +179,14 @@ class Vocabulary:
         return tiktoken.Encoding("own", pat_str=".", mergeable_ranks=self.ids, special_tokens={})._core_bpe
 
     def ids_of(self, words: list[bytes], fast: bool = False) -> list[list[int]]:
+        if fast:  # the library is faster than keeping its results would be worth in memory
+            one = self.library.encode_single_piece
+            return [[self.special[w]] if w in self.special else one(w) for w in words]
         cache = self.cache
         if len(cache) + len(words) > CACHE_WORDS:
             cache.clear()
         new = [w for w in words if w not in cache]
-        plain = [w for w in new if w not in self.special]
-        if fast:
-            one = self.library.encode_single_piece
-            cache.update((w, one(w)) for w in plain)
-        else:
-            cache.update(self.encode_words(plain))
+        cache.update(self.encode_words([w for w in new if w not in self.special]))
         cache.update((w, [self.special[w]]) for w in new if w in self.special)
         return [cache[w] for w in words]
 

@@ -7,13 +7,15 @@ byte doesn't depend on how long a single text is and no text is ever cut.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -158,6 +160,22 @@ class Chunk:
         return self.buf[self.offs[i] : self.offs[i + 1]].tobytes()
 
 
+@functools.cache
+def _trim():
+    """The C library's call that returns free memory to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def give_back() -> None:
+    """Returns what a batch no longer needs to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and its n + 1 offsets; null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -183,6 +201,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield Chunk(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i)
         i = j
+    give_back()
 
 
 def group_starts(sorted_values: np.ndarray) -> np.ndarray:
