@@ -82,6 +82,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        placed AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM split)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM placed) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, i + o AS i FROM later, range(20) r(o)),
+        kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS said, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM split) w
+                 ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+        SELECT s.doc_id, len(s.ws) AS n_words, len(s.ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.said, '')) AS kept_sha256 FROM split s LEFT JOIN kept k USING (doc_id)""",
+    "op9_near_dedup": r"""
+        WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM split),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        counted AS (SELECT s.doc_id, s.s, z.n FROM shingles s JOIN sizes z USING (doc_id)),
+        links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM counted a JOIN counted b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+                  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON b.u = r.other)
+        SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
+        FROM documents d LEFT JOIN sizes z USING (doc_id) JOIN reach r ON r.node = d.doc_id GROUP BY d.doc_id, z.n""",
     "op3_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
