@@ -138,3 +138,11 @@ def outcome_score(rows: DataFrame, kills: DataFrame, by: list[str] = ["source"],
 def score_stats(df: DataFrame) -> DataFrame:
     near = F.abs("score") > 0.1
     return df.agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0.1).alias("n_advantage"), F.count_if(F.col("score") < -0.1).alias("n_disadvantage"), F.avg(F.when(near, F.col("score"))).alias("mean_labeled"), F.stddev_pop(F.when(near, F.col("score"))).alias("std_labeled"))
+
+
+def self_aircraft(state: DataFrame, player: str = "", by: list[str] | None = None) -> DataFrame:
+    """by, object_id: the player's own aircraft of each log, the first seen whose pilot holds the player's name, or an F/A-18 with any pilot."""
+    by = by or ["source"]
+    pilot, name = F.coalesce("pilot", F.lit("")), F.coalesce("name", F.lit(""))
+    own = (F.lit(player) != "") & pilot.contains(player) | name.contains("F/A-18") & (pilot != "")
+    return state.filter(is_aircraft(F.col("obj_type")) & own).groupBy(*by).agg(F.min_by("object_id", F.struct("frame_idx", "ord")).alias("object_id"))

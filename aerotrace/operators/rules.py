@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aerotrace.functions.geometry import finite
@@ -110,9 +111,10 @@ def label_distribution(labeled: DataFrame) -> DataFrame:
     spark = labeled.sparkSession
     names = spark.createDataFrame(list(enumerate(LABELS)), "label int, label_name string")
     counts = labeled.groupBy("label").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    x = names.join(counts, "label", "left").crossJoin(F.broadcast(total))  # total is one row
-    return x.select("label", "label_name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)).alias("share"))
+    x = names.join(F.broadcast(counts), "label", "left")  # a row a label
+    n = F.coalesce("n", F.lit(0))
+    total = F.sum(n).over(W.partitionBy())
+    return x.select("label", "label_name", n.alias("n"), F.coalesce(n / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("share"))
 
 
 def trainable(labeled: DataFrame, column: str = "label", least: int = 2) -> DataFrame:
@@ -122,6 +124,19 @@ def trainable(labeled: DataFrame, column: str = "label", least: int = 2) -> Data
     return labeled.join(good.select(column), column, "left_semi").join(F.broadcast(enough), F.lit(True), "left_semi")
 
 
+def gated(labeled: DataFrame, column: str = "label", least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(trainable rows, one row: reason, removed, valid).
+
+    reason is empty, too_few_unique_labels or too_few_valid_labels where nothing
+    can be trained, else null; removed and valid are the labels with fewer rows
+    than ``least``, and the others.
+    """
+    counts = labeled.groupBy(column).agg(F.count("*").alias("n"))
+    told = counts.agg(F.count("*").alias("labels"), F.array_sort(F.collect_list(F.when(F.col("n") < least, F.col(column)))).alias("removed"), F.array_sort(F.collect_list(F.when(F.col("n") >= least, F.col(column)))).alias("valid"))
+    reason = F.when(F.col("labels") == 0, "empty").when(F.col("labels") < 2, "too_few_unique_labels").when(F.size("valid") < 2, "too_few_valid_labels")
+    return trainable(labeled, column, least), told.select(reason.alias("reason"), "removed", "valid")
+
+
 def top_scores(labeled: DataFrame, k: int = 2) -> Column:
     """The k best (label, score) of a row's rules, ties in declaration order."""
     scored = F.array(*(F.struct((-F.col(f"score_{snake(n)}")).alias("order"), F.lit(i).alias("rank"), F.lit(snake(n)).alias("label"), F.col(f"score_{snake(n)}").alias("score")) for i, n in enumerate(RULE_LABELS)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerotrace import workflows
 from aerotrace.functions import geometry
 from aerotrace.functions.text import crc64_hash
 from aerotrace.operators import annotation, edits, engagement, features, learning, rules, series, windows
@@ -329,6 +330,30 @@ def q_annotated_text(spark, sf_dir):
     return x.groupBy("source", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query(o.said("""SELECT source, source AS title, CAST(11 AS BIGINT) AS frame_count, count(DISTINCT object_id) AS aircraft_count, CAST(sum(CASE WHEN frame_idx > 1 THEN 0 WHEN ord % 4 = 0 THEN 1 ELSE 3 END) AS BIGINT) AS window_count
+    FROM logged WHERE obj_type = 'Air+FixedWing' GROUP BY source"""))
+def q_pipeline_summary(spark, sf_dir):
+    lines = log_lines(spark, sf_dir)
+    return workflows.file_summary(lines, workflows.extract(lines))
+
+
+@query(o.said("SELECT source, CAST(11 AS BIGINT) AS frame_count, count(DISTINCT frame_text) AS annotation_frames, count(*) AS annotation_rows FROM lined GROUP BY source"))
+def q_annotation_counts(spark, sf_dir):
+    return workflows.annotation_counts(log_lines(spark, sf_dir), scheduled(spark, sf_dir))
+
+
+@query(o.said("SELECT 'none' AS reason, coalesce(string_agg(CAST(label AS VARCHAR), ';' ORDER BY label) FILTER (n < 2), '') AS removed, coalesce(string_agg(CAST(label AS VARCHAR), ';' ORDER BY label) FILTER (n >= 2), '') AS valid FROM (SELECT {} AS label, count(*) AS n FROM labeled GROUP BY 1)".format(o.LABEL_ID)))
+def q_training_gate(spark, sf_dir):
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ";").alias(c)
+    return rules.gated(labeled(spark, sf_dir))[1].select(F.coalesce("reason", F.lit("none")).alias("reason"), listed("removed"), listed("valid"))
+
+
+@query("SELECT CAST(user_id AS STRING) AS session, count(*) AS frames, max(event_id / 1e4) - min(event_id / 1e4) AS duration FROM events GROUP BY user_id")
+def q_session_summary(spark, sf_dir):
+    x = adapters.events(spark, sf_dir).selectExpr("CAST(user_id AS STRING) AS session", "event_id / 1e4 AS time")
+    return packets.session_summary(x).select("session", "frames", "duration")
+
+
 @query(o.said("SELECT row, label, label_name, manual_edit_index, training_label_name FROM applied"))
 def q_manual_edits(spark, sf_dir):
     out, _, _ = edits.apply_edits(adapters.synthetic_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))

@@ -248,3 +248,10 @@ def appended(packets: DataFrame, path: str, checkpoint: str, fmt: str = "parquet
     """Starts the sink of packets with an enemy, flat, appended."""
     x = flattened(packets.filter("has_enemy"))
     return x.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def session_summary(frames: DataFrame) -> DataFrame:
+    """session, frames, duration, mean_fps, mean_ms, max_ms from session, time and, where it is measured, latency_ms."""
+    spent = F.col("latency_ms") if "latency_ms" in frames.columns else F.lit(None).cast("double")
+    x = frames.groupBy("session").agg(F.count("*").alias("frames"), (F.max("time") - F.min("time")).alias("duration"), F.avg(spent).alias("mean_ms"), F.max(spent).alias("max_ms"))
+    return x.select("session", "frames", "duration", F.when(F.col("duration") > 0, F.col("frames") / F.col("duration")).alias("mean_fps"), F.coalesce("mean_ms", F.lit(0.0)).alias("mean_ms"), F.coalesce("max_ms", F.lit(0.0)).alias("max_ms"))
