@@ -74,9 +74,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One loss per user with an error whose id is divisible by four, at the frame of its first one: source, frame_idx, victim_id."""
-    x = events(spark, sf_dir).filter("event_type = 'error' AND user_id % 4 = 0").groupBy("user_id").agg(F.min("event_id").alias("e"))
-    return x.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", f"CAST(e % {FRAMES} AS INT) AS frame_idx", "CAST(user_id AS STRING) AS victim_id")
+    """A loss at the frame of every error of every user, once a frame: source, frame_idx, victim_id."""
+    x = events(spark, sf_dir).filter("event_type = 'error'").selectExpr("user_id", f"CAST(event_id % {FRAMES} AS INT) AS frame_idx").distinct()
+    return x.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", "frame_idx", "CAST(user_id AS STRING) AS victim_id")
 
 
 def named_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

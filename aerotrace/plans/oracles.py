@@ -201,7 +201,7 @@ STEPS["pair_features"] = f"""
     SELECT *, eh - lag(eh) OVER o AS dh, {_DT} AS dt, coalesce((ss - lag(ss) OVER o) / {_DT}, 0e0) AS self_speed_rate, coalesce((distance - lag(distance) OVER o) / {_DT}, 0e0) AS distance_rate,
         coalesce((antenna_train_angle - lag(antenna_train_angle) OVER o) / {_DT}, 0e0) AS ata_rate, coalesce((self_specific_energy - lag(self_specific_energy) OVER o) / {_DT}, 0e0) AS self_ps_estimate
     FROM geometry WINDOW o AS (PARTITION BY source, sid, eid ORDER BY time)))"""
-STEPS["losses"] = f"SELECT concat('arena', CAST(user_id // 20 AS STRING)) AS source, CAST(min(event_id) % {FRAMES} AS INT) AS frame_idx, CAST(user_id AS STRING) AS victim_id FROM events WHERE event_type = 'error' AND user_id % 4 = 0 GROUP BY user_id"
+STEPS["losses"] = f"SELECT DISTINCT concat('arena', CAST(user_id // 20 AS STRING)) AS source, CAST(event_id % {FRAMES} AS INT) AS frame_idx, CAST(user_id AS STRING) AS victim_id FROM events WHERE event_type = 'error'"
 _OFF = "(abs(degrees(atan2(v.world_x - a.world_x, v.world_z - a.world_z)) - a.yaw) % 36e1)"
 STEPS["kills"] = f"""
     SELECT l.source, l.frame_idx, any_value(v.time) AS time, l.victim_id, any_value(v.name) AS victim_name,
