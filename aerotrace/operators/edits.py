@@ -32,20 +32,25 @@ def matched(labeled: DataFrame, edits: DataFrame, tolerance: float = 2.5) -> Dat
 
     labeled has aircraft_id, window_start, window_end and row, its order.  A window
     named by both hints wins (the last such), else the one whose middle is
-    nearest (the first such); either must lie within the tolerance.
+    nearest (the first such); either must lie within the tolerance.  An edit meets
+    only the windows whose middle shares a bucket of time with its own time or its hints.
     """
     e = prepared(edits)
     w = labeled.select(F.col("aircraft_id").alias("__id"), *([F.col("source").alias("__source")] if "source" in labeled.columns else [F.lit(None).cast("string").alias("__source")]), "row", "window_start", "window_end")
     same = (F.col("aircraft_id") == F.col("__id")) & (F.col("source").isNull() | F.col("__source").isNull() | (F.col("source") == F.col("__source")))
     known = w.select("__id").distinct().withColumn("__known", F.lit(True))
-    x = e.join(w, same, "left")
+    width = max(4 * tolerance, 1.0)
+    about = lambda t, d: F.when(t.isNotNull(), F.sequence(F.floor((t - d) / width), F.floor((t + d) / width)))
+    spots = F.array_distinct(F.concat(*(F.coalesce(about(t, d), F.array().cast("array<bigint>")) for t, d in ((F.col("sample_time"), tolerance), ((F.col("window_start_hint") + F.col("window_end_hint")) / 2, 1e-5)))))
+    w = w.withColumn("__spot", F.floor((F.col("window_start") + F.col("window_end")) / 2 / width))
+    x = e.withColumn("__bucket", F.explode_outer(spots)).join(w, same & (F.col("__bucket") == F.col("__spot")), "left")
     hinted = F.coalesce((F.abs(F.col("window_start") - F.col("window_start_hint")) <= 1e-6) & (F.abs(F.col("window_end") - F.col("window_end_hint")) <= 1e-6), F.lit(False))
     away = F.abs((F.col("window_start") + F.col("window_end")) / 2 - F.col("sample_time"))
     x = x.withColumns({"__hint": hinted, "__away": away})
     # the smallest of these is the match
     order = F.struct(F.when(F.col("__hint"), 0).otherwise(1).alias("h"), F.when(F.col("__hint"), -F.col("row").cast("double")).otherwise(F.col("__away")).alias("a"), F.col("row").alias("r"))
     columns = e.columns
-    best = x.groupBy("edit_index").agg(*(F.first(c).alias(c) for c in columns if c != "edit_index"), F.min_by(F.struct("row", "__away"), order).alias("b"))
+    best = x.groupBy(*columns).agg(F.min_by(F.struct("row", "__away"), F.when(F.col("row").isNotNull(), order)).alias("b"))
     best = best.join(known, best["aircraft_id"] == known["__id"], "left").drop("__id")
     bad = (F.col("edit_action") != "clear") & (F.col("manual_label_name") != "") & F.col("manual_label_id").isNull()
     near = F.coalesce(F.col("b.__away") <= tolerance, F.lit(False))

@@ -108,8 +108,8 @@ def label(df: DataFrame, thresholds: dict[str, float] | None = None) -> DataFram
 
 def label_distribution(labeled: DataFrame) -> DataFrame:
     """label, label_name, n, share of all twelve labels, absent ones with 0."""
-    spark = labeled.sparkSession
-    names = spark.createDataFrame(list(enumerate(LABELS)), "label int, label_name string")
+    listed = ", ".join(f"({i}, '{n}')" for i, n in enumerate(LABELS))
+    names = labeled.sparkSession.sql(f"SELECT * FROM VALUES {listed} AS t(label, label_name)")
     counts = labeled.groupBy("label").agg(F.count("*").alias("n"))
     x = names.join(F.broadcast(counts), "label", "left")  # a row a label
     n = F.coalesce("n", F.lit(0))

@@ -45,34 +45,32 @@ def unwrap(df: DataFrame, by: list[str]) -> DataFrame:
 def resample(df: DataFrame, by: list[str], hz: float = 5.0, long_gap: float = 1.0) -> DataFrame:
     """Values at first time + i / hz up to the last time, interpolated, ends held; long_gap_flag inside gaps.
 
-    A series of one row, or hz <= 0, stays as it is.  The neighbours of a grid
-    point come from running windows in both directions over sources and grid
-    together, so nothing is joined.
+    A series of one row, or hz <= 0, stays as it is.  Every row knows the last
+    and next values of each signal, in one order of the series, and yields the
+    grid points from its own time up to the next row's, so nothing is joined,
+    united or read twice.
     """
     values = [*SIGNALS, "raw_missing_any"]
     if hz <= 0:
         return df.withColumn("long_gap_flag", F.lit(0.0))
     period = 1.0 / hz
-    ends = df.groupBy(*by).agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.count("*").alias("n"))
-    count = F.ceil((F.col("t1") + period * 0.5 - F.col("t0")) / period)
-    step = (F.col("t0") + period) - F.col("t0")
-    grid = ends.filter("n > 1").select(*by, F.explode(F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.col("t0") + i * step)).alias("time"))
-    both = df.withColumn("is_grid", F.lit(0)).unionByName(grid.withColumn("is_grid", F.lit(1)), allowMissingColumns=True)
-    forward = W.partitionBy(*by).orderBy("time", "is_grid").rowsBetween(W.unboundedPreceding, 0)
-    backward = W.partitionBy(*by).orderBy(F.col("time").desc(), F.col("is_grid").desc()).rowsBetween(W.unboundedPreceding, 0)
-    point = lambda s: F.when((F.col("is_grid") == 0) & F.col(s).isNotNull(), F.struct(F.col("time").alias("t"), F.col(s).alias("v")))
-    seen = F.when(F.col("is_grid") == 0, F.col("time"))
-    x = both.withColumns({f"__l_{s}": F.last(point(s), ignorenulls=True).over(forward) for s in values} | {"__l": F.last(seen, ignorenulls=True).over(forward)})
-    x = x.withColumns({f"__r_{s}": F.last(point(s), ignorenulls=True).over(backward) for s in values} | {"__r": F.last(seen, ignorenulls=True).over(backward), "__n": F.sum(1 - F.col("is_grid")).over(W.partitionBy(*by))})
-
-    def value(s: str) -> Column:
-        left, right, t = F.col(f"__l_{s}"), F.col(f"__r_{s}"), F.col("time")
-        slope = (right["v"] - left["v"]) / F.nullif(right["t"] - left["t"], F.lit(0.0))
-        return F.when(left.isNull(), right["v"]).when(right.isNull() | (left["t"] == t), left["v"]).otherwise(slope * (t - left["t"]) + left["v"])
-
-    x = x.filter("is_grid = 1 OR __n = 1")
-    flag = ((F.col("__r") - F.col("__l") > long_gap) & (F.col("__l") < F.col("time")) & (F.col("time") < F.col("__r"))).cast("double")
-    return x.select(*by, "time", *(value(s).alias(s) for s in values), F.coalesce(flag, F.lit(0.0)).alias("long_gap_flag"))
+    whole = W.partitionBy(*by)
+    order = whole.orderBy("time")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    ahead = lambda c: F.expr(f"lead({c}) IGNORE NULLS").over(order)
+    x = df.withColumns({f"__p_{s}": F.expr(f"IF({s} IS NOT NULL, struct(time AS t, {s} AS v), NULL)") for s in values} | {"__t0": F.min("time").over(whole), "__t1": F.max("time").over(whole), "__n": F.count("*").over(whole)})
+    x = x.withColumns({f"__l_{s}": F.last(f"__p_{s}", ignorenulls=True).over(upto) for s in values} | {f"__r_{s}": ahead(f"__p_{s}") for s in values} | {"__next": F.lead("time").over(order)})
+    # number of the first grid point at a time or after it: its quotient, or a neighbour where rounding says so
+    point = lambda i: f"(__t0 + ({i}) * ((__t0 + {period!r}D) - __t0))"
+    least = lambda t, k: f"CASE WHEN {point(f'{k} - 1')} >= {t} THEN {k} - 1 WHEN {point(k)} >= {t} THEN {k} ELSE {k} + 1 END"
+    guess = lambda t: F.expr(f"ceil(({t} - __t0) / ((__t0 + {period!r}D) - __t0))")
+    x = x.withColumns({"__a": guess("time"), "__b": guess("__next")})
+    end = f"ceil((__t1 + {period * 0.5!r}D - __t0) / {period!r}D)"
+    x = x.withColumns({"__a": F.expr(least("time", "__a")), "__b": F.least(F.expr(end), F.expr(f"IF(__next IS NULL, {end}, {least('__next', '__b')})"))})
+    x = x.withColumn("__at", F.explode(F.expr(f"IF(__n = 1, array(time), IF(__a < __b, transform(sequence(__a, __b - 1), i -> {point('i')}), array()))")))
+    value = lambda s: F.expr(f"CASE WHEN __l_{s} IS NULL THEN __r_{s}.v WHEN __r_{s} IS NULL OR __l_{s}.t = __at THEN __l_{s}.v ELSE (__r_{s}.v - __l_{s}.v) / nullif(__r_{s}.t - __l_{s}.t, 0D) * (__at - __l_{s}.t) + __l_{s}.v END")
+    flag = F.expr(f"coalesce(CAST(__next - time > {float(long_gap)!r}D AND time < __at AND __at < __next AS DOUBLE), 0D)")
+    return x.select(*by, F.col("__at").alias("time"), *(value(s).alias(s) for s in values), flag.alias("long_gap_flag"))
 
 
 def fill_gaps(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

@@ -16,7 +16,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+        # windows cost far more time than bytes: small partitions are not merged
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = ["q_resample_interp", "q_window_features", "q_label_distribution", "q_pairs", "q_pair_features", "q_outcome_score", "q_log_roundtrip", "q_annotation_lines", "q_manual_edits", "q_regression_metrics"]

@@ -69,6 +69,35 @@ def test_nulls_interpolate_and_count_as_missing(spark):
     assert got["yaw"].notna().all() and 0 < got["raw_missing_any"].max() <= 1
 
 
+def test_resample_of_several_series_with_ties_nulls_and_gaps(spark):
+    rng = np.random.default_rng(5)
+    given = {}
+    for key in "abc":
+        data = irregular(60, seed=ord(key))
+        data["time"] = np.round(data["time"], 1)  # some fall on one time or on grid points
+        data["time"] -= data["time"][0] - 0.5 * (key == "b")
+        data["world_x"] = np.where(rng.random(60) < 0.3, np.nan, data["world_x"])
+        data["world_z"] = np.full(60, np.nan)
+        _, last = np.unique(data["time"][::-1], return_index=True)
+        given[key] = {k: v[np.sort(59 - last)] for k, v in data.items()}  # one row a time
+    df = frame(spark, given["a"], "a").union(frame(spark, given["b"], "b")).union(frame(spark, given["c"], "c"))
+    twice = df.union(df)
+    rows = series.resample(series.source_rows(df, BY), BY).orderBy("object_id", "time").toPandas()
+    again = series.resample(series.source_rows(twice, BY), BY).orderBy("object_id", "time").toPandas()
+    assert rows.equals(again)
+    for key, data in given.items():
+        t, got = data["time"], rows[rows.object_id == key]
+        grid = t[0] + np.arange(np.ceil((t[-1] + 0.1 - t[0]) / 0.2)) * ((t[0] + 0.2) - t[0])
+        np.testing.assert_array_equal(got["time"], grid)
+        for c in ("world_x", "world_y", "yaw"):
+            some = ~np.isnan(data[c])
+            np.testing.assert_allclose(got[c], np.interp(grid, t[some], data[c][some]), rtol=1e-9, atol=1e-9)
+        assert got["world_z"].isna().all()
+        before = t[np.searchsorted(t, grid, "right") - 1]
+        after = np.append(t, np.nan)[np.searchsorted(t, grid, "right")]
+        np.testing.assert_array_equal(got["long_gap_flag"], ((after - before > 1) & (before < grid)).astype(float))
+
+
 def test_windows_are_closed_whole_and_anchored(spark):
     x = frame(spark, {"time": np.arange(0, 12.01, 0.5)})
     got = sliding_windows(x, BY).groupBy("window", "window_start").agg(F.min("time"), F.max("time"), F.count("*")).orderBy("window").collect()
