@@ -1,7 +1,9 @@
 """The driver's tables as telemetry.
 
-Every user of ``events`` flies one of ten smooth paths; half a second of flight is a
-day of events, so the default windows and gaps all come to bear.  The SQL of the
+Every user of ``events`` flies one of sixteen paths: ten smooth ones, and six with a
+turning nose, readings out of range, missing readings, a climb between the rules,
+one between two rules and a wave; half a second of flight is a day of events, so
+the default windows and gaps all come to bear.  The SQL of the
 path is plain enough for both engines and is used by both.
 """
 
@@ -14,18 +16,20 @@ from aerotrace.schema import LABELS
 
 V = "CASE WHEN kind IN (3, 4, 5) THEN 150e0 WHEN kind = 8 THEN 80e0 ELSE 220e0 END"
 TURN = "CASE WHEN kind IN (3, 4, 5) THEN 14e0 WHEN kind = 8 THEN 30e0 ELSE 0e0 END"
-CLIMB = "CASE WHEN kind IN (1, 4) THEN 20e0 WHEN kind IN (2, 5) THEN -20e0 WHEN kind = 6 THEN -60e0 WHEN kind = 7 THEN 60e0 ELSE 0e0 END"
-PITCH = "CASE WHEN kind IN (1, 4) THEN 6e0 WHEN kind IN (2, 5) THEN -6e0 WHEN kind = 6 THEN -25e0 WHEN kind = 7 THEN 25e0 ELSE 0e0 END"
+CLIMB = "CASE WHEN kind IN (1, 4) THEN 20e0 WHEN kind IN (2, 5) THEN -20e0 WHEN kind = 6 THEN -60e0 WHEN kind = 7 THEN 60e0 WHEN kind = 11 THEN 4e2 WHEN kind = 13 THEN 7e0 WHEN kind = 14 THEN 31e0 ELSE 0e0 END"
+PITCH = "CASE WHEN kind IN (1, 4) THEN 6e0 WHEN kind IN (2, 5) THEN -6e0 WHEN kind = 6 THEN -25e0 WHEN kind = 7 THEN 25e0 WHEN kind = 11 THEN 12e1 WHEN kind = 14 THEN 46e0 ELSE 0e0 END"
 #: Columns of the path from kind and t, for Spark and DuckDB alike.
 PATH = f"""
     CASE WHEN kind IN (3, 4, 5, 8) THEN ({V}) / radians({TURN}) * sin(radians({TURN}) * t) ELSE ({V}) * t END AS world_x,
-    5e3 + ({CLIMB}) * t AS world_y,
+    5e3 + ({CLIMB}) * t + CASE WHEN kind = 15 THEN 172e0 * sin(2 * pi() * t / 24e0) ELSE 0e0 END AS world_y,
     CASE WHEN kind IN (3, 4, 5, 8) THEN ({V}) / radians({TURN}) * (1 - cos(radians({TURN}) * t)) ELSE 0e0 END AS world_z,
-    (({TURN}) * t) % 36e1 AS yaw, {PITCH} AS pitch,
+    (CASE WHEN kind = 10 THEN 3e1 ELSE {TURN} END * t) % 36e1 AS yaw, {PITCH} AS pitch,
     CASE WHEN kind = 9 THEN 8e1 * sin(2 * pi() * t / 16e-1) ELSE 0e0 END AS roll"""
 PERSON = """CAST(user_id AS STRING) AS object_id, user_id, event_id, event_type, value,
-    CAST(user_id % 10 AS INT) AS kind, CASE WHEN user_id % 11 = 0 THEN 'Sea+Watercraft+AircraftCarrier' ELSE 'Air+FixedWing' END AS obj_type,
+    CAST(user_id % 16 AS INT) AS kind, CASE WHEN user_id % 11 = 0 THEN 'Sea+Watercraft+AircraftCarrier' ELSE 'Air+FixedWing' END AS obj_type,
     CASE user_id % 3 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Red' ELSE '' END AS coalition, concat('P', CAST(user_id AS STRING)) AS name"""
+#: One of the paths loses its pitch in every other reading.
+SEEN = "CASE WHEN kind = 12 AND event_id % 2 = 0 THEN NULL ELSE pitch END"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """object_id, time and signals of every event, with who flies and what happened."""
     t = "5e-1 * timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) / 864e8 AS t"
     x = events(spark, sf_dir).selectExpr(*[p.strip() for p in _split(PERSON)], t)
-    return x.selectExpr("object_id", "user_id", "event_id", "event_type", "value", "obj_type", "coalition", "name", "t AS time", *[p.strip() for p in _split(PATH)]).withColumn("altitude", F.col("world_y"))
+    return x.selectExpr("object_id", "user_id", "event_id", "event_type", "value", "obj_type", "coalition", "name", "kind", "t AS time", *[p.strip() for p in _split(PATH)]).withColumns({"altitude": F.col("world_y"), "pitch": F.expr(SEEN)}).drop("kind")
 
 
 def _split(text: str) -> list[str]:
@@ -79,6 +83,12 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", "frame_idx", "CAST(user_id AS STRING) AS victim_id")
 
 
+def told_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log line after all others for every user with an error event: who was destroyed (even ids) or left (odd ones)."""
+    x = events(spark, sf_dir).filter("event_type = 'error'").select("user_id").distinct()
+    return x.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", "100000 + user_id % 20 AS line_no", "concat('0,Event=', CASE WHEN user_id % 2 = 0 THEN 'Destroyed' ELSE 'LeftArea' END, '|A', CAST(user_id AS STRING), '|') AS raw")
+
+
 def named_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frames with the transform of a log line; every fourth object is removed in its seventh frame and stays away."""
     x = frames(spark, sf_dir).filter("ord % 4 <> 0 OR frame_idx <= 7")

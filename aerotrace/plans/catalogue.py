@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aerotrace import workflows
 from aerotrace.functions import geometry
-from aerotrace.functions.text import crc64_hash
+from aerotrace.functions.text import CRC_POLYNOMIAL, crc64_hash
 from aerotrace.operators import annotation, edits, engagement, features, learning, rules, series, windows
 from aerotrace.plans import adapters
 from aerotrace.plans import oracles as o
@@ -300,9 +300,10 @@ def q_log_globals(spark, sf_dir):
     return telemetry_log.global_properties(telemetry_log.classified(log_lines(spark, sf_dir))).select("source", F.col("Title").alias("title"))
 
 
-@query()
+@query(o.said("SELECT source, time, victim_id, victim_name, k.id AS killer_id, k.name AS killer_name FROM log_kills"))
 def q_log_kills(spark, sf_dir):
-    return telemetry_log.kill_events(telemetry_log.classified(log_lines(spark, sf_dir)))
+    lines = log_lines(spark, sf_dir).union(adapters.told_losses(spark, sf_dir))
+    return telemetry_log.kill_events(telemetry_log.classified(lines)).select("source", "time", "victim_id", "victim_name", "killer_id", "killer_name")
 
 
 def scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,7 +371,11 @@ def q_edit_report(spark, sf_dir):
     return edits.apply_edits(adapters.synthetic_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))[2]
 
 
-@query()
+_ONES = "18446744073709551615::UBIGINT"
+_BITS = "list_transform(range(16 * length(n_name)), lambda i: CAST((unicode(n_name[i // 16 + 1]) >> (i % 16)) & 1 AS UBIGINT))"
+
+
+@query(f"""SELECT n_name, '0x' || lpad(lower(to_hex(xor(list_reduce(list_prepend({_ONES}, {_BITS}), lambda c, b: xor(c >> 1::UBIGINT, CASE WHEN xor(c, b) & 1::UBIGINT = 1 THEN {CRC_POLYNOMIAL}::UBIGINT ELSE 0::UBIGINT END)), {_ONES}))), 16, '0') AS digest FROM nation""")
 def q_crc64(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", crc64_hash(F.col("n_name")).alias("digest"))
 
@@ -459,7 +464,9 @@ def q_stream_features(spark, sf_dir):
     return replay.table_of(spark, sf_dir, lambda events: packets.rates(packets.parsed(replay.packets(events)))).select("session", "time", "has_enemy", F.round("distance", 4).alias("distance"), F.round("self_specific_energy", 4).alias("self_specific_energy"), (F.col("self_speed_rate") + 0.0).cast("float").alias("self_speed_rate"), (F.col("self_ps_estimate") + 0.0).cast("float").alias("self_ps_estimate"))
 
 
-@query()
+@query("""WITH RECURSIVE kept AS (SELECT user_id, min(event_id / 1e4) AS t FROM events GROUP BY user_id
+    UNION ALL SELECT k.user_id, min(e.event_id / 1e4) FROM kept k JOIN events e ON e.user_id = k.user_id AND e.event_id / 1e4 - k.t >= 1 / 30e0 - 1e-9 GROUP BY k.user_id, k.t)
+    SELECT CAST(user_id AS STRING) AS session, t AS time FROM kept""")
 def q_stream_throttle(spark, sf_dir):
     return replay.table_of(spark, sf_dir, lambda events: packets.throttled(events.selectExpr("CAST(user_id AS STRING) AS session", "event_id / 1e4 AS time"), 30.0))
 

@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from aerotrace.plans.adapters import PATH, PERSON
+from aerotrace.plans.adapters import PATH, PERSON, SEEN
 from aerotrace.schema import ATTRIBUTES, FEATURES, LABELS, PRIORITY, RULE_LABELS, SIGNALS
 from aerotrace.schema import THRESHOLDS as TH
 
 STEPS: dict[str, str] = {}
 
 STEPS["tele"] = f"""
-    SELECT *, t AS time, world_y AS altitude FROM (SELECT *, {PATH} FROM (
+    SELECT * REPLACE ({SEEN} AS pitch), t AS time, world_y AS altitude FROM (SELECT *, {PATH} FROM (
         SELECT {PERSON}, 5e-1 * (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 864e8 AS t FROM events))"""
 STEPS["unwrapped"] = """
-    SELECT object_id, time, altitude, world_x, world_y, world_z, pitch, 0e0 AS raw_missing_any,
+    SELECT object_id, time, altitude, world_x, world_y, world_z, pitch, CAST(pitch IS NULL AS DOUBLE) AS raw_missing_any,
         yaw + sum(yc) OVER o AS yaw, roll + sum(rc) OVER o AS roll
     FROM (SELECT *, CASE WHEN abs(dy) >= 180 THEN CASE WHEN my = -180 AND dy > 0 THEN 180e0 ELSE my END - dy ELSE 0e0 END AS yc,
                  CASE WHEN abs(dr) >= 180 THEN CASE WHEN mr = -180 AND dr > 0 THEN 180e0 ELSE mr END - dr ELSE 0e0 END AS rc
           FROM (SELECT *, ((dy + 180) % 36e1 + 36e1) % 36e1 - 180 AS my, ((dr + 180) % 36e1 + 36e1) % 36e1 - 180 AS mr
                 FROM (SELECT *, yaw - lag(yaw) OVER o AS dy, roll - lag(roll) OVER o AS dr FROM tele WINDOW o AS (PARTITION BY object_id ORDER BY time))))
     WINDOW o AS (PARTITION BY object_id ORDER BY time ROWS UNBOUNDED PRECEDING)"""
+STEPS["pitched"] = "SELECT object_id, time, pitch FROM unwrapped WHERE pitch IS NOT NULL"
 STEPS["grid"] = """
     SELECT object_id, t0 + i * ((t0 + 2e-1) - t0) AS time
     FROM (SELECT object_id, min(time) AS t0, max(time) AS t1 FROM unwrapped GROUP BY object_id HAVING count(*) > 1),
          LATERAL (SELECT unnest(range(CAST(ceil((t1 + 2e-1 * 5e-1 - t0) / 2e-1) AS BIGINT))) AS i)"""
-_LERP = ", ".join(f"CASE WHEN r.time IS NULL OR l.time = g.time THEN l.{s} ELSE (r.{s} - l.{s}) / (r.time - l.time) * (g.time - l.time) + l.{s} END AS {s}" for s in [*SIGNALS, "raw_missing_any"])
+_LERP = ", ".join(f"CASE WHEN r.time IS NULL OR l.time = g.time THEN l.{s} ELSE (r.{s} - l.{s}) / (r.time - l.time) * (g.time - l.time) + l.{s} END AS {s}" for s in [*(s for s in SIGNALS if s != "pitch"), "raw_missing_any"])
+_LERP += ", CASE WHEN lp.time IS NULL THEN rp.pitch WHEN rp.time IS NULL OR lp.time = g.time THEN lp.pitch ELSE (rp.pitch - lp.pitch) / (rp.time - lp.time) * (g.time - lp.time) + lp.pitch END AS pitch"
 STEPS["resampled"] = f"""
     SELECT g.object_id, g.time, {_LERP},
         CASE WHEN r.time - l.time > 1 AND l.time < g.time AND g.time < r.time THEN 1e0 ELSE 0e0 END AS long_gap_flag
     FROM grid g ASOF JOIN unwrapped l ON g.object_id = l.object_id AND g.time >= l.time
-    ASOF LEFT JOIN unwrapped r ON g.object_id = r.object_id AND g.time <= r.time"""
+    ASOF LEFT JOIN unwrapped r ON g.object_id = r.object_id AND g.time <= r.time
+    ASOF LEFT JOIN pitched lp ON g.object_id = lp.object_id AND g.time >= lp.time
+    ASOF LEFT JOIN pitched rp ON g.object_id = rp.object_id AND g.time <= rp.time"""
 STEPS["smooth"] = f"""
     SELECT object_id, time, raw_missing_any, long_gap_flag, {", ".join(f"avg({'world_y' if s == 'altitude' else s}) OVER w AS {s}" for s in SIGNALS)}
     FROM resampled WINDOW w AS (PARTITION BY object_id ORDER BY time ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"""
@@ -224,6 +228,18 @@ STEPS["logged"] = f"""
         SELECT source, frame_idx + 1 AS frame_idx, time, concat('A', object_id) AS object_id, ord, name, obj_type, coalition, CAST({LON} AS DOUBLE) AS lon, CAST({LAT} AS DOUBLE) AS lat, CAST({ALT} AS DOUBLE) AS alt,
             CAST((ord % 30) AS DOUBLE) AS roll, 2e0 AS pitch, CAST(ord % 360 AS DOUBLE) AS yaw
         FROM frames WHERE NOT (ord % 4 = 0 AND frame_idx >= 7))"""
+# a removed object (every fourth) was last told of in the frame before; those with smaller numbers have moved on in the frame of its removal
+STEPS["told"] = """
+    SELECT source, 7e0 AS time, ord, 7 AS f FROM logged WHERE ord % 4 = 0 AND frame_idx = 7
+    UNION ALL SELECT source, 10e0, ord, 11 FROM logged WHERE frame_idx = 11 AND ord IN (SELECT user_id FROM events WHERE event_type = 'error')"""
+_TURNED = "(abs(degrees(atan2(v.lx - a.lx, v.lz - a.lz)) - a.yaw) % 36e1)"
+STEPS["log_kills"] = f"""
+    SELECT t.source, t.time, v.object_id AS victim_id, v.name AS victim_name,
+        arg_min({{'id': a.object_id, 'name': a.name}}, {{'s': CASE WHEN {_TURNED} > 180 THEN 360 - {_TURNED} ELSE {_TURNED} END + sqrt(pow(a.lx - v.lx, 2) + pow(a.alt - v.alt, 2) + pow(a.lz - v.lz, 2)) / 100, 'o': a.ord}}) AS k
+    FROM told t JOIN logged v ON v.source = t.source AND v.ord = t.ord AND v.frame_idx = t.f
+    JOIN logged a ON a.source = t.source AND a.ord <> t.ord AND a.frame_idx = CASE WHEN f = 7 AND a.ord < t.ord THEN 8 ELSE f END
+    WHERE (contains(lower(v.obj_type), 'aircraft') OR contains(lower(v.obj_type), 'fixedwing')) AND (contains(lower(a.obj_type), 'aircraft') OR contains(lower(a.obj_type), 'fixedwing')) AND NOT (a.coalition <> '' AND v.coalition <> '' AND a.coalition = v.coalition)
+    GROUP BY t.source, t.time, v.object_id, v.name"""
 STEPS["velocity"] = """
     SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS speed, lag(vx) OVER o AS ux, lag(vy) OVER o AS uy, lag(vz) OVER o AS uz FROM (
         SELECT *, lx - lag(lx) OVER o AS vx, alt - lag(alt) OVER o AS vy, lz - lag(lz) OVER o AS vz FROM logged WINDOW o AS (PARTITION BY source, object_id ORDER BY frame_idx))
