@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import socket
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from aerotrace.functions import geometry as g
 from aerotrace.functions.geometry import specific_energy, speed_or_estimate, turn_rate_from_load
-from aerotrace.schema import PACKET
+from aerotrace.functions.text import number, properties, property_value
+from aerotrace.operators.engagement import is_aircraft, opposing
+from aerotrace.schema import KNOTS, PACKET
 
 
 def parsed(stream: DataFrame, column: str = "value") -> DataFrame:
@@ -56,7 +60,7 @@ def with_statics(x: DataFrame) -> DataFrame:
 
 
 class Rates(StatefulProcessor):
-    """The packet before, per session: rates against it, 0 at the first or where the side came or went."""
+    """The packet before, per session: rates against it, 0 at the first or where the side came or went; a new session starts anew."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.before = handle.getValueState("before", "time double, has_enemy boolean, distance double, energy double, speed double")
@@ -109,26 +113,44 @@ class Throttle(StatefulProcessor):
         pass
 
 
+def merged(before: str, line: str) -> str:
+    """A property list brought up to date: each property by its last value, empty parts of T as they were."""
+    known = {}
+    for part in f"{before},{line}".split(","):
+        key, _, value = part.strip().partition("=")
+        if key == "T" and key in known:
+            new, old = value.split("|"), known[key].split("|")
+            value = "|".join([v or (old[i] if i < len(old) else "") for i, v in enumerate(new)] + old[len(new) :])
+        if key:
+            known[key] = value
+    return ",".join(f"{k}={v}" for k, v in known.items())
+
+
 class Carried(StatefulProcessor):
-    """The latest known value of every object of a connection, per line of a delta log: LOCF with removals."""
+    """What is known of every object of a connection: LOCF per property, with removals.
+
+    A frame line tells what was known when it came, stamped with its time.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "object_id string", "value string")
+        self.known = handle.getMapState("known", "object_id string", "value string, ord long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         out = []
         for pdf in rows:
-            for r in pdf.sort_values("line_no", kind="stable").itertuples():
-                if r.raw.startswith("-"):
-                    if self.known.containsKey((r.raw[1:],)):
-                        self.known.removeKey((r.raw[1:],))
-                elif r.raw.startswith("#"):
-                    out += [(key[0], r.raw[1:], k[0], v[0]) for k, v in self.known.iterator()]
-                elif "," in r.raw and not r.raw.startswith("0,"):
-                    object_id, _, value = r.raw.partition(",")
-                    self.known.updateValue((object_id,), (value,))
+            for line_no, raw in pdf.sort_values("line_no", kind="stable")[["line_no", "raw"]].itertuples(index=False):
+                if raw.startswith("-"):
+                    if self.known.containsKey((raw[1:],)):
+                        self.known.removeKey((raw[1:],))
+                elif raw.startswith("#"):
+                    objects = sorted((v[1], k[0], v[0]) for k, v in self.known.iterator())
+                    out.append((key[0], raw[1:], [{"object_id": k, "value": v} for _, k, v in objects]))
+                elif "," in raw and not raw.startswith("0,"):
+                    object_id, _, value = raw.partition(",")
+                    was = self.known.getValue((object_id,)) if self.known.containsKey((object_id,)) else ("", line_no)
+                    self.known.updateValue((object_id,), (merged(was[0], value), was[1]))
         if out:
-            yield pd.DataFrame(out, columns=["session", "frame", "object_id", "value"])
+            yield pd.DataFrame(out, columns=["session", "frame", "objects"])
 
     def close(self) -> None:
         pass
@@ -146,8 +168,49 @@ def throttled(df: DataFrame, hz: float = 30.0) -> DataFrame:
     return stateful(df.select("session", "time"), Throttle(hz), "session string, time double")
 
 
+def told_frames(lines: DataFrame) -> DataFrame:
+    """session, frame, objects (object_id and properties, the first seen first) of every frame line."""
+    return stateful(lines.select("session", "line_no", "raw"), Carried(), "session string, frame string, objects array<struct<object_id: string, value: string>>")
+
+
 def carried(lines: DataFrame) -> DataFrame:
-    return stateful(lines.select("session", "line_no", "raw"), Carried(), "session string, frame string, object_id string, value string")
+    """session, frame, object_id, value: a row per frame and known object."""
+    return told_frames(lines).select("session", "frame", F.explode("objects").alias("o")).select("session", "frame", "o.*")
+
+
+def engaged(frames: DataFrame, player: str = "") -> DataFrame:
+    """What the features need (see sides) of told frames: the player's aircraft and its nearest opponent.
+
+    The player's aircraft is the first seen whose pilot holds the player's name,
+    or an F/A-18 with any pilot; a frame without one, or without a valid time, has no row.  Of
+    opponents at one distance the first seen counts.
+    """
+
+    def state(o):
+        p = properties(o["value"])
+        v = lambda k: F.coalesce(property_value(p, k), F.lit(""))
+        t = F.split(v("T"), "\\|")
+        at = lambda i: F.coalesce(number(F.get(t, F.lit(i))), F.lit(0.0))
+        x, y, z = g.to_local(at(0), at(1), at(2))
+        n = lambda k: F.coalesce(number(v(k)), F.lit(0.0))
+        return F.struct(o["object_id"].alias("id"), v("Name").alias("name"), v("Pilot").alias("pilot"), v("Type").alias("type"), v("Coalition").alias("coalition"), x.alias("x"), y.alias("y"), z.alias("z"), F.radians(at(5)).alias("heading"), (n("TAS") * KNOTS).alias("TAS"), n("Mach").alias("mach"))
+
+    own = lambda o: is_aircraft(o["type"]) & ((F.lit(player) != "") & o["pilot"].contains(player) | o["name"].contains("F/A-18") & (o["pilot"] != ""))
+    x = frames.select("session", number(F.trim("frame")).alias("time"), F.transform("objects", state).alias("all")).filter(F.col("time").isNotNull())
+    x = x.withColumn("s", F.get(F.filter("all", own), F.lit(0))).filter(F.col("s").isNotNull())
+    far = lambda o: g.distance(*(o[c] - F.col(f"s.{c}") for c in "xyz"))
+    others = F.filter("all", lambda o: is_aircraft(o["type"]) & (o["id"] != F.col("s.id")) & opposing(o["coalition"], F.col("s.coalition")))
+    x = x.withColumn("others", others).withColumn("e", F.array_min(F.transform("others", lambda o, i: F.struct(far(o).alias("d"), i.alias("i"), o.alias("o"))))["o"])
+    enemy = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(0.0))
+    return x.select(
+        "session", "time", F.col("e").isNotNull().alias("has_enemy"), *(F.col(f"s.{c}").alias(f"self_{c}") for c in ("x", "y", "z", "heading", "TAS", "mach")), F.col("s.y").alias("self_alt_asl"), F.lit(1.0).alias("self_Gy"),
+        *(enemy(c).alias(f"enemy_{c}") for c in ("x", "y", "z", "heading")), enemy("y").alias("enemy_alt"),
+    )
+
+
+def realtime_rates(lines: DataFrame, player: str = "") -> DataFrame:
+    """From the lines of realtime connections (session, line_no, raw) to the features of every frame."""
+    return stateful(with_statics(engaged(told_frames(lines), player)), Rates(), RATES)
 
 
 def latest(df: DataFrame, now: float | None = None, ttl: float = 2.0) -> DataFrame:
@@ -160,27 +223,37 @@ def latest(df: DataFrame, now: float | None = None, ttl: float = 2.0) -> DataFra
 GREETING = ("XtraLib.Stream.0", "Tacview.RealTimeTelemetry.0")
 
 
-class UdpReader(DataSourceStreamReader):
-    """Datagrams of one port since the last batch; offsets count what has been received."""
+class SocketReader(DataSourceStreamReader):
+    """Rows that came in since the last batch; offsets count what has been received.
+
+    A socket cannot be read again, so a batch lost with the driver is lost; rows
+    travel in the partition, so a lost executor costs none.
+    """
 
     def __init__(self, options: dict):
-        self.address = (options.get("host", "0.0.0.0"), int(options.get("port", "9089")))
+        self.options = dict(options)
         self.wait = float(options.get("wait", "0.2"))
-        self.rows: list[str] = []
+        self.rows: list = []
         self.base = 0
         self.socket = None
 
+    def opened(self) -> socket.socket:
+        raise NotImplementedError
+
+    def received(self) -> list:
+        raise NotImplementedError
+
     def initialOffset(self) -> dict:  # noqa: N802
         return {"n": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
         if self.socket is None:
-            self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-            self.socket.bind(self.address)
+            self.socket = self.opened()
             self.socket.settimeout(self.wait)
+        until = time.monotonic() + 10 * self.wait  # a sender that never pauses must not hold the batch up
         try:
-            while True:
-                self.rows.append(self.socket.recvfrom(65_536)[0].decode("utf-8", "replace"))
+            while time.monotonic() < until and (new := self.received()) is not None:
+                self.rows += new
         except TimeoutError:
             pass
         return {"n": self.base + len(self.rows)}
@@ -193,8 +266,20 @@ class UdpReader(DataSourceStreamReader):
         self.base = end["n"]
 
     def read(self, partition: InputPartition):
-        for text in json.loads(partition.value):
-            yield (text,)
+        for row in json.loads(partition.value):
+            yield tuple(row)
+
+
+class UdpReader(SocketReader):
+    """Datagrams of one port."""
+
+    def opened(self) -> socket.socket:
+        s = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        s.bind((self.options.get("host", "0.0.0.0"), int(self.options.get("port", "9089"))))
+        return s
+
+    def received(self) -> list:
+        return [(self.socket.recvfrom(65_536)[0].decode("utf-8", "replace"),)]
 
 
 class UdpSource(DataSource):
@@ -217,20 +302,49 @@ def framed(buffer: bytes, data: bytes) -> tuple[list[str], bytes]:
     return [x.decode("utf-8", "replace").rstrip("\r") for x in lines], rest
 
 
-def tcp_lines(host: str, port: int, client: str, password: str, connect=socket.create_connection) -> Iterator[str]:
-    """Log lines of a realtime server: greetings ended by NUL, the password's digest, then lines cut at newlines."""
+def shake_hands(s: socket.socket, client: str, password: str) -> bytes:
+    """Greetings ended by NUL and the password's digest; what the server has sent beyond its greeting."""
     from aerotrace.functions.text import crc64_digest
 
-    with connect((host, port)) as s:
-        s.sendall("\n".join([*GREETING, client, "\0"]).encode())
-        rest = b""
-        while b"\0" not in rest and (data := s.recv(8192)):
-            rest += data
-        s.sendall(f"{crc64_digest(password) if password else '0'}\n\0".encode())
-        rest = rest.partition(b"\0")[2]
-        while data := s.recv(8192):
-            lines, rest = framed(rest, data)
-            yield from lines
+    s.sendall("\n".join([*GREETING, client, "\0"]).encode())
+    rest = b""
+    while b"\0" not in rest and (data := s.recv(8192)):
+        rest += data
+    s.sendall(f"{crc64_digest(password) if password else '0'}\n\0".encode())
+    return rest.partition(b"\0")[2]
+
+
+class TcpReader(SocketReader):
+    """Log lines of a realtime server, numbered; a connection that was closed has no more."""
+
+    def opened(self) -> socket.socket:
+        s = socket.create_connection((self.options.get("host", "127.0.0.1"), int(self.options.get("port", "42674"))), timeout=10)
+        self.rest, self.n = shake_hands(s, self.options.get("client", "client"), self.options.get("password", "")), 0
+        return s
+
+    def received(self) -> list | None:
+        lines, self.rest = framed(self.rest, b"")
+        if not lines:
+            data = self.socket.recv(8192)
+            if not data:
+                return None
+            lines, self.rest = framed(self.rest, data)
+        self.n += len(lines)
+        return [(self.n - len(lines) + i, line) for i, line in enumerate(lines)]
+
+
+class TcpSource(DataSource):
+    """format("telemetry_tcp"): options host, port, client, password and wait."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "telemetry_tcp"
+
+    def schema(self) -> str:
+        return "line_no long, raw string"
+
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:  # noqa: N802
+        return TcpReader(self.options)
 
 
 def send_udp(df: DataFrame, epoch: int = 0, host: str = "127.0.0.1", port: int = 9090) -> None:

@@ -1,9 +1,13 @@
 import json
 import socket
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from aerotrace.functions import geometry
+from aerotrace.functions.text import crc64_digest
+from aerotrace.operators import learning
 from aerotrace.session import visible
 from aerotrace.streaming import packets
 from aerotrace.streaming.replay import ROCKS
@@ -63,3 +67,84 @@ def test_udp_reader_counts_what_it_received():
     assert list(reader.read(part)) == [("1",), ("2",)]
     reader.commit({"n": 2})
     assert list(reader.read(reader.partitions({"n": 2}, {"n": 3})[0])) == [("2",)]
+
+
+def test_known_properties_are_merged():
+    assert packets.merged("T=1|2|3|4|5|6,Name=x", "T=7||9") == "T=7|2|9|4|5|6,Name=x"
+    assert packets.merged("", "T=1|2|3,Name=a=b") == "T=1|2|3,Name=a=b"
+    assert packets.merged("Name=x", "Name=") == "Name="
+
+
+FRAMES = [
+    "A,T=44|41|5000|0|0|90,Type=Air+FixedWing,Name=F/A-18C,Pilot=Ace,Coalition=Blue,TAS=200", "B,T=44.01|41|5000,Type=Air+FixedWing,Coalition=Red", "C,T=44.02|41|5000,Type=Air+FixedWing,Coalition=Red", "D,T=44|41|5000,Type=Air+FixedWing,Coalition=Blue",
+    "#1", "A,TAS=220", "B,T=44.03||", "#2", "-B", "-C", "#3", "#wrong", "-A", "#4",
+]
+
+
+def test_features_on_frames(spark, tmp_path):
+    got = {r.time: r for r in run(spark, tmp_path, [("a", i, x) for i, x in enumerate(FRAMES)], "session string, line_no long, raw string", packets.realtime_rates)}
+    assert sorted(got) == [1.0, 2.0, 3.0]  # neither a bad time nor a frame without the player's aircraft
+    degree = 6378137.0 * 0.017453292519943295 * 0.7547095802227721  # of longitude at 41 degrees north
+    assert got[1.0].has_enemy and got[1.0].distance == pytest.approx(degree * 0.01)
+    assert got[2.0].distance == pytest.approx(degree * 0.02) and got[2.0].distance_rate == pytest.approx(degree * 0.01)  # C is nearer now
+    assert got[2.0].self_speed_rate == pytest.approx(20 * 0.514444)
+    assert not got[3.0].has_enemy and got[3.0].distance == 0 and got[3.0].distance_rate == 0
+
+
+def test_scores_on_a_stream(spark, tmp_path):
+    df = spark.range(50).select((F.col("id") / 50).alias("a"), (F.col("id") % 5).cast("double").alias("b")).withColumn("score", F.col("a") * 1.5 - 0.5)
+    model = learning.train_regressor(df, ["a", "b"])
+    got = run(spark, tmp_path, [(0.9, 1.0), (None, 2.0)], "a double, b double", lambda s: learning.score(s, model, ["a", "b"]))
+    batch = learning.score(spark.createDataFrame([(0.9, 1.0), (None, 2.0)], "a double, b double"), model, ["a", "b"]).collect()
+    assert sorted((r.b, r.advantage, r.category) for r in got) == sorted((r.b, r.advantage, r.category) for r in batch)
+
+
+def test_tcp_reader_shakes_hands_and_numbers_lines():
+    server = socket.create_server(("127.0.0.1", 0))
+    said = []
+
+    def serve():
+        s, _ = server.accept()
+        with s:
+            for _ in range(2):
+                part = b""
+                while not part.endswith(b"\0"):
+                    part += s.recv(100)
+                said.append(part)
+                if len(said) == 1:
+                    s.sendall(b"XtraLib.Stream.0\nhost\n\0FileType=x\r\n#0")
+            s.sendall(b".5\n1,T=1|2|3\nhalf")
+
+    thread = threading.Thread(target=serve)
+    thread.start()
+    reader = packets.TcpReader({"port": str(server.getsockname()[1]), "client": "me", "password": "secret"})
+    end = reader.latestOffset()
+    thread.join()
+    server.close()
+    assert end == {"n": 3} and list(reader.read(reader.partitions({"n": 0}, end)[0])) == [(0, "FileType=x"), (1, "#0.5"), (2, "1,T=1|2|3")]
+    assert said == [("\n".join([*packets.GREETING, "me", "\0"])).encode(), f"{crc64_digest('secret')}\n\0".encode()]
+    reader.commit(end)
+    assert reader.latestOffset() == end
+
+
+def test_sinks(spark, tmp_path):
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        s.settimeout(5)
+        packets.send_udp(spark.createDataFrame([(1, "a"), (2, "b")], "n int, t string"), port=s.getsockname()[1])
+        assert sorted(s.recv(1000) for _ in range(2)) == [b'{"n":1,"t":"a"}', b'{"n":2,"t":"b"}']
+    rows = [("a", packet(0.0, 0.0)), ("a", packet(1.0, 0.0, False))]
+    spark.createDataFrame(rows, "session string, value string").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # what was appended once isn't again
+        stream = spark.readStream.schema("session string, value string").parquet(str(tmp_path / "in"))
+        packets.appended(packets.parsed(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(kept) == 1 and kept[0].timestamp == 0.0 and kept[0].enemy_aircraft_y == 4000.0
+
+
+def test_attitude_and_colour(spark):
+    m = {k: F.lit(v) for k, v in {"xx": 0.0, "xy": 0.5, "xz": 0.75**0.5, "yy": 0.75**0.5, "zy": 0.0}.items()}
+    heading, pitch, bank = spark.range(1).select(*(F.degrees(c) for c in geometry.euler(m))).first()
+    assert (heading, pitch, bank) == (pytest.approx(90.0), pytest.approx(30.0), pytest.approx(0.0))
+    told = spark.createDataFrame([(-2.0,), (-0.5,), (0.0,), (0.5,), (1.0,)], "s double").select(geometry.blend(F.col("s")).alias("c")).collect()
+    assert [tuple(r.c) for r in told] == [(1, 0, 0), (1, 0.5, 0), (1, 1, 0), (0.5, 1, 0), (0, 1, 0)]
