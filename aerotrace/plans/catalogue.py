@@ -475,3 +475,14 @@ def q_stream_throttle(spark, sf_dir):
 def q_latest_per_session(spark, sf_dir):
     x = adapters.events(spark, sf_dir).selectExpr("CAST(user_id AS STRING) AS session", "CAST(event_id AS DOUBLE) AS time")
     return packets.latest(x)
+
+
+_TOLD = "SELECT CAST(user_id // 15 AS VARCHAR) AS session, event_id, 'A' || user_id AS object_id, event_id % 10 = 0 AS marks, event_id % 7 = 0 AS ends, 'T=' || event_id AS value FROM events"
+
+
+@query(f"""WITH told AS ({_TOLD}), own AS (SELECT DISTINCT session, object_id FROM told)
+    SELECT session, frame, object_id, value FROM (SELECT f.session, CAST(f.event_id AS VARCHAR) AS frame, o.object_id, f.event_id FROM told f JOIN own o ON o.session = f.session WHERE f.marks) f
+    ASOF JOIN (SELECT session AS s, object_id AS o, event_id AS e, ends, value FROM told WHERE NOT marks) u ON u.s = f.session AND u.o = f.object_id AND f.event_id >= u.e WHERE NOT ends""")
+def q_stream_locf(spark, sf_dir):
+    raw = "CASE WHEN event_id % 10 = 0 THEN concat('#', event_id) WHEN event_id % 7 = 0 THEN concat('-A', user_id) ELSE concat('A', user_id, ',T=', event_id) END AS raw"
+    return replay.table_of(spark, sf_dir, lambda events: packets.carried(events.selectExpr("CAST(user_id DIV 15 AS STRING) AS session", "event_id AS line_no", raw)))

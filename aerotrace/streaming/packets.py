@@ -7,6 +7,7 @@ import socket
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,12 @@ def with_statics(x: DataFrame) -> DataFrame:
     return x.select("session", "time", "has_enemy", F.when(F.col("has_enemy"), d).otherwise(0.0).alias("distance"), specific_energy(F.col("self_alt_asl"), F.col("self_TAS")).alias("self_specific_energy"), turn_rate_from_load(F.col("self_Gy"), F.col("self_TAS")).alias("self_turn_rate"), F.when(F.col("has_enemy"), speed_or_estimate(F.lit(0.0), F.lit(0.0))).otherwise(0.0).alias("enemy_speed"), F.col("self_TAS").alias("speed"))
 
 
+def ordered(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
+    """A session's rows of a batch in order; they may come in several parts."""
+    parts = list(rows)
+    return pd.concat(parts, ignore_index=True).sort_values(column, kind="stable", ignore_index=True) if parts else pd.DataFrame(columns=[column, "raw"])
+
+
 class Rates(StatefulProcessor):
     """The packet before, per session: rates against it, 0 at the first or where the side came or went; a new session starts anew."""
 
@@ -66,22 +73,21 @@ class Rates(StatefulProcessor):
         self.before = handle.getValueState("before", "time double, has_enemy boolean, distance double, energy double, speed double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        was = self.before.get() if self.before.exists() else None
-        out = []
-        for pdf in rows:
-            for r in pdf.sort_values("time", kind="stable").itertuples():
-                speed_rate = distance_rate = ps = 0.0
-                if was is not None:
-                    dt = r.time - was[0]
-                    dt = dt if dt > 0 else 1.0 / 30
-                    speed_rate, ps = (r.speed - was[4]) / dt, (r.self_specific_energy - was[3]) / dt
-                    distance_rate = (r.distance - was[2]) / dt if r.has_enemy and was[1] else 0.0
-                out.append((key[0], r.time, r.has_enemy, r.distance, r.self_specific_energy, r.self_turn_rate, r.enemy_speed, speed_rate, distance_rate, ps))
-                was = (r.time, bool(r.has_enemy), r.distance, r.self_specific_energy, r.speed)
-        if was is not None:
-            self.before.update(was)
-        if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in RATES.split(", ")])
+        x = ordered(rows, "time")
+        if x.empty:
+            return
+        seen = pd.DataFrame([self.before.get()] if self.before.exists() else [], columns=["time", "has_enemy", "distance", "self_specific_energy", "speed"])
+        was = x[seen.columns].shift()
+        if len(seen):
+            was.iloc[0] = seen.iloc[0]
+        dt = x["time"] - was["time"].astype(float)
+        dt = dt.where((dt > 0) | dt.isna(), 1.0 / 30)
+        rate = lambda c: ((x[c] - was[c].astype(float)) / dt).where(dt.notna(), 0.0)
+        both = x["has_enemy"].astype(bool) & (was["has_enemy"] == True)  # noqa: E712
+        out = x.assign(session=key[0], self_speed_rate=rate("speed"), distance_rate=rate("distance").where(both, 0.0), self_ps_estimate=rate("self_specific_energy"))
+        last = x.iloc[-1]
+        self.before.update((float(last["time"]), bool(last["has_enemy"]), float(last["distance"]), float(last["self_specific_energy"]), float(last["speed"])))
+        yield out[[f.split()[0] for f in RATES.split(", ")]]
 
     def close(self) -> None:
         pass
@@ -97,17 +103,15 @@ class Throttle(StatefulProcessor):
         self.last = handle.getValueState("last", "time double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        last = self.last.get()[0] if self.last.exists() else None
+        times = ordered(rows, "time")["time"].to_numpy()
+        last = self.last.get()[0] if self.last.exists() else -np.inf
         kept = []
-        for pdf in rows:
-            for r in pdf.sort_values("time", kind="stable").itertuples():
-                if last is None or r.time - last >= self.gap - 1e-9:
-                    last = r.time
-                    kept.append((key[0], r.time))
-        if last is not None:
-            self.last.update((last,))
+        while (i := np.searchsorted(times, last + self.gap - 1e-9)) < len(times):
+            last = float(times[i])
+            kept.append(last)
         if kept:
-            yield pd.DataFrame(kept, columns=["session", "time"])
+            self.last.update((last,))
+            yield pd.DataFrame({"session": key[0], "time": kept})
 
     def close(self) -> None:
         pass
@@ -137,18 +141,24 @@ class Carried(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         out = []
-        for pdf in rows:
-            for line_no, raw in pdf.sort_values("line_no", kind="stable")[["line_no", "raw"]].itertuples(index=False):
-                if raw.startswith("-"):
-                    if self.known.containsKey((raw[1:],)):
-                        self.known.removeKey((raw[1:],))
-                elif raw.startswith("#"):
-                    objects = sorted((v[1], k[0], v[0]) for k, v in self.known.iterator())
-                    out.append((key[0], raw[1:], [{"object_id": k, "value": v} for _, k, v in objects]))
-                elif "," in raw and not raw.startswith("0,"):
-                    object_id, _, value = raw.partition(",")
-                    was = self.known.getValue((object_id,)) if self.known.containsKey((object_id,)) else ("", line_no)
-                    self.known.updateValue((object_id,), (merged(was[0], value), was[1]))
+        known = {k[0]: tuple(v) for k, v in self.known.iterator()}
+        before = dict(known)
+        x = ordered(rows, "line_no")
+        for line_no, raw in zip(x["line_no"].tolist(), x["raw"].tolist(), strict=True):
+            if raw.startswith("-"):
+                known.pop(raw[1:], None)
+            elif raw.startswith("#"):
+                objects = sorted((v[1], k, v[0]) for k, v in known.items())
+                out.append((key[0], raw[1:], [{"object_id": k, "value": v} for _, k, v in objects]))
+            elif "," in raw and not raw.startswith("0,"):
+                object_id, _, value = raw.partition(",")
+                was = known.get(object_id, ("", line_no))
+                known[object_id] = (merged(was[0], value), was[1])
+        for object_id in before.keys() - known.keys():
+            self.known.removeKey((object_id,))
+        for object_id, v in known.items():
+            if before.get(object_id) != v:
+                self.known.updateValue((object_id,), v)
         if out:
             yield pd.DataFrame(out, columns=["session", "frame", "objects"])
 
