@@ -120,8 +120,8 @@ def label_distribution(labeled: DataFrame) -> DataFrame:
 def trainable(labeled: DataFrame, column: str = "label", least: int = 2) -> DataFrame:
     """The rows of labels with ``least`` rows or more; none if fewer than two labels are left."""
     good = labeled.groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    enough = good.agg((F.count("*") >= 2).alias("enough")).filter("enough")
-    return labeled.join(good.select(column), column, "left_semi").join(F.broadcast(enough), F.lit(True), "left_semi")
+    good = good.withColumn("n", F.count("*").over(W.partitionBy())).filter("n >= 2").select(column)
+    return labeled.join(F.broadcast(good), column, "left_semi")  # a row a label
 
 
 def gated(labeled: DataFrame, column: str = "label", least: int = 2) -> tuple[DataFrame, DataFrame]:
