@@ -21,14 +21,17 @@ from .token_counts import token_counts
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without windows of 20 that also start earlier; a null or empty text has no words and the digest of nothing."""
     return substring_dedup(load(spark, sf_dir, "documents"), window=20, with_text=False)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, with the one of equal texts that stays; null counts as empty, so all null and empty texts are one group."""
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, kept or not; a null or empty text has no words and fails the base rules."""
     return quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
@@ -39,33 +42,40 @@ def vocab() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of 1024 tokens; a null or empty text is a piece of its one closing id."""
     return pack(load(spark, sf_dir, "documents"), vocab(), size=1024)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per length that occurs; a null or empty text has length 0, an empty table gives no rows."""
     return token_counts(load(spark, sf_dir, "documents"), vocab())
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text has no spans and the digest of nothing."""
     found = secret_scan(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per conversation, read back from the formatted windows, and conversation -1 with control strings in its texts; a null text is empty."""
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     return digests(chat_windows(rows.unionByName(more)))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; first and last word are null without a phrase of the base; a null or empty text has no labels and score 0."""
     return license_scan(load(spark, sf_dir, "documents")).drop("spans")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text has no shingles and stays alone."""
     return near_duplicates(load(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text has no ids and the digests of nothing."""
     return bpe.encode(load(spark, sf_dir, "documents"), vocab(), with_ids=False)
 
 
