@@ -14,9 +14,12 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .source_divergence import divergence
 from .substring_dedup import substring_dedup
+from .token_alignment import align
 from .token_counts import token_counts
 
 
@@ -79,6 +82,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), vocab(), with_ids=False)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every two sources of a language differ, and the ten terms each source has most in excess; null texts, languages and sources are empty."""
+    return divergence(load(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, held out or not; a null or empty text is scored like any other."""
+    return quality_classifier(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text, or one that the second tokenizer doesn't give back, has zeros and an empty digest."""
+    import public_tokenizers
+
+    return align(load(spark, sf_dir, "documents"), vocab(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -90,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -111,6 +134,22 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON b.u = r.other)
         SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
         FROM documents d LEFT JOIN sizes z USING (doc_id) JOIN reach r ON r.node = d.doc_id GROUP BY d.doc_id, z.n""",
+    "op11_source_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT r) AS d FROM (SELECT r, lang, source, unnest(ts) AS term FROM docs) GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY lang, term HAVING sum(d) >= 10),
+        langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        totals AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM groups g LEFT JOIN (SELECT * FROM counts SEMI JOIN kept USING (lang, term)) c USING (lang, source) GROUP BY g.lang, g.source),
+        shares AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (t.n + 2 * l.v) AS p, 1 + (1000000000 * (k.n + 2)) // (l.n + 2 * l.v) AS q
+                   FROM totals t JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+        pairs AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(p.value, 0)::BIGINT AS value FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+                  LEFT JOIN pairs p ON p.lang = x.lang AND p.source = x.source AND p.item = y.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM every UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
     "op3_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
