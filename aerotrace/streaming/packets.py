@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import dataclasses
 import json
 import socket
 import time
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +19,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from aerotrace.functions import geometry as g
-from aerotrace.functions.geometry import specific_energy, speed_or_estimate, turn_rate_from_load
 from aerotrace.functions.text import number, properties, property_value
-from aerotrace.operators.engagement import is_aircraft, opposing
-from aerotrace.schema import KNOTS, PACKET
+from aerotrace.operators import learning
+from aerotrace.operators.engagement import SIDE, is_aircraft, opposing, static_features
+from aerotrace.schema import EARTH_RADIUS, KNOTS, PACKET, PAIR_FEATURES, SOUND_SPEED
 
 
 def parsed(stream: DataFrame, column: str = "value") -> DataFrame:
@@ -42,22 +45,36 @@ def flattened(df: DataFrame, separator: str = "_") -> DataFrame:
     return df.select(*walk(df.schema, "", ""))
 
 
+#: Columns of a frame: the player's side and its opponent's, named as in engagement.SIDE.
+SIDES = [f"{who}_{c}" for who in ("self", "enemy") for c in SIDE]
+
+
 def sides(packets: DataFrame, session: str = "session") -> DataFrame:
-    """What the features need of a packet, defaults in place; a side alone where there is no enemy."""
+    """session, time, has_enemy and SIDES of packets, defaults in place; a side alone where there is no enemy.
+
+    A packet knows no speed of the enemy, so its Mach and speed are 0.
+    """
     d = lambda c, v=0.0: F.coalesce(F.col(c), F.lit(v))
-    s, e = "self_aircraft", "enemy_aircraft"
-    both = F.coalesce(F.col("has_enemy"), F.lit(False)) & ~F.coalesce(F.col("self_only"), F.lit(False))
-    return packets.select(
-        session, F.col("timestamp").alias("time"), both.alias("has_enemy"), *(d(f"{s}.{c}").alias(f"self_{c}") for c in ("x", "y", "z", "heading", "TAS", "mach", "alt_asl", "Gy")), *(d(f"{e}.{c}").alias(f"enemy_{c}") for c in ("x", "y", "z", "heading")), F.coalesce(f"{e}.alt", f"{e}.y", F.lit(0.0)).alias("enemy_alt"),
-    )
+    s, e, zero = "self_aircraft", "enemy_aircraft", F.lit(0.0)
+    both = d("has_enemy", False) & ~d("self_only", False)
+    own = {"object_id": F.lit("self"), "name": d(f"{s}.name", ""), "coalition": F.lit(""), "altitude": d(f"{s}.alt_asl"), "speed": d(f"{s}.TAS"), "aoa": d(f"{s}.AoA"), "g_load": d(f"{s}.Gy")}
+    own |= {c: d(f"{s}.{c}") for c in ("x", "y", "z", "mach", "heading", "pitch", "bank")}
+    other = {"object_id": F.coalesce(f"{e}.id", f"{e}.name", F.lit("enemy")), "name": d(f"{e}.name", ""), "coalition": F.lit(""), "altitude": F.coalesce(f"{e}.alt", f"{e}.y", zero), "speed": zero, "mach": zero, "aoa": zero, "g_load": zero}
+    other |= {c: d(f"{e}.{c}") for c in ("x", "y", "z", "heading", "pitch", "bank")}
+    return packets.select(session, F.col("timestamp").alias("time"), both.alias("has_enemy"), *(own[c].alias(f"self_{c}") for c in SIDE), *(other[c].alias(f"enemy_{c}") for c in SIDE))
 
 
-RATES = "session string, time double, has_enemy boolean, distance double, self_specific_energy double, self_turn_rate double, enemy_speed double, self_speed_rate double, distance_rate double, self_ps_estimate double"
+#: What a side alone has; speed_ratio is 1 there and all else 0.
+ALONE = {"self_specific_energy", "self_speed", "self_turn_rate", "self_g_load"}
+RATES = "session string, time double, has_enemy boolean, self_object_id string, enemy_object_id string, " + ", ".join(f"{f} double" for f in PAIR_FEATURES)
 
 
 def with_statics(x: DataFrame) -> DataFrame:
-    d = F.sqrt(sum(((F.col(f"enemy_{c}") - F.col(f"self_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-    return x.select("session", "time", "has_enemy", F.when(F.col("has_enemy"), d).otherwise(0.0).alias("distance"), specific_energy(F.col("self_alt_asl"), F.col("self_TAS")).alias("self_specific_energy"), turn_rate_from_load(F.col("self_Gy"), F.col("self_TAS")).alias("self_turn_rate"), F.when(F.col("has_enemy"), speed_or_estimate(F.lit(0.0), F.lit(0.0))).otherwise(0.0).alias("enemy_speed"), F.col("self_TAS").alias("speed"))
+    """The features of sides that need no other frame, and what the rates need."""
+    known = {n.removesuffix("_"): c for n, c in static_features().items()}
+    pair = F.col("has_enemy")
+    each = [(known[f] if f in ALONE else F.when(pair, known[f]).otherwise(1.0 if f == "speed_ratio" else 0.0)).alias(f) for f in PAIR_FEATURES if f in known]
+    return x.select("session", "time", "has_enemy", "self_object_id", F.when(pair, F.col("enemy_object_id")).alias("enemy_object_id"), "enemy_heading", *each)
 
 
 def ordered(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
@@ -67,26 +84,35 @@ def ordered(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
 
 
 class Rates(StatefulProcessor):
-    """The packet before, per session: rates against it, 0 at the first or where the side came or went; a new session starts anew."""
+    """The frame before, per session: rates against it, 0 at the first; those of a pair are 0 too where the side came or went.
+
+    The frame before counts whichever opponent it had.  A new session starts anew.
+    """
+
+    KEPT = ["time", "has_enemy", "distance", "antenna_train_angle", "enemy_heading", "self_specific_energy", "self_speed"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.before = handle.getValueState("before", "time double, has_enemy boolean, distance double, energy double, speed double")
+        self.before = handle.getValueState("before", ", ".join(f"{c} {'boolean' if c == 'has_enemy' else 'double'}" for c in self.KEPT))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         x = ordered(rows, "time")
         if x.empty:
             return
-        seen = pd.DataFrame([self.before.get()] if self.before.exists() else [], columns=["time", "has_enemy", "distance", "self_specific_energy", "speed"])
-        was = x[seen.columns].shift()
-        if len(seen):
-            was.iloc[0] = seen.iloc[0]
+        was = x[self.KEPT].shift()
+        if self.before.exists():
+            was.iloc[0] = list(self.before.get())
         dt = x["time"] - was["time"].astype(float)
         dt = dt.where((dt > 0) | dt.isna(), 1.0 / 30)
-        rate = lambda c: ((x[c] - was[c].astype(float)) / dt).where(dt.notna(), 0.0)
         both = x["has_enemy"].astype(bool) & (was["has_enemy"] == True)  # noqa: E712
-        out = x.assign(session=key[0], self_speed_rate=rate("speed"), distance_rate=rate("distance").where(both, 0.0), self_ps_estimate=rate("self_specific_energy"))
+        rate = lambda c: ((x[c] - was[c].astype(float)) / dt).where(dt.notna(), 0.0)
+        turn = (x["enemy_heading"] - was["enemy_heading"].astype(float)) / dt
+        turn = np.degrees((turn - 2 * np.pi * np.ceil((turn - np.pi) / (2 * np.pi))).abs()).where(both, 0.0)
+        out = x.assign(
+            session=key[0], self_speed_rate=rate("self_speed"), self_ps_estimate=rate("self_specific_energy"), distance_rate=rate("distance").where(both, 0.0), ata_rate=rate("antenna_train_angle").where(both, 0.0),
+            enemy_turn_rate=turn, relative_turn_rate=(x["self_turn_rate"] - turn).where(x["has_enemy"].astype(bool), 0.0),
+        )
         last = x.iloc[-1]
-        self.before.update((float(last["time"]), bool(last["has_enemy"]), float(last["distance"]), float(last["self_specific_energy"]), float(last["speed"])))
+        self.before.update(tuple(bool(last[c]) if c == "has_enemy" else float(last[c]) for c in self.KEPT))
         yield out[[f.split()[0] for f in RATES.split(", ")]]
 
     def close(self) -> None:
@@ -130,35 +156,73 @@ def merged(before: str, line: str) -> str:
     return ",".join(f"{k}={v}" for k, v in known.items())
 
 
+@dataclasses.dataclass
+class Known:
+    """An object of a connection: its properties, when it was first told of, its last transform and the speed between the last two."""
+
+    value: str
+    ord: int
+    at: float = -1.0
+    x: float = 0.0
+    y: float = 0.0
+    z: float = 0.0
+    speed: float = 0.0
+
+    def updated(self, line: str, now: float) -> Known:
+        new = dataclasses.replace(self, value=merged(self.value, line))
+        t = next((p[2:] for p in new.value.split(",") if p.startswith("T=")), None)
+        if t is None or not any(p.strip().startswith("T=") for p in line.split(",")):
+            return new
+        lon, lat, alt = ([_number(v) for v in t.split("|")] + [0.0] * 3)[:3]
+        new.x, new.y, new.z = EARTH_RADIUS * np.radians(lon) * np.cos(np.radians(lat)), alt, EARTH_RADIUS * np.radians(lat)
+        if 0 <= self.at < now:
+            new.speed = float(np.sqrt((new.x - self.x) ** 2 + (new.y - self.y) ** 2 + (new.z - self.z) ** 2) / (now - self.at))
+        new.at = now
+        return new
+
+
+def _number(text: str) -> float:
+    try:
+        return float(text)
+    except ValueError:
+        return 0.0
+
+
 class Carried(StatefulProcessor):
-    """What is known of every object of a connection: LOCF per property, with removals.
+    """What is known of every object of a connection: LOCF per property, speed from transforms, removals.
 
-    A frame line tells what was known when it came, stamped with its time.
+    A frame line tells what was known when it came, stamped with its time; a line that opens a
+    recording (FileType=) clears all that was known, also the time.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "object_id string", "value string, ord long")
+        self.known = handle.getMapState("known", "object_id string", "value string, ord long, at double, x double, y double, z double, speed double")
+        self.now = handle.getValueState("now", "now double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         out = []
-        known = {k[0]: tuple(v) for k, v in self.known.iterator()}
-        before = dict(known)
+        known = {k[0]: Known(*v) for k, v in self.known.iterator()}
+        before, now = dict(known), self.now.get()[0] if self.now.exists() else 0.0
         x = ordered(rows, "line_no")
         for line_no, raw in zip(x["line_no"].tolist(), x["raw"].tolist(), strict=True):
-            if raw.startswith("-"):
+            if raw.startswith("FileType="):
+                known, now = {}, 0.0
+            elif raw.startswith("-"):
                 known.pop(raw[1:], None)
             elif raw.startswith("#"):
-                objects = sorted((v[1], k, v[0]) for k, v in known.items())
-                out.append((key[0], raw[1:], [{"object_id": k, "value": v} for _, k, v in objects]))
+                objects = sorted((v.ord, k, v) for k, v in known.items())
+                out.append((key[0], raw[1:], [{"object_id": k, "value": v.value, "speed": v.speed} for _, k, v in objects]))
+                with contextlib.suppress(ValueError):
+                    now = float(raw[1:])
             elif "," in raw and not raw.startswith("0,"):
                 object_id, _, value = raw.partition(",")
-                was = known.get(object_id, ("", line_no))
-                known[object_id] = (merged(was[0], value), was[1])
+                known[object_id] = known.get(object_id, Known("", line_no)).updated(value, now)
         for object_id in before.keys() - known.keys():
             self.known.removeKey((object_id,))
         for object_id, v in known.items():
             if before.get(object_id) != v:
-                self.known.updateValue((object_id,), v)
+                self.known.updateValue((object_id,), dataclasses.astuple(v))
+        self.now.update((now,))
         if out:
             yield pd.DataFrame(out, columns=["session", "frame", "objects"])
 
@@ -171,6 +235,7 @@ def stateful(df: DataFrame, processor: StatefulProcessor, schema: str, mode: str
 
 
 def rates(packets: DataFrame) -> DataFrame:
+    """session, time, has_enemy, the sides' ids and the 20 features of packets."""
     return stateful(with_statics(sides(packets)), Rates(), RATES)
 
 
@@ -179,21 +244,23 @@ def throttled(df: DataFrame, hz: float = 30.0) -> DataFrame:
 
 
 def told_frames(lines: DataFrame) -> DataFrame:
-    """session, frame, objects (object_id and properties, the first seen first) of every frame line."""
-    return stateful(lines.select("session", "line_no", "raw"), Carried(), "session string, frame string, objects array<struct<object_id: string, value: string>>")
+    """session, frame, objects (object_id, properties and speed between transforms, the first seen first) of every frame line."""
+    return stateful(lines.select("session", "line_no", "raw"), Carried(), "session string, frame string, objects array<struct<object_id: string, value: string, speed: double>>")
 
 
 def carried(lines: DataFrame) -> DataFrame:
     """session, frame, object_id, value: a row per frame and known object."""
-    return told_frames(lines).select("session", "frame", F.explode("objects").alias("o")).select("session", "frame", "o.*")
+    return told_frames(lines).select("session", "frame", F.explode("objects").alias("o")).select("session", "frame", "o.object_id", "o.value")
 
 
-def engaged(frames: DataFrame, player: str = "") -> DataFrame:
-    """What the features need (see sides) of told frames: the player's aircraft and its nearest opponent.
+def engaged(frames: DataFrame, player: str = "", min_speed: float = 20.0, min_altitude: float = 100.0) -> DataFrame:
+    """sides of told frames: the player's aircraft and its nearest opponent that flies.
 
     The player's aircraft is the first seen whose pilot holds the player's name,
     or an F/A-18 with any pilot; a frame without one, or without a valid time, has no row.  Of
-    opponents at one distance the first seen counts.
+    opponents at one distance the first seen counts; those below ``min_altitude`` or slower than
+    ``min_speed`` are left out.  Speed is a told TAS, else that between the last two transforms; an
+    unknown Mach comes from it; loads aren't told and are 0.
     """
 
     def state(o):
@@ -202,27 +269,33 @@ def engaged(frames: DataFrame, player: str = "") -> DataFrame:
         t = F.split(v("T"), "\\|")
         at = lambda i: F.coalesce(number(F.get(t, F.lit(i))), F.lit(0.0))
         x, y, z = g.to_local(at(0), at(1), at(2))
-        n = lambda k: F.coalesce(number(v(k)), F.lit(0.0))
-        return F.struct(o["object_id"].alias("id"), v("Name").alias("name"), v("Pilot").alias("pilot"), v("Type").alias("type"), v("Coalition").alias("coalition"), x.alias("x"), y.alias("y"), z.alias("z"), F.radians(at(5)).alias("heading"), (n("TAS") * KNOTS).alias("TAS"), n("Mach").alias("mach"))
+        speed = F.coalesce(number(v("TAS")) * KNOTS, o["speed"])
+        mach = F.coalesce(number(v("Mach")), F.lit(0.0))
+        found = {"object_id": o["object_id"], "name": v("Name"), "coalition": v("Coalition"), "x": x, "y": y, "z": z, "altitude": at(2), "speed": speed, "mach": F.when(mach > 0, mach).otherwise(speed / SOUND_SPEED)}
+        found |= {"heading": F.radians(at(5)), "pitch": F.radians(at(4)), "bank": F.radians(at(3)), "aoa": F.radians(F.coalesce(number(v("AOA")), F.lit(0.0))), "g_load": F.lit(0.0)}
+        return F.struct(*(found[c].alias(c) for c in SIDE), v("Pilot").alias("pilot"), v("Type").alias("type"))
 
     own = lambda o: is_aircraft(o["type"]) & ((F.lit(player) != "") & o["pilot"].contains(player) | o["name"].contains("F/A-18") & (o["pilot"] != ""))
     x = frames.select("session", number(F.trim("frame")).alias("time"), F.transform("objects", state).alias("all")).filter(F.col("time").isNotNull())
     x = x.withColumn("s", F.get(F.filter("all", own), F.lit(0))).filter(F.col("s").isNotNull())
     far = lambda o: g.distance(*(o[c] - F.col(f"s.{c}") for c in "xyz"))
-    others = F.filter("all", lambda o: is_aircraft(o["type"]) & (o["id"] != F.col("s.id")) & opposing(o["coalition"], F.col("s.coalition")))
+    flies = lambda o: (o["altitude"] >= min_altitude) & (o["speed"] >= min_speed)
+    others = F.filter("all", lambda o: is_aircraft(o["type"]) & (o["object_id"] != F.col("s.object_id")) & flies(o) & opposing(o["coalition"], F.col("s.coalition")))
     x = x.withColumn("others", others).withColumn("e", F.array_min(F.transform("others", lambda o, i: F.struct(far(o).alias("d"), i.alias("i"), o.alias("o"))))["o"])
-    enemy = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(0.0))
-    return x.select(
-        "session", "time", F.col("e").isNotNull().alias("has_enemy"), *(F.col(f"s.{c}").alias(f"self_{c}") for c in ("x", "y", "z", "heading", "TAS", "mach")), F.col("s.y").alias("self_alt_asl"), F.lit(1.0).alias("self_Gy"),
-        *(enemy(c).alias(f"enemy_{c}") for c in ("x", "y", "z", "heading")), enemy("y").alias("enemy_alt"),
-    )
+    enemy = lambda c: F.col(f"e.{c}") if c in ("object_id", "name", "coalition") else F.coalesce(F.col(f"e.{c}"), F.lit(0.0))
+    return x.select("session", "time", F.col("e").isNotNull().alias("has_enemy"), *(F.col(f"s.{c}").alias(f"self_{c}") for c in SIDE), *(enemy(c).alias(f"enemy_{c}") for c in SIDE))
 
 
 def realtime_rates(lines: DataFrame, player: str = "") -> DataFrame:
-    """From the lines of realtime connections (session, line_no, raw) to the features of every frame."""
+    """From the lines of realtime connections (session, line_no, raw) to the 20 features of every frame."""
     return stateful(with_statics(engaged(told_frames(lines), player)), Rates(), RATES)
 
 
+def scored(frames: DataFrame, model: PipelineModel, columns: list[str] = PAIR_FEATURES) -> DataFrame:
+    """Frames with features as a trained model scores them: advantage and its category; batch or stream."""
+    return learning.score(frames, model, columns)
+
+
 def latest(df: DataFrame, now: float | None = None, ttl: float = 2.0) -> DataFrame:
     """The last row of each session; with ``now``, only those that aren't older than the time to live."""
     x = df.groupBy("session").agg(F.max_by(F.struct(*(c for c in df.columns if c != "session")), "time").alias("r")).select("session", "r.*")

@@ -1,4 +1,5 @@
 import json
+import math
 import socket
 import threading
 
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from aerotrace.functions import geometry
 from aerotrace.functions.text import crc64_digest
 from aerotrace.operators import learning
+from aerotrace.operators.engagement import pair_features
+from aerotrace.schema import PAIR_FEATURES
 from aerotrace.session import visible
 from aerotrace.streaming import packets
 from aerotrace.streaming.replay import ROCKS
@@ -76,7 +79,7 @@ def test_known_properties_are_merged():
 
 
 FRAMES = [
-    "A,T=44|41|5000|0|0|90,Type=Air+FixedWing,Name=F/A-18C,Pilot=Ace,Coalition=Blue,TAS=200", "B,T=44.01|41|5000,Type=Air+FixedWing,Coalition=Red", "C,T=44.02|41|5000,Type=Air+FixedWing,Coalition=Red", "D,T=44|41|5000,Type=Air+FixedWing,Coalition=Blue",
+    "A,T=44|41|5000|0|0|90,Type=Air+FixedWing,Name=F/A-18C,Pilot=Ace,Coalition=Blue,TAS=200", "B,T=44.01|41|5000,Type=Air+FixedWing,Coalition=Red,TAS=300", "C,T=44.02|41|5000,Type=Air+FixedWing,Coalition=Red,TAS=300", "D,T=44|41|5000,Type=Air+FixedWing,Coalition=Blue",
     "#1", "A,TAS=220", "B,T=44.03||", "#2", "-B", "-C", "#3", "#wrong", "-A", "#4",
 ]
 
@@ -91,6 +94,60 @@ def test_features_on_frames(spark, tmp_path):
     assert not got[3.0].has_enemy and got[3.0].distance == 0 and got[3.0].distance_rate == 0
 
 
+PLANE = "Type=Air+FixedWing,Name=x"
+MOVES = [
+    "#0", "A,T=44|41|5000|10|5|90,Type=Air+FixedWing,Name=F/A-18C,Pilot=Ace,Coalition=Blue,TAS=200,Mach=0.5", f"P,T=44.001|41|5,{PLANE},Coalition=Red,TAS=0", f"Q,T=44.002|41|5000,{PLANE},Coalition=Red,TAS=10", f"R,T=44.02|41|4000|||45,{PLANE},Coalition=Red",
+    "#0.5", "R,T=44.0202||||", "A,T=44.001|||", "#1", "R,T=44.0206||3990||||", "A,T=44.0015|||,TAS=210", "#2.5", "R,T=44.021|||||90", "#3", "#3.5", "-R", "#4", f"S,T=44.03|41|4000,{PLANE},TAS=400", "#5",
+]
+
+
+def side(lon, alt, heading, speed, mach=None):
+    x, z = 6378137.0 * math.radians(lon) * math.cos(math.radians(41)), 6378137.0 * math.radians(41)
+    return {"x": x, "y": alt, "z": z, "altitude": alt, "speed": speed, "mach": mach or speed / 340.0, "heading": math.radians(heading), "pitch": 0.0, "bank": 0.0, "aoa": 0.0, "g_load": 0.0}
+
+
+def test_every_feature_of_realtime_frames_and_their_scores(spark, tmp_path):
+    """Against the batch features of the same sides; a parked and a slow opponent are nearer but don't count."""
+    rows = [("a", i, x) for i, x in enumerate(MOVES)]
+    got = {r.time: r for r in run(spark, tmp_path, rows, "session string, line_no long, raw string", packets.realtime_rates)}
+    assert sorted(got) == [0.5, 1.0, 2.5, 3.0, 3.5, 4.0, 5.0]
+    assert [r.enemy_object_id for _, r in sorted(got.items())] == [None, "R", "R", "R", "R", None, "S"]  # R is known to fly when it has moved
+    knots, metre = 0.514444, 6378137.0 * math.radians(1) * math.cos(math.radians(41))
+    speed = [0.0002 * metre / 0.5, math.hypot(0.0004 * metre, 10) / 0.5, 0.0004 * metre / 1.5]
+    told = [(1.0, 44.001, 200, 44.0202, 4000, 45, speed[0]), (2.5, 44.0015, 210, 44.0206, 3990, 45, speed[1]), (3.0, 44.0015, 210, 44.021, 3990, 90, speed[2]), (3.5, 44.0015, 210, 44.021, 3990, 90, speed[2])]
+    sides = []
+    for t, lon, tas, lon2, alt2, heading2, speed2 in told:
+        own, other = side(lon, 5000.0, 90, tas * knots, 0.5), side(lon2, float(alt2), heading2, speed2)
+        sides.append({"source": "a", "time": t, "self_object_id": "A", "enemy_object_id": "R"} | {f"self_{k}": v for k, v in own.items()} | {f"enemy_{k}": v for k, v in other.items()})
+    features = pair_features(spark.createDataFrame(sides))
+    batch = {r.time: r for r in features.collect()}
+    for t, want in batch.items():
+        for f in PAIR_FEATURES:
+            if t > 1.0 or f not in ("self_speed_rate", "self_ps_estimate"):  # the stream's frame before, without an opponent, has these too
+                assert got[t][f] == pytest.approx(want[f], abs=1e-5), (t, f)
+    alone = got[4.0]
+    assert not alone.has_enemy and alone.speed_ratio == 1 and all(alone[f] == 0 for f in ("distance", "enemy_speed", "distance_rate", "ata_rate", "enemy_turn_rate", "relative_turn_rate", "delta_specific_energy"))
+    model = learning.train_regressor(features.withColumn("score", F.col("distance") / 1e4), PAIR_FEATURES)
+    seen = run(spark, tmp_path / "scores", rows, "session string, line_no long, raw string", lambda s: packets.scored(packets.realtime_rates(s), model))
+    want = {r.time: r.advantage for r in learning.score(features, model, PAIR_FEATURES).collect()}
+    assert {r.time: r.advantage for r in seen if r.time > 1 and r.enemy_object_id == "R"} == {t: pytest.approx(v, abs=1e-6) for t, v in want.items() if t > 1}
+    assert all(r.category for r in seen) and len(seen) == 7
+
+
+def test_a_new_recording_clears_what_was_known(spark, tmp_path):
+    lines = ["FileType=x", "1,T=1|2|3,TAS=5", "#7", "FileType=x", "2,T=1|1|1", "#1", "2,T=1.001|1|1", "#2"]
+    got = run(spark, tmp_path, [("a", i, x) for i, x in enumerate(lines)], "session string, line_no long, raw string", packets.told_frames)
+    told = {r.frame: {o.object_id: o.speed for o in r.objects} for r in got}
+    assert told["7"] == {"1": 0.0} and told["1"] == {"2": 0.0} and set(told["2"]) == {"2"} and told["2"]["2"] == pytest.approx(6378137.0 * math.radians(0.001) * math.cos(math.radians(1)))
+
+
+def test_a_packet_has_every_feature(spark, tmp_path):
+    rows = [("a", packet(t, 10 * t)) for t in (0.0, 1.0, 2.0)]
+    got = {r.time: r for r in run(spark, tmp_path, rows, "session string, value string", lambda s: packets.rates(packets.parsed(s)))}
+    assert got[2.0].enemy_speed == 200 and got[2.0].speed_ratio == pytest.approx(202 / 200) and got[2.0].self_g_load == 4 and got[2.0].altitude_diff == -3000
+    assert got[2.0].self_turn_rate == got[2.0].relative_turn_rate == pytest.approx(math.degrees(9.80665 * 15**0.5 / 202))
+
+
 def test_scores_on_a_stream(spark, tmp_path):
     df = spark.range(50).select((F.col("id") / 50).alias("a"), (F.col("id") % 5).cast("double").alias("b")).withColumn("score", F.col("a") * 1.5 - 0.5)
     model = learning.train_regressor(df, ["a", "b"])
