@@ -115,3 +115,23 @@ def human_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id AS edit_index", "CASE event_type WHEN 'purchase' THEN 'set' ELSE 'clear' END AS edit_action", "CAST(CASE WHEN event_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS STRING) AS aircraft_id",
         "CASE WHEN event_id % 19 = 0 THEN NULL ELSE (event_id % 31) * 5e-1 END AS sample_time", f"element_at(array({names}), CAST(event_id % 13 AS INT) + 1) AS manual_label_name",
     )
+
+
+#: Realtime lines of the events, for both engines: fifteen users share a session, an hour is a second, every tenth event ends a frame,
+#: some events end an object, one user in fifteen is the player, one in five is parked and one in three tells its speed, now and then.
+LINE = """
+    concat('s', CAST(CAST(floor(user_id / 15) AS BIGINT) AS STRING)) AS session, event_id, user_id, event_id AS line_no, CAST(floor(value * 1e2) AS BIGINT) AS v,
+    CASE WHEN event_id % 10 = 0 THEN 'mark' WHEN event_id % 97 = 1 THEN 'end' ELSE 'update' END AS line_kind,
+    CASE WHEN user_id % 11 = 0 THEN 'Ground+Static' ELSE 'Air+FixedWing' END AS obj_type, CASE user_id % 3 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Red' ELSE '' END AS coalition"""
+MOVED = """
+    concat('44.', lpad(CAST(v % 10000 AS STRING), 4, '0')) AS lon, concat('41.', lpad(CAST((v * 7 + event_id) % 1000 AS STRING), 4, '0')) AS lat, CAST(CASE WHEN user_id % 5 = 1 THEN 50 ELSE 3000 + v % 4000 END AS STRING) AS alt,
+    CASE WHEN event_id % 2 = 0 THEN CAST(v % 60 AS STRING) ELSE '' END AS roll, CAST(v % 20 AS STRING) AS pitch, CASE WHEN event_id % 3 = 0 THEN CAST(v % 360 AS STRING) ELSE '' END AS yaw,
+    CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN v % 400 END AS knots"""
+
+
+def realtime_lines(events: DataFrame) -> DataFrame:
+    """session, line_no, raw: the events as the lines of realtime connections."""
+    x = events.selectExpr(*[p.strip() for p in _split(LINE)], "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) DIV 3600000 AS ms").selectExpr("*", *[p.strip() for p in _split(MOVED)])
+    named = "CASE WHEN user_id % 15 = 4 THEN ',Name=F/A-18C,Pilot=Ace' ELSE concat(',Name=P', user_id, ',Pilot=') END"
+    update = f"concat('A', user_id, ',T=', concat_ws('|', lon, lat, alt, roll, pitch, yaw), ',Type=', obj_type, ',Coalition=', coalition, {named}, coalesce(concat(',TAS=', knots), ''))"
+    return x.selectExpr("session", "line_no", f"CASE line_kind WHEN 'mark' THEN concat('#', ms DIV 1000, '.', lpad(CAST(ms % 1000 AS STRING), 3, '0')) WHEN 'end' THEN concat('-A', user_id) ELSE {update} END AS raw")

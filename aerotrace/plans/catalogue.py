@@ -486,3 +486,12 @@ _TOLD = "SELECT CAST(user_id // 15 AS VARCHAR) AS session, event_id, 'A' || user
 def q_stream_locf(spark, sf_dir):
     raw = "CASE WHEN event_id % 10 = 0 THEN concat('#', event_id) WHEN event_id % 7 = 0 THEN concat('-A', user_id) ELSE concat('A', user_id, ',T=', event_id) END AS raw"
     return replay.table_of(spark, sf_dir, lambda events: packets.carried(events.selectExpr("CAST(user_id DIV 15 AS STRING) AS session", "event_id AS line_no", raw)))
+
+
+_TOLD_KEYS = ["session", "time", "has_enemy", "self_object_id", "enemy_object_id"]
+
+
+@query(o.said(f"SELECT {', '.join(_TOLD_KEYS)}, {o.rounded(PAIR_FEATURES, 3)} FROM rt_features"))
+def q_stream_engagement(spark, sf_dir):
+    x = replay.table_of(spark, sf_dir, lambda events: packets.realtime_rates(adapters.realtime_lines(events)))
+    return shown(x, _TOLD_KEYS, PAIR_FEATURES, 3)

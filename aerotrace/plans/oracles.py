@@ -266,3 +266,42 @@ STEPS["anchored"] = """
 STEPS["lined"] = f"""
     SELECT source, printf('%.2f', nearest * 1e0) AS frame_text, aircraft_id, concat(aircraft_id, ',Maneuver010PredLabel=', label_name, ',Maneuver011PredLabelId=', label, ',Maneuver070WindowStart=', {_NUM('window_start')}, ',Maneuver071WindowEnd=', {_NUM('window_end')}, ',Maneuver072SampleTime=', {_NUM('sample_time')},
         ',Maneuver020RuleLabel=', label_name, ',Maneuver021RuleLabelId=', label, ',Maneuver030MainLabel=', label_name, ',Maneuver031MainLabelId=', label, ',Maneuver052ComputedGSource=trajectory_curvature_estimate') AS "update" FROM anchored"""
+
+from aerotrace.plans.adapters import LINE, MOVED  # noqa: E402
+
+STEPS["rt_lines"] = f"""
+    SELECT *, coalesce(max(CASE WHEN line_kind = 'mark' THEN ms END) OVER (PARTITION BY session ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1e3 AS now,
+        count(*) FILTER (line_kind = 'end') OVER (PARTITION BY session, user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS life
+    FROM (SELECT *, {MOVED} FROM (SELECT {LINE}, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000 AS ms FROM events))"""
+STEPS["rt_known"] = """
+    SELECT session, event_id, user_id, life, obj_type, coalition, now, min(event_id) OVER o AS ord, 6378137e0 * radians(CAST(lon AS DOUBLE)) * cos(radians(CAST(lat AS DOUBLE))) AS x, CAST(alt AS DOUBLE) AS y, 6378137e0 * radians(CAST(lat AS DOUBLE)) AS z,
+        coalesce(last_value(CAST(nullif(yaw, '') AS DOUBLE) IGNORE NULLS) OVER o, 0e0) AS yaw, last_value(knots IGNORE NULLS) OVER o * 514444e-6 AS tas
+    FROM rt_lines WHERE line_kind = 'update' WINDOW o AS (PARTITION BY session, user_id, life ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
+STEPS["rt_state"] = """
+    SELECT *, coalesce(tas, last_value(moved IGNORE NULLS) OVER o, 0e0) AS speed FROM (
+        SELECT *, CASE WHEN now > lag(now) OVER o THEN sqrt(pow(x - lag(x) OVER o, 2) + pow(y - lag(y) OVER o, 2) + pow(z - lag(z) OVER o, 2)) / (now - lag(now) OVER o) END AS moved FROM rt_known WINDOW o AS (PARTITION BY session, user_id, life ORDER BY event_id))
+    WINDOW o AS (PARTITION BY session, user_id, life ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
+# the last line of every user of the session before each mark: an update tells its state
+STEPS["rt_frames"] = """
+    SELECT f.session, f.frame, f.time, s.*, radians(s.yaw) AS h FROM (
+        SELECT f.session, f.event_id AS frame, f.ms / 1e3 AS time, l.user_id, l.event_id AS told FROM (SELECT m.session, m.event_id, m.ms, u.user_id FROM rt_lines m JOIN (SELECT DISTINCT session, user_id FROM rt_lines) u USING (session) WHERE m.line_kind = 'mark') f
+        ASOF JOIN (SELECT * FROM rt_lines WHERE line_kind <> 'mark') l ON l.session = f.session AND l.user_id = f.user_id AND f.event_id >= l.event_id) f
+    JOIN (SELECT * EXCLUDE (session), session AS own FROM rt_state) s ON s.own = f.session AND s.user_id = f.user_id AND s.event_id = f.told WHERE s.obj_type = 'Air+FixedWing'"""
+STEPS["rt_engaged"] = """
+    SELECT a.session, a.time, a.x AS ax, a.y AS ay, a.z AS az, a.h AS sh, a.speed AS ss, a.user_id AS sid,
+        arg_min({'id': b.user_id, 'x': b.x, 'y': b.y, 'z': b.z, 'h': b.h, 's': b.speed}, {'d': sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)), 'o': b.ord}) FILTER (b.session IS NOT NULL) AS e
+    FROM (SELECT * FROM rt_frames WHERE user_id % 15 = 4) a LEFT JOIN rt_frames b ON b.session = a.session AND b.frame = a.frame AND b.user_id <> a.user_id AND b.y >= 100 AND b.speed >= 20 AND NOT (a.coalition <> '' AND b.coalition <> '' AND a.coalition = b.coalition)
+    GROUP BY ALL"""
+STEPS["rt_statics"] = f"""
+    SELECT *, {fold('atan2(0e0 - dz, 0e0 - dx) - eh')} AS aspect, {fold('atan2(dz, dx) - sh')} AS ata, {fold('sh - eh')} AS hca, (degrees(atan2(dz, dx)) % 36e1 + 36e1) % 36e1 AS bear, sqrt(dx * dx + dy * dy + dz * dz) AS dist,
+        ay + ss * ss / (2 * 980665e-5) AS own_energy, e.y + e.s * e.s / (2 * 980665e-5) AS enemy_energy FROM (
+    SELECT *, e IS NOT NULL AS has_enemy, e.x - ax AS dx, e.y - ay AS dy, e.z - az AS dz, e.h AS eh FROM rt_engaged)"""
+STEPS["rt_rated"] = f"""
+    SELECT *, coalesce((ss - lag(ss) OVER o) / dt, 0e0) AS speed_rate, coalesce((own_energy - lag(own_energy) OVER o) / dt, 0e0) AS ps, CASE WHEN again THEN (dist - lag(dist) OVER o) / dt ELSE 0e0 END AS dist_rate, CASE WHEN again THEN (ata - lag(ata) OVER o) / dt ELSE 0e0 END AS ata_speed,
+        CASE WHEN again THEN abs(degrees(turned - 2 * pi() * ceil((turned - pi()) / (2 * pi())))) ELSE 0e0 END AS turn
+    FROM (SELECT *, (eh - lag(eh) OVER o) / dt AS turned FROM (SELECT *, has_enemy AND coalesce(lag(has_enemy) OVER o, false) AS again, CASE WHEN {_DT} <= 0 THEN 1 / 30e0 ELSE {_DT} END AS dt FROM rt_statics WINDOW o AS (PARTITION BY session ORDER BY time)) WINDOW o AS (PARTITION BY session ORDER BY time))
+    WINDOW o AS (PARTITION BY session ORDER BY time)"""
+STEPS["rt_features"] = """
+    SELECT session, time, has_enemy, concat('A', sid) AS self_object_id, CASE WHEN has_enemy THEN concat('A', e.id) END AS enemy_object_id, coalesce(dist, 0e0) AS distance, coalesce(aspect, 0e0) AS aspect_angle, coalesce(ata, 0e0) AS antenna_train_angle, coalesce(hca, 0e0) AS heading_crossing_angle,
+        coalesce(ay - e.y, 0e0) AS altitude_diff, coalesce(bear, 0e0) AS bearing, own_energy AS self_specific_energy, coalesce(enemy_energy, 0e0) AS enemy_specific_energy, coalesce(own_energy - enemy_energy, 0e0) AS delta_specific_energy, ss AS self_speed,
+        coalesce(e.s, 0e0) AS enemy_speed, coalesce(ss / e.s, 1e0) AS speed_ratio, 0e0 AS self_turn_rate, turn AS enemy_turn_rate, -turn AS relative_turn_rate, 0e0 AS self_g_load, speed_rate AS self_speed_rate, dist_rate AS distance_rate, ata_speed AS ata_rate, ps AS self_ps_estimate FROM rt_rated"""
