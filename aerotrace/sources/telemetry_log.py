@@ -18,6 +18,10 @@ from aerotrace.operators.windows import range_join
 from aerotrace.schema import GRAVITY, KNOTS, STATE_NUMBER, STATE_TEXT
 
 LINES = "source string, line_no long, raw string"
+#: Lines that are scanned as one piece.
+SEGMENT = 1 << 16
+#: Frames that are numbered as one piece.
+FRAMES_PER_PART = 64
 
 
 def _lines(df: DataFrame, text: str = "value") -> DataFrame:
@@ -25,12 +29,39 @@ def _lines(df: DataFrame, text: str = "value") -> DataFrame:
     return df.select("source", F.posexplode(F.split(clean, "\n")).alias("line_no", "raw")).select("source", F.col("line_no").cast("long"), "raw")
 
 
+def before_parts(parts: DataFrame, by: list[str], part: str, totals: dict[str, Column]) -> DataFrame:
+    """by, part and aggregates of the parts before each: parts holds one row per part, so the window over ``by`` sees those alone."""
+    ahead = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    return parts.select(*by, part, *(c.over(ahead).alias(n) for n, c in totals.items()))
+
+
+def numbered(df: DataFrame, by: list[str], part: Column, order: list[str], name: str) -> DataFrame:
+    """df with the place of each row from 0 among those of its ``by``, in ``order``; ``part`` grows with the order, so no task sees more than a part."""
+    x = df.withColumn("__part", part)
+    counts = before_parts(x.groupBy(*by, "__part").agg(F.count("*").alias("__n")), by, "__part", {"__before": F.sum("__n")})
+    x = x.withColumn("__at", F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order)) - 1).join(counts, [*by, "__part"])
+    return x.withColumn(name, F.coalesce("__before", F.lit(0)).cast("long") + F.col("__at")).drop("__part", "__at", "__before")
+
+
 def read_log(spark: SparkSession, paths: str | list[str], recursive: bool = False, pattern: str = "*.acmi") -> DataFrame:
-    """source, line_no, raw of text logs (files, or folders of them); .zip and .zip.acmi archives go to read_zip_log."""
-    reader = spark.read.option("recursiveFileLookup", recursive)
+    """source, line_no, raw of text logs (files, or folders of them); .zip and .zip.acmi archives go to read_zip_log.
+
+    A log is read in splits, so a long one by many tasks.  A row's place in its split is its
+    row id less the split's first; counts of the splits before it make that the line number.
+    The splits' table, a row for each split of the scan that the driver plans, is broadcast.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive).option("lineSep", "\n")
     if all(not PurePosixPath(p).suffix for p in ([paths] if isinstance(paths, str) else paths)):
         reader = reader.option("pathGlobFilter", pattern)
-    return _lines(reader.text(paths, wholetext=True).withColumn("source", F.col("_metadata.file_path")))
+    x = reader.text(paths).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("__size"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
+    splits = x.groupBy("source", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"), F.sum(F.octet_length("value") + 1).alias("__bytes"), F.max("__size").alias("__size"))
+    shift = before_parts(splits, ["source"], "__block", {"__before": F.sum("__n")}).join(splits.select("source", "__block", "__first"), ["source", "__block"])
+    shift = shift.select("source", "__block", (F.coalesce("__before", F.lit(0)) - F.col("__first")).alias("__shift"))
+    lines = x.join(F.broadcast(shift), ["source", "__block"]).select("source", (F.col("__id") + F.col("__shift")).alias("line_no"), "value")
+    # a text that ends with a newline has an empty line behind it; the reader drops the three bytes of a byte-order mark
+    ends = splits.groupBy("source").agg(F.sum("__n").alias("line_no"), F.sum("__bytes").alias("__bytes"), F.max("__size").alias("__size")).filter("__bytes IN (__size, __size - 3)")
+    raw = F.regexp_replace(F.when(F.col("line_no") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")), "\r", "")
+    return lines.select("source", "line_no", raw.alias("raw")).union(ends.select("source", "line_no", F.lit("")))
 
 
 def read_zip_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -48,16 +79,25 @@ def read_zip_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """lines with kind (blank, header, frame, removal, global, update, other), frame_idx, t and the time of the last valid frame."""
+    """lines with kind (blank, header, frame, removal, global, update, other), frame_idx, t and the time of the last valid frame.
+
+    Frames are counted, and the last time is carried on, inside segments of ``SEGMENT`` lines; what the
+    segments before hold is joined to each.
+    """
     s = F.trim("raw")
     kind = (
         F.when(s == "", "blank").when(s.startswith("FileType=") | s.startswith("FileVersion="), "header").when(s.startswith("#"), "frame")
         .when(s.startswith("-"), "removal").when(s.startswith("0,"), "global").when(s.contains(","), "update").otherwise("other")
     )
-    order = W.partitionBy("source").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     x = lines.withColumns({"raw": s, "kind": kind})
-    x = x.withColumn("t", F.when(F.col("kind") == "frame", number(F.trim(F.substring("raw", 2, 1 << 30)))))
-    return x.withColumns({"frame_idx": F.sum((F.col("kind") == "frame").cast("int")).over(order), "now": F.coalesce(F.last("t", ignorenulls=True).over(order), F.lit(0.0))})
+    x = x.withColumns({"t": F.when(F.col("kind") == "frame", number(F.trim(F.substring("raw", 2, 1 << 30)))), "__part": F.floor(F.col("line_no") / SEGMENT)})
+    mark = (F.col("kind") == "frame").cast("long")
+    inside = W.partitionBy("source", "__part").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    parts = x.groupBy("source", "__part").agg(F.sum(mark).alias("__marks"), F.max_by("t", F.when(F.col("t").isNotNull(), F.col("line_no"))).alias("__t"))
+    parts = before_parts(parts, ["source"], "__part", {"__marks": F.sum("__marks"), "__t": F.last("__t", ignorenulls=True)})
+    x = x.withColumns({"__own": F.sum(mark).over(inside), "__now": F.last("t", ignorenulls=True).over(inside)}).join(parts, ["source", "__part"])
+    x = x.withColumns({"frame_idx": F.coalesce("__marks", F.lit(0)).cast("long") + F.col("__own"), "now": F.coalesce("__now", "__t", F.lit(0.0))})
+    return x.select(*lines.columns, "kind", "t", "frame_idx", "now")
 
 
 def frames_of(x: DataFrame) -> DataFrame:
@@ -189,8 +229,8 @@ def as_lines(state: DataFrame) -> DataFrame:
     named = F.when(F.col("first"), F.concat(F.lit(",Name="), "name", F.lit(",Type="), "obj_type", F.lit(",Coalition="), "coalition")).otherwise("")
     first = F.row_number().over(W.partitionBy("source", "object_id").orderBy("frame_idx")) == 1
     rows = state.withColumn("first", first).select("source", "frame_idx", "ord", F.coalesce(F.concat("object_id", F.lit(",T="), "transform", named), F.concat(F.lit("-"), "object_id")).alias("raw"))
-    number_ = F.row_number().over(W.partitionBy("source").orderBy("frame_idx", "ord")) - 1
-    return head.union(marks).union(rows).select("source", number_.cast("long").alias("line_no"), "raw")
+    every = head.union(marks).union(rows)
+    return numbered(every, ["source"], F.floor(F.col("frame_idx") / FRAMES_PER_PART), ["frame_idx", "ord"], "line_no").select("source", "line_no", "raw")
 
 
 def is_log(path: Column) -> Column:

@@ -44,6 +44,33 @@ def lines(spark, tmp_path_factory):
     return one.withColumn("source", F.lit("one.acmi"))
 
 
+def test_a_log_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Splits of 2 kB, through lines of characters of several bytes and carriage returns, and segments of 50 lines."""
+    text = "\ufeff" + LOG.replace("\n", "\r\n") + "".join(f"#{4 + i / 8}\n3000001,T={44 + i / 1000}|41|{5000 + i % 7}\n" + ("é漢" * (i % 40) + "\n") * (i % 3 == 0) for i in range(1500))
+    for name, said in (("a", text), ("b", text.rstrip("\n")), ("c", "\n\n"), ("d", "x")):
+        (tmp_path / f"{name}.acmi").write_bytes(said.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = log.read_log(spark, str(tmp_path))
+        assert got.filter("source LIKE '%a.acmi'").select(F.spark_partition_id()).distinct().count() > 20
+        rows = {}
+        for r in got.orderBy("source", "line_no").collect():
+            rows.setdefault(r.source[-6], []).append((r.line_no, r.raw))
+        for name, said in (("a", text), ("b", text.rstrip("\n")), ("c", "\n\n"), ("d", "x")):
+            assert rows[name] == list(enumerate(said.removeprefix("\ufeff").replace("\r", "").split("\n"))), name
+        one = log.classified(got).orderBy("source", "line_no").select("kind", "t", "frame_idx", "now").collect()
+        monkeypatch.setattr(log, "SEGMENT", 50)
+        assert log.classified(got).orderBy("source", "line_no").select("kind", "t", "frame_idx", "now").collect() == one
+        frames, now = 0, 0.0
+        for r in [r for r, (n, _) in zip(one, rows["a"])]:
+            frames += r.kind == "frame"
+            now = r.t if r.t is not None else now
+            assert (r.frame_idx, r.now) == (frames, now)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_state_lasts_until_it_changes(spark, lines):
     x = log.classified(lines)
     s = {(r.time, r.object_id): r for r in log.frame_state(x).collect()}
