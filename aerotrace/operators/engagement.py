@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aerotrace.functions import geometry as g
-from aerotrace.operators.windows import range_join
+from aerotrace.operators.windows import asof_join
 from aerotrace.schema import PAIR_FEATURES, SOUND_SPEED
 
 FRAME = ["source", "frame_idx"]
@@ -113,26 +113,49 @@ def attributed(events: DataFrame, candidates: DataFrame, by: list[str]) -> DataF
     return y.select(*by, "time", "victim_id", "victim_name", F.col("k.object_id").alias("killer_id"), F.col("k.name").alias("killer_name"), "victim_coalition", F.col("k.coalition").alias("killer_coalition"))
 
 
+def told_kills(rows: DataFrame, kills: DataFrame, by: list[str]) -> DataFrame:
+    """by, self_name, enemy_name, __at, __sign, __run: what each kill says of every pair of names it concerns, with the time at which its run began.
+
+    A kill lifts a pair's score to its decay (sign 1) or pushes it below the negative of
+    that (-1).  Later kills have decayed less, so of kills of one sign in a row the earliest
+    prevails, and a kill of the other sign starts anew; so does one that does both, as
+    when a name stands in the killer's and the victim's: the last thing it says counts.
+    """
+    pair = [*by, "self_name", "enemy_name"]
+    pairs = rows.select(*pair).distinct()
+    killing = ["__at", "__v", "killer_name", "victim_name"]
+    k = kills.select(*by, F.col("time").alias("__at"), F.col("victim_id").alias("__v"), *(F.coalesce(c, F.lit("")).alias(c) for c in killing[2:])).distinct()
+    names = pairs.select(*by, F.explode(F.array("self_name", "enemy_name")).alias("__name")).filter("length(__name) > 0").distinct()
+    # names meet the distinct names of their log's kills, not its rows
+    met = k.select(*by, "killer_name", "victim_name").distinct().join(names, by)
+    met = met.withColumns({"__killed": F.col("killer_name").contains(F.col("__name")), "__died": F.col("victim_name").contains(F.col("__name"))}).filter("__killed OR __died")
+    met = met.join(k, [*by, "killer_name", "victim_name"])
+    own = pairs.join(met.withColumnRenamed("__name", "self_name"), [*by, "self_name"]).select(*pair, *killing, F.col("__killed").alias("__ok"), F.col("__died").alias("__od"), F.lit(False).alias("__ek"), F.lit(False).alias("__ed"))
+    other = pairs.join(met.withColumnRenamed("__name", "enemy_name"), [*by, "enemy_name"]).select(*pair, *killing, F.lit(False).alias("__ok"), F.lit(False).alias("__od"), F.col("__killed").alias("__ek"), F.col("__died").alias("__ed"))
+    x = own.unionByName(other).groupBy(*pair, *killing).agg(*(F.max(c).alias(c) for c in ("__ok", "__od", "__ek", "__ed")))
+    x = x.withColumns({"__first": F.when(F.col("__ok"), 1).when(F.col("__ek"), -1), "__second": F.when(F.col("__od"), -1).when(F.col("__ed"), 1)})
+    x = x.withColumns({"__sign": F.coalesce("__second", "__first"), "__anew": F.coalesce(F.col("__first") != F.col("__second"), F.lit(False))})
+    order = W.partitionBy(*pair).orderBy(*killing)
+    before = F.lag("__sign").over(order)
+    x = x.withColumn("__start", F.when(before.isNull() | (before != F.col("__sign")) | F.col("__anew"), F.col("__at")))
+    x = x.withColumns({"__run": F.last("__start", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), "__n": F.row_number().over(order)})
+    return x.select(*pair, "__at", "__n", "__sign", "__run")
+
+
 def outcome_score(rows: DataFrame, kills: DataFrame, by: list[str] = ["source"], lookback: float = 15.0, tau: float = 5.0) -> DataFrame:  # noqa: B006
     """rows with score in -1..1: towards 1 before the self side wins, towards -1 before it is lost.
 
-    Kills meet the rows of the ``lookback`` seconds before them; each row's kills are then
-    folded in order of time, as a later one may outweigh an earlier.  Names match as parts.
+    A row's score is that of the last kill in the ``lookback`` seconds from it on, decayed from the
+    start of that kill's run, or from the first kill that the row has ahead if the run began before
+    it: see told_kills.  So no row meets more than two kills, found as of its time.  Names match as parts.
     """
-    x = rows.withColumn("__row", F.xxhash64(*by, "time", "self_object_id", "enemy_object_id"))
-    k = kills.select(*by, (F.col("time") - lookback).alias("__from"), F.col("time").alias("__to"), "killer_name", "victim_name", F.col("victim_id").alias("__v"))
-    hit = range_join(x.select(*by, "time", "__row", "self_name", "enemy_name"), k, by, "time", "__from", "__to", lookback)
-    one = F.struct(F.col("__to").alias("at"), F.col("__v").alias("v"), F.exp(-(F.col("__to") - F.col("time")) / tau).alias("decay"), "killer_name", "victim_name")
-    folded = hit.groupBy("__row").agg(F.array_sort(F.collect_list(one)).alias("kills"))
-    part = lambda name, whole: (F.coalesce(F.length(name), F.lit(0)) > 0) & whole.contains(name)
-
-    def step(score: Column, e: Column) -> Column:
-        own, other = F.col("self_name"), F.col("enemy_name")
-        won = F.when(part(own, e["killer_name"]), F.greatest(score, e["decay"])).when(part(other, e["killer_name"]), F.least(score, -e["decay"])).otherwise(score)
-        return F.when(part(own, e["victim_name"]), F.least(won, -e["decay"])).when(part(other, e["victim_name"]), F.greatest(won, e["decay"])).otherwise(won)
-
-    y = x.join(folded, "__row", "left").withColumn("kills", F.coalesce("kills", F.array().cast(folded.schema["kills"].dataType)))
-    return y.withColumn("score", F.aggregate("kills", F.lit(0.0), step)).drop("__row", "kills")
+    pair = [*by, "self_name", "enemy_name"]
+    told = told_kills(rows, kills, by)
+    x = asof_join(rows, told.select(*pair, (F.col("__at") - lookback).alias("time"), "__n", "__sign", "__run", "__at"), pair, "time", ["__n", "__sign", "__run", "__at"], "backward").drop("matched_on")
+    x = asof_join(x, told.select(*pair, F.col("__at").alias("time")), pair, "time", [], "forward")
+    since = F.greatest(F.col("__run"), F.col("matched_on"))
+    score = F.when(F.col("__at") >= F.col("time"), F.col("__sign") * F.exp(-(since - F.col("time")) / tau)).otherwise(F.lit(0.0))
+    return x.withColumn("score", score).select(*(c for c in rows.columns if c != "score"), "score")
 
 
 def score_stats(df: DataFrame) -> DataFrame:
