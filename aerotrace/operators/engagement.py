@@ -34,26 +34,64 @@ def sides(state: DataFrame) -> DataFrame:
     )
 
 
+def cell(x: str, z: str, size: float) -> Column:
+    """The cell of a horizontal grid that a point lies in."""
+    return F.struct(F.floor(F.col(x) / size).alias("i"), F.floor(F.col(z) / size).alias("k"))
+
+
+def neighbours(x: str, z: str, size: float, offsets: list[tuple[int, int]]) -> Column:
+    """The cells at some offsets of the one that a point lies in."""
+    at = cell(x, z, size)
+    return F.array(*(F.struct((at["i"] + i).alias("i"), (at["k"] + k).alias("k")) for i, k in offsets))
+
+
+#: The cells around one, itself included, and the half of them that meets every two cells once.
+AROUND = [(i, k) for i in (-1, 0, 1) for k in (-1, 0, 1)]
+HALF_AROUND = AROUND[4:]
+
+
 def pairs(state: DataFrame, max_distance: float = 10_000.0, min_speed: float = 50.0, min_altitude: float = 100.0) -> DataFrame:
     """source, frame_idx, time, distance_raw, self_*, enemy_*: pairs of a frame, the earlier seen object first.
 
-    An equality on the frame carries the join; the rest is a condition on its rows.
+    The frame and a cell of a grid as wide as the greatest distance carry the join: one side stands in its own
+    cell, the other in its own and the four before it, so two objects meet once and only if their cells touch.
     """
     s = sides(state).filter(is_aircraft(F.col("obj_type")) & (F.col("altitude") >= min_altitude) & (F.col("speed") >= min_speed))
-    a = s.select(*FRAME, "time", F.col("ord").alias("self_ord"), *(F.col(c).alias(f"self_{c}") for c in SIDE))
-    b = s.select(*FRAME, F.col("ord").alias("enemy_ord"), *(F.col(c).alias(f"enemy_{c}") for c in SIDE))
-    d = g.distance(*(F.col(f"enemy_{c}") - F.col(f"self_{c}") for c in "xyz"))
-    x = a.join(b, FRAME).filter((F.col("self_ord") < F.col("enemy_ord")) & opposing(F.col("self_coalition"), F.col("enemy_coalition")))
-    return x.withColumn("distance_raw", d).filter(F.col("distance_raw") <= max_distance).drop("self_ord", "enemy_ord")
-
-
-def nearest_opponent(state: DataFrame, min_speed: float = 20.0, min_altitude: float = 100.0) -> DataFrame:
-    """Each aircraft of a frame with its nearest opponent: source, frame_idx, object_id, enemy_id, distance; ties to the first seen."""
+    row = F.struct("ord", *SIDE)
+    a = s.select(*FRAME, "time", cell("x", "z", max_distance).alias("__cell"), row.alias("__a"))
+    b = s.select(*FRAME, F.explode(neighbours("x", "z", max_distance, HALF_AROUND)).alias("__cell"), cell("x", "z", max_distance).alias("__own"), row.alias("__b"))
+    d = g.distance(*(F.col(f"__b.{c}") - F.col(f"__a.{c}") for c in "xyz"))
+    once = (F.col("__cell") != F.col("__own")) | (F.col("__a.ord") < F.col("__b.ord"))  # within one cell both ways meet
+    x = a.join(b, [*FRAME, "__cell"]).filter(once & opposing(F.col("__a.coalition"), F.col("__b.coalition")) & (d <= max_distance))
+    first = F.col("__a.ord") < F.col("__b.ord")
+    x = x.select(*FRAME, "time", F.when(first, F.col("__a")).otherwise(F.col("__b")).alias("__s"), F.when(first, F.col("__b")).otherwise(F.col("__a")).alias("__e")).filter("__s.ord < __e.ord")
+    x = x.select(*FRAME, "time", *(F.col(f"__s.{c}").alias(f"self_{c}") for c in SIDE), *(F.col(f"__e.{c}").alias(f"enemy_{c}") for c in SIDE))
+    return x.withColumn("distance_raw", g.distance(*(F.col(f"enemy_{c}") - F.col(f"self_{c}") for c in "xyz")))
+
+
+def nearest_opponent(state: DataFrame, min_speed: float = 20.0, min_altitude: float = 100.0, rings: tuple[float, ...] = (20_000.0, 160_000.0)) -> DataFrame:
+    """Each aircraft of a frame with its nearest opponent: source, frame_idx, object_id, enemy_id, distance; ties to the first seen.
+
+    Looked for in rings: whoever has an opponent within a ring's width finds it in the cells of that width around
+    its own, and all others as near; only the rest looks on in the next ring, at last in the whole frame.
+    """
     s = sides(state).filter(is_aircraft(F.col("obj_type")))
     b = s.filter((F.col("altitude") >= min_altitude) & (F.col("speed") >= min_speed)).select(*FRAME, *(F.col(c).alias(f"enemy_{c}") for c in ("object_id", "coalition", "x", "y", "z", "ord")))
-    x = s.join(b, FRAME).filter((F.col("object_id") != F.col("enemy_object_id")) & opposing(F.col("coalition"), F.col("enemy_coalition")))
-    x = x.withColumn("distance", g.distance(*(F.col(f"enemy_{c}") - F.col(c) for c in "xyz")))
-    return x.groupBy(*FRAME, "object_id").agg(F.min_by("enemy_object_id", F.struct("distance", "enemy_ord")).alias("enemy_id"), F.min("distance").alias("distance"))
+    own = ["object_id", "coalition", "x", "y", "z"]
+    x = s.select(*FRAME, *own, F.lit(None).cast("struct<d:double,ord:long,id:string>").alias("best"))
+    found = F.when(
+        (F.col("object_id") != F.col("enemy_object_id")) & opposing(F.col("coalition"), F.col("enemy_coalition")),
+        F.struct(g.distance(*(F.col(f"enemy_{c}") - F.col(c) for c in "xyz")).alias("d"), F.col("enemy_ord").cast("long").alias("ord"), F.col("enemy_object_id").alias("id")),
+    )
+    within = 0.0
+    for width in (*rings, None):
+        looks = F.col("best").isNull() | (F.col("best.d") > within)
+        here = F.lit(0) if width is None else cell("x", "z", width)
+        there = b.withColumn("__cell", F.lit(0)) if width is None else b.withColumn("__cell", F.explode(neighbours("enemy_x", "enemy_z", width, AROUND)))
+        met = x.withColumn("__cell", F.when(looks, here)).join(there, [*FRAME, "__cell"], "left")
+        x = met.groupBy(*FRAME, *own).agg(F.least(F.first("best"), F.min(found)).alias("best"))
+        within = width or within
+    return x.filter("best IS NOT NULL").select(*FRAME, "object_id", F.col("best.id").alias("enemy_id"), F.col("best.d").alias("distance"))
 
 
 def step_seconds(t: Column, before: Column) -> Column:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from aerotrace.operators.engagement import outcome_score
+from aerotrace.operators.engagement import nearest_opponent, outcome_score, pairs
 
 NAMES = ["Eagle", "Eagle 2", "Fox", "Owl", "", None]
 
@@ -42,3 +42,34 @@ def test_no_row_meets_a_list_of_kills(spark):
     out = outcome_score(df, kills)
     assert [r.score for r in out.collect()] == [0.0] and outcome_score(df.filter("false"), kills).collect() == []
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def objects(rng, n, spread):
+    """Points of a lattice, so that many distances are equal; on edges of cells too, and below zero."""
+    step = 5000
+    rows = []
+    for i in range(n):
+        kind = rng.choice(["Air+FixedWing"] * 4 + ["Ground+Static"])
+        rows.append(("f", i % 2, float(i % 2), i, f"o{i}", f"n{i}", rng.choice(["Blue", "Red", ""]), kind, *(float(step * rng.randint(-spread, spread)) for _ in range(2)), float(rng.choice([0, 3000, 6000])), float(rng.choice([10, 30, 200]))))
+    return rows
+
+
+@pytest.mark.parametrize("spread", [3, 200])
+def test_pairs_and_nearest_in_cells_against_all_pairs(spark, spread):
+    rows = objects(random.Random(spread), 160, spread)
+    names = "source string, frame_idx int, time double, ord int, object_id string, name string, coalition string, obj_type string, world_x double, world_z double, altitude double, speed double"
+    df = spark.createDataFrame(rows, names).selectExpr("*", "altitude AS world_y", "0d AS mach", "0d AS yaw", "0d AS pitch", "0d AS roll", "0d AS aoa", "1d AS g_load")
+    far = lambda a, b: math.dist((a[8], a[10], a[9]), (b[8], b[10], b[9]))
+    oppose = lambda a, b: not (a[6] and b[6] and a[6] == b[6])
+    flying = [r for r in rows if r[7].startswith("Air")]
+    want = {(a[1], a[4], b[4]): far(a, b) for a in flying for b in flying if a[1] == b[1] and a[3] < b[3] and oppose(a, b) and min(a[11], b[11]) >= 50 and min(a[10], b[10]) >= 100 and far(a, b) <= 10_000}
+    got = pairs(df).collect()
+    assert len(got) == len(want) and {(r.frame_idx, r.self_object_id, r.enemy_object_id): r.distance_raw for r in got} == want
+    best = {}
+    for a in flying:
+        found = [(far(a, b), b[3], b[4]) for b in flying if a[1] == b[1] and a[4] != b[4] and oppose(a, b) and b[11] >= 20 and b[10] >= 100]
+        if found:
+            best[a[1], a[4]] = (min(found)[2], min(found)[0])
+    for rings in ((20_000.0, 160_000.0), (5000.0,), ()):
+        near = nearest_opponent(df, rings=rings).collect()
+        assert len(near) == len(best) and {(r.frame_idx, r.object_id): (r.enemy_id, r.distance) for r in near} == best
