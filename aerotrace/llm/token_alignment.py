@@ -33,21 +33,16 @@ from .common import stored
 
 #: Bytes of text in a part.
 PART_BYTES = 1 << 22
-#: A pair's code holds B's id in its lower bits.
-B_BITS = 24
+#: A pair's code holds B's id in its lower bits; both ids are below 2**16.
+B_BITS, PAIR_BITS = 20, 36
 
-_INSIDE = """
-    WITH held AS (SELECT a.seg, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s),
-    begun AS (SELECT b.seg, a.id AS a, b.id AS b FROM b ASOF JOIN a ON b.s > a.s WHERE b.s < a.e)
-    SELECT seg, a, b, count(*) AS n FROM (SELECT * FROM held UNION ALL SELECT * FROM begun) GROUP BY seg, a, b ORDER BY seg, a, b"""
+_LINKS = """
+    SELECT a.seg, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s
+    UNION ALL SELECT b.seg, a.id, b.id FROM b ASOF JOIN a ON b.s > a.s WHERE b.s < a.e"""
 _GROUPS = """
     WITH ends AS (SELECT a.e FROM a JOIN b USING (e)),
-    marked AS (SELECT a.seg, a.s, a.id, 0 AS side, ends.e IS NOT NULL AS last FROM a LEFT JOIN ends USING (e)
-               UNION ALL SELECT b.seg, b.s, b.id, 1, ends.e IS NOT NULL FROM b LEFT JOIN ends USING (e)),
-    numbered AS (SELECT *, sum(last::INT) OVER (PARTITION BY side ORDER BY s ROWS UNBOUNDED PRECEDING) - last::INT AS g FROM marked)
-    SELECT seg, count(*) FILTER (side = 0) AS n_a, count(*) FILTER (side = 1) AS n_b, count(*) FILTER (side = 0 AND last) AS n_groups,
-           string_agg(id || CASE WHEN NOT last THEN ',' WHEN side = 0 THEN '|' ELSE ';' END, '' ORDER BY g, side, s) AS said
-    FROM numbered GROUP BY seg ORDER BY seg"""
+    marked AS (SELECT a.s, 0 AS side, ends.e IS NOT NULL AS last FROM a LEFT JOIN ends USING (e) UNION ALL SELECT b.s, 1, ends.e IS NOT NULL FROM b LEFT JOIN ends USING (e))
+    SELECT side, s, last, (sum(last::INT) OVER (PARTITION BY side ORDER BY s ROWS UNBOUNDED PRECEDING) - last::INT)::BIGINT AS g FROM marked ORDER BY side, s"""
 
 
 class Pieces:
@@ -59,7 +54,7 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = range(self.model.get_piece_size())
         said = [bytes([int(self.model.id_to_piece(i)[3:-1], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in names]
-        if any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in said):
+        if any(b" " in x.lstrip(b" ") for x in said):
             raise ValueError("a piece holds a space behind other characters, so texts can't be cut at spaces")
         self.width = np.fromiter(map(len, said), np.int64, len(said))
         self.flat = np.frombuffer(b"".join(said), np.uint8)
@@ -100,46 +95,65 @@ def _spaced(c: tv.Chunk) -> tv.Chunk:
     return tv.Chunk(buf, offs, c.first)
 
 
-def _intervals(lists: list[list[int]], width: np.ndarray, segs: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Table]:
-    """Ids, how many of each segment, and the table of token intervals."""
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n.sum()))
-    ends = np.cumsum(width[ids])
-    return ids, n, pa.table({"seg": np.repeat(segs, n), "s": ends - width[ids], "e": ends, "id": ids})
+@functools.cache
+def _names(count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Decimal ids below ``count``, each followed by a comma, then by a bar, then by a semicolon: bytes, starts, widths."""
+    said = [f"{i}{mark}".encode() for i in range(count) for mark in ",|;"]
+    width = np.fromiter(map(len, said), np.int64, len(said))
+    return np.frombuffer(b"".join(said), np.uint8), np.cumsum(width) - width, width
+
+
+class Side:
+    """The token intervals of one tokenizer over the good segments: segment, start, end and id of each, in order."""
+
+    def __init__(self, lists: list[list[int]], width: np.ndarray, segs: np.ndarray):
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n.sum()))
+        self.seg = np.repeat(segs, n)
+        self.width = width[self.ids]
+        self.ends = np.cumsum(self.width)
+
+    def table(self) -> pa.Table:
+        return pa.table({"seg": self.seg, "s": self.ends - self.width, "e": self.ends, "id": self.ids})
 
 
 class Aligned:
     """The distinct segments of a chunk, aligned: ``bad`` marks those whose bytes B doesn't give back."""
 
-    def __init__(self, buf: np.ndarray, spans: list[tuple[int, int]], words: list[list[bytes]], vocab, model: Pieces):
-        self.count = len(spans)
+    def __init__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[list[bytes]], vocab, model: Pieces):
+        self.count = len(starts)
         one = vocab.library.encode_single_piece
         a_lists = [[i for w in ws for i in one(w)] for ws in words]
-        data = buf.tobytes()
-        b_lists = model.encode([data[x:y] for x, y in spans])
-        b_ids, b_n, _ = _intervals(b_lists, model.width, np.arange(self.count))
-        b_bytes, b_ends = _gathered(model.flat, model.at[b_ids], model.width[b_ids]), np.cumsum(np.bincount(np.repeat(np.arange(self.count), b_n), model.width[b_ids], self.count).astype(np.int64))
-        starts, ends = np.array(spans, np.int64).reshape(-1, 2).T
-        self.bad = ~tv.same_spans(b_bytes, np.append(0, b_ends)[:-1], b_ends, buf, starts, ends)
-        good = np.flatnonzero(~self.bad)
-        tables = {name: _intervals([lists[i] for i in good], width, good)[2] for name, lists, width in (("a", a_lists, vocab.width), ("b", b_lists, model.width))}
+        b_lists = model.encode([b"".join(ws) for ws in words])
+        b = Side(b_lists, model.width, np.arange(self.count))
+        b_ends = np.cumsum(np.bincount(b.seg, b.width, self.count).astype(np.int64))
+        self.bad = ~tv.same_spans(_gathered(model.flat, model.at[b.ids], b.width), np.append(0, b_ends)[:-1], b_ends, buf, starts, ends)
+        if self.bad.any():
+            good = np.flatnonzero(~self.bad)
+            a_lists, b = [a_lists[i] for i in good], Side([b_lists[i] for i in good], model.width, good)
+        a = Side(a_lists, vocab.width, np.flatnonzero(~self.bad))
         db = _engine()
-        for name, table in tables.items():
-            db.register(name, table)
+        db.register("a", a.table())
+        db.register("b", b.table())
         try:
-            pairs, groups = (db.sql(q).to_arrow_table() for q in (_INSIDE, _GROUPS))
+            links, groups = (db.sql(q).to_arrow_table() for q in (_LINKS, _GROUPS))
         finally:
-            for name in tables:
-                db.unregister(name)
+            db.unregister("a")
+            db.unregister("b")
         of = lambda t, name: t.column(name).to_numpy().astype(np.int64)
-        self.codes = of(pairs, "a") << B_BITS | of(pairs, "b")
-        self.times = of(pairs, "n")
-        self.cuts = np.searchsorted(of(pairs, "seg"), np.arange(self.count + 1))
-        self.sums = np.zeros((4, self.count), np.int64)  # n_a, n_b, n_groups, n_links
-        self.sums[:3, good] = [of(groups, name) for name in ("n_a", "n_b", "n_groups")]
-        self.sums[3] = np.diff(np.append(0, np.cumsum(self.times))[self.cuts])
-        self.said = np.full(self.count, "", object)
-        self.said[good] = groups.column("said").to_pylist()
+        where, self.times = np.unique(of(links, "seg") << PAIR_BITS | of(links, "a") << B_BITS | of(links, "b"), return_counts=True)
+        self.codes = where & ((1 << PAIR_BITS) - 1)
+        self.cuts = np.searchsorted(where, np.arange(self.count + 1) << PAIR_BITS)
+        last, side, seg, ids = of(groups, "last"), of(groups, "side"), np.concatenate((a.seg, b.seg)), np.concatenate((a.ids, b.ids))
+        count = lambda x: np.bincount(x, minlength=self.count)
+        self.sums = np.array([count(a.seg), count(b.seg), count(a.seg[last[: len(a.seg)] == 1]), np.diff(np.append(0, np.cumsum(self.times))[self.cuts])])  # n_a, n_b, n_groups, n_links
+        # ids by group, A's before B's
+        order = np.argsort(of(groups, "g") * 2 + side, kind="stable")
+        flat, at, width = _names(1 << 16)
+        name = (ids * 3 + last * (1 + side))[order]
+        said = _gathered(flat, at[name], width[name]).tobytes()
+        cut = np.append(0, np.cumsum(np.bincount(seg[order], width[name], self.count).astype(np.int64))).tolist()
+        self.said = np.array([said[i:j] for i, j in itertools.pairwise(cut)], object)
 
 
 def _segments(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -174,11 +188,10 @@ def _aligned_documents(c: tv.Chunk, vocab, model: Pieces) -> tuple[np.ndarray, l
     starts, lead = _segments(c)
     seg_start = starts[lead]
     first, kind = tv.numbered(c.buf, seg_start, np.append(seg_start[1:], len(c.buf)))
-    bounds, ends = np.append(lead, len(starts)), np.append(starts, len(c.buf)).tolist()
-    data = c.buf.tobytes()
-    words = [[data[ends[j] : ends[j + 1]] for j in range(bounds[i], bounds[i + 1])] for i in first.tolist()]
-    spans = [(ends[bounds[i]], ends[bounds[i + 1]]) for i in first.tolist()]
-    x = Aligned(c.buf, spans, words, vocab, model)
+    bounds, ends = np.append(lead, len(starts)), np.append(starts, len(c.buf))
+    data, edge = c.buf.tobytes(), ends.tolist()
+    words = [[data[edge[k] : edge[k + 1]] for k in range(i, j)] for i, j in zip(bounds[first].tolist(), bounds[first + 1].tolist(), strict=True)]
+    x = Aligned(c.buf, ends[bounds[first]], ends[bounds[first + 1]], words, vocab, model)
     doc_from = np.searchsorted(seg_start, c.offs)
     doc = np.repeat(np.arange(c.n), np.diff(doc_from))
     failed = np.zeros(c.n, bool)
@@ -186,7 +199,7 @@ def _aligned_documents(c: tv.Chunk, vocab, model: Pieces) -> tuple[np.ndarray, l
     empty = failed | (np.diff(c.offs) == 0)
     sums = np.array([np.bincount(doc, row[kind], c.n) for row in x.sums]).astype(np.int64)
     sums[:, empty] = 0
-    said = [None if skip else hashlib.sha256("".join(x.said[kind[i:j]])[:-1].encode()).hexdigest() for i, j, skip in zip(doc_from[:-1].tolist(), doc_from[1:].tolist(), empty.tolist(), strict=True)]
+    said = [None if skip else hashlib.sha256(b"".join(x.said[kind[i:j]])[:-1]).hexdigest() for i, j, skip in zip(doc_from[:-1].tolist(), doc_from[1:].tolist(), empty.tolist(), strict=True)]
     # pairs: distinct segments of each document, then their pairs
     whole = ~empty[doc]
     one, often = np.unique(doc[whole] * max(1, x.count) + kind[whole], return_counts=True)
