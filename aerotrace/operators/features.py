@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aerotrace.operators.windows import EPS, sliding_windows
@@ -11,6 +12,10 @@ from aerotrace.schema import FEATURES
 SHORT = 2.0
 SAMPLE = ["time", "yaw", "pitch", "turn_rate", "vertical_speed", "g_load", "yaw_rate", "roll_rate", "pitch_rate"]
 DEADBANDS = {"turn": ("yaw_rate", 0.2), "roll": ("roll_rate", 1.0), "pitch": ("pitch_rate", 0.5)}
+#: What a sub-window from a sample on holds: changes of sign, peaks and the load's deviation.
+AHEAD = ["turn_sign_changes", "roll_sign_changes", "pitch_sign_changes", "turn_rate_peak", "roll_rate_peak", "g_std"]
+#: Samples this close to a grid are on it.
+ON_GRID = 1e-10
 
 
 def let(value: Column, body) -> Column:
@@ -31,6 +36,23 @@ def sign_changes(rows: Column, field: str, deadband: float) -> Column:
     return F.aggregate(signs, start, lambda a, x: F.struct(x.alias("sign"), (a["n"] + ((a["sign"] != 0) & (a["sign"] != x)).cast("int")).alias("n")), lambda a: a["n"])
 
 
+def with_ahead(df: DataFrame, by: list[str]) -> DataFrame:
+    """df with what the sub-window from each sample on holds (AHEAD), and each sample's change of sign.
+
+    A change is told once, at the sample outside the dead band whose sign differs from that of the one before;
+    a window has the sum of its changes but for that of its first such sample, which is against one outside.
+    Everything is a frame over the series, so samples that many windows share are looked at once.
+    """
+    order = W.partitionBy(*by).orderBy("time")
+    x = df.withColumns({f"__sign_{n}": F.when(F.abs(field) > band, F.signum(field)) for n, (field, band) in DEADBANDS.items()})
+    before = {n: F.last(f"__sign_{n}", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)) for n in DEADBANDS}
+    x = x.withColumns({f"__change_{n}": F.when(F.col(f"__sign_{n}").isNotNull(), (F.coalesce(before[n], F.col(f"__sign_{n}")) != F.col(f"__sign_{n}")).cast("int")) for n in DEADBANDS})
+    frame = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in by)} ORDER BY time RANGE BETWEEN CURRENT ROW AND {SHORT + EPS}D FOLLOWING)"
+    found = {f"{n}_sign_changes": f"coalesce(sum(__change_{n}) {frame} - first(__change_{n}, true) {frame}, 0)" for n in DEADBANDS}
+    found |= {"turn_rate_peak": f"max(abs(turn_rate)) {frame}", "roll_rate_peak": f"max(abs(roll_rate)) {frame}", "g_std": f"stddev_pop(g_load) {frame}"}
+    return x.withColumns({f"__{n}": F.expr(found[n]).cast("double") for n in AHEAD}).drop(*(f"__sign_{n}" for n in DEADBANDS))
+
+
 def mean_of(rows: Column, value) -> Column:
     return F.aggregate(rows, F.lit(0.0), lambda a, x: a + value(x)) / F.nullif(F.size(rows), F.lit(0))
 
@@ -69,10 +91,10 @@ def halves(samples: Column) -> tuple[Column, Column]:
 def window_features(df: DataFrame, by: list[str], size: float = 5.0, step: float = 2.5) -> DataFrame:
     """One row per window of each series of preprocessed rows: its bounds, its features; see schema.FEATURES.
 
-    Each window's few samples are gathered once, sorted, for what depends on their
-    order; all else is aggregated.
+    Each window's few samples are gathered once, sorted, for its halves; all else is aggregated, and sub-windows
+    take what with_ahead found for their first samples.
     """
-    x = sliding_windows(df, by, size, step)
+    x = sliding_windows(with_ahead(df, by), by, size, step)
     t = F.col("time") - F.col("window_start")
     c = {n: F.col(n) for n in ("speed", "altitude", "pitch", "roll", "g_load", "turn_rate", "roll_rate", "pitch_rate", "vertical_speed", "yaw")}
     wrong = F.lit(False)
@@ -92,13 +114,14 @@ def window_features(df: DataFrame, by: list[str], size: float = 5.0, step: float
         F.abs(delta("yaw")).alias("heading_delta"), residual_std(c["altitude"], t).alias("alt_residual_std"),
         F.avg("raw_missing_any").alias("missing_ratio"), F.avg("long_gap_flag").alias("long_gap_ratio"),
         any_of(conflict).alias("sensor_conflict"), any_of(wrong).alias("feature_out_of_range"),
-        F.sort_array(F.collect_list(F.struct(*SAMPLE))).alias("samples"),
+        *((F.coalesce(F.sum(c := F.col(f"__change_{n}")) - F.min_by(c, F.when(c.isNotNull(), F.col("time"))), F.lit(0))).cast("int").alias(f"{n}_sign_changes") for n in DEADBANDS),
+        F.sort_array(F.collect_list(F.struct(*SAMPLE, *(F.col(f"__{n}").alias(n) for n in AHEAD)))).alias("samples"),
     ).filter("sample_count >= 2")
     s = F.col("samples")
     g = g.withColumns({"window_start_time": F.col("window_start"), "window_end_time": F.col("window_end"), "window_duration": F.lit(size)})
-    g = g.withColumns({f"{n}_sign_changes": sign_changes(s, field, band) for n, (field, band) in DEADBANDS.items()})
     a, b = halves(s)
-    g = once(g, {"first_half": a, "second_half": b, "short": short_segments(s)})
+    g = once(g, {"first_half": a, "second_half": b, "starts": regular_starts(s)})
+    g = once(g, {"short": F.when(F.col("starts").isNull(), short_segments(s))})
     for half in ("first_half", "second_half"):
         h = F.col(half)
         g = g.withColumns({
@@ -128,11 +151,22 @@ def short_segments(samples: Column) -> Column:
     return F.when(last - first <= SHORT + EPS, F.array(samples)).otherwise(F.filter(segments, lambda seg: F.size(seg) >= 2))
 
 
+def regular_starts(samples: Column) -> Column:
+    """How many sub-windows start in a window whose samples are on a grid, each at one of them; null for other windows and short ones."""
+    n = F.size(samples)
+    first, last = F.element_at(samples, 1)["time"], F.element_at(samples, -1)["time"]
+    dt = (last - first) / F.nullif(n - 1, F.lit(0))
+    off = F.exists(F.transform(samples, lambda x, i: F.abs(x["time"] - first - i * dt) > ON_GRID), lambda wrong: wrong)
+    return F.when((last - first > SHORT + EPS) & (dt <= SHORT) & ~off, F.ceil((last - SHORT + EPS - first) / dt).cast("int"))
+
+
 def short_windows(g: DataFrame) -> DataFrame:
-    most = lambda value: F.coalesce(F.array_max(F.transform("short", value)).cast("double"), F.lit(0.0))
+    """The sub-windows' extremes: those of the samples they start at, or of the gathered rows of each where samples aren't on a grid."""
+    on_grid = lambda name: F.array_max(F.transform(F.slice("samples", 1, F.col("starts")), lambda x: x[name]))
+    most = lambda name, value: F.coalesce(F.when(F.col("starts").isNotNull(), on_grid(name)).otherwise(F.array_max(F.transform("short", value)).cast("double")), F.lit(0.0))
     peak = lambda field: lambda seg: F.array_max(F.transform(seg, lambda x: F.abs(x[field])))
     out = {}
     for n, (field, band) in DEADBANDS.items():
-        out[f"short_{n}_sign_changes_max"] = most((lambda f, d: lambda seg: sign_changes(seg, f, d))(field, band))
-    out |= {"short_window_count": F.size("short"), "short_turn_rate_peak_max": most(peak("turn_rate")), "short_roll_rate_peak_max": most(peak("roll_rate")), "short_g_std_max": most(lambda seg: std_of(seg, "g_load"))}
+        out[f"short_{n}_sign_changes_max"] = most(f"{n}_sign_changes", (lambda f, d: lambda seg: sign_changes(seg, f, d))(field, band))
+    out |= {"short_window_count": F.coalesce("starts", F.size("short")), "short_turn_rate_peak_max": most("turn_rate_peak", peak("turn_rate")), "short_roll_rate_peak_max": most("roll_rate_peak", peak("roll_rate")), "short_g_std_max": most("g_std", lambda seg: std_of(seg, "g_load"))}
     return g.withColumns(out)

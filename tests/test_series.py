@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aerotrace.operators import series
+from aerotrace.operators import features, series
 from aerotrace.operators.features import window_features
 from aerotrace.operators.windows import asof_join, range_join, sliding_windows
 from aerotrace.schema import FEATURES, SIGNALS
@@ -147,3 +147,20 @@ def test_range_join(spark):
 def test_fill_gaps(spark):
     x = frame(spark, {"time": np.arange(6.0), "v": np.array([np.nan, 1, np.nan, np.nan, 4, np.nan])})
     assert [r.v for r in series.fill_gaps(x, BY, ["v"]).orderBy("time").collect()] == [1, 1, 2, 3, 4, 4]
+
+
+def test_sub_windows_of_samples_and_of_gathered_rows_agree(spark, monkeypatch):
+    """The frames over the series give what gathering every sub-window's rows gives; samples off the grid are always gathered."""
+    from aerotrace.plans import adapters
+
+    x = series.preprocess(adapters.telemetry(spark, "/root/testdata/sf0.001"), ["object_id"])
+    shorts = [f for f in FEATURES if f.startswith("short")]
+    rows = lambda: {(r.object_id, round(r.window_start, 4)): r for r in features.window_features(x, ["object_id"]).select("object_id", "window_start", *shorts).collect()}
+    ahead = rows()
+    monkeypatch.setattr(features, "ON_GRID", -1.0)
+    gathered = rows()
+    assert ahead.keys() == gathered.keys() and len(ahead) > 20
+    for k, r in ahead.items():
+        for f in shorts:
+            assert r[f] == pytest.approx(gathered[k][f], abs=1e-9), (k, f)
+    assert len({r.short_window_count for r in ahead.values()}) >= 1 and any(r.short_roll_sign_changes_max > 0 for r in ahead.values())
