@@ -163,6 +163,38 @@ def test_chat_windows_keep_their_budget(spark):
     assert over
 
 
+def test_windows_dont_depend_on_turn_numbers_or_blocks(spark, monkeypatch):
+    """3000 turns numbered 0, 1, ... and sparsely, in blocks of 1024 and of 16 ranks, against the spans in plain Python; history reaches over every edge."""
+    from aerotrace.llm import chat_format
+
+    rng = random.Random(7)
+    sizes = [rng.choice([1, 1, 2, 5, 9, 30, 90]) for _ in range(3000)]
+    roles = ["system", *rng.choices(["user", "assistant"], k=2999)]
+    numbers = {1: list(range(3000)), 2: [2000 * i for i in range(3000)], 3: sorted(rng.sample(range(-(1 << 60), 1 << 60), 3000))}
+    rows = [(c, t, role, f"{i} " + "w " * (n - 1)) for c, at in numbers.items() for i, (t, role, n) in enumerate(zip(at, roles, sizes))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want = [[sum(x) for x in ((len(a),), (len(b),))] for a, b in spans_truth([n + 4 for n in sizes], 128, 3, 1)]
+    found = []
+    for bits in (10, 4):
+        monkeypatch.setattr(chat_format, "BLOCK_BITS", bits)
+        got = collections.defaultdict(list)
+        for x in chat_windows(df, budget=128, history=3).orderBy("conv_id", "block", "window").collect():
+            got[x.conv_id].append((x.formatted, x.n_context, x.tokens, x.window, tuple(map(tuple, x.mask))))
+        assert got[1] == got[2] == got[3]
+        found.append(got[1])
+    assert found[0] == found[1]
+    place = 0
+    for (formatted, n_context, tokens, window, _), (again, own) in zip(found[0], want, strict=True):
+        assert (n_context, formatted.count("</s>")) == (again, again + own) and window == place + 1 and (tokens <= 128 or own == 1)
+        place += own
+    assert place == 3000
+
+
+def test_no_conversations(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_windows(empty).collect() == [] and digests(chat_windows(empty)).collect() == []
+
+
 def test_a_long_conversation_is_spread_over_blocks(spark):
     rows = [(1, i, "system" if i == 0 else "assistant" if i % 2 else "user", f"turn {i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
