@@ -61,59 +61,62 @@ def carriers_left_out(tele: DataFrame) -> DataFrame:
     return tele.filter(F.lower(F.trim("obj_type")) == "air+fixedwing")
 
 
-#: Columns of a frame from kind, t and user_id, for both engines: twenty users share an arena, offset from each other.
+#: Columns of a frame from kind, t, v and user_id, for both engines: twenty users share an arena, on a lattice, so that distances can be equal.
 ARENA = f"""
     arena AS source, frame_idx, t AS time, CAST(user_id AS STRING) AS object_id, user_id AS ord, name, coalition, obj_type,
-    world_x + (user_id % 7) * 9e2 AS world_x, world_y, world_z + (user_id % 5) * 7e2 + user_id * 1e-1 AS world_z, world_y AS altitude, yaw, pitch, roll,
-    sqrt(({V}) * ({V}) + ({CLIMB}) * ({CLIMB})) + frame_idx AS speed, 0e0 AS mach, 0e0 AS aoa, 1 + kind / 5e0 AS g_load"""
-FRAMES = 11
+    world_x + (user_id % 7) * 9e2 + v * 5e1 AS world_x, world_y, world_z + (user_id % 5) * 7e2 AS world_z, world_y AS altitude, yaw, pitch, roll,
+    sqrt(({V}) * ({V}) + ({CLIMB}) * ({CLIMB})) + v AS speed, 0e0 AS mach, 0e0 AS aoa, 1 + kind / 5e0 AS g_load, v"""
+#: Microseconds of events in a frame, which lasts a second of flight.
+FRAME_MICROS = 2 * 24 * 3600 * 1_000_000
+_MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)"
+_PLACE = "concat('arena', CAST(user_id DIV 20 AS STRING))"
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of every user at eleven common times, in arenas of twenty users."""
-    users = events(spark, sf_dir).select("user_id").distinct()
-    x = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame_idx"))
-    x = x.selectExpr("user_id", "frame_idx", "frame_idx * 1e0 AS t", "CAST(user_id % 10 AS INT) AS kind", "concat('arena', CAST(user_id DIV 20 AS STRING)) AS arena", "concat('P', CAST(user_id AS STRING)) AS name", "CASE user_id % 3 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Red' ELSE '' END AS coalition", "CASE WHEN user_id % 11 = 0 THEN 'Sea+Watercraft+AircraftCarrier' ELSE 'Air+FixedWing' END AS obj_type")
+    """State of every user in each frame of two days in which it has events, by the value of its last one; in arenas of twenty users."""
+    x = events(spark, sf_dir).selectExpr("user_id", "event_id", "value", f"CAST({_MICROS} DIV {FRAME_MICROS} AS INT) AS frame_idx")
+    x = x.groupBy("user_id", "frame_idx").agg(F.max_by("value", "event_id").alias("value"))
+    x = x.selectExpr("user_id", "frame_idx", "CAST(floor(value) AS BIGINT) AS v", "frame_idx * 1e0 AS t", "CAST(user_id % 10 AS INT) AS kind", f"{_PLACE} AS arena", "concat('P', CAST(user_id AS STRING)) AS name", "CASE user_id % 3 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Red' ELSE '' END AS coalition", "CASE WHEN user_id % 11 = 0 THEN 'Sea+Watercraft+AircraftCarrier' ELSE 'Air+FixedWing' END AS obj_type")
     return x.selectExpr("*", *[p.strip() for p in _split(PATH)]).selectExpr(*[p.strip() for p in _split(ARENA)])
 
 
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A loss at the frame of every error of every user, once a frame: source, frame_idx, victim_id."""
-    x = events(spark, sf_dir).filter("event_type = 'error'").selectExpr("user_id", f"CAST(event_id % {FRAMES} AS INT) AS frame_idx").distinct()
-    return x.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", "frame_idx", "CAST(user_id AS STRING) AS victim_id")
+    """A loss in the frame of every error of every user, once a frame: source, frame_idx, victim_id."""
+    x = events(spark, sf_dir).filter("event_type = 'error'").selectExpr("user_id", f"CAST({_MICROS} DIV {FRAME_MICROS} AS INT) AS frame_idx").distinct()
+    return x.selectExpr(f"{_PLACE} AS source", "frame_idx", "CAST(user_id AS STRING) AS victim_id")
 
 
 def told_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log line after all others for every user with an error event: who was destroyed (even ids) or left (odd ones)."""
     x = events(spark, sf_dir).filter("event_type = 'error'").select("user_id").distinct()
-    return x.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", "100000 + user_id % 20 AS line_no", "concat('0,Event=', CASE WHEN user_id % 2 = 0 THEN 'Destroyed' ELSE 'LeftArea' END, '|A', CAST(user_id AS STRING), '|') AS raw")
+    return x.selectExpr(f"{_PLACE} AS source", "100000 + user_id % 20 AS line_no", "concat('0,Event=', CASE WHEN user_id % 2 = 0 THEN 'Destroyed' ELSE 'LeftArea' END, '|A', CAST(user_id AS STRING), '|') AS raw")
 
 
 def named_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frames with the transform of a log line; every fourth object is removed in its seventh frame and stays away."""
+    """frames with the transform of a log line; every fourth object is removed in the eighth frame, if it has one, and tells nothing later."""
     x = frames(spark, sf_dir).filter("ord % 4 <> 0 OR frame_idx <= 7")
     return x.selectExpr("source", "frame_idx", "time", "ord", "concat('A', object_id) AS object_id", "name", "obj_type", "coalition", f"CASE WHEN ord % 4 = 0 AND frame_idx = 7 THEN NULL ELSE {TRANSFORM} END AS transform")
 
 
-LON = "concat('44.', lpad(CAST(frame_idx * 7 + ord % 50 AS STRING), 4, '0'))"
-LAT = "concat('41.', lpad(CAST(frame_idx * 5 + ord % 40 AS STRING), 4, '0'))"
-ALT = "CAST(5000 + frame_idx * 3 + ord % 9 AS STRING)"
+LON = "concat('44.', lpad(CAST(frame_idx * 7 + ord % 50 + v AS STRING), 4, '0'))"
+LAT = "concat('41.', lpad(CAST(frame_idx * 5 + ord % 40 + 2 * v AS STRING), 4, '0'))"
+ALT = "CAST(5000 + frame_idx * 3 + ord % 9 + v AS STRING)"
 TRANSFORM = f"concat({LON}, '|', {LAT}, '|', {ALT}, '|', CASE WHEN frame_idx % 2 = 0 THEN CAST(ord % 30 AS STRING) ELSE '' END, '|2|', CAST(ord % 360 AS STRING))"
 
 
-def synthetic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four windows per user with labels by rule of thumb: source, aircraft_id, window_start, window_end, label, label_name, row."""
-    users = events(spark, sf_dir).select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of five seconds from each frame of each user on, with a label by the event's value: source, aircraft_id, window_start, window_end, label, label_name, row."""
     names = ", ".join(f"'{n}'" for n in LABELS)
-    return users.selectExpr("concat('arena', CAST(user_id DIV 20 AS STRING)) AS source", "CAST(user_id AS STRING) AS aircraft_id", "k * 25e-1 AS window_start", "k * 25e-1 + 5 AS window_end", "CAST((user_id + k) % 12 AS INT) AS label", f"element_at(array({names}), CAST((user_id + k) % 12 AS INT) + 1) AS label_name", "user_id * 4 + k AS row")
+    x = frames(spark, sf_dir).selectExpr("source", "concat('A', object_id) AS aircraft_id", "time AS window_start", "time + 5 AS window_end", "CAST((ord + v) % 12 AS INT) AS label", "ord * 100 + frame_idx AS row")
+    return x.selectExpr("source", "aircraft_id", "window_start", "window_end", "label", f"element_at(array({names}), label + 1) AS label_name", "row")
 
 
 def human_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """purchase sets a label, signup clears one; every thirteenth name is unknown and some objects and times are wrong."""
+    """purchase sets a label, signup clears one, at the event's time; every thirteenth name is unknown and some objects and times are wrong."""
     names = ", ".join(f"'{n}'" for n in [*LABELS, "Bogus"])
     return events(spark, sf_dir).filter("event_type IN ('purchase', 'signup')").selectExpr(
-        "event_id AS edit_index", "CASE event_type WHEN 'purchase' THEN 'set' ELSE 'clear' END AS edit_action", "CAST(CASE WHEN event_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS STRING) AS aircraft_id",
-        "CASE WHEN event_id % 19 = 0 THEN NULL ELSE (event_id % 31) * 5e-1 END AS sample_time", f"element_at(array({names}), CAST(event_id % 13 AS INT) + 1) AS manual_label_name",
+        "event_id AS edit_index", "CASE event_type WHEN 'purchase' THEN 'set' ELSE 'clear' END AS edit_action", "concat('A', CAST(CASE WHEN event_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS STRING)) AS aircraft_id",
+        f"CASE WHEN event_id % 19 = 0 THEN NULL ELSE {_MICROS} / CAST({FRAME_MICROS} AS DOUBLE) END AS sample_time", f"element_at(array({names}), CAST(event_id % 13 AS INT) + 1) AS manual_label_name",
     )
 
 

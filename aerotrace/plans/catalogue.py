@@ -70,8 +70,7 @@ def q_target_objects(spark, sf_dir):
 
 @query(o.said("SELECT obj_type, count(*) AS n, count(DISTINCT object_id) AS objects FROM tele WHERE contains(lower(obj_type), 'air+fixedwing') OR contains(lower(obj_type), 'aircraft') OR contains(lower(obj_type), 'fixedwing') GROUP BY obj_type"))
 def q_is_aircraft_filter(spark, sf_dir):
-    t = F.lower("obj_type")
-    x = adapters.telemetry(spark, sf_dir).filter(t.contains("air+fixedwing") | t.contains("aircraft") | t.contains("fixedwing"))
+    x = adapters.telemetry(spark, sf_dir).filter(engagement.is_aircraft(F.col("obj_type")))
     return x.groupBy("obj_type").agg(F.count("*").alias("n"), F.count_distinct("object_id").alias("objects"))
 
 
@@ -234,7 +233,7 @@ def q_pair_features(spark, sf_dir):
 _SELF = ["self_specific_energy", "self_speed", "self_turn_rate", "self_speed_rate", "self_ps_estimate"]
 
 
-@query(o.said(f"""SELECT source, object_id, time, {o.rounded(_SELF, 3)} FROM (SELECT *, coalesce(speed - lag(speed) OVER o, 0e0) AS self_speed_rate, coalesce(self_specific_energy - lag(self_specific_energy) OVER o, 0e0) AS self_ps_estimate, speed AS self_speed,
+@query(o.said(f"""SELECT source, object_id, time, {o.rounded(_SELF, 3)} FROM (SELECT *, coalesce((speed - lag(speed) OVER o) / (time - lag(time) OVER o), 0e0) AS self_speed_rate, coalesce((self_specific_energy - lag(self_specific_energy) OVER o) / (time - lag(time) OVER o), 0e0) AS self_ps_estimate, speed AS self_speed,
     CASE WHEN g_load <= 1 THEN 0e0 ELSE degrees(980665e-5 * sqrt(g_load * g_load - 1) / speed) END AS self_turn_rate FROM (SELECT *, altitude + speed * speed / (2 * 980665e-5) AS self_specific_energy FROM frames) WINDOW o AS (PARTITION BY source, object_id ORDER BY time))"""))
 def q_self_features(spark, sf_dir):
     return shown(engagement.self_features(adapters.frames(spark, sf_dir), ["source", "object_id"]), ["source", "object_id", "time"], _SELF, 3)
@@ -289,13 +288,13 @@ def q_frame_densify(spark, sf_dir):
     return x.groupBy("source", "frame_idx").agg(F.count("*").alias("live"), F.sum(F.substring("object_id", 2, 20).cast("long")).alias("ids"))
 
 
-@query(o.said("SELECT source, frame_idx, object_id, round(coalesce(speed, 0e0), 2) + 0e0 AS speed, round(coalesce(sqrt((vx - ux) * (vx - ux) + (vy - uy + 980665e-5) * (vy - uy + 980665e-5) + (vz - uz) * (vz - uz)) / 980665e-5, 1e0), 3) AS g_load FROM velocity"))
+@query(o.said("SELECT source, frame_idx, object_id, round(coalesce(speed, 0e0), 2) + 0e0 AS speed, round(coalesce(sqrt((vx - ux) / dt * (vx - ux) / dt + ((vy - uy) / dt + 980665e-5) * ((vy - uy) / dt + 980665e-5) + (vz - uz) / dt * (vz - uz) / dt) / 980665e-5, 1e0), 3) AS g_load FROM logged"))
 def q_fd_speed_g(spark, sf_dir):
     x = telemetry_log.frame_state(telemetry_log.classified(log_lines(spark, sf_dir)))
     return x.select("source", "frame_idx", "object_id", (F.round("speed", 2) + 0.0).alias("speed"), F.round("g_load", 3).alias("g_load"))
 
 
-@query(o.said("SELECT DISTINCT source, source AS title FROM frames"))
+@query(o.said("SELECT DISTINCT source, source AS title FROM named"))
 def q_log_globals(spark, sf_dir):
     return telemetry_log.global_properties(telemetry_log.classified(log_lines(spark, sf_dir))).select("source", F.col("Title").alias("title"))
 
@@ -308,13 +307,14 @@ def q_log_kills(spark, sf_dir):
 
 def scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = telemetry_log.classified(log_lines(spark, sf_dir))
-    return annotation.schedule(adapters.synthetic_windows(spark, sf_dir).drop("row"), telemetry_log.frames_of(x))
+    first = annotation.first_frames(telemetry_log.updates(x).filter("kind = 'update'"))
+    return annotation.schedule(adapters.event_windows(spark, sf_dir).drop("row"), telemetry_log.frames_of(x), first)
 
 
-@query(o.said("SELECT source, aircraft_id, window_start, nearest + 1 AS frame_idx FROM anchored"))
+@query(o.said("SELECT source, aircraft_id, window_start, nearest AS frame_idx FROM anchored"))
 def q_nearest_frame(spark, sf_dir):
     frames = telemetry_log.frames_of(telemetry_log.classified(log_lines(spark, sf_dir)))
-    x = adapters.synthetic_windows(spark, sf_dir).select("source", "aircraft_id", "window_start", ((F.col("window_start") + F.col("window_end")) / 2).alias("t"))
+    x = adapters.event_windows(spark, sf_dir).select("source", "aircraft_id", "window_start", ((F.col("window_start") + F.col("window_end")) / 2).alias("t"))
     return windows.asof_join(x, frames.withColumnRenamed("time", "t"), ["source"], "t", ["frame_idx"], "nearest").select("source", "aircraft_id", "window_start", "frame_idx")
 
 
@@ -323,7 +323,7 @@ def q_annotation_lines(spark, sf_dir):
     return scheduled(spark, sf_dir)
 
 
-@query(o.said("SELECT source, kind, count(*) AS n FROM (SELECT source, 'added' AS kind FROM lined UNION ALL SELECT source, 'kept' FROM frames WHERE NOT (ord % 4 = 0 AND frame_idx > 7) UNION ALL SELECT DISTINCT source, 'mark' || frame_idx FROM frames UNION ALL SELECT source, 'head' FROM (SELECT DISTINCT source FROM frames), range(3)) GROUP BY source, kind").replace("'mark' || frame_idx", "'mark' || CAST(frame_idx AS STRING)"))
+@query(o.said("SELECT source, kind, count(*) AS n FROM (SELECT source, 'added' AS kind FROM lined UNION ALL SELECT source, 'kept' FROM named UNION ALL SELECT DISTINCT source, 'mark' || frame_idx FROM named UNION ALL SELECT source, 'head' FROM (SELECT DISTINCT source FROM named), range(3)) GROUP BY source, kind").replace("'mark' || frame_idx", "'mark' || CAST(frame_idx AS STRING)"))
 def q_annotated_text(spark, sf_dir):
     x = telemetry_log.written(log_lines(spark, sf_dir), scheduled(spark, sf_dir))
     raw = F.col("raw")
@@ -331,14 +331,14 @@ def q_annotated_text(spark, sf_dir):
     return x.groupBy("source", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(o.said("""SELECT source, source AS title, CAST(11 AS BIGINT) AS frame_count, count(DISTINCT object_id) AS aircraft_count, CAST(sum(CASE WHEN frame_idx > 1 THEN 0 WHEN ord % 4 = 0 THEN 1 ELSE 3 END) AS BIGINT) AS window_count
-    FROM logged WHERE obj_type = 'Air+FixedWing' GROUP BY source"""))
+@query(o.said("""SELECT source, source AS title, (SELECT count(*) FROM marks m WHERE m.source = x.source) AS frame_count, count(*) AS aircraft_count, CAST(sum(CASE WHEN t1 - t0 >= 5 THEN floor((t1 + 1e-9 - 5 - t0) / 25e-1) + 1 ELSE 0 END) AS BIGINT) AS window_count
+    FROM (SELECT source, object_id, min(time) AS t0, max(time) AS t1 FROM logged WHERE obj_type = 'Air+FixedWing' GROUP BY source, object_id) x GROUP BY source"""))
 def q_pipeline_summary(spark, sf_dir):
     lines = log_lines(spark, sf_dir)
     return workflows.file_summary(lines, workflows.extract(lines))
 
 
-@query(o.said("SELECT source, CAST(11 AS BIGINT) AS frame_count, count(DISTINCT frame_text) AS annotation_frames, count(*) AS annotation_rows FROM lined GROUP BY source"))
+@query(o.said("SELECT source, (SELECT count(*) FROM marks m WHERE m.source = l.source) AS frame_count, count(DISTINCT frame_text) AS annotation_frames, count(*) AS annotation_rows FROM lined l GROUP BY source"))
 def q_annotation_counts(spark, sf_dir):
     return workflows.annotation_counts(log_lines(spark, sf_dir), scheduled(spark, sf_dir))
 
@@ -357,18 +357,18 @@ def q_session_summary(spark, sf_dir):
 
 @query(o.said("SELECT row, label, label_name, manual_edit_index, training_label_name FROM applied"))
 def q_manual_edits(spark, sf_dir):
-    out, _, _ = edits.apply_edits(adapters.synthetic_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))
+    out, _, _ = edits.apply_edits(adapters.event_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))
     return out.select("row", "label", "label_name", "manual_edit_index", "training_label_name")
 
 
 @query(o.said("SELECT edit_index, reason AS unmatched_reason FROM met WHERE reason IS NOT NULL"))
 def q_edit_unmatched(spark, sf_dir):
-    return edits.apply_edits(adapters.synthetic_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))[1].select("edit_index", "unmatched_reason")
+    return edits.apply_edits(adapters.event_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))[1].select("edit_index", "unmatched_reason")
 
 
 @query(o.said("SELECT count(*) AS edits, count_if(hit) AS matched, count(reason) AS unmatched FROM met"))
 def q_edit_report(spark, sf_dir):
-    return edits.apply_edits(adapters.synthetic_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))[2]
+    return edits.apply_edits(adapters.event_windows(spark, sf_dir), adapters.human_edits(spark, sf_dir))[2]
 
 
 _ONES = "18446744073709551615::UBIGINT"

@@ -173,13 +173,15 @@ def rounded(columns: list[str], digits: int = 4) -> str:
 NUMBERS = [f for f in FEATURES if f not in ("turn_sign_changes", "roll_sign_changes", "pitch_sign_changes", "short_window_count", "sensor_conflict", "feature_out_of_range")]
 assert TH["turn_large"] == 10 and TH["vs_up"] == 10  # the SQL above holds the defaults
 
-from aerotrace.plans.adapters import ARENA, FRAMES  # noqa: E402
+from aerotrace.plans.adapters import ARENA, FRAME_MICROS  # noqa: E402
 
+_MICROS = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))"
+_PLACE = "concat('arena', CAST(user_id // 20 AS STRING))"
 STEPS["frames"] = f"""
     SELECT {ARENA} FROM (SELECT *, {PATH} FROM (
-        SELECT user_id, CAST(frame_idx AS INT) AS frame_idx, frame_idx * 1e0 AS t, CAST(user_id % 10 AS INT) AS kind, concat('arena', CAST(user_id // 20 AS STRING)) AS arena, concat('P', CAST(user_id AS STRING)) AS name,
+        SELECT user_id, frame_idx, v, frame_idx * 1e0 AS t, CAST(user_id % 10 AS INT) AS kind, {_PLACE} AS arena, concat('P', CAST(user_id AS STRING)) AS name,
             CASE user_id % 3 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Red' ELSE '' END AS coalition, CASE WHEN user_id % 11 = 0 THEN 'Sea+Watercraft+AircraftCarrier' ELSE 'Air+FixedWing' END AS obj_type
-        FROM (SELECT DISTINCT user_id FROM events), range({FRAMES}) r(frame_idx)))"""
+        FROM (SELECT user_id, CAST({_MICROS} // {FRAME_MICROS} AS INT) AS frame_idx, CAST(floor(arg_max(value, event_id)) AS BIGINT) AS v FROM events GROUP BY 1, 2)))"""
 STEPS["sided"] = "SELECT *, speed / 34e1 AS m, radians(yaw) AS h FROM frames WHERE contains(lower(obj_type), 'aircraft') OR contains(lower(obj_type), 'fixedwing')"
 _OPPOSE = "NOT (a.coalition <> '' AND b.coalition <> '' AND a.coalition = b.coalition)"
 STEPS["paired"] = f"""
@@ -195,7 +197,7 @@ def fold(x: str) -> str:
 
 
 STEPS["geometry"] = f"""
-    SELECT *, {fold('atan2(-dz, -dx) - eh')} AS aspect_angle, {fold('atan2(dz, dx) - sh')} AS antenna_train_angle, {fold('sh - eh')} AS heading_crossing_angle, sa - ea AS altitude_diff,
+    SELECT *, {fold('atan2(0e0 - dz, 0e0 - dx) - eh')} AS aspect_angle, {fold('atan2(dz, dx) - sh')} AS antenna_train_angle, {fold('sh - eh')} AS heading_crossing_angle, sa - ea AS altitude_diff,
         (degrees(atan2(dz, dx)) % 36e1 + 36e1) % 36e1 AS bearing, sa + ss * ss / (2 * 980665e-5) AS self_specific_energy, ea + es * es / (2 * 980665e-5) AS enemy_specific_energy,
         ss AS self_speed, es AS enemy_speed, ss / es AS speed_ratio, CASE WHEN sg <= 1 OR ss < 30 THEN 0e0 ELSE degrees(980665e-5 * sqrt(sg * sg - 1) / ss) END AS self_turn_rate, sg AS self_g_load FROM paired"""
 _DT = "(time - lag(time) OVER o)"
@@ -205,7 +207,7 @@ STEPS["pair_features"] = f"""
     SELECT *, eh - lag(eh) OVER o AS dh, {_DT} AS dt, coalesce((ss - lag(ss) OVER o) / {_DT}, 0e0) AS self_speed_rate, coalesce((distance - lag(distance) OVER o) / {_DT}, 0e0) AS distance_rate,
         coalesce((antenna_train_angle - lag(antenna_train_angle) OVER o) / {_DT}, 0e0) AS ata_rate, coalesce((self_specific_energy - lag(self_specific_energy) OVER o) / {_DT}, 0e0) AS self_ps_estimate
     FROM geometry WINDOW o AS (PARTITION BY source, sid, eid ORDER BY time)))"""
-STEPS["losses"] = f"SELECT DISTINCT concat('arena', CAST(user_id // 20 AS STRING)) AS source, CAST(event_id % {FRAMES} AS INT) AS frame_idx, CAST(user_id AS STRING) AS victim_id FROM events WHERE event_type = 'error'"
+STEPS["losses"] = f"SELECT DISTINCT {_PLACE} AS source, CAST({_MICROS} // {FRAME_MICROS} AS INT) AS frame_idx, CAST(user_id AS STRING) AS victim_id FROM events WHERE event_type = 'error'"
 _OFF = "(abs(degrees(atan2(v.world_x - a.world_x, v.world_z - a.world_z)) - a.yaw) % 36e1)"
 STEPS["kills"] = f"""
     SELECT l.source, l.frame_idx, any_value(v.time) AS time, l.victim_id, any_value(v.name) AS victim_name,
@@ -223,49 +225,57 @@ STEPS["outcome"] = """
 
 from aerotrace.plans.adapters import ALT, LAT, LON  # noqa: E402
 
-STEPS["logged"] = f"""
-    SELECT *, 6378137e0 * radians(lon) * cos(radians(lat)) AS lx, 6378137e0 * radians(lat) AS lz FROM (
-        SELECT source, frame_idx + 1 AS frame_idx, time, concat('A', object_id) AS object_id, ord, name, obj_type, coalition, CAST({LON} AS DOUBLE) AS lon, CAST({LAT} AS DOUBLE) AS lat, CAST({ALT} AS DOUBLE) AS alt,
-            CAST((ord % 30) AS DOUBLE) AS roll, 2e0 AS pitch, CAST(ord % 360 AS DOUBLE) AS yaw
-        FROM frames WHERE NOT (ord % 4 = 0 AND frame_idx >= 7))"""
-# a removed object (every fourth) was last told of in the frame before; those with smaller numbers have moved on in the frame of its removal
-STEPS["told"] = """
-    SELECT source, 7e0 AS time, ord, 7 AS f FROM logged WHERE ord % 4 = 0 AND frame_idx = 7
-    UNION ALL SELECT source, 10e0, ord, 11 FROM logged WHERE frame_idx = 11 AND ord IN (SELECT user_id FROM events WHERE event_type = 'error')"""
+STEPS["named"] = "SELECT * FROM frames WHERE ord % 4 <> 0 OR frame_idx <= 7"
+STEPS["marks"] = "SELECT source, frame_idx AS f, time, row_number() OVER (PARTITION BY source ORDER BY frame_idx) AS n FROM (SELECT DISTINCT source, frame_idx, time FROM named)"
+STEPS["placed"] = f"""
+    SELECT *, frame_idx * 10000000 + ord AS k, ord % 4 = 0 AND frame_idx = 7 AS gone, 6378137e0 * radians(lon) * cos(radians(lat)) AS lx, 6378137e0 * radians(lat) AS lz, coalesce(last_value(told_roll IGNORE NULLS) OVER (PARTITION BY source, ord ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 0e0) AS roll FROM (
+        SELECT source, frame_idx, time, concat('A', object_id) AS object_id, ord, name, obj_type, coalition, CAST({LON} AS DOUBLE) AS lon, CAST({LAT} AS DOUBLE) AS lat, CAST({ALT} AS DOUBLE) AS alt,
+            CASE WHEN frame_idx % 2 = 0 THEN CAST(ord % 30 AS DOUBLE) END AS told_roll, 2e0 AS pitch, CAST(ord % 360 AS DOUBLE) AS yaw
+        FROM named)"""
+# a removed object tells nothing later, so its changes before are all there are
+STEPS["changes"] = """
+    SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS speed, lag(vx) OVER o AS ux, lag(vy) OVER o AS uy, lag(vz) OVER o AS uz FROM (
+        SELECT *, time - lag(time) OVER o AS dt, (lx - lag(lx) OVER o) / (time - lag(time) OVER o) AS vx, (alt - lag(alt) OVER o) / (time - lag(time) OVER o) AS vy, (lz - lag(lz) OVER o) / (time - lag(time) OVER o) AS vz FROM placed WINDOW o AS (PARTITION BY source, ord ORDER BY frame_idx))
+    WINDOW o AS (PARTITION BY source, ord ORDER BY frame_idx)"""
+STEPS["logged"] = """
+    SELECT m.n AS frame_idx, m.time AS time, c.* EXCLUDE (frame_idx, time) FROM (SELECT m.source, m.f, m.n, m.time, o.ord FROM marks m JOIN (SELECT DISTINCT source, ord FROM placed) o USING (source)) m
+    ASOF JOIN changes c ON c.source = m.source AND c.ord = m.ord AND m.f >= c.frame_idx WHERE NOT c.gone"""
+# losses by removal, and those told after all other lines; what is known at a line is what lines before it told
+STEPS["told"] = f"""
+    SELECT source, time, ord, k AS at FROM placed WHERE gone
+    UNION ALL SELECT m.source, max(m.time), e.ord, 9000000000000000000 FROM (SELECT DISTINCT {_PLACE} AS source, user_id AS ord FROM events WHERE event_type = 'error') e JOIN marks m ON m.source = e.source GROUP BY m.source, e.ord"""
+STEPS["alive"] = """
+    SELECT * FROM (SELECT t.at, t.ord AS victim, t.time AS lost, c.* FROM told t JOIN changes c ON c.source = t.source AND c.k < t.at QUALIFY row_number() OVER (PARTITION BY t.source, t.ord, t.at, c.ord ORDER BY c.k DESC) = 1)
+    WHERE NOT gone AND (contains(lower(obj_type), 'aircraft') OR contains(lower(obj_type), 'fixedwing'))"""
 _TURNED = "(abs(degrees(atan2(v.lx - a.lx, v.lz - a.lz)) - a.yaw) % 36e1)"
 STEPS["log_kills"] = f"""
-    SELECT t.source, t.time, v.object_id AS victim_id, v.name AS victim_name,
+    SELECT v.source, v.lost AS time, v.object_id AS victim_id, v.name AS victim_name,
         arg_min({{'id': a.object_id, 'name': a.name}}, {{'s': CASE WHEN {_TURNED} > 180 THEN 360 - {_TURNED} ELSE {_TURNED} END + sqrt(pow(a.lx - v.lx, 2) + pow(a.alt - v.alt, 2) + pow(a.lz - v.lz, 2)) / 100, 'o': a.ord}}) AS k
-    FROM told t JOIN logged v ON v.source = t.source AND v.ord = t.ord AND v.frame_idx = t.f
-    JOIN logged a ON a.source = t.source AND a.ord <> t.ord AND a.frame_idx = CASE WHEN f = 7 AND a.ord < t.ord THEN 8 ELSE f END
-    WHERE (contains(lower(v.obj_type), 'aircraft') OR contains(lower(v.obj_type), 'fixedwing')) AND (contains(lower(a.obj_type), 'aircraft') OR contains(lower(a.obj_type), 'fixedwing')) AND NOT (a.coalition <> '' AND v.coalition <> '' AND a.coalition = v.coalition)
-    GROUP BY t.source, t.time, v.object_id, v.name"""
-STEPS["velocity"] = """
-    SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS speed, lag(vx) OVER o AS ux, lag(vy) OVER o AS uy, lag(vz) OVER o AS uz FROM (
-        SELECT *, lx - lag(lx) OVER o AS vx, alt - lag(alt) OVER o AS vy, lz - lag(lz) OVER o AS vz FROM logged WINDOW o AS (PARTITION BY source, object_id ORDER BY frame_idx))
-    WINDOW o AS (PARTITION BY source, object_id ORDER BY frame_idx)"""
+    FROM alive v JOIN alive a ON v.ord = v.victim AND a.source = v.source AND a.victim = v.victim AND a.at = v.at AND a.ord <> v.ord AND NOT (a.coalition <> '' AND v.coalition <> '' AND a.coalition = v.coalition)
+    GROUP BY v.source, v.lost, v.at, v.object_id, v.name"""
 _LIST = "[" + ", ".join(f"'{n}'" for n in [*LABELS, "Bogus"]) + "]"
-STEPS["synthetic"] = f"""
-    SELECT concat('arena', CAST(user_id // 20 AS STRING)) AS source, CAST(user_id AS STRING) AS aircraft_id, k * 25e-1 AS window_start, k * 25e-1 + 5 AS window_end, CAST((user_id + k) % 12 AS INT) AS label, {_LIST}[CAST((user_id + k) % 12 AS INT) + 1] AS label_name, user_id * 4 + k AS row
-    FROM (SELECT DISTINCT user_id FROM events), range(4) r(k)"""
+STEPS["own_windows"] = f"SELECT source, concat('A', object_id) AS aircraft_id, time AS window_start, time + 5 AS window_end, CAST((ord + v) % 12 AS INT) AS label, {_LIST}[CAST((ord + v) % 12 AS INT) + 1] AS label_name, ord * 100 + frame_idx AS row FROM frames"
 STEPS["edited"] = f"""
-    SELECT event_id AS edit_index, CASE event_type WHEN 'purchase' THEN 'set' ELSE 'clear' END AS edit_action, CAST(CASE WHEN event_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS STRING) AS aircraft_id,
-        CASE WHEN event_id % 19 = 0 THEN NULL ELSE (event_id % 31) * 5e-1 END AS sample_time, {_LIST}[CAST(event_id % 13 AS INT) + 1] AS name FROM events WHERE event_type IN ('purchase', 'signup')"""
+    SELECT event_id AS edit_index, CASE event_type WHEN 'purchase' THEN 'set' ELSE 'clear' END AS edit_action, concat('A', CAST(CASE WHEN event_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS STRING)) AS aircraft_id,
+        CASE WHEN event_id % 19 = 0 THEN NULL ELSE {_MICROS} / CAST({FRAME_MICROS} AS DOUBLE) END AS sample_time, {_LIST}[CAST(event_id % 13 AS INT) + 1] AS name FROM events WHERE event_type IN ('purchase', 'signup')"""
 STEPS["met"] = """
     SELECT e.*, s.row, CASE WHEN sample_time IS NULL THEN 'invalid_sample_time' WHEN s.row IS NULL THEN 'aircraft_not_found' WHEN away > 25e-1 THEN 'no_window_within_tolerance' WHEN edit_action = 'set' AND name = 'Bogus' THEN 'unknown_manual_label' END AS reason,
         sample_time IS NOT NULL AND s.row IS NOT NULL AND away <= 25e-1 AS hit
     FROM edited e LEFT JOIN (SELECT e.edit_index, s.row, abs((window_start + window_end) / 2 - e.sample_time) AS away,
-        row_number() OVER (PARTITION BY e.edit_index ORDER BY abs((window_start + window_end) / 2 - e.sample_time), s.row) AS n FROM edited e JOIN synthetic s USING (aircraft_id)) s ON s.edit_index = e.edit_index AND s.n = 1"""
+        row_number() OVER (PARTITION BY e.edit_index ORDER BY abs((window_start + window_end) / 2 - e.sample_time), s.row) AS n FROM edited e JOIN own_windows s USING (aircraft_id)) s ON s.edit_index = e.edit_index AND s.n = 1"""
 STEPS["applied"] = """
     SELECT s.row, s.label, s.label_name, m.i AS manual_edit_index, CASE WHEN t.a = 'set' THEN t.n ELSE s.label_name END AS training_label_name
-    FROM synthetic s LEFT JOIN (SELECT row, max(edit_index) AS i FROM met WHERE hit GROUP BY row) m USING (row)
+    FROM own_windows s LEFT JOIN (SELECT row, max(edit_index) AS i FROM met WHERE hit GROUP BY row) m USING (row)
     LEFT JOIN (SELECT row, arg_max(edit_action, edit_index) AS a, arg_max(name, edit_index) AS n FROM met WHERE hit AND reason IS NULL GROUP BY row) t USING (row)"""
 _NUM = lambda x: f"regexp_replace(printf('%.6f', {x}), '\\.?0+$', '')"
 STEPS["anchored"] = """
-    SELECT *, (window_start + window_end) / 2 AS sample_time, CAST(ceil((window_start + window_end) / 2 - 5e-1) AS INT) AS nearest FROM synthetic"""
+    SELECT w.*, (window_start + window_end) / 2 AS sample_time, (SELECT arg_min(m.n, {'d': abs(m.time - (w.window_start + w.window_end) / 2), 't': m.time}) FROM marks m WHERE m.source = w.source) AS nearest FROM own_windows w"""
+STEPS["seen"] = "SELECT c.source, c.object_id AS aircraft_id, min(m.n) AS first_frame FROM changes c JOIN marks m ON m.source = c.source AND m.f = c.frame_idx WHERE NOT c.gone GROUP BY c.source, c.object_id"
 STEPS["lined"] = f"""
-    SELECT source, printf('%.2f', nearest * 1e0) AS frame_text, aircraft_id, concat(aircraft_id, ',Maneuver010PredLabel=', label_name, ',Maneuver011PredLabelId=', label, ',Maneuver070WindowStart=', {_NUM('window_start')}, ',Maneuver071WindowEnd=', {_NUM('window_end')}, ',Maneuver072SampleTime=', {_NUM('sample_time')},
-        ',Maneuver020RuleLabel=', label_name, ',Maneuver021RuleLabelId=', label, ',Maneuver030MainLabel=', label_name, ',Maneuver031MainLabelId=', label, ',Maneuver052ComputedGSource=trajectory_curvature_estimate') AS "update" FROM anchored"""
+    SELECT source, frame_text, aircraft_id, arg_max("update", window_start) AS "update" FROM (
+    SELECT a.source, printf('%.2f', m.time) AS frame_text, a.aircraft_id, window_start, concat(a.aircraft_id, ',Maneuver010PredLabel=', label_name, ',Maneuver011PredLabelId=', label, ',Maneuver070WindowStart=', {_NUM('window_start')}, ',Maneuver071WindowEnd=', {_NUM('window_end')}, ',Maneuver072SampleTime=', {_NUM('sample_time')},
+        ',Maneuver020RuleLabel=', label_name, ',Maneuver021RuleLabelId=', label, ',Maneuver030MainLabel=', label_name, ',Maneuver031MainLabelId=', label, ',Maneuver052ComputedGSource=trajectory_curvature_estimate') AS "update"
+    FROM anchored a JOIN seen s ON s.source = a.source AND s.aircraft_id = a.aircraft_id JOIN marks m ON m.source = a.source AND m.n = greatest(a.nearest, s.first_frame)) GROUP BY source, frame_text, aircraft_id"""
 
 from aerotrace.plans.adapters import LINE, MOVED  # noqa: E402
 
