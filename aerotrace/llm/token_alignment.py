@@ -32,7 +32,7 @@ from .bpe import pretoken_starts, vocabulary
 from .common import stored
 
 #: Bytes of text in a part.
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21
 #: A pair's code holds B's id in its lower bits; both ids are below 2**16.
 B_BITS, PAIR_BITS = 20, 36
 
