@@ -80,6 +80,8 @@ def label(df: DataFrame, thresholds: dict[str, float] | None = None) -> DataFram
     order.  A window is in transition when no rule holds, when several hold and the
     two best scores are too close, or when its halves have different labels.
     """
+    if unknown := sorted(set(thresholds or {}) - set(THRESHOLDS)):
+        raise ValueError(f"unknown thresholds: {', '.join(unknown)}")
     th = THRESHOLDS | (thresholds or {})
     x = inputs(df)
     table = rule_table(x, th)

@@ -203,10 +203,10 @@ def written(lines: DataFrame, scheduled: DataFrame) -> DataFrame:
 
 
 def write_log(rows: DataFrame, path: str) -> None:
-    """One folder per source, each a single sorted text file."""
-    from aerotrace.functions.text import stem
+    """One folder per source, each a single sorted text file; sources with one file name have different folders."""
+    from aerotrace.sources.log_files import unique_stems
 
-    x = rows.withColumn("source_stem", stem(F.col("source")))
+    x = rows.join(unique_stems(rows), "source")
     x.repartition("source_stem").sortWithinPartitions("source_stem", "line_no", "rank").select("source_stem", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("source_stem").text(path)
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aerotrace.functions.text import stem
 from aerotrace.operators import annotation, edits, features, learning, rules, series
 from aerotrace.schema import FEATURES
 from aerotrace.sources import tables
 from aerotrace.sources import telemetry_log as log
+from aerotrace.sources.log_files import unique_stems, write_files
 
 BY = ["source", "object_id"]
 
@@ -26,19 +27,29 @@ def read_any(spark: SparkSession, paths: list[str], recursive: bool = False) ->
 
 def targets(state: DataFrame) -> DataFrame:
     """source, object_id, aircraft_name of the objects that are analysed: fixed-wing aircraft with a name, the first that isn't empty."""
-    own = state.filter((F.lower(F.trim("obj_type")) == "air+fixedwing") & (F.col("name") != ""))
-    return own.groupBy(*BY).agg(F.min_by("name", "frame_idx").alias("aircraft_name"))
+    return state.filter(_analysed()).groupBy(*BY).agg(F.min_by("name", "frame_idx").alias("aircraft_name"))
+
+
+def _analysed() -> Column:
+    return (F.lower(F.trim("obj_type")) == "air+fixedwing") & (F.col("name") != "")
 
 
 def extract(lines: DataFrame, window: float = 5.0, step: float = 2.5, aircraft: str | None = None, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Labelled windows of every aircraft of every log: source, source_stem, aircraft_id, aircraft_name, features and labels."""
-    state = log.frame_state(log.classified(lines))
+    """Labelled windows of every aircraft of every log: source, source_stem, title, aircraft_id, aircraft_name, features and labels.
+
+    An aircraft's name is told to its rows by a window on the objects that the series are partitioned
+    by anyway, and is part of their key, so the state is computed once and joined to nothing.
+    """
+    x = log.classified(lines)
+    state = log.frame_state(x)
     if aircraft is not None:
         state = state.filter(F.col("object_id") == aircraft)
-    names = targets(state)
-    state = state.join(names, BY, "left_semi")
-    labeled = rules.label(features.window_features(series.preprocess(state, BY), BY, window, step), thresholds)
-    return labeled.join(names, BY).withColumn("source_stem", stem(F.col("source"))).withColumnRenamed("object_id", "aircraft_id")
+    name = F.min_by(F.when(_analysed(), F.col("name")), F.when(_analysed(), F.col("frame_idx"))).over(W.partitionBy(*BY))
+    key = [*BY, "aircraft_name"]
+    state = state.withColumn("aircraft_name", name).filter("aircraft_name IS NOT NULL")
+    labeled = rules.label(features.window_features(series.preprocess(state, key), key, window, step), thresholds)
+    about = unique_stems(lines).join(log.global_properties(x).select("source", F.col("Title").alias("title")), "source", "left")
+    return labeled.join(about, "source").withColumnRenamed("object_id", "aircraft_id")
 
 
 def file_summary(lines: DataFrame, labeled: DataFrame) -> DataFrame:
@@ -85,31 +96,62 @@ def _kept(spark: SparkSession, labeled: DataFrame, path: str, **options) -> dict
     return out
 
 
-def train_from_logs(spark: SparkSession, paths: list[str], path: str, recursive: bool = False, thresholds: dict[str, float] | None = None, **options) -> dict:
-    """Writes the windows of all logs under path/windows, one folder a log, and the model under path/model; what fit returns."""
-    labeled = extract(read_any(spark, paths, recursive), thresholds=thresholds)
-    labeled.write.mode("overwrite").partitionBy("source_stem").parquet(f"{path}/windows")
-    return _kept(spark, spark.read.parquet(f"{path}/windows"), path, **options)
+def _windows(spark: SparkSession, lines: DataFrame, path: str, **options) -> DataFrame:
+    extract(lines, **options).write.mode("overwrite").partitionBy("source_stem").parquet(f"{path}/windows")
+    return spark.read.parquet(f"{path}/windows")
+
+
+def _annotated(spark: SparkSession, lines: DataFrame, shown: DataFrame, path: str, anchor: str, kind: str) -> DataFrame:
+    """Writes the annotated logs, a file each, under path/logs; the counts of annotations."""
+    annotated, counts = annotate(lines, shown, anchor)
+    annotated.write.mode("overwrite").parquet(f"{path}/lines")
+    write_files(spark.read.parquet(f"{path}/lines"), f"{path}/logs", kind)
+    return counts
+
+
+def train_from_logs(spark: SparkSession, paths: list[str], path: str, recursive: bool = False, window: float = 5.0, step: float = 2.5, aircraft: str | None = None, thresholds: dict[str, float] | None = None, annotate_logs: bool = False, anchor: str = "center", kind: str = "same", **options) -> dict:
+    """Writes the windows of all logs under path/windows, one folder a log, and the model under path/model; what fit returns.
+
+    annotate_logs: the logs with what the model says, or the rules where none could be trained, under path/logs.
+    """
+    lines = read_any(spark, paths, recursive)
+    labeled = _windows(spark, lines, path, window=window, step=step, aircraft=aircraft, thresholds=thresholds)
+    out = _kept(spark, labeled, path, **options)
+    if annotate_logs:
+        out["annotations"] = _annotated(spark, lines, learning.predict(labeled, out["model"]) if out["model"] is not None else labeled, path, anchor, kind)
+    return out
+
+
+def predict_summary(predicted: DataFrame) -> DataFrame:
+    """source, title, window_count, agreed (windows whose label the rules gave too) of every log with windows."""
+    return predicted.groupBy("source", "title").agg(F.count("*").alias("window_count"), F.count_if(F.col("predicted_label") == F.col("label")).alias("agreed"))
 
 
-def predict_logs(spark: SparkSession, paths: list[str], model: str | PipelineModel, path: str | None = None, recursive: bool = False) -> DataFrame:
-    """The windows of all logs with the model's labels; written as CSV, one folder a log, where a path is given."""
+def predict_logs(
+    spark: SparkSession, paths: list[str], model: str | PipelineModel, path: str | None = None, recursive: bool = False,
+    window: float = 5.0, step: float = 2.5, aircraft: str | None = None, thresholds: dict[str, float] | None = None, annotate_logs: bool = False, anchor: str = "center", kind: str = "same",
+) -> DataFrame:
+    """The windows of all logs with the model's labels; written as CSV, one folder a log, where a path is given, and with annotate_logs into the logs under path/logs."""
     fitted = learning.load(model, spark)[0] if isinstance(model, str) else model
-    out = learning.predict(extract(read_any(spark, paths, recursive)), fitted)
+    lines = read_any(spark, paths, recursive)
+    out = learning.predict(extract(lines, window, step, aircraft, thresholds), fitted)
     if path is not None:
         out.write.mode("overwrite").partitionBy("source_stem").csv(path, header=True, escape='"')
+        if annotate_logs:
+            _annotated(spark, lines, out, path.rstrip("/") + "-annotated", anchor, kind)
     return out
 
 
-def run(spark: SparkSession, paths: list[str], path: str, recursive: bool = False, train: bool = True, anchor: str = "center", **options) -> dict:
-    """From logs to path/windows, path/model, path/annotated (a text file a log) and a summary of every log."""
+def run(
+    spark: SparkSession, paths: list[str], path: str, recursive: bool = False, train: bool = True, anchor: str = "center",
+    window: float = 5.0, step: float = 2.5, aircraft: str | None = None, thresholds: dict[str, float] | None = None, kind: str = "same", **options,
+) -> dict:
+    """From logs to path/windows, path/model, path/annotated (a folder a log), path/logs (a file a log) and a summary of every log."""
     lines = read_any(spark, paths, recursive)
-    extract(lines).write.mode("overwrite").partitionBy("source_stem").parquet(f"{path}/windows")
-    labeled = spark.read.parquet(f"{path}/windows")
+    labeled = _windows(spark, lines, path, window=window, step=step, aircraft=aircraft, thresholds=thresholds)
     out = _kept(spark, labeled, path, **options) if train else {"reason": None, "model": None}
-    shown = learning.predict(labeled, out["model"]) if out["model"] is not None else labeled
-    annotated, counts = annotate(lines, shown, anchor)
-    log.write_log(annotated, f"{path}/annotated")
+    counts = _annotated(spark, lines, learning.predict(labeled, out["model"]) if out["model"] is not None else labeled, path, anchor, kind)
+    log.write_log(spark.read.parquet(f"{path}/lines"), f"{path}/annotated")
     return out | {"windows": labeled, "summary": file_summary(lines, labeled), "annotations": counts}
 
 

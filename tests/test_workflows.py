@@ -2,7 +2,9 @@
 
 import math
 import zipfile
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from aerotrace import workflows
 from aerotrace.functions import geometry
 from aerotrace.operators import engagement, learning, rules
 from aerotrace.schema import FEATURES
-from aerotrace.sources import tables
+from aerotrace.sources import log_files, tables
 from aerotrace.sources import telemetry_log as log
 from aerotrace.streaming import packets
 
@@ -166,3 +168,57 @@ def test_summary_of_a_log_without_aircraft(spark):
     assert labeled.count() == 0
     assert [tuple(r) for r in workflows.file_summary(lines, labeled).collect()] == [("x", "Empty", 1, 0, 0)]
     assert geometry is not None
+
+
+def test_one_file_a_log(spark, tmp_path):
+    rows = [(f"/{d}/one.acmi", i, 0, f"{d}{i}") for d in "ab" for i in range(300)] + [("/c/two.zip.acmi", i, r, f"c{i} é {r}") for i in range(50) for r in (0, 1)] + [("/d/three.txt", 0, 0, "")]
+    df = spark.createDataFrame(rows, "source string, line_no long, rank int, raw string").repartition(6)
+    out = tmp_path / "out"
+    for _ in range(2):  # a second run replaces the first one's files
+        log_files.write_files(df, str(out))
+    names = sorted(p.name for p in out.iterdir())
+    ones = [n for n in names if n.startswith("one-")]
+    assert len(ones) == 2 and sorted(set(names) - set(ones)) == ["three.maneuver.acmi", "two.maneuver.zip.acmi"]
+    assert sorted((out / n).read_text(encoding="utf-8-sig") for n in ones) == ["\n".join(f"{d}{i}" for i in range(300)) for d in "ab"]
+    with zipfile.ZipFile(out / "two.maneuver.zip.acmi") as z:
+        assert z.namelist() == ["two.maneuver.txt.acmi"] and z.read(z.namelist()[0]).decode("utf-8-sig") == "\n".join(f"c{i} é {r}" for i in range(50) for r in (0, 1))
+    log_files.write_files(df.filter("source LIKE '/a/%'"), str(tmp_path / "zips"), kind="zip")
+    assert [p.name for p in (tmp_path / "zips").iterdir()] == ["one.maneuver.zip.acmi"]
+    log.write_log(df, str(tmp_path / "folders"))
+    assert len([p for p in (tmp_path / "folders").iterdir() if p.is_dir()]) == 4
+
+
+def test_a_failed_task_leaves_no_file(tmp_path):
+    writer = log_files.LogWriter(str(tmp_path / "out"), False)
+    batch = lambda names, raw: pa.RecordBatch.from_pydict({"file": names, "raw": raw})
+
+    def broken():
+        yield batch(["a.maneuver.acmi"], ["half"])
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    first = writer.write(iter([batch(["a.maneuver.acmi", "a.maneuver.acmi"], ["1", "2"])]))
+    writer.write(iter([batch(["a.maneuver.acmi"], ["speculative"])]))  # another attempt that isn't committed
+    other = writer.write(iter([batch(["b.maneuver.acmi"], ["3"])]))
+    writer.commit([first, None, other])
+    assert {p.name: p.read_text(encoding="utf-8-sig") for p in (tmp_path / "out").iterdir()} == {"a.maneuver.acmi": "1\n2", "b.maneuver.acmi": "3"}
+    again = log_files.LogWriter(str(tmp_path / "out"), True)
+    again.commit([again.write(iter([batch(["c.maneuver.acmi"], ["4"])]))])
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["c.maneuver.acmi"]
+
+
+def test_options_of_whole_runs(spark, made, folder, tmp_path):
+    with pytest.raises(ValueError, match="turn_smal"):
+        workflows.extract(workflows.read_any(spark, [str(folder)]), thresholds={"turn_smal": 1.0})
+    logs = sorted(p.name for p in (Path(made[0]) / "logs").iterdir())
+    assert logs == ["one.maneuver.acmi", "two.maneuver.zip.acmi"]
+    told = [r.value for r in spark.read.text(f"{made[0]}/annotated/source_stem=one").collect()]
+    assert (Path(made[0]) / "logs" / "one.maneuver.acmi").read_text(encoding="utf-8-sig").split("\n") == told
+    out = workflows.predict_logs(spark, [str(folder / "one.acmi")], f"{made[0]}/model", str(tmp_path / "said"), window=3.0, step=1.0, aircraft="A1", annotate_logs=True, kind="text")
+    rows = out.collect()
+    assert {r.aircraft_id for r in rows} == {"A1"} and {round(r.window_end - r.window_start, 6) for r in rows} == {3.0} and {r.title for r in rows} == {"First"}
+    text = (tmp_path / "said-annotated" / "logs" / "one.maneuver.acmi").read_text(encoding="utf-8-sig")
+    assert "A1,Maneuver010PredLabel=" in text and "A2,Maneuver010PredLabel=" not in text
+    summary = workflows.predict_summary(out).collect()
+    assert [(r.title, r.window_count) for r in summary] == [("First", len(rows))] and summary[0].agreed == sum(r.predicted_label == r.label for r in rows)
