@@ -52,6 +52,10 @@ def property_list(df: DataFrame, prefix: str = "Maneuver") -> Column:
     return F.array_compact(F.array(*parts, F.lit(property_name(prefix, 52, "ComputedGSource") + "=trajectory_curvature_estimate")))
 
 
+#: Seconds of a log that windows and frames are matched in together.
+STRETCH = 3600.0
+
+
 def schedule(labeled: DataFrame, frames: DataFrame, first_frames: DataFrame | None = None, anchor: str = "center", prefix: str = "Maneuver") -> DataFrame:
     """source, frame_text, rank, update: what is written after which frame line.
 
@@ -64,7 +68,7 @@ def schedule(labeled: DataFrame, frames: DataFrame, first_frames: DataFrame | No
     x = labeled.withColumns({"aircraft_id": object_id(F.col("aircraft_id")), "sample_time": anchor_time(anchor)}).filter("aircraft_id <> ''")
     x = x.withColumn("update", F.concat_ws(",", F.concat(F.lit(""), "aircraft_id"), F.concat_ws(",", property_list(x, prefix))))
     x = x.select("source", "aircraft_id", "window_start", "window_end", "sample_time", "update")
-    x = asof_join(x, frames.select("source", F.col("time").alias("sample_time"), F.col("frame_idx").alias("at")), ["source"], "sample_time", ["at"], "nearest")
+    x = asof_join(x, frames.select("source", F.col("time").alias("sample_time"), F.col("frame_idx").alias("at")), ["source"], "sample_time", ["at"], "nearest", bucket=STRETCH)
     if first_frames is not None:
         x = x.join(first_frames.withColumnRenamed("object_id", "aircraft_id"), ["source", "aircraft_id"]).withColumn("at", F.greatest("at", "first_frame")).drop("first_frame")
     x = x.join(frames.select("source", F.col("frame_idx").alias("at"), F.trim("frame_text").alias("frame_text")), ["source", "at"])

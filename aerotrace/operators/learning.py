@@ -18,13 +18,27 @@ from aerotrace.schema import FEATURES, LABELS, require_columns
 SEED = 42
 
 
+#: Ranges of hashes in which rows of a label are ranked apart.
+HASH_BITS = 10
+
+
 def split(df: DataFrame, key: list[str], share: float = 0.2, by: str | None = None, seed: int = SEED) -> DataFrame:
-    """df with is_test: a fixed share by hash of the key, of every label alone if ``by`` is given.
+    """df with is_test: a fixed share by hash of the key, or exactly that share of every label if ``by`` is given.
 
-    The hash decides row by row, so no label's rows have to meet in one task.
+    Without labels the hash decides row by row.  With them each label's rows are ranked by hash, in ranges of
+    hashes whose counts are summed up, so no label's rows have to meet in one task.  A label's
+    quota is its rounded share, but a row at least on either side; a label of one row is trained on.
     """
-    parts = [F.lit(seed), *([F.col(by)] if by else []), *(F.col(k) for k in key)]
-    return df.withColumn("is_test", F.pmod(F.xxhash64(*parts), F.lit(1_000_000)) < int(share * 1_000_000))
+    if by is None:
+        return df.withColumn("is_test", F.pmod(F.xxhash64(F.lit(seed), *(F.col(k) for k in key)), F.lit(1_000_000)) < int(share * 1_000_000))
+    x = df.withColumns({"__label": F.struct(F.col(by)), "__hash": F.xxhash64(F.lit(seed), *(F.col(k) for k in key))})
+    x = x.withColumn("__range", F.shiftright("__hash", 64 - HASH_BITS))
+    every, ahead = W.partitionBy("__label"), W.partitionBy("__label").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = x.groupBy("__label", "__range").agg(F.count("*").alias("__n"))  # at most 2**HASH_BITS rows a label
+    total = F.sum("__n").over(every)
+    sizes = sizes.select("__label", "__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"), F.greatest(F.lit(0), F.least(total - 1, F.greatest(F.lit(1), F.round(share * total).cast("long")))).alias("__quota"))
+    x = x.withColumn("__rank", F.row_number().over(W.partitionBy("__label", "__range").orderBy("__hash", *key))).join(sizes, ["__label", "__range"])
+    return x.withColumn("is_test", F.col("__before") + F.col("__rank") <= F.col("__quota")).select(*df.columns, "is_test")
 
 
 def class_weights(df: DataFrame, column: str = "label") -> DataFrame:

@@ -315,7 +315,7 @@ def scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_nearest_frame(spark, sf_dir):
     frames = telemetry_log.frames_of(telemetry_log.classified(log_lines(spark, sf_dir)))
     x = adapters.event_windows(spark, sf_dir).select("source", "aircraft_id", "window_start", ((F.col("window_start") + F.col("window_end")) / 2).alias("t"))
-    return windows.asof_join(x, frames.withColumnRenamed("time", "t"), ["source"], "t", ["frame_idx"], "nearest").select("source", "aircraft_id", "window_start", "frame_idx")
+    return windows.asof_join(x, frames.withColumnRenamed("time", "t"), ["source"], "t", ["frame_idx"], "nearest", bucket=4.0).select("source", "aircraft_id", "window_start", "frame_idx")
 
 
 @query(o.said('SELECT source, frame_text, row_number() OVER (PARTITION BY source, frame_text ORDER BY aircraft_id) AS rank, "update" FROM lined'))
@@ -380,6 +380,12 @@ def q_crc64(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", crc64_hash(F.col("n_name")).alias("digest"))
 
 
+@query("SELECT label, count(*) AS n, CAST(greatest(0, least(count(*) - 1, greatest(1, round(count(*) * 2e-1)))) AS BIGINT) AS n_test FROM embeddings GROUP BY label")
+def q_split_counts(spark, sf_dir):
+    x = learning.split(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), ["vec_id"], 0.2, "label")
+    return x.groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
+
+
 @query("SELECT label, count(*) AS n, round((SELECT count(*) FROM embeddings) / (SELECT count(DISTINCT label) FROM embeddings) / count(*), 6) AS weight FROM embeddings GROUP BY label")
 def q_class_weights(spark, sf_dir):
     return learning.class_weights(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("weight", F.round("weight", 6))

@@ -128,15 +128,34 @@ def brute_asof(left, right, direction, tolerance=None):
 
 @pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
 @pytest.mark.parametrize("tolerance", [None, 1.0])
-def test_asof_join(spark, direction, tolerance):
+@pytest.mark.parametrize("bucket", [None, 3.0])
+def test_asof_join(spark, direction, tolerance, bucket):
     rng = np.random.default_rng(2)
     left = sorted({(k, float(t)) for k in "ab" for t in rng.integers(0, 40, 15)} | {("c", 1.0)})
     right = sorted({(k, float(t) + 0.5 * float(t % 2)): i for i, (k, t) in enumerate((k, t) for k in "ab" for t in rng.integers(0, 40, 10))}.items())
     right = [(k, t, i) for (k, t), i in right]
-    got = asof_join(spark.createDataFrame(left, "k string, t double"), spark.createDataFrame(right, "k string, t double, v long"), ["k"], "t", ["v"], direction, tolerance)
+    got = asof_join(spark.createDataFrame(left, "k string, t double"), spark.createDataFrame(right, "k string, t double, v long"), ["k"], "t", ["v"], direction, tolerance, bucket)
     assert {(r.k, r.t): r.v for r in got.collect()} == brute_asof(left, right, direction, tolerance)
 
 
+def test_a_hot_key_is_matched_by_many_tasks(spark):
+    """All rows but one have one key; equal times, null keys and stretches without a match."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    left = spark.range(4000).selectExpr("'hot' AS k", "CAST(id * 7 % 4000 AS DOUBLE) AS t", "id AS n").union(spark.sql("SELECT NULL, 5d, -1L"))
+    right = spark.range(300).selectExpr("'hot' AS k", "CAST(id DIV 2 * 20 + 500 AS DOUBLE) AS t", "id AS v").union(spark.sql("SELECT NULL, 1d, 7L"))
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for direction in ("backward", "forward", "nearest"):
+            found = [asof_join(left, right, ["k"], "t", ["v"], direction, None, bucket) for bucket in (None, 50.0)]
+            tasks = [len({r.p for r in x.select("k", "v", F.spark_partition_id().alias("p")).collect() if r.k == "hot"}) for x in found]
+            assert tasks[0] == 1 and tasks[1] > 2
+            one, two = ({r.n: (r.v, r.matched_on) for r in x.collect()} for x in found)
+            assert {k: v for k, v in one.items() if k >= 0} == {k: v for k, v in two.items() if k >= 0} and len(two) == 4001
+            assert two[-1] == ((7, 1.0) if direction != "forward" else (None, None))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_range_join(spark):
     points = [("a", float(i)) for i in range(20)]
     ranges = [("a", float(i), i + float(w)) for i, w in ((0, 3), (2, 15), (7, 0), (19, 4))]

@@ -222,3 +222,18 @@ def test_options_of_whole_runs(spark, made, folder, tmp_path):
     assert "A1,Maneuver010PredLabel=" in text and "A2,Maneuver010PredLabel=" not in text
     summary = workflows.predict_summary(out).collect()
     assert [(r.title, r.window_count) for r in summary] == [("First", len(rows))] and summary[0].agreed == sum(r.predicted_label == r.label for r in rows)
+
+
+def test_a_split_meets_every_labels_quota(spark):
+    """Labels of 1, 2, 3, 10 and 1000 rows, a null label, repeated keys; the same rows whatever the partitioning."""
+    sizes = {"a": 1, "b": 2, "c": 3, "d": 10, "e": 1000, None: 7}
+    rows = [(k, i // 2) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "label string, id int")
+    one = learning.split(df, ["id"], 0.2, "label")
+    got = {(r.label, r.is_test): r.n for r in one.groupBy("label", "is_test").agg(F.count("*").alias("n")).collect()}
+    for k, n in sizes.items():
+        test = max(0, min(n - 1, max(1, math.floor(0.2 * n + 0.5))))
+        assert (got.get((k, True), 0), got.get((k, False), 0)) == (test, n - test), k
+    two = learning.split(df.repartition(7), ["id"], 0.2, "label")
+    assert sorted(map(repr, one.filter("is_test").collect())) == sorted(map(repr, two.filter("is_test").collect()))
+    assert one.columns == ["label", "id", "is_test"] and learning.split(df.filter("false"), ["id"], 0.2, "label").collect() == []
