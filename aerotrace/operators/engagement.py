@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aerotrace.functions import geometry as g
-from aerotrace.operators.windows import asof_join
 from aerotrace.schema import PAIR_FEATURES, SOUND_SPEED
 
 FRAME = ["source", "frame_idx"]
@@ -160,17 +159,14 @@ def told_kills(rows: DataFrame, kills: DataFrame, by: list[str]) -> DataFrame:
     when a name stands in the killer's and the victim's: the last thing it says counts.
     """
     pair = [*by, "self_name", "enemy_name"]
-    pairs = rows.select(*pair).distinct()
     killing = ["__at", "__v", "killer_name", "victim_name"]
     k = kills.select(*by, F.col("time").alias("__at"), F.col("victim_id").alias("__v"), *(F.coalesce(c, F.lit("")).alias(c) for c in killing[2:])).distinct()
-    names = pairs.select(*by, F.explode(F.array("self_name", "enemy_name")).alias("__name")).filter("length(__name) > 0").distinct()
-    # names meet the distinct names of their log's kills, not its rows
-    met = k.select(*by, "killer_name", "victim_name").distinct().join(names, by)
-    met = met.withColumns({"__killed": F.col("killer_name").contains(F.col("__name")), "__died": F.col("victim_name").contains(F.col("__name"))}).filter("__killed OR __died")
-    met = met.join(k, [*by, "killer_name", "victim_name"])
-    own = pairs.join(met.withColumnRenamed("__name", "self_name"), [*by, "self_name"]).select(*pair, *killing, F.col("__killed").alias("__ok"), F.col("__died").alias("__od"), F.lit(False).alias("__ek"), F.lit(False).alias("__ed"))
-    other = pairs.join(met.withColumnRenamed("__name", "enemy_name"), [*by, "enemy_name"]).select(*pair, *killing, F.lit(False).alias("__ok"), F.lit(False).alias("__od"), F.col("__killed").alias("__ek"), F.col("__died").alias("__ed"))
-    x = own.unionByName(other).groupBy(*pair, *killing).agg(*(F.max(c).alias(c) for c in ("__ok", "__od", "__ek", "__ed")))
+    side = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("self_name").alias("name")), F.struct(F.lit(False).alias("own"), F.col("enemy_name").alias("name"))))
+    sides = rows.select(*pair).distinct().select(*pair, side.alias("__s")).select(*pair, F.col("__s.own").alias("__own"), F.col("__s.name").alias("__name")).filter("length(__name) > 0")
+    # kills meet the distinct names of their log, not its rows
+    met = k.join(sides.select(*by, "__name").distinct(), by).withColumns({"__killed": F.col("killer_name").contains(F.col("__name")), "__died": F.col("victim_name").contains(F.col("__name"))}).filter("__killed OR __died")
+    said = lambda own, what: F.max(F.col(what) & (F.col("__own") == own))
+    x = sides.join(met, [*by, "__name"]).groupBy(*pair, *killing).agg(said(True, "__killed").alias("__ok"), said(True, "__died").alias("__od"), said(False, "__killed").alias("__ek"), said(False, "__died").alias("__ed"))
     x = x.withColumns({"__first": F.when(F.col("__ok"), 1).when(F.col("__ek"), -1), "__second": F.when(F.col("__od"), -1).when(F.col("__ed"), 1)})
     x = x.withColumns({"__sign": F.coalesce("__second", "__first"), "__anew": F.coalesce(F.col("__first") != F.col("__second"), F.lit(False))})
     order = W.partitionBy(*pair).orderBy(*killing)
@@ -189,11 +185,17 @@ def outcome_score(rows: DataFrame, kills: DataFrame, by: list[str] = ["source"],
     """
     pair = [*by, "self_name", "enemy_name"]
     told = told_kills(rows, kills, by)
-    x = asof_join(rows, told.select(*pair, (F.col("__at") - lookback).alias("time"), "__n", "__sign", "__run", "__at"), pair, "time", ["__n", "__sign", "__run", "__at"], "backward").drop("matched_on")
-    x = asof_join(x, told.select(*pair, F.col("__at").alias("time")), pair, "time", [], "forward")
-    since = F.greatest(F.col("__run"), F.col("matched_on"))
-    score = F.when(F.col("__at") >= F.col("time"), F.col("__sign") * F.exp(-(since - F.col("time")) / tau)).otherwise(F.lit(0.0))
-    return x.withColumn("score", score).select(*(c for c in rows.columns if c != "score"), "score")
+    # a kill stands at the time from which rows have it in view, with what it says, and at its own
+    kill = F.struct("__n", "__sign", "__run", "__at")
+    stands = F.explode(F.array(F.struct((F.col("__at") - lookback).alias("on"), kill.alias("seen")), F.struct(F.col("__at").alias("on"), F.lit(None).cast("struct<__n:int,__sign:int,__run:double,__at:double>").alias("seen"))))
+    marks = told.select(*pair, stands.alias("__s")).select(*pair, F.col("__s.on").alias("__on"), F.lit(0).alias("__side"), F.col("__s.seen").alias("__seen"), F.when(F.col("__s.seen").isNull(), F.col("__s.on")).alias("__next"))
+    x = rows.select(*pair, F.col("time").alias("__on"), F.lit(1).alias("__side"), F.struct(*(c for c in rows.columns if c not in (*pair, "score"))).alias("__row")).unionByName(marks, allowMissingColumns=True)
+    before = W.partitionBy(*pair).orderBy("__on", "__side", F.col("__seen.__n").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    behind = W.partitionBy(*pair).orderBy(F.col("__on").desc(), "__side").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumns({"__k": F.last("__seen", ignorenulls=True).over(before), "__first": F.last("__next", ignorenulls=True).over(behind)}).filter("__side = 1")
+    since = F.greatest("__k.__run", "__first")
+    score = F.when(F.col("__k.__at") >= F.col("__on"), F.col("__k.__sign") * F.exp(-(since - F.col("__on")) / tau)).otherwise(F.lit(0.0))
+    return x.select(*pair, "__row.*", score.alias("score")).select(*(c for c in rows.columns if c != "score"), "score")
 
 
 def score_stats(df: DataFrame) -> DataFrame:
