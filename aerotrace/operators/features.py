@@ -28,6 +28,12 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumn("__once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))).select(*df.columns, "__once.*")
 
 
+def settled(df: DataFrame, by: list[str]) -> DataFrame:
+    """df with all columns but ``by`` computed: what follows uses them, not the expressions they come from, however often."""
+    rest = [c for c in df.columns if c not in by]
+    return df.select(*by, F.explode(F.array(F.struct(*rest))).alias("__row")).select(*by, "__row.*")
+
+
 def sign_changes(rows: Column, field: str, deadband: float) -> Column:
     """Changes of sign between neighbouring values outside the dead band."""
     signs = F.transform(F.filter(rows, lambda x: F.abs(x[field]) > deadband), lambda x: F.signum(x[field]))
@@ -44,7 +50,7 @@ def with_ahead(df: DataFrame, by: list[str]) -> DataFrame:
     Everything is a frame over the series, so samples that many windows share are looked at once.
     """
     order = W.partitionBy(*by).orderBy("time")
-    x = df.withColumns({f"__sign_{n}": F.when(F.abs(field) > band, F.signum(field)) for n, (field, band) in DEADBANDS.items()})
+    x = settled(df, by).withColumns({f"__sign_{n}": F.when(F.abs(field) > band, F.signum(field)) for n, (field, band) in DEADBANDS.items()})
     before = {n: F.last(f"__sign_{n}", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)) for n in DEADBANDS}
     x = x.withColumns({f"__change_{n}": F.when(F.col(f"__sign_{n}").isNotNull(), (F.coalesce(before[n], F.col(f"__sign_{n}")) != F.col(f"__sign_{n}")).cast("int")) for n in DEADBANDS})
     frame = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in by)} ORDER BY time RANGE BETWEEN CURRENT ROW AND {SHORT + EPS}D FOLLOWING)"

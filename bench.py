@@ -17,6 +17,8 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+        # columns are made without a record of the line of code each comes from
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # windows cost far more time than bytes: small partitions are not merged
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k").getOrCreate()
     )
