@@ -25,4 +25,4 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 
 def test_each_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
