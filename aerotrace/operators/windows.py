@@ -63,7 +63,7 @@ def sliding_windows(df: DataFrame, by: list[str], size: float = 5.0, step: float
     """
     whole = W.partitionBy(*by)
     x = df.withColumns({"__t0": F.min(time).over(whole), "__t1": F.max(time).over(whole)})
-    last = F.when(F.col("__t1") - F.col("__t0") >= size, F.floor((F.col("__t1") + EPS - size - F.col("__t0")) / step))
+    last = F.when(F.col("__t1") - F.col("__t0") >= size - EPS, F.floor((F.col("__t1") + EPS - size - F.col("__t0")) / step))
     at = F.col(time) - F.col("__t0")
     low, high = F.greatest(F.lit(0), F.ceil((at - size - EPS) / step)), F.least(last, F.floor((at + EPS) / step))
     x = x.filter(last.isNotNull() & (low <= high)).withColumn("window", F.explode(F.sequence(low, high)))

@@ -104,6 +104,13 @@ def test_windows_are_closed_whole_and_anchored(spark):
     assert [tuple(r) for r in got] == [(0, 0.0, 0.0, 5.0, 11), (1, 2.5, 2.5, 7.5, 11), (2, 5.0, 5.0, 10.0, 11)]
 
 
+def test_a_grid_that_ends_a_rounding_error_early_keeps_its_window(spark):
+    times = [1.0 + i * ((1.0 + 0.2) - 1.0) for i in range(26)]  # what resample makes of a series from 1 to 6
+    assert times[-1] - times[0] < 5.0
+    got = sliding_windows(spark.createDataFrame([("a", t) for t in times], "object_id string, time double"), BY)
+    assert [tuple(r) for r in got.groupBy("window", "window_start").agg(F.count("*")).collect()] == [(0, 1.0, 26)]
+
+
 def test_features_of_a_straight_flight(spark):
     t = np.arange(0, 10.01, 0.2)
     data = {"time": t, "altitude": 0 * t, "world_x": 100 * t, "world_y": 1000 + 0 * t, "world_z": 0 * t, "yaw": 0 * t, "pitch": 0 * t, "roll": 0 * t}
