@@ -56,15 +56,15 @@ def pairs(state: DataFrame, max_distance: float = 10_000.0, min_speed: float = 5
     cell, the other in its own and the four before it, so two objects meet once and only if their cells touch.
     """
     s = sides(state).filter(is_aircraft(F.col("obj_type")) & (F.col("altitude") >= min_altitude) & (F.col("speed") >= min_speed))
-    row = F.struct("ord", *SIDE)
-    a = s.select(*FRAME, "time", cell("x", "z", max_distance).alias("__cell"), row.alias("__a"))
-    b = s.select(*FRAME, F.explode(neighbours("x", "z", max_distance, HALF_AROUND)).alias("__cell"), cell("x", "z", max_distance).alias("__own"), row.alias("__b"))
-    d = g.distance(*(F.col(f"__b.{c}") - F.col(f"__a.{c}") for c in "xyz"))
-    once = (F.col("__cell") != F.col("__own")) | (F.col("__a.ord") < F.col("__b.ord"))  # within one cell both ways meet
-    x = a.join(b, [*FRAME, "__cell"]).filter(once & opposing(F.col("__a.coalition"), F.col("__b.coalition")) & (d <= max_distance))
-    first = F.col("__a.ord") < F.col("__b.ord")
-    x = x.select(*FRAME, "time", F.when(first, F.col("__a")).otherwise(F.col("__b")).alias("__s"), F.when(first, F.col("__b")).otherwise(F.col("__a")).alias("__e")).filter("__s.ord < __e.ord")
-    x = x.select(*FRAME, "time", *(F.col(f"__s.{c}").alias(f"self_{c}") for c in SIDE), *(F.col(f"__e.{c}").alias(f"enemy_{c}") for c in SIDE))
+    # flat columns, not structs: those that nobody asks for are left out of the join
+    a = s.select(*FRAME, "time", cell("x", "z", max_distance).alias("__cell"), *(F.col(c).alias(f"__a_{c}") for c in ("ord", *SIDE)))
+    b = s.select(*FRAME, F.explode(neighbours("x", "z", max_distance, HALF_AROUND)).alias("__cell"), cell("x", "z", max_distance).alias("__own"), *(F.col(c).alias(f"__b_{c}") for c in ("ord", *SIDE)))
+    d = g.distance(*(F.col(f"__b_{c}") - F.col(f"__a_{c}") for c in "xyz"))
+    first = F.col("__a_ord") < F.col("__b_ord")
+    once = (F.col("__cell") != F.col("__own")) | first  # within one cell both ways meet
+    x = a.join(b, [*FRAME, "__cell"]).filter(once & (F.col("__a_ord") != F.col("__b_ord")) & opposing(F.col("__a_coalition"), F.col("__b_coalition")) & (d <= max_distance))
+    side = lambda one, two, c: F.when(first, F.col(f"__{one}_{c}")).otherwise(F.col(f"__{two}_{c}"))
+    x = x.select(*FRAME, "time", *(side("a", "b", c).alias(f"self_{c}") for c in SIDE), *(side("b", "a", c).alias(f"enemy_{c}") for c in SIDE))
     return x.withColumn("distance_raw", g.distance(*(F.col(f"enemy_{c}") - F.col(f"self_{c}") for c in "xyz")))
 
 
@@ -185,17 +185,19 @@ def outcome_score(rows: DataFrame, kills: DataFrame, by: list[str] = ["source"],
     """
     pair = [*by, "self_name", "enemy_name"]
     told = told_kills(rows, kills, by)
-    # a kill stands at the time from which rows have it in view, with what it says, and at its own
+    # a kill stands at the time from which rows have it in view, with what it says, before the rows of that time, and at its own behind them
     kill = F.struct("__n", "__sign", "__run", "__at")
     stands = F.explode(F.array(F.struct((F.col("__at") - lookback).alias("on"), kill.alias("seen")), F.struct(F.col("__at").alias("on"), F.lit(None).cast("struct<__n:int,__sign:int,__run:double,__at:double>").alias("seen"))))
-    marks = told.select(*pair, stands.alias("__s")).select(*pair, F.col("__s.on").alias("__on"), F.lit(0).alias("__side"), F.col("__s.seen").alias("__seen"), F.when(F.col("__s.seen").isNull(), F.col("__s.on")).alias("__next"))
-    x = rows.select(*pair, F.col("time").alias("__on"), F.lit(1).alias("__side"), F.struct(*(c for c in rows.columns if c not in (*pair, "score"))).alias("__row")).unionByName(marks, allowMissingColumns=True)
-    before = W.partitionBy(*pair).orderBy("__on", "__side", F.col("__seen.__n").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    behind = W.partitionBy(*pair).orderBy(F.col("__on").desc(), "__side").rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumns({"__k": F.last("__seen", ignorenulls=True).over(before), "__first": F.last("__next", ignorenulls=True).over(behind)}).filter("__side = 1")
+    unseen = F.col("__s.seen").isNull()
+    marks = told.select(*pair, stands.alias("__s")).select(*pair, F.col("__s.on").alias("__on"), F.when(unseen, 2).otherwise(0).alias("__side"), F.col("__s.seen").alias("__seen"), F.when(unseen, F.col("__s.on")).alias("__next"))
+    # rows in flat columns, so that only those that are asked for are sorted, and in one order
+    rest = [c for c in rows.columns if c not in (*pair, "score")]
+    x = rows.select(*pair, *rest, F.col("time").alias("__on"), F.lit(1).alias("__side")).unionByName(marks, allowMissingColumns=True)
+    order = W.partitionBy(*pair).orderBy("__on", "__side", F.col("__seen.__n").asc_nulls_first())
+    x = x.withColumns({"__k": F.last("__seen", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), "__first": F.expr("lead(__next) IGNORE NULLS").over(order)}).filter("__side = 1")
     since = F.greatest("__k.__run", "__first")
     score = F.when(F.col("__k.__at") >= F.col("__on"), F.col("__k.__sign") * F.exp(-(since - F.col("__on")) / tau)).otherwise(F.lit(0.0))
-    return x.select(*pair, "__row.*", score.alias("score")).select(*(c for c in rows.columns if c != "score"), "score")
+    return x.withColumn("score", score).select(*(c for c in rows.columns if c != "score"), "score")
 
 
 def score_stats(df: DataFrame) -> DataFrame:

@@ -44,6 +44,19 @@ def test_no_row_meets_a_list_of_kills(spark):
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
+def test_columns_that_nobody_asks_for_are_not_sorted(spark):
+    df = spark.range(9).selectExpr("'a' AS source", "CAST(id AS DOUBLE) AS time", "'x' AS self_name", "'y' AS enemy_name", "id * 7 AS ballast")
+    kills = spark.range(2).selectExpr("'a' AS source", "CAST(id AS DOUBLE) + 3 AS time", "'v' AS victim_id", "'x' AS killer_name", "'y' AS victim_name")
+    out = outcome_score(df, kills)
+    assert out.columns == [*df.columns, "score"] and sorted(r.ballast for r in out.collect()) == [7 * i for i in range(9)]
+    plan = out.select("time", "score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ballast" not in plan
+    assert "DESC" not in plan  # one order of the rows
+    state = spark.range(4).selectExpr("'f' AS source", "0 AS frame_idx", "0d AS time", "id AS ord", "CAST(id AS STRING) AS object_id", "'n' AS name", "'' AS coalition", "'Air+FixedWing' AS obj_type", "id * 10d AS world_x", "500d AS world_y", "0d AS world_z", "500d AS altitude", "100d AS speed", "0d AS mach", "0d AS yaw", "0d AS pitch", "0d AS roll", "0d AS aoa", "id * 3d AS g_load")
+    met = pairs(state)
+    assert met.count() == 6 and "g_load" not in met.select("self_object_id", "enemy_object_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def objects(rng, n, spread):
     """Points of a lattice, so that many distances are equal; on edges of cells too, and below zero."""
     step = 5000
