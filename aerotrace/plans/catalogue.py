@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerotrace import workflows
@@ -40,9 +40,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """c to some digits as SQL engines round doubles: the scaled double counts, halves away from zero, not its shortest decimal text."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * 10.0**digits, 0) / 10.0**digits
+
+
 def shown(df: DataFrame, keys: list[str], numbers: list[str], digits: int = 4) -> DataFrame:
     """keys as they are, numbers rounded; -0 becomes 0."""
-    return df.select(*keys, *((F.round(n, digits) + F.lit(0.0)).alias(n) for n in numbers))
+    return df.select(*keys, *((rounded(n, digits) + F.lit(0.0)).alias(n) for n in numbers))
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +188,7 @@ def q_label_distribution(spark, sf_dir):
 
 @query(o.said("SELECT main_label, count(*) AS n FROM labeled GROUP BY main_label HAVING count(*) >= 2"))
 def q_valid_classes(spark, sf_dir):
-    return rules.trainable(labeled(spark, sf_dir)).groupBy("main_label").agg(F.count("*").alias("n"))
+    return rules.valid_classes(labeled(spark, sf_dir), "main_label")
 
 
 _STRUCTS = ", ".join(f"{{'s': -round(score_{k.lower()}, 6), 'i': {i}, 'k': '{k.lower()}'}}" for i, k in enumerate(RULE_LABELS))

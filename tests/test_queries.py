@@ -32,3 +32,12 @@ def test_query_equals_its_oracle(spark, name):
 
 def test_every_oracle_has_its_query():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) > 45
+
+
+def test_numbers_are_rounded_as_the_oracles_round_them(spark):
+    """125 knots are 64.3055 m/s, a double just below: its decimal text would be rounded up."""
+    some = [125 * 0.514444, -125 * 0.514444, 0.0005, 2.0015, -0.0004, 1e17 + 0.5, float("inf"), *(i / 2000 for i in range(1, 400, 2))]
+    got = catalogue.shown(spark.createDataFrame(list(enumerate(some)), "i int, x double"), ["i"], ["x"], 3).orderBy("i").collect()
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 3) + 0e0", [x]).fetchone()[0] for x in some]
+    assert [r.x for r in got] == want
