@@ -67,6 +67,7 @@ def sides(packets: DataFrame, session: str = "session") -> DataFrame:
 #: What a side alone has; speed_ratio is 1 there and all else 0.
 ALONE = {"self_specific_energy", "self_speed", "self_turn_rate", "self_g_load"}
 RATES = "session string, time double, has_enemy boolean, self_object_id string, enemy_object_id string, " + ", ".join(f"{f} double" for f in PAIR_FEATURES)
+RATE_NAMES = [f.split()[0] for f in RATES.split(", ")]
 
 
 def with_statics(x: DataFrame) -> DataFrame:
@@ -83,6 +84,18 @@ def ordered(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(column, kind="stable", ignore_index=True) if parts else pd.DataFrame(columns=[column, "raw"])
 
 
+def arrays(rows: Iterator[pd.DataFrame], column: str) -> dict[str, np.ndarray]:
+    """The columns of ordered rows as arrays; none where there are no rows."""
+    parts = [p for p in rows if len(p)]
+    if not parts:
+        return {}
+    x = {c: parts[0][c].to_numpy() if len(parts) == 1 else np.concatenate([p[c].to_numpy() for p in parts]) for c in parts[0].columns}
+    if np.all(x[column][1:] >= x[column][:-1]):
+        return x
+    order = np.argsort(x[column], kind="stable")
+    return {c: v[order] for c, v in x.items()}
+
+
 class Rates(StatefulProcessor):
     """The frame before, per session: rates against it, 0 at the first; those of a pair are 0 too where the side came or went.
 
@@ -95,25 +108,27 @@ class Rates(StatefulProcessor):
         self.before = handle.getValueState("before", ", ".join(f"{c} {'boolean' if c == 'has_enemy' else 'double'}" for c in self.KEPT))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        x = ordered(rows, "time")
-        if x.empty:
+        x = arrays(rows, "time")  # a session has few rows a batch, so the columns are worked on as plain arrays
+        if not x:
             return
-        was = x[self.KEPT].shift()
-        if self.before.exists():
-            was.iloc[0] = list(self.before.get())
-        dt = x["time"] - was["time"].astype(float)
-        dt = dt.where((dt > 0) | dt.isna(), 1.0 / 30)
-        both = x["has_enemy"].astype(bool) & (was["has_enemy"] == True)  # noqa: E712
-        rate = lambda c: ((x[c] - was[c].astype(float)) / dt).where(dt.notna(), 0.0)
-        turn = (x["enemy_heading"] - was["enemy_heading"].astype(float)) / dt
-        turn = np.degrees((turn - 2 * np.pi * np.ceil((turn - np.pi) / (2 * np.pi))).abs()).where(both, 0.0)
-        out = x.assign(
-            session=key[0], self_speed_rate=rate("self_speed"), self_ps_estimate=rate("self_specific_energy"), distance_rate=rate("distance").where(both, 0.0), ata_rate=rate("antenna_train_angle").where(both, 0.0),
-            enemy_turn_rate=turn, relative_turn_rate=(x["self_turn_rate"] - turn).where(x["has_enemy"].astype(bool), 0.0),
-        )
-        last = x.iloc[-1]
-        self.before.update(tuple(bool(last[c]) if c == "has_enemy" else float(last[c]) for c in self.KEPT))
-        yield out[[f.split()[0] for f in RATES.split(", ")]]
+        paired = x["has_enemy"].astype(bool)
+        before = self.before.get()
+        kept = dict(zip(self.KEPT, before or (np.nan,) * len(self.KEPT), strict=True))
+        step = lambda c: np.diff(x[c].astype(float), prepend=np.nan if kept[c] is None else kept[c])
+        dt = step("time")
+        known = ~np.isnan(dt)
+        dt[known & ~(dt > 0)] = 1.0 / 30
+        both = paired & np.concatenate([[before is not None and kept["has_enemy"] is True], paired[:-1]])
+        rate = lambda c, told: np.where(told, step(c) / dt, 0.0)
+        pair_rate = lambda c: np.where(both, rate(c, known), 0.0)
+        turn = step("enemy_heading") / dt
+        turn = np.where(both, np.degrees(np.abs(turn - 2 * np.pi * np.ceil((turn - np.pi) / (2 * np.pi)))), 0.0)
+        x |= {
+            "session": np.full(len(dt), key[0], dtype=object), "self_speed_rate": rate("self_speed", known), "self_ps_estimate": rate("self_specific_energy", known), "distance_rate": pair_rate("distance"), "ata_rate": pair_rate("antenna_train_angle"),
+            "enemy_turn_rate": turn, "relative_turn_rate": np.where(paired, x["self_turn_rate"] - turn, 0.0),
+        }
+        self.before.update(tuple(bool(x[c][-1]) if c == "has_enemy" else float(x[c][-1]) for c in self.KEPT))
+        yield pd.DataFrame({c: x[c] for c in RATE_NAMES}, copy=False)
 
     def close(self) -> None:
         pass

@@ -205,3 +205,44 @@ def test_attitude_and_colour(spark):
     assert (heading, pitch, bank) == (pytest.approx(90.0), pytest.approx(30.0), pytest.approx(0.0))
     told = spark.createDataFrame([(-2.0,), (-0.5,), (0.0,), (0.5,), (1.0,)], "s double").select(geometry.blend(F.col("s")).alias("c")).collect()
     assert [tuple(r.c) for r in told] == [(1, 0, 0), (1, 0.5, 0), (1, 1, 0), (0.5, 1, 0), (0, 1, 0)]
+
+
+def test_rates_of_a_session_work_on_arrays_across_batches(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    class Kept:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Kept()
+
+    def slow(*_, **__):
+        raise AssertionError("a frame of pandas for a few rows costs ten times the arithmetic")
+
+    names = ["session", "time", "has_enemy", "self_object_id", "enemy_object_id", "enemy_heading", *(f for f in packets.PAIR_FEATURES if f not in ("self_speed_rate", "self_ps_estimate", "distance_rate", "ata_rate", "enemy_turn_rate", "relative_turn_rate"))]
+    row = lambda i, t: {n: float(i * i + len(n)) for n in names} | {"session": "s", "time": t, "has_enemy": i % 3 != 0, "self_object_id": "a", "enemy_object_id": "b", "enemy_heading": i * 0.1}
+    frame = lambda *rows: pd.DataFrame([row(*r) for r in rows], columns=names)
+    batches = [[frame((2, 2.0)), frame((1, 1.0), (3, 2.0))], [], [frame((5, 5.0), (4, 4.0))]]
+    monkeypatch.setattr(pd.DataFrame, "shift", slow)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", slow)
+    processor = packets.Rates()
+    processor.init(Handle())
+    got = [r for b in batches for out in processor.handleInputRows(("s",), iter(b), None) for r in out.to_dict("records")]
+    assert [r["time"] for r in got] == [1.0, 2.0, 2.0, 4.0, 5.0] and list(got[0])[:5] == names[:5]
+    steps = {1: None, 2: 1.0, 3: 1 / 30, 4: 2.0, 5: 1.0}
+    for i, r in enumerate(got, 1):
+        before, both = i - 1, i % 3 != 0 and (i - 1) % 3 != 0 and i > 1
+        want = (i * i - before * before) / steps[i] if steps[i] else 0.0
+        assert np.isclose(r["self_speed_rate"], want) and np.isclose(r["distance_rate"], want if both else 0.0)
+        assert np.isclose(r["enemy_turn_rate"], np.degrees(0.1 / steps[i]) if both else 0.0)
