@@ -119,11 +119,15 @@ def label_distribution(labeled: DataFrame) -> DataFrame:
     return x.select("label", "label_name", n.alias("n"), F.coalesce(n / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("share"))
 
 
+def valid_classes(labeled: DataFrame, column: str = "label", least: int = 2) -> DataFrame:
+    """column, n: the labels with ``least`` rows or more and how many; none if fewer than two labels are left."""
+    good = labeled.groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return good.withColumn("__labels", F.count("*").over(W.partitionBy())).filter("__labels >= 2").drop("__labels")
+
+
 def trainable(labeled: DataFrame, column: str = "label", least: int = 2) -> DataFrame:
     """The rows of labels with ``least`` rows or more; none if fewer than two labels are left."""
-    good = labeled.groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    good = good.withColumn("n", F.count("*").over(W.partitionBy())).filter("n >= 2").select(column)
-    return labeled.join(F.broadcast(good), column, "left_semi")  # a row a label
+    return labeled.join(F.broadcast(valid_classes(labeled, column, least).select(column)), column, "left_semi")  # a row a label
 
 
 def gated(labeled: DataFrame, column: str = "label", least: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -59,6 +59,14 @@ def test_distribution_and_trainable(spark):
     assert rules.trainable(x.union(x)).count() == 26
 
 
+def test_valid_classes_look_at_the_labels_once(spark):
+    x = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b"), (2, "c"), (2, "c"), (2, "c")], "label int, main_label string")
+    out = rules.valid_classes(x, "main_label")
+    assert {tuple(r) for r in out.collect()} == {("a", 2), ("c", 3)} and out.columns == ["main_label", "n"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert rules.valid_classes(x.filter("label < 2")).count() == 0  # one label is left
+
+
 def test_learning_measures(spark):
     x = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1), (2, 0)], "label int, predicted int")
     r = learning.class_metrics(x).first()
